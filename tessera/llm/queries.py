@@ -12,6 +12,7 @@ from tessera.llm.licenses import license_scan
 from tessera.llm.mixing import mix_sources
 from tessera.llm.neighbours import nearest_neighbours
 from tessera.llm.repetition import repetition_rules
+from tessera.llm.substrings import substring_dedup
 from tessera.llm.warc import warc_round_trip
 
 
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return cut.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "longest_repeat")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_round_trip(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,7 +54,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_neighbours, op5_license_scan, op8_byte_bpe, op9_mix_sources, op10_repetition)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_neighbours, op5_license_scan, op8_byte_bpe, op9_mix_sources, op10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
