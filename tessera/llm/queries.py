@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode
+from tessera.llm.jaccard import jaccard_components
 from tessera.llm.licenses import license_scan
 from tessera.llm.mixing import mix_sources
 from tessera.llm.neighbours import nearest_neighbours
@@ -39,6 +40,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +59,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_neighbours, op5_license_scan, op8_byte_bpe, op9_mix_sources, op10_repetition)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_neighbours, op5_license_scan, op6_jaccard, op8_byte_bpe, op9_mix_sources, op10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
