@@ -11,6 +11,7 @@ from tessera.llm.bpe import bpe_encode
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.licenses import license_scan
 from tessera.llm.mixing import mix_sources
+from tessera.llm.mixlm import lm_scores
 from tessera.llm.neighbours import nearest_neighbours
 from tessera.llm.repetition import repetition_rules
 from tessera.llm.substrings import substring_dedup
@@ -26,6 +27,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "longest_repeat")
 
 
+def op2_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_round_trip(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,7 +64,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_neighbours, op5_license_scan, op6_jaccard, op8_byte_bpe, op9_mix_sources, op10_repetition)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing_lm, op3_warc, op4_neighbours, op5_license_scan, op6_jaccard, op8_byte_bpe, op9_mix_sources, op10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
