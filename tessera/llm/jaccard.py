@@ -149,18 +149,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text
 
     Texts are lower-cased (A-Z); words are `[^\\x20\\x09-\\x0D]+`. A text of fewer words than n is one shingle;
     a null, empty or blank text has none and is linked with nothing. Returns per row of docs: id_col (a
-    long), n_shingles, n_links (that were found to other sets; equal sets count as one, and links that its component did not
-    need were not looked for) and
-    component_id (the smallest id that it reaches, itself included; null ids reach but do not count). A
-    repeated id names rows of their own. Other columns, whatever their names, are not looked at. Shingles
-    are compared by 64-bit hashes.
+    long), n_shingles, n_links (that were found to other sets; equal sets count as one, and links that its
+    component did not need were not looked for) and component_id (the smallest id that it reaches, itself
+    included; null ids reach but do not count). A repeated id names rows of their own. Other columns,
+    whatever their names, are not looked at. Shingles are compared by 64-bit hashes.
     """
     texts = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", ["id"])
+    rows = _grouped(texts, n, "id")
+    ids = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
+    return rows.join(ids, "comp").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "n_links", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, unchanged, less all but one of each component: the smallest id stays, of repeated ones one row."""
+    columns = docs.columns
+    texts = chunked(docs, id_col, text_col, [c for c in columns if c != text_col])
+    rows = _grouped(texts, n, id_col)
+    order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
+    stay = rows.groupBy("comp").agg(F.min(F.struct(order.alias("o"), "chunk", "row")).alias("x")).select("x.chunk", "x.row")
+
+    def keep(rows: pa.Table, notes: dict) -> pa.Table:
+        want = notes.get("stay", {})
+        rows = rows.filter(pa.array([r in want for r in rows.column("row").to_pylist()], pa.bool_()))
+        doc = rows.column("doc").combine_chunks()
+        return pa.table([rows.column("words") if c == text_col else doc.field(c) for c in columns], columns)
+
+    return texts.over(["row", "words", "doc"], _note(stay, "stay", "row", F.lit(b"")), keep, docs.schema)
+
+
+def _grouped(texts: Chunks, n: int, id_col: str) -> DataFrame:
+    """chunk, row, id, n (shingles), n_links and comp (a row of its component) for each row."""
 
     def describe(rows: pa.Table, notes: dict) -> pa.Table:
         sets = Sets(rows.column("words").combine_chunks(), n)
         one, two = sets.marks()
-        ids = rows.column("doc").combine_chunks().field("id")
+        ids = rows.column("doc").combine_chunks().field(id_col).cast(pa.int64())
         return pa.table([rows.column("chunk"), rows.column("row"), ids, pa.array(sets.sizes, pa.int64()), pa.array(one), pa.array(two)], ["chunk", "row", "id", "n", "one", "two"])
 
     nodes = kept(texts.over(["row", "words", "doc"], texts.none(), describe, "chunk long, row long, id long, n long, one long, two long"), "jaccard-nodes")
@@ -172,12 +195,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text
     links = kept(links.distinct(), "jaccard-links")
     comps = components(links)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-
-    rows = nodes.join(first, ["n", "one", "two"], "left").select("id", "n", "row", F.coalesce("node", "row").alias("node"))
-    rows = rows.join(comps, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = rows.join(ids, "comp").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-    return out
+    rows = nodes.join(first, ["n", "one", "two"], "left").select("chunk", "row", "id", "n", F.coalesce("node", "row").alias("node"))
+    rows = rows.join(comps, "node", "left").join(degree, "node", "left")
+    return rows.select("chunk", "row", "id", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
 
 
 def _note(df: DataFrame, kind: str, key: str, data) -> DataFrame:

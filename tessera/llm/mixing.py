@@ -74,6 +74,10 @@ def apportion(parts: DataFrame, by: list[str], share: str, seats: str, order: li
     return claims.groupBy(*keys).agg((F.max("_sure") + F.count_if("_won")).alias(out))
 
 
+def _draw(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 32, shard_tokens: int = 2_000_000, seed: int = 17) -> DataFrame:
     """How many tokens of each document a mix at the target weights takes.
 
@@ -85,7 +89,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents of their own; a null id is allowed; other columns, whatever their names, are not looked at.
     Cuts lineage with one checkpoint of the sizes, so the texts are read once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"), word_count(F.col(text_col)).alias("size"))
+    rows = _mixed(docs, id_col, text_col, source_col, weights, most, block, shard_tokens, seed)
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 32, shard_tokens: int = 2_000_000, seed: int = 17) -> DataFrame:
+    """The mix itself, of whole documents: rows of docs, unchanged, each as often as mix_sources takes its size.
+
+    What a document is taken beyond whole times becomes one time more with that probability, by a seeded hash of the row.
+    Rows that agree in id and text share what they are taken; a document without words is not in the mix.
+    """
+    rows = _mixed(docs, id_col, text_col, source_col, weights, most, block, shard_tokens, seed)
+    each = rows.filter("taken > 0").groupBy("id", "draw").agg((F.sum("taken") / F.sum("size")).alias("times"))
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.lit(1 << 20)) / (1 << 20)
+    each = each.select(F.col("id").alias("_id"), F.col("draw").alias("_draw"), F.floor(F.col("times") + chance).cast("int").alias("_times")).filter("_times > 0")
+    drawn = docs.withColumn("_draw", _draw(id_col, text_col, seed)).join(each, "_draw").filter(F.col(id_col).eqNullSafe(F.col("_id")))
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block: int, shard_tokens: int, seed: int) -> DataFrame:
+    """id, draw, source, size, source_size, target and taken for each row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _draw(id_col, text_col, seed).alias("draw"), word_count(F.col(text_col)).alias("size"))
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
 
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -111,5 +135,5 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.dense_rank().over(drawn) - 1
     times = F.floor(F.col("take") / F.col("n_blocks")) + F.when(F.col("rank") < F.col("take") % F.col("n_blocks"), 1).otherwise(0)
     taken = pieces.withColumn("rank", rank).join(shards, ["src", "shard"]).groupBy("row").agg(F.sum(F.col("tokens") * times).alias("got"))
-    out = rows.select("row", F.col("id").alias(id_col), "source", "size", "source_size", "target").join(taken, "row", "left")
-    return out.select(id_col, "source", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    out = rows.select("row", "id", "draw", "source", "size", "source_size", "target").join(taken, "row", "left")
+    return out.withColumn("taken", F.coalesce("got", F.lit(0)).cast("long")).drop("row", "got")

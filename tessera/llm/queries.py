@@ -13,6 +13,7 @@ from tessera.llm.licenses import license_scan
 from tessera.llm.mixing import mix_sources
 from tessera.llm.mixlm import lm_scores
 from tessera.llm.neighbours import nearest_neighbours
+from tessera.llm.quality import quality_scores
 from tessera.llm.repetition import repetition_rules
 from tessera.llm.substrings import substring_dedup
 from tessera.llm.warc import warc_round_trip
@@ -49,6 +50,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,7 +69,7 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing_lm, op3_warc, op4_neighbours, op5_license_scan, op6_jaccard, op8_byte_bpe, op9_mix_sources, op10_repetition)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing_lm, op3_warc, op4_neighbours, op5_license_scan, op6_jaccard, op7_quality, op8_byte_bpe, op9_mix_sources, op10_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
