@@ -15,14 +15,31 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Entries that each cache of a Python worker may hold before it starts anew.
-CACHE = 200_000
+#: Entries that each cache of a Python worker may hold before it starts anew, and the longest piece that is kept.
+CACHE, PIECE = 500_000, 64
+
+
+class Pieces(dict):
+    """The ids of pieces, as decimals joined by spaces; encodes what is not there yet."""
+
+    def __init__(self, bpe: ByteBpe):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> str:
+        ids = " ".join(map(str, self.bpe.encode_piece(piece.encode("utf-8"))))
+        if len(piece) <= PIECE:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class ByteBpe:
@@ -42,7 +59,8 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.parts: dict[int, tuple[int, int]] = {}
         self.beside: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, int]] = {}
+        self.pieces = Pieces(self)
+        self.text_of = {str(rank): token for rank, token in self.token.items()}
 
     def split(self, rank: int) -> tuple[int, int]:
         """The two tokens that a token is merged from; a single byte is its own halves."""
@@ -112,24 +130,18 @@ class ByteBpe:
                 pick = k + 1
         return [rank for _, _, rank in out]
 
-    def encode(self, text: str) -> tuple[str, int]:
-        """The ids as decimals joined by spaces, and their number."""
-        known, out, n = self.known, [], 0
-        for piece in self.find(text):
-            got = known.get(piece)
-            if got is None:
-                ids = self.encode_piece(piece.encode("utf-8"))
-                got = (" ".join(map(str, ids)), len(ids))
-                if len(piece) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[piece] = got
-            out.append(got[0])
-            n += got[1]
-        return " ".join(out), n
+    def encode(self, text: str) -> str:
+        """The ids as decimals joined by spaces."""
+        return " ".join(map(self.pieces.__getitem__, self.find(text)))
 
     def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.token.__getitem__, map(int, ids.split(" ")))) if ids else b""
+        return b"".join(map(self.text_of.__getitem__, ids.split(" "))) if ids else b""
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str, pattern: str) -> ByteBpe:
+    """One for all tasks of a Python worker."""
+    return ByteBpe(path, pattern)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -147,20 +159,19 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = None
+        bpe = _encoder(path, pattern)
         for batch in batches:
-            bpe = bpe or ByteBpe(path, pattern)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, sha, back, full, raw = [], [], [], [], []
                 for text in part.column(1):
-                    joined, count = bpe.encode(text.as_py() or "")
+                    joined = bpe.encode(text.as_py() or "")
                     decoded = bpe.decode(joined)
-                    n.append(count)
+                    n.append(joined.count(" ") + 1 if joined else 0)
                     sha.append(hashlib.sha256(joined.encode()).hexdigest())
                     back.append(hashlib.sha256(decoded).hexdigest())
                     if ids:
-                        full.append(list(map(int, joined.split(" "))) if joined else [])
+                        full.append(np.fromstring(joined, np.int32, sep=" "))
                         raw.append(decoded)
                 arrays = [part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 if ids:
