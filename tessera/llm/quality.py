@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tessera.llm.words import Words, counted, slices, sums_by
 
 #: Bounds of the fitting samples: labelled documents, and unlabelled ones for co-training.
-LABELLED, POOL = 8000, 4000
+LABELLED, POOL = 6000, 3000
 #: Buckets of hashed words and of hashed metadata values; documents that must hold a word before it counts.
 BUCKETS, VALUES, SUPPORT = 1 << 18, 1 << 12, 3
 ROUNDS, SURE = 4, 0.97
@@ -242,7 +242,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     sample = sample.select("id", "low", "bad", "doc.*").orderBy(draw, "id").toArrow().combine_chunks()
     models: list[CoTrained | None] = [None, None]
     for batch in sample.to_batches():  # one, or none for an empty sample
-        rows = rows_of(batch.column(text_col).cast(pa.string()), [batch.column(c).cast(pa.string()) for c in meta], [batch.column(c) for c in numbers])
+        rows = _joined([rows_of(b.column(text_col).cast(pa.string()), [b.column(c).cast(pa.string()) for c in meta], [b.column(c) for c in numbers]) for b in slices(batch, text_col)])
         for i, head in enumerate(("low", "bad")):
             y = np.array([np.nan if v is None else float(v) for v in batch.column(head).to_pylist()])
             known, free = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
