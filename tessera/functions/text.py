@@ -23,16 +23,16 @@ AGE_UPPER = r"(?:不超过|不得超过|最高|最大)\s*(\d{1,3})\s*(?:周)?岁
 AGE_UPPER_AFTER = r"(\d{1,3})\s*(?:周)?岁\s*(?:及)?(?:以下|以内)"
 AGE_BARE = r"^(\d{1,3})\s*(?:周)?岁$"
 AGE_CONDITIONAL = "博士|硕士|本科|职称|放宽|非|不低于|不少于|不限"
-#: Stages of a campaign by words of its notices, in the order of the process.
+#: Stages of a campaign by words of its notices, in the order of the process (F28; fixed values).
 STAGES = (
-    ("SUPPLEMENT", "补充公告|更正|延期|变更"),
-    ("QUALIFICATION_REVIEW", "资格(?:审查|复审|初审)"),
-    ("WRITTEN_EXAM", "笔试"),
+    ("QUALIFICATION_REVIEW", "资格复审|资格审查|资格确认"),
+    ("WRITTEN_EXAM", "笔试(?!成绩|结果|分数)|专业知识测试|考试安排|实践技能测试"),
+    ("SCORE_RESULT", "笔试成绩|总成绩|综合成绩|考试成绩|成绩公告|成绩查询|入围面试|入围体检"),
     ("INTERVIEW", "面试"),
-    ("SCORE", "成绩"),
     ("PHYSICAL_EXAM", "体检"),
-    ("INSPECTION", "考察|政审"),
-    ("PUBLICITY", "公示|拟聘|拟录"),
+    ("INVESTIGATION", "考察|政审"),
+    ("PUBLICATION", "拟聘|公示"),
+    ("APPOINTMENT", "办理聘用|正式聘用|录用通知|聘用手续|录用手续"),
 )
 
 

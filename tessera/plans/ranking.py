@@ -28,18 +28,18 @@ def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("p_type") == "PROMO", rules.NO).otherwise(rules.YES)
     status = worst(size, kind)
     fit, fit_cover = rules.fit({"size": (F.when(F.col("p_size") > 5, F.least(F.col("p_size"), F.lit(25))), 25), "price": (F.when(F.col("p_retailprice") > 950, F.floor(F.col("p_retailprice") / 50)), 75)})
-    stable, stable_cover = rules.stability(employment, [(F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 4) / 4), 60)], F.when(F.col("p_size") % 2 == 0, 10))
+    stable, stable_cover = rules.stability(employment, [(F.when(F.col("p_partkey") % 5 != 0, (F.col("p_partkey") % 4) / 4), 60)])
     cover = half_up((fit_cover + stable_cover) / 2)
-    tier, advised = rules.decision(status, rules.tier(employment), fit, cover)
+    tier, advised = rules.decision(status, rules.tier(employment, F.when(F.col("p_size") % 2 == 0, "UNIVERSITY").otherwise("OTHER"), F.col("p_partkey") % 7 != 0), fit, cover)
     return both.select("c_custkey", "p_partkey", "p_type", status.alias("status"), fit.alias("fit"), stable.alias("stability"), cover.alias("coverage"), tier.alias("tier"), advised.alias("advised"))
 
 
 EVALUATED = f"""e AS (SELECT c_custkey, p_partkey, p_type, greatest(CASE WHEN p_size % 9 = 0 THEN 2 WHEN p_size <= c_nationkey + 20 THEN 0 WHEN p_size > c_nationkey + 40 THEN 4 ELSE 1 END, CASE WHEN p_type = 'PROMO' THEN 4 ELSE 0 END) AS sev,
   coalesce(CASE WHEN p_size > 5 THEN least(p_size, 25) END, 0) + coalesce(CASE WHEN p_retailprice > 950 THEN CAST(floor(p_retailprice / 50) AS BIGINT) END, 0) AS fit,
   CASE WHEN p_size > 5 THEN 25 ELSE 0 END + CASE WHEN p_retailprice > 950 THEN 75 ELSE 0 END AS fit_cover,
-  coalesce(CASE {EMPLOYMENT_SQL} WHEN 'ESTABLISHMENT' THEN 30 WHEN 'SOE_FORMAL' THEN 24 WHEN 'CONTRACT' THEN 12 WHEN 'LABOR_DISPATCH' THEN 4 END, 0) + coalesce(CASE WHEN p_partkey % 5 <> 0 THEN CAST(floor((p_partkey % 4) / 4.0 * 60 + 0.5) AS BIGINT) END, 0) + CASE WHEN p_size % 2 = 0 THEN 10 ELSE 0 END AS stability,
-  CASE WHEN {EMPLOYMENT_SQL} = 'UNKNOWN' THEN 0 ELSE 30 END + CASE WHEN p_partkey % 5 <> 0 THEN 60 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 10 ELSE 0 END AS st_cover,
-  CASE {EMPLOYMENT_SQL} WHEN 'ESTABLISHMENT' THEN 'T1' WHEN 'SOE_FORMAL' THEN 'T2' WHEN 'CONTRACT' THEN 'T2' ELSE 'T3' END AS t FROM part CROSS JOIN customer WHERE c_custkey IN (1, 2, 3)),
+  coalesce(CASE {EMPLOYMENT_SQL} WHEN 'ESTABLISHMENT' THEN 40 WHEN 'SOE_FORMAL' THEN 29 WHEN 'CONTRACT' THEN 20 WHEN 'LABOR_DISPATCH' THEN 7 END, 0) + coalesce(CASE WHEN p_partkey % 5 <> 0 THEN CAST(floor((p_partkey % 4) / 4.0 * 60 + 0.5) AS BIGINT) END, 0) AS stability,
+  CASE WHEN {EMPLOYMENT_SQL} = 'UNKNOWN' THEN 0 ELSE 40 END + CASE WHEN p_partkey % 5 <> 0 THEN 60 ELSE 0 END AS st_cover,
+  CASE WHEN p_partkey % 7 <> 0 AND {EMPLOYMENT_SQL} = 'ESTABLISHMENT' THEN 'T1' WHEN p_partkey % 7 <> 0 AND p_size % 2 = 0 AND {EMPLOYMENT_SQL} IN ('SOE_FORMAL', 'CONTRACT') THEN 'T2' ELSE 'T3' END AS t FROM part CROSS JOIN customer WHERE c_custkey IN (1, 2, 3)),
   d AS (SELECT c_custkey, p_partkey, p_type, ['ELIGIBLE','CONDITIONAL','NEEDS_CONFIRMATION','CONFLICTING_EVIDENCE','INELIGIBLE'][sev + 1] AS status, fit, stability, CAST(floor((fit_cover + st_cover) / 2.0 + 0.5) AS BIGINT) AS coverage, CASE WHEN sev = 4 THEN 'EXCLUDED' ELSE t END AS tier FROM e)"""
 
 

@@ -15,10 +15,15 @@ from tessera.operators.aggregates import scored, worst
 
 #: Levels of education, lowest first; unknown ranks lowest.
 EDUCATION = ("UNKNOWN", "ASSOCIATE", "BACHELOR", "MASTER", "DOCTORATE")
-#: Points of stability by employment, and the tier that an employment reaches.
-EMPLOYMENT_POINTS = {"ESTABLISHMENT": 30, "QUOTA_OR_FILING": 26, "SOE_FORMAL": 24, "UNIT_FORMAL": 22, "PERSONNEL_AGENCY": 15, "CONTRACT": 12, "PROJECT_BASED": 6, "LABOR_DISPATCH": 4}
-TOP_TIER = ("ESTABLISHMENT", "QUOTA_OR_FILING", "PUBLIC_INSTITUTION_FORMAL")
-SECOND_TIER = ("SOE_FORMAL", "UNIT_FORMAL", "PERSONNEL_AGENCY", "CONTRACT")
+#: Points for security (of 30) and for the contract (of 10) by employment; facts of the organisation and their points (fixed values).
+EMPLOYMENT_POINTS = {"ESTABLISHMENT": 30, "QUOTA_OR_FILING": 27, "PUBLIC_INSTITUTION_FORMAL": 24, "UNIT_FORMAL": 22, "SOE_FORMAL": 22, "PERSONNEL_AGENCY": 18, "CONTRACT": 15, "LABOR_DISPATCH": 5, "PROJECT_BASED": 2}
+CONTRACT_POINTS = {"ESTABLISHMENT": 10, "QUOTA_OR_FILING": 9, "PUBLIC_INSTITUTION_FORMAL": 8, "UNIT_FORMAL": 7, "SOE_FORMAL": 7, "PERSONNEL_AGENCY": 6, "CONTRACT": 5, "LABOR_DISPATCH": 2, "PROJECT_BASED": 0}
+ORGANISATION_POINTS = {"FUNDING_STABILITY": 15, "ORGANIZATION_STABILITY": 15, "POLICY_STABILITY": 10, "BUSINESS_VOLATILITY": 10, "LAYOFF_RISK": 10}
+#: Employments of the second tier, at organisations that count as public.
+SECOND_TIER = ("QUOTA_OR_FILING", "PUBLIC_INSTITUTION_FORMAL", "UNIT_FORMAL", "SOE_FORMAL", "CONTRACT", "PERSONNEL_AGENCY")
+SEMI_PUBLIC = ("GOVERNMENT", "PUBLIC_INSTITUTION", "STATE_OWNED_ENTERPRISE", "UNIVERSITY", "HOSPITAL", "RESEARCH_INSTITUTE")
+#: Words that say that a text limits nothing, or only prefers.
+NO_LIMIT = "不限|均可|不作要求|无要求|无限制|优先|为宜|较佳"
 YES, MAYBE, UNSURE, CONFLICT, NO = "ELIGIBLE", "CONDITIONAL", "NEEDS_CONFIRMATION", "CONFLICTING_EVIDENCE", "INELIGIBLE"
 
 
@@ -74,11 +79,18 @@ def affiliation(own: Column, confirmed: Column, required: Column) -> Column:
 
 
 def gender(own: Column, confirmed: Column, text: Column) -> Column:
-    """No text or an explicit "no limit" restricts nothing; a text that names neither or both is unclear."""
+    """No text, an explicit "no limit" or a preference restricts nothing; a text that names neither or both is unclear."""
     male, female = text.contains("男"), text.contains("女")
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
     wanted = F.when(male & ~female, "MALE").when(female & ~male, "FEMALE")
-    return F.when(blank | text.rlike("不限|男女"), YES).when(wanted.isNull() | ~confirmed | ~F.coalesce(own, F.lit("UNKNOWN")).isin("MALE", "FEMALE"), UNSURE).when(own == wanted, YES).otherwise(NO)
+    return F.when(blank | text.rlike(NO_LIMIT), YES).when(wanted.isNull() | ~confirmed | ~F.coalesce(own, F.lit("UNKNOWN")).isin("MALE", "FEMALE"), UNSURE).when(own == wanted, YES).otherwise(NO)
+
+
+def party_required(text: Column) -> Column:
+    """whether a clause of the text demands membership, and neither prefers it nor offers another choice."""
+    clauses = F.transform(F.split(F.coalesce(text, F.lit("")), r"[，。；;！？!?\n\r]+"), lambda c: F.regexp_replace(c, "[\\s、：:]", ""))
+    hard = "^中共(?:预备)?党员$|限中共党员|须为中共党员|要求中共党员|政治面貌为?中共党员|政治面貌要求.*中共党员|中共党员.*政治面貌要求"
+    return F.exists(clauses, lambda c: c.rlike(hard) & ~c.rlike("不限|优先|党员或|或民主党派"))
 
 
 def fresh_graduate(state: Column, no_employer: Column, no_insurance: Column, employer: Column, insurance: Column) -> Column:
@@ -115,16 +127,18 @@ def preference(parts: list[tuple[Column, int]]) -> Column:
     return F.when(any_, total)
 
 
-def stability(employment: Column, facts: list[tuple[Column, int]], contract: Column) -> tuple[Column, Column]:
-    """Employment 30, facts of the organisation, contract 10; unknown lowers coverage."""
-    points = F.create_map(*(F.lit(x) for kv in EMPLOYMENT_POINTS.items() for x in kv))[employment]
-    scaled = [F.when(v.isNotNull(), half_up(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * m)) for v, m in facts]
-    return scored([points, *scaled, contract], [30, *(m for _, m in facts), 10])
+def stability(employment: Column, facts: list[tuple[Column, int]]) -> tuple[Column, Column]:
+    """Employment of 30, facts of the organisation as shares of their points, contract of 10; unknown lowers coverage."""
+    def points(table: dict[str, int]) -> Column:
+        return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[employment]
+
+    scaled = [F.when(v.isNotNull(), half_up((v * m).cast("float"))) for v, m in facts]
+    return scored([points(EMPLOYMENT_POINTS), *scaled, points(CONTRACT_POINTS)], [30, *(m for _, m in facts), 10])
 
 
-def tier(employment: Column) -> Column:
-    """R14."""
-    return F.when(employment.isin(*TOP_TIER), "T1").when(employment.isin(*SECOND_TIER), "T2").otherwise("T3")
+def tier(employment: Column, organisation: Column, evidenced: Column) -> Column:
+    """Nothing without evidence; the second tier at public organisations only."""
+    return F.when(evidenced & (employment == "ESTABLISHMENT"), "T1").when(evidenced & employment.isin(*SECOND_TIER) & organisation.isin(*SEMI_PUBLIC), "T2").otherwise("T3")
 
 
 def decision(status: Column, tier_: Column, fit_: Column, coverage: Column) -> tuple[Column, Column]:
