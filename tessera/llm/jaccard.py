@@ -11,8 +11,9 @@ sets of sizes s and t must have.
 
 Lists are not expanded into pairs. Every member is checked against one leader of the list; the classes that
 this joins are one component, and no pair inside a component needs another look. Lists that still hold
-several components get other leaders, and what then remains is enumerated whole: pairs of different components
-that share enough list entries to be similar at all. All checks compare the whole sets.
+several components get other leaders. What then remains is looked at whole: on long lists, each set that is
+apart from the main component against all of it, in blocks; else the pairs of different components that share
+enough list entries to be similar at all. All checks compare the whole sets.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from tessera.llm.storage import checkpointed, kept
 from tessera.llm.words import Runs, Words, mix, slices
 
 #: Counters of the sketch that orders elements by frequency, and of a part of it; largest size that may be enumerated.
-SKETCH, PART, MOST_LIGHT = 1 << 19, 1 << 13, 12
-#: Members that are checked against one copy of their leader's set.
-MEMBERS = 256
-#: Leaders that a list gets at most before its remaining pairs are enumerated, and pairs per list entry that are few enough for that.
-ROUNDS, SPARSE = 6, 4
+SKETCH, PART, MOST_LIGHT = 1 << 22, 1 << 16, 12
+#: Sets that are checked against one copy of another, and against one copy of many others.
+MEMBERS, OTHERS = 256, 1024
+#: Leaders that a list gets at most, and the most entries of a list whose remaining pairs are enumerated as they are.
+ROUNDS, SPARSE = 3, 32
 
 
 def need(s: int, t: int) -> int:
@@ -97,26 +98,26 @@ def sketched(values: np.ndarray) -> np.ndarray:
 
 
 def _frequency_classes(texts: Chunks, n: int) -> np.ndarray:
-    """Of each counter of a sketch of fixed size, how far (in powers of two) it is above the mean. It orders elements; results do not depend on it."""
+    """Of each counter of a sketch of fixed size, how far (in half powers of two) it is above the mean. It orders elements; results do not depend on it."""
 
     def count(batches):
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for part in slices(batch, "words"):
-                total += np.bincount(sketched(Sets(part.column(0), n).values), minlength=SKETCH)
-        parts = np.minimum(total, 65535).astype(np.uint16).reshape(-1, PART)
+                np.add.at(total, sketched(Sets(part.column(0), n).values), 1)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, PART)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": [p.tobytes() for p in parts]})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.uint64) for x in table.column("counts"))
+        total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.float32) for x in table.column("counts"))
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part int, counts binary"
     rows = texts.table.select("words").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()  # SKETCH counters
-    total = np.zeros(SKETCH)
+    total = np.zeros(SKETCH, np.float32)
     for r in rows:
-        total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.uint64)
-    return np.floor(np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0))).astype(np.uint8)
+        total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.float32)
+    return np.minimum(2 * np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0)), 31).astype(np.uint8)
 
 
 def boundary(histogram: dict[int, int]) -> int:
@@ -251,37 +252,40 @@ def _heavy_links(texts: Chunks, chosen: DataFrame, n: int, limit: int) -> DataFr
         return pa.table([pa.array(values[hit].view(np.int64)), pa.array(node[hit], pa.int64()), pa.array(size, pa.int64()), pa.array(chunk, pa.int64())], ["list", "node", "n", "chunk"])
 
     entries = kept(texts.over(["row", "words"], notes, shared, "list long, node long, n long, chunk long"), "jaccard-entries")
-    links, comps, tried = None, None, None
-    for turn in range(ROUNDS):
-        # the first in this turn's order leads its list; lists of one component are done
+    links, comps = None, None
+    for turn in range(ROUNDS + 1):
         own = entries.withColumn("comp", F.col("node")) if comps is None else entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"), F.col("chunk").alias("leader_chunk"))
+        # at first one order of all nodes leads the lists, so that near copies meet the same few leaders; then each list has its own
+        draw = F.xxhash64(F.lit(turn), "node") if turn == 0 else F.xxhash64(F.lit(turn), "list", "node")
+        order = F.struct(draw.alias("o"), F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("comp").alias("leader_comp"), F.col("chunk").alias("leader_chunk"))
         heads = own.groupBy("list").agg(F.min(order).alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-        heads = heads.filter("low <> high").select("list", "head.*", "m")
+        heads = heads.filter("low <> high").select("list", "head.*", "m")  # lists of one component are done
         open_ = kept(own.join(heads, "list").drop("o"), f"jaccard-open-{turn}")
-        load = open_.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("comp") != F.col("leader_comp"), F.col("m"))).alias("pairs")).first()
-        if not load["rows"]:
-            return links if links is not None else chosen.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
         entries = open_.select("list", "node", "n", "chunk")
-        last = turn == ROUNDS - 1 or (load["pairs"] or 0) <= SPARSE * load["rows"]
-        if last:
-            pairs = _open_pairs(open_)
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        else:
-            pairs = open_.filter("comp <> leader_comp").groupBy("node", "leader", "n", "leader_n", "chunk", "leader_chunk").agg(F.count(F.lit(1)).alias("common"))
-            # few common lists: left to the last turn, which counts all of them
-            pairs = pairs.filter(_similar_sizes("n", "leader_n") & (10 * F.col("common") >= F.least("n", "leader_n") - F.floor(3 * F.least("n", "leader_n") / 4)))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("chunk").alias("a_chunk"), F.col("leader_chunk").alias("b_chunk"))
-        pairs = kept(pairs, f"jaccard-pairs-{turn}")
+        if turn == ROUNDS:
+            rest = _open_links(texts, chosen, open_, comps, n)
+            return rest if links is None else links.unionByName(rest)
+        pairs = open_.filter("comp <> leader_comp").filter(_similar_sizes("n", "leader_n")).groupBy("node", "leader", "n", "leader_n", "chunk", "leader_chunk").agg(F.count(F.lit(1)).alias("common"), F.max("m").alias("m"))
+        few = 10 * F.col("common") < F.least("n", "leader_n") - F.floor(3 * F.least("n", "leader_n") / 4)
+        # what has few common lists, or later is on short lists only, is left to the end
+        pairs = pairs.filter(~few if turn == 0 else F.col("m") > SPARSE)
+        pairs = kept(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("chunk").alias("a_chunk"), F.col("leader_chunk").alias("b_chunk")), f"jaccard-pairs-{turn}")
         found = kept(_checked(texts, pairs, n), f"jaccard-found-{turn}")
         links = found if links is None else links.unionByName(found)
-        if last:
-            return links
-        ordered = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        tried = ordered if tried is None else tried.unionByName(ordered)
         comps = components(links)
-    return links
+
+
+def _open_links(texts: Chunks, chosen: DataFrame, open_: DataFrame, comps: DataFrame, n: int) -> DataFrame:
+    """Links between what open lists hold of different components, as many as the components need.
+
+    On a long list, whatever is not of the component that most of its entries have is checked against all of that
+    component and against each other, block by block, without a row for each pair. The pairs of short lists are enumerated.
+    """
+    long_ = open_.filter(F.col("m") > SPARSE)
+    most = long_.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("list").agg(F.max(F.struct("k", "comp")).alias("top")).select("list", F.col("top.comp").alias("main"))
+    apart = kept(long_.join(most, "list").filter("comp <> main"), "jaccard-apart")
+    pairs = kept(_open_pairs(open_.filter(F.col("m") <= SPARSE)), "jaccard-pairs")
+    return _checked(texts, pairs, n).unionByName(_checked_blocks(texts, chosen, apart.select("node", "chunk", "main").distinct(), comps, n))
 
 
 def _similar_sizes(a: str, b: str):
@@ -292,7 +296,8 @@ def _open_pairs(open_: DataFrame) -> DataFrame:
     """All pairs of different components that share enough list entries.
 
     If sets of sizes n and m are similar, their overlap is at least need = ceil(3 (n + m) / 7); the one whose list
-    entries end first in the order shares at least (its entries) - (its size - need) of them.
+    entries end first in the order shares at least (its entries) - (its size - need) of them. Common entries on
+    long lists are not counted here; pairs that have any are checked there.
     """
     x = open_.select("list", F.col("node").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("chunk").alias("a_chunk"))
     y = open_.select("list", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("chunk").alias("b_chunk"))
@@ -307,14 +312,9 @@ def _open_pairs(open_: DataFrame) -> DataFrame:
     return pairs.filter(F.col("common") >= F.least(spared("an"), spared("bn"))).select("a", "b", "a_chunk", "b_chunk")
 
 
-def _checked(texts: Chunks, pairs: DataFrame, n: int) -> DataFrame:
-    """The pairs whose whole sets are similar. A set travels once for each pair it is the first of, and once for MEMBERS pairs it is the second of."""
-    share = F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")
-    shares = pairs.groupBy("b", "b_chunk").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("shares"))
-    members = pairs.join(shares.select("b", "shares"), "b").select(F.col("a_chunk").alias("chunk"), F.col("a").alias("row"), "b", share.alias("share"))
-    leaders = shares.select(F.col("b_chunk").alias("chunk"), F.col("b").alias("row"), "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    sends = members.unionByName(leaders).groupBy("chunk", "row").agg(F.to_json(F.collect_list(F.array(F.col("b"), F.col("share").cast("long")))).alias("to"))
-    wanted = _note(sends, "send", "row", F.encode("to", "utf-8"))
+def _sent(texts: Chunks, sends: DataFrame, n: int) -> DataFrame:
+    """The sets of rows, sent to groups: sends has chunk, row, group (text) and role; returns group, role, row, set."""
+    sends = sends.groupBy("chunk", "row").agg(F.to_json(F.collect_list(F.array("group", F.col("role").cast("string")))).alias("to"))
 
     def send(rows: pa.Table, notes: dict) -> pa.Table:
         import json
@@ -324,21 +324,59 @@ def _checked(texts: Chunks, pairs: DataFrame, n: int) -> DataFrame:
         sets, out = Sets(rows.column("words").combine_chunks(), n), []
         for row, a, b in zip(rows.column("row").to_pylist(), sets.first[:-1], sets.first[1:], strict=True):
             own = sets.values[a:b].tobytes()
-            out += [(leader, share, row, own) for leader, share in json.loads(to[row])]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["b", "share", "a", "set"])
+            out += [(group, int(role), row, own) for group, role in json.loads(to[row])]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["group", "role", "row", "set"])
+
+    return texts.over(["row", "words"], _note(sends, "send", "row", F.encode("to", "utf-8")), send, "group string, role int, row long, set binary")
+
+
+def _compared(sent: DataFrame, one_each: bool) -> DataFrame:
+    """In each group, the pairs of similar sets, the first of role 0, the other of role 1 or 2; one_each: of role 1 the first other is enough."""
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.column("a").to_pylist()
-        b = table.column("b")[0].as_py()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
-        head = next((x for r, x in zip(rows, sets, strict=True) if r == b), np.empty(0, np.uint64))
-        good = []
-        for r, x in zip(rows, sets, strict=True):
-            common = len(np.intersect1d(x, head, assume_unique=True))
-            if r != b and 100 * common >= 75 * (len(x) + len(head) - common):
-                good.append(r)
-        return pa.table({"a": pa.array(good, pa.int64()), "b": pa.array([b] * len(good), pa.int64())})
-
-    sent = texts.over(["row", "words"], wanted, send, "b long, share long, a long, set binary")
-    return sent.groupBy("b", "share").applyInArrow(compare, "a long, b long")
+        role = table.column("role").to_numpy()
+        row, sets = table.column("row").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        mine, others = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
+        size = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate([sets[i] for i in mine] or [np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(mine)), size[mine])
+        good, done = [], np.zeros(len(mine), bool)
+        for j in others:
+            own = np.sort(sets[j])
+            at = np.minimum(np.searchsorted(own, every), max(len(own) - 1, 0))
+            common = np.bincount(owner[own[at] == every], minlength=len(mine)) if len(own) and len(every) else np.zeros(len(mine), np.int64)
+            near = (100 * common >= 75 * (size[mine] + size[j] - common)) & (row[mine] != row[j]) & (common > 0)
+            if role[j] == 2:
+                near &= row[mine] > row[j]
+            elif one_each:
+                near &= ~done
+                done |= near
+            good += [(int(row[mine[i]]), int(row[j])) for i in np.flatnonzero(near)]
+        return pa.table({"a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64())})
+
+    return sent.groupBy("group").applyInArrow(compare, "a long, b long")
+
+
+def _checked(texts: Chunks, pairs: DataFrame, n: int) -> DataFrame:
+    """The pairs whose whole sets are similar. A set travels once for each pair it is the first of, and once for MEMBERS pairs it is the second of."""
+    shares = pairs.groupBy("b", "b_chunk").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("shares"))
+    group = F.concat_ws("/", F.col("b"), F.col("share"))
+    members = pairs.join(shares.select("b", "shares"), "b").withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares")))
+    leaders = shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    sends = members.select(F.col("a_chunk").alias("chunk"), F.col("a").alias("row"), group.alias("group"), F.lit(0).alias("role"))
+    sends = sends.unionByName(leaders.select(F.col("b_chunk").alias("chunk"), F.col("b").alias("row"), group.alias("group"), F.lit(1).alias("role")))
+    return _compared(_sent(texts, sends, n), one_each=False)
+
+
+def _checked_blocks(texts: Chunks, chosen: DataFrame, apart: DataFrame, comps: DataFrame, n: int) -> DataFrame:
+    """Of nodes apart from a component (node, chunk, main), those that are similar to one of its members, with that member, and similar pairs of them."""
+    mains = apart.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("xs"))
+    nodes = chosen.select("node", "chunk").join(comps, "node", "left").withColumn("main", F.coalesce("comp", "node")).join(mains, "main")
+    nodes = nodes.select("main", "xs", "node", "chunk", F.lit(1).alias("role")).unionByName(apart.join(mains, "main").select("main", "xs", "node", "chunk", F.lit(2).alias("role")))
+    sizes = nodes.groupBy("main", "xs").agg(F.ceil(F.count(F.lit(1)) / OTHERS).cast("int").alias("ys"))
+    group = F.concat_ws("/", F.col("main"), F.col("x"), F.col("y"))
+    outer = apart.join(sizes, "main").withColumn("x", F.pmod(F.xxhash64("node"), F.col("xs"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
+    inner = nodes.join(sizes.drop("xs"), "main").withColumn("y", F.pmod(F.xxhash64("node"), F.col("ys"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    sends = outer.select("chunk", F.col("node").alias("row"), group.alias("group"), F.lit(0).alias("role")).unionByName(inner.select("chunk", F.col("node").alias("row"), group.alias("group"), "role"))
+    return _compared(_sent(texts, sends, n), one_each=True)
