@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.storage import kept, new_folder
+from tessera.llm.storage import new_folder
 
 #: Bytes that are read at once; the level of the compression.
 PIECE, LEVEL = 1 << 16, 1
@@ -108,7 +108,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     A row becomes one record. Of rows with equal payloads (UTF-8; null counts as empty), those with the
     largest id are response records, and the others revisit it without a copy of the payload. If several rows
     share that id and the payload, each of them is a response; rows whose id is null revisit one that has
-    an id, and are responses if no equal row has. The result is written, so each archive is written once.
+    an id, and are responses if no equal row has. The archives are written at once.
     """
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("payload")).withColumn("digest", F.sha1("payload"))
@@ -140,7 +140,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         store.move(mine, final)
         yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/part-{task.partitionId():06d}.warc.gz"], "n_records": pa.array([n], pa.int64())})
 
-    return kept(rows.mapInArrow(run, "archive string, n_records long"), "warc-manifest")
+    archives = rows.mapInArrow(run, "archive string, n_records long").collect()  # names and counts: a row per archive
+    return pages.sparkSession.createDataFrame(sorted(archives), "archive string, n_records long")
 
 
 def read_warc(archives: DataFrame, payload: bool = True) -> DataFrame:
