@@ -231,20 +231,30 @@ class Fitted:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...], numbers: tuple[str, ...], labelled: int, pool: int) -> Fitted:
     """Fits on at most `labelled` labelled documents and `pool` others; see quality_scores."""
     meta, numbers = tuple(c for c in meta if c in docs.columns), tuple(c for c in numbers if c in docs.columns)
-    columns = list(dict.fromkeys([text_col, *meta, *numbers]))
-    documents = docs.select(F.col(id_col).alias("id"), F.struct(*columns).alias("doc"))
+    named = [F.col(text_col).cast("string").alias("t"), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(numbers))]
+    documents = docs.select(F.col(id_col).alias("id"), F.struct(*named).alias("doc"))
     draw = F.xxhash64(F.lit(23), "id")
     given = labels.select(F.col(id_col).alias("id"), "quality", "toxic").filter("id is not null").groupBy("id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("bad"))
     chosen = given.orderBy(draw, "id").limit(labelled)
     others = documents.select("id").filter("id is not null").distinct().join(F.broadcast(chosen.select("id")), "id", "left_anti").orderBy(draw, "id").limit(pool)
     chosen = chosen.unionByName(others, allowMissingColumns=True)  # at most labelled + pool rows
-    sample = documents.join(F.broadcast(chosen), "id").groupBy("id", "low", "bad").agg(F.min("doc").alias("doc"))
-    sample = sample.select("id", "low", "bad", "doc.*").orderBy(draw, "id").toArrow().combine_chunks()
+    sample = documents.join(F.broadcast(chosen), "id").groupBy("id", "low", "bad").agg(F.min("doc").alias("doc")).select(draw.alias("draw"), "low", "bad", "doc.*")
+    wide, narrow = (T.ArrayType(t) for t in (T.DoubleType(), T.IntegerType()))
+    schema = T.StructType([*(T.StructField(c, t) for c, t in (("draw", T.LongType()), ("low", T.DoubleType()), ("bad", T.DoubleType()))), T.StructField("surface", wide), T.StructField("words", narrow), T.StructField("meta", narrow), T.StructField("numbers", wide)])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                rows = rows_of(part.column("t"), [part.column(f"m{i}") for i in range(len(meta))], [part.column(f"x{i}") for i in range(len(numbers))])
+                lists = [pa.array(list(rows.surface), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(rows.first, pa.int32()), pa.array(rows.words, pa.int32())), pa.array(list(rows.meta.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(rows.numbers), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column("draw"), *(part.column(c).cast(pa.float64()) for c in ("low", "bad")), *lists], names=schema.names)
+
+    table = sample.mapInArrow(features, schema).orderBy("draw").toArrow().combine_chunks()
     models: list[CoTrained | None] = [None, None]
-    for batch in sample.to_batches():  # one, or none for an empty sample
-        rows = _joined([rows_of(b.column(text_col).cast(pa.string()), [b.column(c).cast(pa.string()) for c in meta], [b.column(c) for c in numbers]) for b in slices(batch, text_col)])
+    if table.num_rows:
+        rows = _unpacked(table)
         for i, head in enumerate(("low", "bad")):
-            y = np.array([np.nan if v is None else float(v) for v in batch.column(head).to_pylist()])
+            y = table.column(head).to_numpy()
             known, free = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
             turn = np.arange(len(known)) % 10
             if len(known) and all(_both(y[known][m].astype(int)) for m in (turn < 7, turn >= 7)):
@@ -252,6 +262,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return Fitted(tuple(models), text_col, meta, numbers)
 
 
+def _unpacked(table: pa.Table) -> Rows:
+    n = table.num_rows
+    lists = {c: table.column(c).combine_chunks() for c in ("surface", "words", "meta", "numbers")}
+    flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+    first = np.concatenate([[0], np.cumsum(lists["words"].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return Rows(flat["surface"].reshape(n, -1), flat["words"], first, flat["meta"].reshape(n, -1), flat["numbers"].reshape(n, -1))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"), numbers: tuple[str, ...] = ("n_chars",), labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
     """Chances that each document is of low quality or toxic, and whether it is kept.
 
