@@ -34,7 +34,7 @@ _POINT[0x80:0xC0] = False
 
 COLUMNS = (
     [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
-    + [("n_lines", T.LongType()), ("dup_line_chars", T.LongType())]
+    + [("n_lines", T.LongType()), ("dup_line_chars", T.LongType()), ("n_dup_runs", T.LongType())]
     + [(f"dup_{n}gram_chars", T.LongType()) for n in REPEATED]
     + [(f"top_{n}gram_chars", T.LongType()) for n in TOP]
 )
@@ -72,7 +72,12 @@ def measures(texts: pa.Array) -> dict[str, np.ndarray]:
 
     out["n_repeat_words"] = sums_by(words.first, within(3, later_only=False).astype(np.int64))
     for size in REPEATED:
-        out[f"dup_{size}gram_chars"] = sums_by(words.first, np.where(within(size, later_only=True), chars, 0))
+        inside = within(size, later_only=True)
+        out[f"dup_{size}gram_chars"] = sums_by(words.first, np.where(inside, chars, 0))
+        if size == min(REPEATED):
+            opens = inside.copy()
+            opens[1:] &= ~inside[:-1] | (text_of[1:] != text_of[:-1])
+            out["n_dup_runs"] = sums_by(words.first, opens.astype(np.int64))
     char_sums = np.concatenate([[0], np.cumsum(chars)])
     for size in TOP:
         starts, order, (at, length) = _repeats(runs, words, room, text_of, size)
@@ -119,11 +124,11 @@ def verdict(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     bad = failed.copy()
     for size, most in REPEATED.items():
-        bad |= m[f"dup_{size}gram_chars"] > most * m["word_chars"]
+        bad |= (m["n_dup_runs"] > 1) & (m[f"dup_{size}gram_chars"] > most * m["word_chars"])  # one passage said twice is no pattern
     for size, most in TOP.items():
         bad |= m[f"top_{size}gram_chars"] > most * m["word_chars"]
-    bad |= (m["n_dup_lines"] > 1) & (m["n_dup_lines"] > LINES * m["n_lines"])  # one line said twice is no pattern
-    bad |= m["dup_line_chars"] > LINE_CHARS * m["line_chars"]
+    bad |= (m["n_dup_lines"] > 1) & (m["n_dup_lines"] > LINES * m["n_lines"])
+    bad |= (m["n_dup_lines"] > 1) & (m["dup_line_chars"] > LINE_CHARS * m["line_chars"])
     bad |= m["n_symbols"] > SYMBOLS * m["n_words"]
     return {"base_failed": failed, "kept": ~bad}
 
@@ -133,7 +138,8 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Returns per row of docs: id_col and COLUMNS. Words are `[^\\x20\\x09-\\x0D]+`. word_chars and the
     *_chars count code points; n_repeat_words: words in windows of three that the text holds twice or more,
-    the first included; dup_Ngram_chars: characters of words inside an N-gram that stood earlier in the text;
+    the first included; dup_Ngram_chars: characters of words inside an N-gram that stood earlier in the text; n_dup_runs: stretches of
+    such words, for the shortest N;
     top_Ngram_chars: those of the N-gram that fills most, if it repeats. A null or empty text has zeros and
     fails (under 50 words). Repeated rows and ids give a row each; a null id stays null; other columns,
     whatever their names, are not looked at.
