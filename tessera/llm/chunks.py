@@ -1,6 +1,6 @@
 """Texts dealt once to chunks, for operators that come back to them several times.
 
-A chunk is about two megabytes of texts that one Python call works on. The chunks lie in a table of the
+A chunk is about a megabyte of texts that one Python call works on. The chunks lie in a table of the
 shared folder that is bucketed by chunk, so a step that brings notes to the chunks moves the notes alone.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.llm.storage import new_folder
 
 #: Bytes of text in a chunk and in a bucket of the table.
-CHUNK, BUCKET = 2 << 20, 16 << 20
+CHUNK, BUCKET = 1 << 20, 16 << 20
 NOTES = "chunk long, kind string, key long, data binary"
 
 

@@ -30,6 +30,10 @@ from tessera.llm.storage import checkpointed, kept
 from tessera.llm.words import Runs, Words, covered, sums_by
 
 
+#: Parts that the rows of one hash are dealt to.
+SALT = 64
+
+
 class Level:
     """The windows of one chunk: half windows, whole windows and what the notes say of them."""
 
@@ -188,8 +192,10 @@ def _doubled(steps: DataFrame, length: int) -> DataFrame:
     while True:
         name = F.get("hashes", F.lit(level - 1))
         alive = alive.withColumn("name", name).filter("name is not null")
-        again = alive.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
-        alive = checkpointed(alive.join(again, "name", "left_semi"))
+        # a passage that very many documents share is one name: its rows are dealt to SALT parts, with the name in each
+        again = alive.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        salted = alive.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALT)).cast("int"))
+        alive = checkpointed(salted.join(again, ["name", "salt"], "left_semi").drop("salt"))
         if alive.isEmpty():
             break
         here = alive.select("chunk", "row", F.lit(length << level).alias("longest")).distinct()

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: Odd multipliers of the polynomial hashes over bytes and over words, modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of text that are worked on at once; bounds the temporary arrays of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
