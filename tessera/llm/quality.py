@@ -6,17 +6,19 @@ pool that it is most sure of, and the other learns from them. On labelled docume
 seen, each view is calibrated, and the calibrated views are combined; that scores every document. There are two
 such pairs: one for low quality, one for toxic text.
 
-Fitting happens on bounded samples (LABELLED, POOL rows, chosen by a hash of their ids), which is what the driver
-holds; scoring is one pass over all documents with the fitted tables of fixed size.
+Fitting happens on bounded samples (LABELLED, POOL rows, chosen by a hash of their ids), in one task; the driver
+holds the fitted tables of fixed size, and scoring is one pass over all documents with them.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -249,17 +251,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 lists = [pa.array(list(rows.surface), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(rows.first, pa.int32()), pa.array(rows.words, pa.int32())), pa.array(list(rows.meta.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(rows.numbers), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column("draw"), *(part.column(c).cast(pa.float64()) for c in ("low", "bad")), *lists], names=schema.names)
 
-    table = sample.mapInArrow(features, schema).orderBy("draw").toArrow().combine_chunks()
-    models: list[CoTrained | None] = [None, None]
-    if table.num_rows:
-        rows = _unpacked(table)
-        for i, head in enumerate(("low", "bad")):
-            y = table.column(head).to_numpy()
-            known, free = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
-            turn = np.arange(len(known)) % 10
-            if len(known) and all(_both(y[known][m].astype(int)) for m in (turn < 7, turn >= 7)):
-                models[i] = CoTrained(rows.take(known), y[known].astype(int), rows.take(free))
-    return Fitted(tuple(models), text_col, meta, numbers)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := [b for b in batches if b.num_rows]:
+            table = pa.Table.from_batches(parts)
+            yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(_models(table.take(pc.sort_indices(table["draw"]))))], pa.binary())})
+
+    found = sample.mapInArrow(features, schema).repartition(1).mapInArrow(fit, "models binary").first()  # at most labelled + pool rows in
+    return Fitted(pickle.loads(found["models"]) if found else (None, None), text_col, meta, numbers)
+
+
+def _models(table: pa.Table) -> tuple[CoTrained | None, CoTrained | None]:
+    """The models for low quality and for toxic text; None where either kind of label is missing."""
+    rows, models = _unpacked(table), []
+    for head in ("low", "bad"):
+        y = table.column(head).to_numpy()
+        known, free = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
+        turn = np.arange(len(known)) % 10
+        enough = len(known) and all(_both(y[known][m].astype(int)) for m in (turn < 7, turn >= 7))
+        models.append(CoTrained(rows.take(known), y[known].astype(int), rows.take(free)) if enough else None)
+    return tuple(models)
 
 
 def _unpacked(table: pa.Table) -> Rows:
