@@ -32,8 +32,8 @@ from tessera.llm.graph import components
 from tessera.llm.storage import checkpointed, kept
 from tessera.llm.words import Runs, Words, mix, slices
 
-#: Counters of the sketch that orders elements by frequency, and of a part of it; largest size that may be enumerated.
-SKETCH, PART, MOST_LIGHT = 1 << 22, 1 << 16, 12
+#: Counters of the sketch that orders elements by frequency, and of a part of it; steps that a power of two is told in; largest size that may be enumerated.
+SKETCH, PART, STEPS, MOST_LIGHT = 1 << 22, 1 << 16, 6, 12
 #: Sets that are checked against one copy of another, and against one copy of many others.
 MEMBERS, OTHERS = 256, 1024
 #: Leaders that a list gets at most, and the most entries of a list whose remaining pairs are enumerated as they are.
@@ -110,14 +110,17 @@ def _frequency_classes(texts: Chunks, n: int) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.float32) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "part int, counts binary"
-    rows = texts.table.select("words").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()  # SKETCH counters
-    total = np.zeros(SKETCH, np.float32)
+        logs = (STEPS * np.log2(np.maximum(total, 1.0))).astype(np.uint8)
+        return pa.table({"part": table.column("part")[:1], "sum": pa.array([float(total.sum())]), "logs": pa.array([logs.tobytes()], pa.binary())})
+
+    counts = texts.table.select("words").mapInArrow(count, "part int, counts binary")
+    rows = counts.groupBy("part").applyInArrow(add, "part int, sum double, logs binary").collect()  # a byte for each of SKETCH counters
+    mean = math.log2(max(sum(r["sum"] for r in rows) / SKETCH, 1.0))
+    class_of = np.clip(2 * (np.arange(256) / STEPS - mean), 0, 31).astype(np.uint8)
+    classes = np.zeros(SKETCH, np.uint8)
     for r in rows:
-        total[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.float32)
-    return np.minimum(2 * np.log2(np.maximum(total / max(total.mean(), 1.0), 1.0)), 31).astype(np.uint8)
+        classes[r["part"] * PART : (r["part"] + 1) * PART] = class_of[np.frombuffer(r["logs"], np.uint8)]
+    return classes
 
 
 def boundary(histogram: dict[int, int]) -> int:
