@@ -332,3 +332,22 @@ def test_repetition(request, table):
     out = repetition_rules(df).collect()
     assert want == Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.dup_5gram_chars) for r in out)
     assert not any(r.kept and r.base_failed for r in out)
+
+
+def test_repetition_limits_hold_for_one_stretch(spark):
+    from tessera.llm.repetition import repetition_rules
+
+    def prose(name, n):
+        return [f"{name}{i:03d}" for i in range(n)]
+
+    said = prose("s", 20)
+    texts = {
+        "ten times in a row": " ".join([*prose("a", 120), *said * 10, *prose("b", 130)]),
+        "one block twice": " ".join([*prose("a", 300), *prose("s", 60), *prose("b", 50), *prose("s", 60)]),
+        "one line twice": "\n".join([*(" ".join(prose(f"l{i}x", 10)) for i in range(12)), *[" ".join(prose("s", 40))] * 2]),
+        "a sentence twice": " ".join([*prose("a", 200), *said, *prose("b", 200), *said]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    out = {r.doc_id: r for r in repetition_rules(df).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert {d for d, r in out.items() if r.kept} == {"a sentence twice"}
