@@ -1,13 +1,15 @@
 """Quality classifier by co-training of two views.
 
 One view sees the text (surface measures and hashed words), the other the page's metadata (source, language,
-length). Both start from labelled documents; round after round, each labels the documents of an unlabelled
-pool that it is most sure of, and the other learns from them. On labelled documents that neither has
+length). Both start from labelled documents; round after round, each labels the unlabelled documents that it
+is sure of, and the other learns from them. On labelled documents that neither has
 seen, each view is calibrated, and the calibrated views are combined; that scores every document. There are two
 such pairs: one for low quality, one for toxic text.
 
-Fitting happens on bounded samples (LABELLED, POOL rows, chosen by a hash of their ids), in one task; the driver
-holds the fitted tables of fixed size, and scoring is one pass over all documents with them.
+A round is a pass over all unlabelled documents: tasks count words and metadata values of those that a view is sure
+of, in tables of fixed size, and one task refits the views from the sums. The regressions are fitted on bounded
+samples (LABELLED, POOL rows, chosen by a hash of their ids) in that task; the driver holds the sums and the
+fitted tables, and scoring is one more pass.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.storage import kept
 from tessera.llm.words import Words, counted, slices, sums_by
 
-#: Bounds of the fitting samples: labelled documents, and unlabelled ones for co-training.
-LABELLED, POOL = 6000, 3000
+#: Bounds of the fitting samples: labelled documents, and unlabelled ones for the regressions.
+LABELLED, POOL = 8000, 4000
 #: Buckets of hashed words and of hashed metadata values; documents that must hold a word before it counts.
 BUCKETS, VALUES, SUPPORT = 1 << 18, 1 << 12, 3
 ROUNDS, SURE = 4, 0.97
+#: Counts of a part that is summed on its own.
+PART = 1 << 13
 #: Highest share of good labelled documents that a threshold may reject.
 LOSS = 0.002
 
@@ -121,15 +126,34 @@ def rows_of(texts: pa.Array, meta: list[pa.Array], numbers: list[pa.Array]) -> R
     return Rows(np.stack(columns, 1), distinct, first, np.stack(values, 1) if values else np.zeros((n, 0), np.int64), np.stack(figures, 1))
 
 
+class Counts:
+    """For each view, what the documents hold that the other is sure of: words or values by label, and the number of documents."""
+
+    def __init__(self, columns: int, flat: np.ndarray | None = None):
+        size = 2 * (BUCKETS + columns * VALUES + 2)
+        self.flat = np.zeros(size, np.int64) if flat is None else flat
+        self.words, values, n = np.split(self.flat, [2 * BUCKETS, size - 4])
+        self.words, self.values, self.n = self.words.reshape(2, -1), values.reshape(columns, 2, VALUES), n.reshape(2, 2)
+
+    def add(self, rows: Rows, by_text: np.ndarray, by_meta: np.ndarray) -> None:
+        """by_text, by_meta: the label that a view is sure of, or -1."""
+        each = np.repeat(by_meta, np.diff(rows.first))
+        for v in (0, 1):
+            self.words[v] += np.bincount(rows.words[each == v], minlength=BUCKETS)
+            for i, values in enumerate(self.values):
+                values[v] += np.bincount(rows.meta[by_text == v, i], minlength=VALUES)
+            self.n[:, v] += (by_meta == v).sum(), (by_text == v).sum()
+
+
 class TextView:
-    """Log odds of hashed words from one half of the rows, then a regression on them and the surface from the other."""
+    """Log odds of hashed words from one half of the rows and from counts, then a regression on them and the surface from the other half."""
 
-    def __init__(self, rows: Rows, y: np.ndarray):
+    def __init__(self, rows: Rows, y: np.ndarray, counts: Counts):
         half = np.arange(len(rows)) % 2 == 0
         own = rows.take(np.flatnonzero(half))
         label = np.repeat(y[half], np.diff(own.first))
-        bad, good = (np.bincount(own.words[label == v], minlength=BUCKETS) for v in (1, 0))
-        self.odds = _log_odds(bad, good, int(y[half].sum()), int((1 - y[half]).sum()))
+        bad, good = (np.bincount(own.words[label == v], minlength=BUCKETS) + counts.words[v] for v in (1, 0))
+        self.odds = _log_odds(bad, good, int(y[half].sum() + counts.n[0, 1]), int((1 - y[half]).sum() + counts.n[0, 0]))
         rest = np.flatnonzero(~half)
         self.model = Logistic(self.columns(rows.take(rest)), y[rest])
 
@@ -146,10 +170,11 @@ class TextView:
 
 
 class MetaView:
-    """Log odds of the metadata's values, and a regression on them and its numbers."""
+    """Log odds of the metadata's values from rows and counts, and a regression on them and its numbers."""
 
-    def __init__(self, rows: Rows, y: np.ndarray):
-        self.odds = [_log_odds(*(np.bincount(rows.meta[y == v, i], minlength=VALUES) for v in (1, 0)), int(y.sum()), int((1 - y).sum())) for i in range(rows.meta.shape[1])]
+    def __init__(self, rows: Rows, y: np.ndarray, counts: Counts):
+        n_bad, n_good = int(y.sum() + counts.n[1, 1]), int((1 - y).sum() + counts.n[1, 0])
+        self.odds = [_log_odds(*(np.bincount(rows.meta[y == v, i], minlength=VALUES) + counts.values[i, v] for v in (1, 0)), n_bad, n_good) for i in range(rows.meta.shape[1])]
         self.model = Logistic(self.columns(rows), y)
 
     def columns(self, rows: Rows) -> np.ndarray:
@@ -164,37 +189,37 @@ def _both(y: np.ndarray, least: int = 2) -> bool:
 
 
 class CoTrained:
-    """Two views, their calibration and combination, and the threshold from which a document is rejected."""
+    """Two views, their calibration and combination, and the threshold from which a document is rejected.
 
-    def __init__(self, rows: Rows, y: np.ndarray, pool: Rows):
+    They learn from labelled rows, from what the models of the round before are sure of in the pool, and from counts of the same
+    over all other unlabelled documents.
+    """
+
+    def __init__(self, rows: Rows, y: np.ndarray, pool: Rows, before: CoTrained | None, counts: Counts):
         turn = np.arange(len(rows)) % 10
         fit, rest = np.flatnonzero(turn < 7), np.flatnonzero(turn >= 7)
         own: list[tuple[list[Rows], list[np.ndarray]]] = [([rows.take(fit)], [y[fit]]) for _ in range(2)]
-        free = np.arange(len(pool))
-        self.taught = [0, 0]
-        for _ in range(ROUNDS):
-            self.views = [kind(_joined(r), np.concatenate(l)) for kind, (r, l) in zip((TextView, MetaView), own, strict=True)]
-            gone = np.zeros(len(free), bool)
-            for me, view in enumerate(self.views):
-                p = 1 / (1 + np.exp(-view.logit(pool.take(free)))) if len(free) else np.empty(0)
-                for label, sure in ((1, p), (0, 1 - p)):
-                    best = np.flatnonzero((sure >= SURE) & ~gone)
-                    best = best[np.argsort(-sure[best], kind="stable")][: max(1, len(pool) // (20 if label else 5))]
-                    if len(best):
-                        own[1 - me][0].append(pool.take(free[best]))
-                        own[1 - me][1].append(np.full(len(best), label))
-                        self.taught[me] += len(best)
-                        gone[best] = True
-            if not gone.any():
-                break
-            free = free[~gone]
-        self.views = [kind(_joined(r), np.concatenate(l)) for kind, (r, l) in zip((TextView, MetaView), own, strict=True)]
+        if before and len(pool):
+            for me, label in enumerate(before.sure(pool)):
+                at = np.flatnonzero(label >= 0)
+                own[1 - me][0].append(pool.take(at))
+                own[1 - me][1].append(label[at])
+        self.views = [kind(_joined(r), np.concatenate(l), counts) for kind, (r, l) in zip((TextView, MetaView), own, strict=True)]
         held = rows.take(rest)
         self.scales = [Logistic(v.logit(held)[:, None], y[rest]) for v in self.views]
         self.final = Logistic(self._scaled(held), y[rest])
         good = np.sort(self.chances(held)[2][y[rest] == 0])
         self.threshold = max(0.5, float(good[int(np.ceil((1 - LOSS) * len(good))) - 1])) if len(good) else 0.5
 
+    def sure(self, rows: Rows) -> list[np.ndarray]:
+        """For each view, the label that it is sure of, or -1; where the views are sure of different ones, only the surer says it."""
+        logits = [v.logit(rows) for v in self.views]
+        p = [1 / (1 + np.exp(-x)) for x in logits]
+        labels = [np.where(x >= SURE, 1, np.where(1 - x >= SURE, 0, -1)) for x in p]
+        apart = (np.minimum(*labels) == 0) & (np.maximum(*labels) == 1)
+        first = np.abs(logits[0]) > np.abs(logits[1])
+        return [np.where(apart & ~first, -1, labels[0]), np.where(apart & first, -1, labels[1])]
+
     def _scaled(self, rows: Rows) -> np.ndarray:
         return np.stack([s.logit(v.logit(rows)[:, None]) for s, v in zip(self.scales, self.views, strict=True)], 1)
 
@@ -209,11 +234,14 @@ def _joined(parts: list[Rows]) -> Rows:
     return Rows(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("surface", "words")), firsts, *(np.concatenate([getattr(p, k) for p in parts]) for k in ("meta", "numbers")))
 
 
+Models = tuple[CoTrained | None, CoTrained | None]
+
+
 @dataclass
 class Fitted:
     """The models for low quality and for toxic text (None: nothing to learn from), and the columns they look at."""
 
-    models: tuple[CoTrained | None, CoTrained | None]
+    models: Models
     text: str
     meta: tuple[str, ...]
     numbers: tuple[str, ...]
@@ -231,7 +259,7 @@ class Fitted:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...], numbers: tuple[str, ...], labelled: int, pool: int) -> Fitted:
-    """Fits on at most `labelled` labelled documents and `pool` others; see quality_scores."""
+    """Fits on at most `labelled` labelled documents and all others; see quality_scores."""
     meta, numbers = tuple(c for c in meta if c in docs.columns), tuple(c for c in numbers if c in docs.columns)
     named = [F.col(text_col).cast("string").alias("t"), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(numbers))]
     documents = docs.select(F.col(id_col).alias("id"), F.struct(*named).alias("doc"))
@@ -239,7 +267,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     given = labels.select(F.col(id_col).alias("id"), "quality", "toxic").filter("id is not null").groupBy("id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("bad"))
     chosen = given.orderBy(draw, "id").limit(labelled)
     others = documents.select("id").filter("id is not null").distinct().join(F.broadcast(chosen.select("id")), "id", "left_anti").orderBy(draw, "id").limit(pool)
-    chosen = chosen.unionByName(others, allowMissingColumns=True)  # at most labelled + pool rows
+    chosen = kept(chosen.unionByName(others, allowMissingColumns=True), "quality-chosen")  # at most labelled + pool rows
     sample = documents.join(F.broadcast(chosen), "id").groupBy("id", "low", "bad").agg(F.min("doc").alias("doc")).select(draw.alias("draw"), "low", "bad", "doc.*")
     wide, narrow = (T.ArrayType(t) for t in (T.DoubleType(), T.IntegerType()))
     schema = T.StructType([*(T.StructField(c, t) for c, t in (("draw", T.LongType()), ("low", T.DoubleType()), ("bad", T.DoubleType()))), T.StructField("surface", wide), T.StructField("words", narrow), T.StructField("meta", narrow), T.StructField("numbers", wide)])
@@ -251,24 +279,68 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 lists = [pa.array(list(rows.surface), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(rows.first, pa.int32()), pa.array(rows.words, pa.int32())), pa.array(list(rows.meta.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(rows.numbers), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column("draw"), *(part.column(c).cast(pa.float64()) for c in ("low", "bad")), *lists], names=schema.names)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if parts := [b for b in batches if b.num_rows]:
-            table = pa.Table.from_batches(parts)
-            yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(_models(table.take(pc.sort_indices(table["draw"]))))], pa.binary())})
-
-    found = sample.mapInArrow(features, schema).repartition(1).mapInArrow(fit, "models binary").first()  # at most labelled + pool rows in
-    return Fitted(pickle.loads(found["models"]) if found else (None, None), text_col, meta, numbers)
-
-
-def _models(table: pa.Table) -> tuple[CoTrained | None, CoTrained | None]:
+    sample = kept(sample.mapInArrow(features, schema), "quality-sample")
+    rest = documents.join(F.broadcast(chosen.select("id")), "id", "left_anti").select("doc.*")
+    context = docs.sparkSession.sparkContext
+
+    def fitted(before: Models, counts: list[Counts]) -> Models:
+        told = context.broadcast((before, [c.flat for c in counts]))
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if parts := [b for b in batches if b.num_rows]:
+                table = pa.Table.from_batches(parts)
+                models = _models(table.take(pc.sort_indices(table["draw"])), told.value[0], [Counts(len(meta), flat) for flat in told.value[1]])
+                yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(models)], pa.binary())})
+
+        found = sample.repartition(1).mapInArrow(fit, "models binary").first()  # at most labelled + pool rows in
+        told.unpersist()
+        return pickle.loads(found["models"]) if found else (None, None)
+
+    def counts_of(models: Models) -> list[Counts]:
+        """Over all documents outside the sample."""
+        told = context.broadcast(models)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = [Counts(len(meta)) for _ in told.value]
+            for batch in batches:
+                for part in slices(batch, "t"):
+                    rows = rows_of(part.column("t"), [part.column(f"m{i}") for i in range(len(meta))], [part.column(f"x{i}") for i in range(len(numbers))])
+                    for own, model in zip(counts, told.value, strict=True):
+                        if model:
+                            own.add(rows, *model.sure(rows))
+            flat = np.concatenate([c.flat for c in counts])
+            for i, at in enumerate(range(0, len(flat), PART)):
+                if flat[at : at + PART].any():
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "data": pa.array([flat[at : at + PART].tobytes()], pa.binary())})
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
+            return pa.table({"part": table.column("part")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+        counts = [Counts(len(meta)) for _ in models]
+        flat = np.concatenate([c.flat for c in counts])
+        # tables of fixed size, whatever the number of documents
+        for row in rest.mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect():
+            x = np.frombuffer(row["data"], np.int64)
+            flat[row["part"] * PART : row["part"] * PART + len(x)] = x
+        told.unpersist()
+        return [Counts(len(meta), x) for x in np.split(flat, len(models))]
+
+    models = fitted((None, None), [Counts(len(meta)) for _ in range(2)])
+    for _ in range(ROUNDS if any(models) else 0):
+        models = fitted(models, counts_of(models))
+    return Fitted(models, text_col, meta, numbers)
+
+
+def _models(table: pa.Table, before: Models, counts: list[Counts]) -> Models:
     """The models for low quality and for toxic text; None where either kind of label is missing."""
     rows, models = _unpacked(table), []
-    for head in ("low", "bad"):
+    for head, last, own in zip(("low", "bad"), before, counts, strict=True):
         y = table.column(head).to_numpy()
         known, free = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
         turn = np.arange(len(known)) % 10
         enough = len(known) and all(_both(y[known][m].astype(int)) for m in (turn < 7, turn >= 7))
-        models.append(CoTrained(rows.take(known), y[known].astype(int), rows.take(free)) if enough else None)
+        models.append(CoTrained(rows.take(known), y[known].astype(int), rows.take(free), last, own) if enough else None)
     return tuple(models)
 
 
@@ -289,7 +361,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     thresholds). If the sample lacks either kind of label, that chance is 0 and rejects nothing. A null text counts
     as empty; null metadata is a value of its own; columns of meta and numbers that docs lacks are left out, and
     other columns, whatever their names, are not looked at. Repeated rows and ids give a row each. At most
-    `labelled` labelled documents and `pool` others are fitted on.
+    `labelled` labelled documents count as such; words and metadata values are learned from all others, too,
+    the regressions on top from `pool` of them.
     """
     fitted = fit_quality(docs, labels, id_col, text_col, meta, numbers, labelled, pool)
     names = ["text_low", "meta_low", "low_quality", "text_toxic", "meta_toxic", "toxic", "score"]

@@ -233,6 +233,44 @@ def test_quality(spark, labels, edges, none):
     assert len(quality_scores(edges, seen).collect()) == len(EDGES)
 
 
+def test_quality_learns_from_all_unlabelled(spark):
+    """Kinds of toxic and junk words that no labelled document holds; only the metadata of unlabelled ones gives them away."""
+    from tessera.llm.quality import quality_scores
+
+    r = random.Random(3)
+    plain = [f"word{i}" for i in range(600)]
+
+    def text(kind=None, new=0):
+        extra = [] if kind is None else [f"{kind}{new}x{r.randrange(12)}" for _ in range(12)]
+        own = [r.choice(plain) for _ in range(80)] + extra
+        r.shuffle(own)
+        return " ".join(own)
+
+    docs, seen = [], []
+
+    def put(text, source, label=None):
+        docs.append((len(docs), text, "en", source, len(text)))
+        if label:
+            seen.append((len(docs) - 1, *label))
+        return len(docs) - 1
+
+    for _ in range(500):
+        put(text(), r.choice("mno"), (1, 0))
+    for kind, label in (("toxic", (1, 1)), ("junk", (0, 0))):
+        for i in range(200):
+            put(text(kind), f"{kind}-site" if i % 2 else r.choice("mno"), label)
+        for i in range(400):
+            put(text(kind, 1 + i % 8), f"{kind}-site")
+    for _ in range(1000):
+        put(text(), r.choice("mno"))
+    planted = {put(text(kind, 1 + i % 8), r.choice("mno")) for kind in ("toxic", "junk") for i in range(40)}
+    clean = {put(text(), r.choice("mno")) for _ in range(200)}
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = {x.doc_id: x.kept for x in quality_scores(df, spark.createDataFrame(seen, "doc_id long, quality int, toxic int"), pool=40).collect()}
+    assert sum(out[d] for d in planted) <= 4
+    assert sum(out[d] for d in clean) >= 190
+
+
 @pytest.mark.parametrize("table", TABLES)
 def test_bpe(request, table):
     import public_tokenizers as P
