@@ -128,6 +128,21 @@ def test_neighbours(spark):
     assert len(few) == 3
 
 
+def test_neighbours_of_many_copies(spark):
+    from tessera.llm.neighbours import nearest_neighbours
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (2000, 16))
+    copies = np.sort(rng.permutation(2000)[:500])
+    x[copies] = x[copies[0]]
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    asked = [int(copies[i]) for i in (0, 250, 499)]
+    out = nearest_neighbours(base, base.filter(base.vec_id.isin(asked))).collect()
+    for q in asked:
+        found = sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q)
+        assert found == [(k + 1, int(i), 0.0) for k, i in enumerate(copies[copies != q][:10])]
+
+
 @pytest.mark.parametrize("table", TABLES)
 def test_licenses(request, table):
     from tessera.llm.licenses import license_scan
