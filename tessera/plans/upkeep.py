@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import compact
@@ -100,9 +101,9 @@ def legacy_watch(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_custkey, o_orderkey, CAST(i AS INTEGER) AS place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus <> 'P'), o_orderkey) AS p, o_orderstatus FROM orders) WHERE p = 1 AND o_orderstatus = 'P'""")
 def first_attachment(spark: SparkSession, sf: str) -> DataFrame:
     """The first of a list that has what is wanted, and its place."""
-    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("all"))
-    each = lists.select("o_custkey", F.posexplode("all").alias("place", "x")).filter("x.o_orderstatus = 'P'")
-    return each.groupBy("o_custkey").agg(F.min(F.struct("place", "x.o_orderkey")).alias("m")).select("o_custkey", "m.o_orderkey", "m.place")
+    place = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    each = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", place.alias("place")).filter("o_orderstatus = 'P'")
+    return each.groupBy("o_custkey").agg(F.min(F.struct("place", "o_orderkey")).alias("m")).select("o_custkey", "m.o_orderkey", "m.place")
 
 
 @query("""SELECT page_id, length(html) - length(replace(html, '<p>', 'p>')) AS cards, CASE WHEN contains(html, '<script') THEN 1 ELSE 0 END AS scripts, (length(html) - length(replace(html, '<p>', 'p>'))) > 0 AS complete FROM pages""")

@@ -18,3 +18,8 @@ def test_query(spark, duck, name):
         assert len(got[1]) == len(want[1])
         for a, b in zip(got[1], want[1], strict=True):
             assert a == b
+
+
+def test_first_attachment_holds_no_list(spark):
+    plan = QUERIES["first_attachment"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
