@@ -10,7 +10,7 @@ from tessera.llm.bpe import bpe_encode
 from tessera.llm.jaccard import one_of_each
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.quality import quality_filter
-from tessera.llm.storage import kept
+from tessera.llm.storage import kept, new_folder, scratch
 from tessera.llm.substrings import substring_dedup
 
 
@@ -51,5 +51,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        label = "pipeline-" + name.replace(" ", "-")
+        path = new_folder(spark, label)
+        with scratch(spark):
+            docs = kept(stage(spark, docs, sf_dir), label, path)
     return STAGES[-1][1](spark, docs, sf_dir)

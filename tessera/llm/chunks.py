@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import new_folder
+from tessera.llm.storage import new_folder, noted_table
 
 #: Bytes of text in a chunk and in a bucket of the table.
 CHUNK, BUCKET = 1 << 20, 16 << 20
@@ -45,14 +45,18 @@ class Chunks:
 
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> Chunks:
-    """Deals docs to chunks by a hash of id and text; carry: the columns to keep besides the text."""
+    """Deals docs to chunks by a hash of id, text and input partition; carry: the columns to keep besides the text.
+
+    Repeated rows of one partition share a chunk, those of others do not: no chunk holds more of them than a partition has.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("bytes")).first()["bytes"] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     n_chunks = max(n_buckets, -(-size // CHUNK))
-    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_chunks))
+    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(n_chunks))
     rows = docs.select(chunk.alias("chunk"), F.col(text_col).cast("string").alias("words"), F.struct(*carry).alias("doc"))
     rows = rows.repartition(n_buckets, "chunk").withColumn("row", F.monotonically_increasing_id())
     name = f"tessera_chunks_{uuid.uuid4().hex}"
     rows.write.format("parquet").option("path", new_folder(spark, "chunks")).option("compression", "zstd").bucketBy(n_buckets, "chunk").saveAsTable(name)
+    noted_table(name)
     return Chunks(spark.table(name), n_buckets)

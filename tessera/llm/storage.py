@@ -4,22 +4,54 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What the open scratch blocks have made: folders, and names of tables.
+_OPEN: list[tuple[list[str], list[str]]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where that is unset, as in tests, is a folder of this machine taken."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of this machine if Spark runs on this machine alone, as in tests; else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     where = where or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for folders, _ in _OPEN:
+        folders.append(path)
+    return path
+
+
+def noted_table(name: str) -> None:
+    """Tells the open scratch blocks of a table in the catalog."""
+    for _, tables in _OPEN:
+        tables.append(name)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops, at its end, the tables and folders that operators made in it. What they return must be written by then, to a folder made outside."""
+    made: tuple[list[str], list[str]] = ([], [])
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for table in made[1]:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for folder in made[0]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -31,9 +63,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs nothing before."""
+def kept(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Writes df to the shared folder (or path) and reads it back: lineage ends here, and a lost executor costs nothing before."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = path or new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

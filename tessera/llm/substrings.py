@@ -6,16 +6,17 @@ that length, until no candidates survive:
 1. Half windows. Of the half windows inside each window, the one with the least hash stands for it (equal
    windows have equal ones), so about a tenth of all places are looked at. Half windows that occur once end here.
 2. Whole windows, at all places whose half window repeats. Their words are what is removed.
-3. Twice, four times, ... the length, from the starts of step 1 inside repeated stretches: each level keeps
-   what repeats and extends it, and the last one that something survived is reported per document.
+3. Twice, four times, ... the length, from the starts of step 1 inside repeated stretches: each level asks for the
+   starts that the level before left, and the last one that something survived is reported per document.
 
 Texts are dealt once to chunks, kept in a bucketed table of the shared folder, so no later step moves them.
-Only packed hashes go to the buckets of `exchange`, and only bits come back.
+At every level, a chunk sends its distinct hashes packed to the buckets of `exchange`, and only bits come back: a
+passage that very many texts share is one hash of each chunk. The starts of step 3 are packed, too, a row for each chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,11 @@ from pyspark.sql import types as T
 
 from tessera.llm.chunks import chunked
 from tessera.llm.exchange import ASKS, answer, asked, occurs_again, sliding
-from tessera.llm.storage import checkpointed, kept
+from tessera.llm.storage import kept
 from tessera.llm.words import Runs, Words, covered, sums_by
 
-
-#: Parts that the rows of one hash are dealt to.
-SALT = 64
+#: Starts of one chunk: the row of each, how many doublings fit behind it, and the hashes of those, start after start; survivors: the rows in which the level before repeats.
+STARTS = "chunk long, row binary, levels binary, hashes binary, survivors binary"
 
 
 class Level:
@@ -73,8 +73,8 @@ class Level:
         at = self.candidates()
         return at[self._again(self.runs.at(at, self.length), "whole")]
 
-    def extended(self) -> list[tuple[int, int, list[int]]]:
-        """(text, place, hashes) of the windows of twice, four times, ... the length that start at an anchor and hold repeated windows only."""
+    def extended(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchors inside stretches of repeated windows that a doubled window fits behind: their texts, how many doublings fit, and the hashes of those."""
         at = self.repeated()
         alive = np.zeros(len(self.words) + 1, np.int64)
         alive[at] = 1
@@ -82,15 +82,14 @@ class Level:
         begin = self.anchors[alive[self.anchors] > 0]
         reach = stop[np.searchsorted(stop, begin)] - begin + self.length - 1 if len(begin) else begin
         reach = np.minimum(reach, self.room[begin])
-        text_of = self.words.text_of
-        rows: dict[int, list[int]] = {}
-        size = 2 * self.length
-        while len(begin):
-            begin, reach = begin[reach >= size], reach[reach >= size]
-            for b, h in zip(begin.tolist(), self.runs.at(begin, size).view(np.int64).tolist(), strict=True):
-                rows.setdefault(b, []).append(h)
-            size *= 2
-        return [(int(text_of[b]), b - int(self.words.first[text_of[b]]), hashes) for b, hashes in rows.items()]
+        levels = np.log2(np.maximum(reach // self.length, 1)).astype(np.int64)
+        begin, levels = begin[levels > 0], levels[levels > 0]
+        ends = np.cumsum(levels)
+        hashes = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            on = np.flatnonzero(levels >= level)
+            hashes[ends[on] - levels[on] + level - 1] = self.runs.at(begin[on], self.length << level)
+        return self.words.text_of[begin], levels, hashes
 
 
 def _kept_text(words: Words, gone: np.ndarray) -> pa.Array:
@@ -131,7 +130,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     spans (stretches of removed words as [begin, end)) and longest_repeat (the longest doubled length that
     repeats from some looked-at start; 0 if none, `length` if only that). A null or empty text has no words
     and an empty kept_text. Texts under `length` words keep all. Repeated rows are texts of their own: they
-    repeat each other. Writes a table of the rows to the shared folder, which the result reads.
+    repeat each other. Writes tables to the shared folder, which the result reads; see storage.scratch.
     """
     carry = [c for c in docs.columns if c != text_col] if carry is None else carry
     texts = chunked(docs, id_col, text_col, carry)
@@ -153,15 +152,11 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     notes = notes.unionByName(told(texts.over(["words"], notes, ask(whole), ASKS), "whole"))
 
     def extend(rows: pa.Table, notes: dict[str, dict[int, bytes]]) -> pa.Table:
-        found = level(rows, notes).extended()
-        row, chunk = rows.column("row").to_pylist(), rows.column("chunk").to_pylist()
-        columns = [[chunk[t] for t, _, _ in found], [row[t] for t, _, _ in found], [at for _, at, _ in found], [h for _, _, h in found]]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "row", "at", "hashes"])
+        text, levels, hashes = level(rows, notes).extended()
+        return _starts(rows.column("chunk")[0].as_py(), rows.column("row").to_numpy()[text], levels, hashes, np.empty(0, np.int64))
 
-    steps = kept(texts.over(["words", "row"], notes, extend, "chunk long, row long, at int, hashes array<long>"), "substrings-extended")
-    longest = _doubled(steps, length)
-    notes = notes.unionByName(longest.select("chunk", F.lit("longest").alias("kind"), F.col("row").alias("key"), F.encode(F.col("longest").cast("string"), "utf-8").alias("data")))
+    starts = kept(texts.over(["words", "row"], notes, extend, STARTS), "substrings-starts")
+    notes = notes.unionByName(_doubled(starts, length, n_buckets))
 
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     long = T.LongType()
@@ -172,7 +167,7 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
         words, at = here.words, here.repeated()
         gone = covered(len(words), at, length)
         removed = sums_by(words.first, gone.astype(np.int64))
-        most = {k: int(v) for k, v in notes.get("longest", {}).items()}
+        most = {r: size for size, found in sorted(notes.get("longest", {}).items()) for r in np.frombuffer(found, np.int64).tolist()}
         longest = [most.get(r, length if n else 0) for r, n in zip(rows.column("row").to_pylist(), removed.tolist(), strict=True)]
         left = _kept_text(words, gone)
         if as_is:
@@ -183,24 +178,45 @@ def substring_dedup(docs: DataFrame, length: int = 35, id_col: str = "doc_id", t
     return texts.over(["words", "row", "doc"], notes, cut, schema)
 
 
-def _doubled(steps: DataFrame, length: int) -> DataFrame:
-    """Level after level, the windows that repeat; steps has the hashes of each start's windows at twice, four times, ... the length.
-
-    Returns chunk, row, longest for the documents that something of at least twice the length repeats in.
-    """
-    alive, level, found = steps, 1, None
-    while True:
-        name = F.get("hashes", F.lit(level - 1))
-        alive = alive.withColumn("name", name).filter("name is not null")
-        # a passage that very many documents share is one name: its rows are dealt to SALT parts, with the name in each
-        again = alive.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-        salted = alive.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALT)).cast("int"))
-        alive = checkpointed(salted.join(again, ["name", "salt"], "left_semi").drop("salt"))
-        if alive.isEmpty():
-            break
-        here = alive.select("chunk", "row", F.lit(length << level).alias("longest")).distinct()
-        found = here if found is None else found.unionByName(here)
-        alive, level = alive.drop("name"), level + 1
-    if found is None:
-        return steps.limit(0).select("chunk", "row", F.lit(0).cast("long").alias("longest"))
-    return found.groupBy("chunk", "row").agg(F.max("longest").cast("long").alias("longest"))
+def _starts(chunk: int, row: np.ndarray, levels: np.ndarray, hashes: np.ndarray, survivors: np.ndarray) -> pa.Table:
+    """A row of STARTS, or none if there is nothing to tell."""
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in (row.astype(np.int64), levels.astype(np.uint8), hashes, survivors.astype(np.int64))]
+    table = pa.table([pa.array([chunk], pa.int64()), *packed], ["chunk", "row", "levels", "hashes", "survivors"])
+    return table if len(row) or len(survivors) else table.slice(0, 0)
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    levels = np.frombuffer(row["levels"], np.uint8).astype(np.int64)
+    return np.frombuffer(row["row"], np.int64), levels, np.frombuffer(row["hashes"], np.uint64)
+
+
+def _doubled(starts: DataFrame, length: int, n_buckets: int) -> DataFrame:
+    """Level after level, the starts whose doubled window repeats, until none survives; notes of the rows that each level survived in, by its size."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, levels, hashes = _unpacked(row)
+                yield asked(row["chunk"], hashes[np.cumsum(levels) - levels], n_buckets)
+
+    def survive(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """The starts whose next doubling repeats, less that doubling."""
+        if not own.num_rows:
+            return _starts(0, *(np.empty(0, np.int64) for _ in range(4)))
+        row, levels, hashes = _unpacked(own.to_pylist()[0])
+        told = dict(zip(answers.column("bucket").to_pylist(), answers.column("again").to_pylist(), strict=True))
+        again = occurs_again(hashes[np.cumsum(levels) - levels], told, n_buckets)
+        more = again & (levels > 1)
+        rest = np.repeat(more, levels)
+        rest[(np.cumsum(levels) - levels)[more]] = False
+        return _starts(own.column("chunk")[0].as_py(), row[more], levels[more] - 1, hashes[rest], np.unique(row[again]))
+
+    notes, level = None, 0
+    while not starts.filter("length(row) > 0").isEmpty():
+        level += 1
+        open_ = starts.filter("length(row) > 0")
+        answers = answer(open_.mapInArrow(ask, ASKS))
+        starts = kept(open_.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(survive, STARTS), f"substrings-doubled-{level}")
+        here = starts.filter("length(survivors) > 0").select("chunk", F.lit("longest").alias("kind"), F.lit(length << level).cast("long").alias("key"), F.col("survivors").alias("data"))
+        notes = here if notes is None else notes.unionByName(here)
+    return starts.limit(0).select("chunk", F.lit("").alias("kind"), F.lit(0).cast("long").alias("key"), F.col("row").alias("data")) if notes is None else notes
