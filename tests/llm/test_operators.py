@@ -43,6 +43,38 @@ def test_substrings(request, table):
         assert same[1] is None and same[3] == " \n\t"
 
 
+def coded(rows, held):
+    """How each text's tokens are coded, by dictionaries: known are the other training texts, and what came before in the text itself."""
+    tokens = [[*words(t, lower=True), None] for _, t in rows]
+    grams = lambda w: Counter((*w[i - k : i + 1],) for i in range(len(w)) for k in (0, 1, 2) if i >= k)
+    every = sum((grams(w) for (d, _), w in zip(rows, tokens, strict=True) if not held[d]), Counter())
+    out = []
+    for (d, _), w in zip(rows, tokens, strict=True):
+        known = Counter(every)
+        if not held[d]:
+            known.subtract(grams(w))
+        kinds, log, n = [0, 0, 0, 0], 0.0, sum(c for k, c in known.items() if len(k) == 1)
+        for i, x in enumerate(w):
+            # how often something followed; the words just before stand there without it
+            two, one = known[tuple(w[i - 2 : i])] - 1 if i > 1 else 0, known[tuple(w[i - 1 : i])] - 1 if i else 0
+            if two and known[tuple(w[i - 2 : i + 1])]:
+                kinds[0] += 1
+                log += math.log(known[tuple(w[i - 2 : i + 1])] / two)
+            elif one and known[w[i - 1], x]:
+                kinds[1] += 1
+                log += math.log(known[w[i - 1], x] / one)
+            elif known[(x,)]:
+                kinds[2] += 1
+                log += math.log(known[(x,)] / (n + i))
+            else:
+                kinds[3] += 1
+            for k in (0, 1, 2):
+                if i >= k:
+                    known[(*w[i - k : i + 1],)] += 1
+        out.append((kinds, log))
+    return out
+
+
 @pytest.mark.parametrize("table", TABLES)
 def test_lm(request, table):
     from tessera.llm.mixlm import lm_scores
@@ -51,28 +83,94 @@ def test_lm(request, table):
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows}
     counts = Counter(t for d, text in rows if not held[d] for t in [*words(text, lower=True), None])
     n, v = sum(counts.values()), len(counts)
-    want = Counter()
-    for d, text in rows:
+    want, top = Counter(), {}
+    for (d, text), (kinds, log) in zip(rows, coded(rows, held), strict=True):
         tokens = [*words(text, lower=True), None]
         base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
-        want[d, held[d], len(tokens), sum(counts[t] > 0 for t in tokens), n, f"{base:.4f}"] += 1
+        size = sum(len(t.encode()) + 1 if t else 1 for t in tokens)
+        want[d, held[d], len(tokens), sum(counts[t] > 0 for t in tokens), n, f"{base:.4f}", *kinds, size] += 1
+        top[d, len(tokens)] = log / math.log(10)
     out = lm_scores(df).collect()
-    assert want == Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.4f}") for r in out)
-    assert all(r.score < 0 and math.isfinite(r.score) and r.bits_per_byte > 0 for r in out)
-
-
-def test_lm_prefers_real_words(docs):
-    """A held-out text is likelier than the same bytes shuffled inside its words."""
+    assert want == Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.4f}", r.n_after_two, r.n_after_one, r.n_plain, r.n_new, r.n_bytes) for r in out)
+    for r in out:
+        assert r.score <= top[r.doc_id, r.n_tokens] + 1e-6 and math.isfinite(r.score) and r.bits_per_byte > 0
+
+
+def test_lm_bits_one_by_one():
+    """The questions of some texts, bit by bit in plain Python, with weights that follow each text."""
+    from tessera.llm import mixlm as m
+
+    rng = np.random.default_rng(3)
+    lengths = np.array([5, 140, 33, 70], np.uint32)
+    n = int(lengths.sum())
+    how = rng.choice(4, n, p=[0.5, 0.2, 0.2, 0.1]).astype(np.uint8)
+    asked_two = (how == 0) | (rng.random(n) < 0.5)
+    asked_one = (how == 1) | ((how != 0) & (rng.random(n) < 0.5))
+    row = {"lengths": lengths, "train": np.array([1, 0, 1, 0], np.uint8), "code": how + np.uint8(8) * asked_two + np.uint8(16) * asked_one, "seen": rng.integers(0, 256, n).astype(np.uint8), "word": rng.integers(0, 9, n).astype(np.uint16)}
+    tables = rng.integers(0, 9, (m.ASPECTS, 2, m.CELLS)).astype(np.float32)
+    tables += 1
+    weights, refined = rng.normal(0.3, 0.1, (m.QUESTION_GATES, m.ASPECTS + 2)), rng.integers(0, 50, (2, m.QUESTION_GATES, m.STEPS)).astype(np.float32)
+    q = m.Questions(row)
+    _, chances = q.coded(m.Mixer(tables, weights, refined), adapt=True)
+    got = np.bincount(q.text, np.log(chances), len(lengths))[q.number]
+    first = np.concatenate([[0], np.cumsum(lengths.astype(int))])
+    for t, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        own, told, log = weights.copy(), np.zeros((2, 3)), 0.0
+        for step in range(a, b, m.STRIDE):
+            grads, seen, bits = np.zeros_like(own), np.zeros(m.QUESTION_GATES), []
+            for i in range(step, min(step + m.STRIDE, b)):
+                last = [int(how[i - k]) if i - k >= a else m.START for k in (1, 2, 3)]
+                run = 0
+                while i - run - 1 > a and how[i - run - 1] == 0 and run < 15:  # a text's first token follows nothing
+                    run += 1
+                near, far = (int(row["word"][i - k]) if i - k >= a else 0 for k in (1, 2))
+                two, one = int(row["seen"][i]) >> 4, int(row["seen"][i]) & 15
+                for which, asked, yes in ((0, asked_two[i], how[i] == 0), (1, asked_one[i], how[i] == 1), (2, how[i] >= 2, how[i] == 2)):
+                    if not asked:
+                        continue
+                    s = two if which == 0 else one
+                    aspects = [s << 8 | one, last[0] | last[1] << 3 | last[2] << 6, s << 8 | run, near, near << 16 | far]
+                    x = []
+                    for k, aspect in enumerate(aspects):
+                        slot = (((aspect << 6 | which << 4 | k) + 1) * 0x9E3779B97F4A7C15 % 2**64) >> 48
+                        zero, one_ = (max(tables[k, y, slot] - (row["train"][t] and yes == y), 0) for y in (0, 1))
+                        x.append(math.log((one_ + 0.4) / (zero + 0.4)))
+                    x += [math.log((told[1, which] + 0.4) / (told[0, which] + 0.4)), 0.3]
+                    gate = which * 4 + min(run, 3)
+                    mixed = max(-14, min(14, float(own[gate] @ x)))
+                    p = plain = 1 / (1 + math.exp(-mixed))
+                    zero, one_ = refined[:, gate, round((mixed + 14) * (m.STEPS - 1) / 28)]
+                    p = min(max((p + (one_ + 8 * p) / (zero + one_ + 8)) / 2, 1e-6), 1 - 1e-6)
+                    log += math.log(p if yes else 1 - p)
+                    grads[gate] += (yes - plain) * np.array(x)
+                    seen[gate] += 1
+                    bits.append((which, int(yes)))
+            told *= m.STAYS
+            for which, yes in bits:
+                told[yes, which] += 1
+            own += m.OWN_RATE * grads / np.maximum(seen, 1)[:, None]
+        assert abs(got[t] - log) < 1e-3 * max(1, abs(log))
+
+
+def test_lm_knows_words_and_their_order(spark):
+    """Held-out texts of sf0.01 cost fewer bits than by the base; one costs more with its words or their letters shuffled; what occurs twice is told apart."""
     from pyspark.sql import functions as F
 
     from tessera.llm.mixlm import lm_scores
 
-    text = docs.filter("doc_id % 7 = 3").select("text").first()["text"][:2000]
-    mixed = " ".join("".join(random.Random(i).sample(w, len(w))) for i, w in enumerate(text.split()))
-    held = [i for i in range(10**6, 10**6 + 50) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
-    both = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame([(held[0], text), (held[1], mixed)], "doc_id long, text string"))
-    got = {r.doc_id: r.score for r in lm_scores(both).filter(F.col("doc_id") >= 10**6).collect()}
-    assert got[held[0]] > got[held[1]]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = [i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 5 == 1]
+    learnt = next(i for i in range(10**6, 10**6 + 100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    r = random.Random(8)
+    pool = sorted({w for x in docs.limit(200).collect() for w in words(x.text)})
+    text = [r.choice(pool) for _ in range(400)]
+    other, letters = r.sample(text, len(text)), ["".join(r.sample(w, len(w))) for w in text]
+    more = [(learnt, " ".join(text)), *((h, " ".join(w)) for h, w in zip(held, (text, other, letters), strict=False))]
+    out = {x.doc_id: x for x in lm_scores(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))).collect()}
+    assert out[held[0]].score > 0.2 * out[held[1]].score and out[held[1]].score > out[held[2]].score
+    mine = [x for x in out.values() if x.held_out and x.doc_id < 10**6]
+    assert sum(x.score for x in mine) > 0.95 * sum(x.base_score for x in mine)
+    assert lm_scores(docs.filter(F.col("doc_id") < 0)).count() == 0
 
 
 def test_warc(spark, tmp_path):
