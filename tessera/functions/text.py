@@ -16,13 +16,19 @@ from pyspark.sql import types as T
 SEPARATORS = r"[\s·（）()_-]"
 #: Query parameters that do not change what a page shows.
 TRACKING = ("from", "spm", "source", "ref")
-#: Age limits in text: range, exclusive bound, upper bound, bare number, and words that make a limit conditional.
+#: Dates and years of experience in text, and the wordings of age limits: range, exclusive bounds, upper bounds, bare number (F20, F21; fixed values).
+DATE = r"(?<!\d)\d{4}(?:\s*年(?:\s*\d{1,2}\s*月(?:\s*\d{1,2}\s*日)?)?|[-/.]\d{1,2}(?:[-/.]\d{1,2})?)"
 AGE_RANGE = r"^(\d{1,3})\s*(?:周岁|岁)?\s*(?:至|到|[-—~～－])\s*(\d{1,3})\s*(?:周)?岁$"
-AGE_EXCLUSIVE = r"(?:未满|不满)\s*(\d{1,3})\s*(?:周)?岁"
-AGE_UPPER = r"(?:不超过|不得超过|最高|最大)\s*(\d{1,3})\s*(?:周)?岁"
-AGE_UPPER_AFTER = r"(\d{1,3})\s*(?:周)?岁\s*(?:及)?(?:以下|以内)"
+AGE_EXCLUSIVE = r"(?:未满|不满)\s*(\d{1,3})\s*(?:周)?岁|(\d{1,3})\s*(?:周)?岁\s*[（(]不含[）)]\s*以下"
+AGE_UPPER = r"(?:不超过|不得超过|最高|最大)\s*(\d{1,3})\s*(?:周)?岁|(\d{1,3})\s*(?:周)?岁\s*(?:及)?(?:以下|以内)"
 AGE_BARE = r"^(\d{1,3})\s*(?:周)?岁$"
+YEARS = r"(?<!\d)(\d{1,2})\s*年(?!制)"
+YEARS_ALONE = r"^\d{1,2}\s*年(?:及以上|以上)?$"
+#: Words that make a limit conditional, clauses that ask for no experience, and clauses that ask for some (F20, F21; fixed values).
 AGE_CONDITIONAL = "博士|硕士|本科|职称|放宽|非|不低于|不少于|不限"
+YEARS_CONDITIONAL = "不超过|不要求|以内|以下|至多|最多|博士|硕士|本科|应届|优先|不限于"
+YEARS_NONE = r"^(?:(?:工作)?(?:经历|经验|年限)(?:要求)?[:：]?)?(?:不限|无要求|不作要求|不做要求|无限制)$|^无(?:工作)?(?:经历|经验|年限)要求$"
+YEARS_CLAUSE = "经验|经历|年限|[零〇一二三四五六七八九十百两]+年(?!制)"
 #: Stages of a campaign by words of its notices, in the order of the process (F28; fixed values).
 STAGES = (
     ("QUALIFICATION_REVIEW", "资格复审|资格审查|资格确认"),
@@ -127,34 +133,44 @@ def query_parameter(uri: Column, name: str) -> Column:
     return F.lower(F.url_decode(F.nullif(F.regexp_extract(uri, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))))
 
 
+def _undated(text: Column) -> Column:
+    """A text without its dates, trimmed."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), DATE, " "))
+
+
+def _numbers(text: Column, pattern: str, groups: int = 1) -> Column:
+    """Distinct numbers that any of the groups of a pattern's matches holds."""
+    every = F.concat(*(F.regexp_extract_all(text, F.lit(pattern), i) for i in range(1, groups + 1)))
+    return F.array_distinct(F.transform(F.filter(every, lambda x: x != ""), lambda x: x.cast("int")))
+
+
 def age_limit(text: Column) -> Column:
     """The one age limit of a text: a range's upper end, an exclusive bound less one, an upper bound or a bare number.
 
-    Null if the text has none, several, a conditional one, or one outside 16 to 70 (F20).
+    Null if the text has none, several, a conditional one, or one outside 16 to 70; dates are no ages (F20).
     """
-    raw = F.trim(F.coalesce(text, F.lit("")))
+    raw = _undated(text)
 
     def plausible(age: Column) -> Column:
         return F.when(age.between(16, 70), age)
 
-    def numbers(pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(raw, F.lit(pattern), 1), lambda x: x.cast("int"))
-
-    low, high = (F.nullif(F.regexp_extract(raw, AGE_RANGE, i), F.lit("")).cast("int") for i in (1, 2))
-    bounds = F.array_distinct(F.concat(F.transform(numbers(AGE_EXCLUSIVE), lambda x: x - 1), numbers(AGE_UPPER), numbers(AGE_UPPER_AFTER)))
-    bare = F.nullif(F.regexp_extract(raw, AGE_BARE, 1), F.lit("")).cast("int")
+    low, high, bare = (F.nullif(F.regexp_extract(raw, p, i), F.lit("")).cast("int") for p, i in ((AGE_RANGE, 1), (AGE_RANGE, 2), (AGE_BARE, 1)))
+    bounds = F.array_union(F.transform(_numbers(raw, AGE_EXCLUSIVE, 2), lambda x: x - 1), _numbers(raw, AGE_UPPER, 2))
     ranged = F.when((low <= high) & plausible(low).isNotNull(), plausible(high))
-    return F.when(raw.rlike(AGE_CONDITIONAL), F.lit(None).cast("int")).when(high.isNotNull(), ranged).when(F.size(bounds) == 1, plausible(F.get(bounds, F.lit(0)))).when(F.size(bounds) == 0, plausible(bare))
+    one = F.when(F.size(bounds) == 1, plausible(F.get(bounds, F.lit(0)))).when(F.size(bounds) == 0, plausible(bare))
+    return F.when(raw.rlike(AGE_CONDITIONAL), F.lit(None).cast("int")).when(high.isNotNull(), ranged).otherwise(one)
 
 
 def experience_years(text: Column) -> Column:
-    """The one number of years asked for; 0 if a text only says that none are; null if conditional or unclear."""
-    raw = F.trim(F.coalesce(text, F.lit("")))
-    years = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(r"(?<!\d)(\d{1,2})\s*年(?!制)"), 1), lambda x: x.cast("int")))
-    none = raw.rlike(r"^(?:(?:工作)?(?:经历|经验|年限)(?:要求)?[:：]?)?(?:不限|无要求|不作要求|不做要求|无限制)$")
-    conditional = raw.rlike("不超过|不要求|以内|以下|至多|最多|博士|硕士|本科|应届|优先|不限于")
-    named = raw.rlike(r"工作|经验|经历|^\d{1,2}\s*年(?:及以上|以上)?$")
-    return F.when(none & (F.size(years) == 0), F.lit(0)).when(~conditional & (F.size(years) == 1) & named, F.get(years, F.lit(0)))
+    """The one number of years asked for, at most 50; 0 if a clause says that none are and no other asks; null if conditional or unclear."""
+    raw = _undated(text)
+    years = _numbers(raw, YEARS)
+    clauses = F.transform(F.split(raw, r"[，,；;。\n]"), lambda c: F.regexp_replace(c, r"\s+", ""))
+    none = F.exists(clauses, lambda c: c.rlike(YEARS_NONE))
+    some = F.exists(clauses, lambda c: ~c.rlike(YEARS_NONE) & c.rlike(YEARS_CLAUSE))
+    one = F.get(years, F.lit(0))
+    named = raw.rlike("工作|经验|经历") | raw.rlike(YEARS_ALONE)
+    return F.when(none, F.when((F.size(years) == 0) & ~some, 0)).when(~raw.rlike(YEARS_CONDITIONAL) & (F.size(years) == 1) & named & (one <= 50), one)
 
 
 def classify(text: Column, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:

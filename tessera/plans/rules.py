@@ -22,8 +22,14 @@ ORGANISATION_POINTS = {"FUNDING_STABILITY": 15, "ORGANIZATION_STABILITY": 15, "P
 #: Employments of the second tier, at organisations that count as public.
 SECOND_TIER = ("QUOTA_OR_FILING", "PUBLIC_INSTITUTION_FORMAL", "UNIT_FORMAL", "SOE_FORMAL", "CONTRACT", "PERSONNEL_AGENCY")
 SEMI_PUBLIC = ("GOVERNMENT", "PUBLIC_INSTITUTION", "STATE_OWNED_ENTERPRISE", "UNIVERSITY", "HOSPITAL", "RESEARCH_INSTITUTE")
-#: Words that say that a text limits nothing, or only prefers.
-NO_LIMIT = "不限|均可|不作要求|无要求|无限制|优先|为宜|较佳"
+#: Words that say that a text on gender restricts nothing, and those that only prefer (R08; fixed values).
+NOT_A_RESTRICTION = ("不限", "均可", "不作要求", "无要求", "无限制")
+PREFERENCE_ONLY = ("优先", "为宜", "较佳")
+#: Clauses that demand membership: whole, by a phrase, or by two together; words that take it back (F31; fixed values).
+PARTY_WHOLE = ("中共党员", "中共预备党员")
+PARTY_PHRASES = ("限中共党员", "须为中共党员", "必须为中共党员", "要求中共党员", "政治面貌中共党员", "政治面貌为中共党员")
+PARTY_TOGETHER = ("政治面貌要求", "中共党员")
+PARTY_RELAXED = ("不限", "优先", "党员或", "或民主党派")
 YES, MAYBE, UNSURE, CONFLICT, NO = "ELIGIBLE", "CONDITIONAL", "NEEDS_CONFIRMATION", "CONFLICTING_EVIDENCE", "INELIGIBLE"
 
 
@@ -78,19 +84,59 @@ def affiliation(own: Column, confirmed: Column, required: Column) -> Column:
     return F.when(~required, YES).when(~confirmed, UNSURE).when(own == "CPC_MEMBER", YES).when(own == "NON_MEMBER", NO).otherwise(UNSURE)
 
 
+def has_any(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(words))
+
+
 def gender(own: Column, confirmed: Column, text: Column) -> Column:
     """No text, an explicit "no limit" or a preference restricts nothing; a text that names neither or both is unclear."""
-    male, female = text.contains("男"), text.contains("女")
-    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s、：:，,。.；;（）()]", "")
+    male, female = bare.contains("男"), bare.contains("女")
     wanted = F.when(male & ~female, "MALE").when(female & ~male, "FEMALE")
-    return F.when(blank | text.rlike(NO_LIMIT), YES).when(wanted.isNull() | ~confirmed | ~F.coalesce(own, F.lit("UNKNOWN")).isin("MALE", "FEMALE"), UNSURE).when(own == wanted, YES).otherwise(NO)
+    free = (bare == "") | has_any(bare, NOT_A_RESTRICTION + PREFERENCE_ONLY)
+    return F.when(free, YES).when(wanted.isNull() | ~confirmed | ~F.coalesce(own, F.lit("UNKNOWN")).isin("MALE", "FEMALE"), UNSURE).when(own == wanted, YES).otherwise(NO)
 
 
 def party_required(text: Column) -> Column:
     """whether a clause of the text demands membership, and neither prefers it nor offers another choice."""
     clauses = F.transform(F.split(F.coalesce(text, F.lit("")), r"[，。；;！？!?\n\r]+"), lambda c: F.regexp_replace(c, "[\\s、：:]", ""))
-    hard = "^中共(?:预备)?党员$|限中共党员|须为中共党员|要求中共党员|政治面貌为?中共党员|政治面貌要求.*中共党员|中共党员.*政治面貌要求"
-    return F.exists(clauses, lambda c: c.rlike(hard) & ~c.rlike("不限|优先|党员或|或民主党派"))
+
+    def hard(c: Column) -> Column:
+        together = c.contains(PARTY_TOGETHER[0]) & c.contains(PARTY_TOGETHER[1])
+        return (c.isin(*PARTY_WHOLE) | has_any(c, PARTY_PHRASES) | together) & ~has_any(c, PARTY_RELAXED)
+
+    return F.exists(clauses, hard)
+
+
+#: The planner's wordings: membership preferred or free, other choices, no certificate needed, words of duty, and stages before and after the application (F32; fixed values).
+PARTY_PREFERRED = ("优先", "不限")
+PARTY_CHOICE = ("民主党派", "党员或", "或党员", "非中共党员", "非党员")
+CERTIFICATE_NOT_NEEDED = ("无需认证", "不需认证", "不要求认证")
+CERTIFICATE_DUTY = ("必须", "须", "需", "应当", "应提供", "应取得", "应完成")
+CERTIFICATE_EARLY = ("报名前", "报名时", "报名截止", "资格审查前", "资格审查时", "资格审查截止", "资格初审前", "资格初审时", "材料审核前", "材料审核时")
+CERTIFICATE_LATE = ("录用前", "录用时", "报到前", "报到时", "聘用前", "聘用时", "入职前", "入职时", "考察前", "考察时", "体检前", "体检时", "资格复审前", "资格复审时")
+
+
+def _clauses(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"[。；;，,\r\n]+"), lambda c: F.regexp_replace(c, r"\s+", ""))
+
+
+def party_rule(text: Column) -> Column:
+    """F32: REQUIRED if any clause demands membership; else AMBIGUOUS if one offers a choice; else PREFERENCE; NONE if no clause speaks of it."""
+    said = F.transform(F.filter(_clauses(text), lambda c: c.contains("党员")), lambda c: F.when(has_any(c, PARTY_PREFERRED), 1).when(has_any(c, PARTY_CHOICE), 2).otherwise(3))
+    return F.element_at(F.array(*map(F.lit, ("NONE", "PREFERENCE", "AMBIGUOUS", "REQUIRED"))), F.coalesce(F.array_max(said), F.lit(0)) + 1)
+
+
+def certificate_rule(text: Column) -> Column:
+    """F32: when a foreign degree must be certified. The first clause that names a stage before the application decides (AMBIGUOUS if it names a later one, too)."""
+    def kind(c: Column) -> Column:
+        early, late = has_any(c, CERTIFICATE_EARLY), has_any(c, CERTIFICATE_LATE)
+        return F.when(early & late, "AMBIGUOUS").when(early, "REQUIRED_BY_APPLICATION").when(late, "LATE").otherwise("UNCLEAR")
+
+    asks = F.filter(_clauses(text), lambda c: c.contains("认证") & ~has_any(c, CERTIFICATE_NOT_NEEDED) & has_any(c, CERTIFICATE_DUTY))
+    kinds = F.transform(asks, kind)
+    first = F.get(F.filter(kinds, lambda k: k.isin("AMBIGUOUS", "REQUIRED_BY_APPLICATION")), F.lit(0))
+    return F.coalesce(first, F.when(F.array_contains(kinds, "LATE"), "REQUIRED_LATER").when(F.size(kinds) > 0, "AMBIGUOUS").otherwise("NOT_REQUIRED"))
 
 
 def fresh_graduate(state: Column, no_employer: Column, no_insurance: Column, employer: Column, insurance: Column) -> Column:
@@ -117,6 +163,12 @@ def overlap_points(have: Column, wanted: Column, most: int) -> Column:
     return half_up((overlap(have, wanted) * most).cast("float"))
 
 
+def mentioned_points(words: Column, text: Column, most: int) -> Column:
+    """Points for the share of words that a text has, in compact form; null if either side is empty."""
+    hits = F.size(F.filter(words, lambda w: F.contains(compact(text), compact(w))))
+    return F.when((F.size(words) > 0) & (F.trim(text) != ""), half_up((hits * most / F.size(words)).cast("float")))
+
+
 def preference(parts: list[tuple[Column, int]]) -> Column:
     """Summed points of preferences that are met; null if none was stated."""
     any_ = F.lit(False)
@@ -127,13 +179,17 @@ def preference(parts: list[tuple[Column, int]]) -> Column:
     return F.when(any_, total)
 
 
-def stability(employment: Column, facts: list[tuple[Column, int]]) -> tuple[Column, Column]:
-    """Employment of 30, facts of the organisation as shares of their points, contract of 10; unknown lowers coverage."""
+def stability_points(employment: Column, facts: list[tuple[Column, int]]) -> list[Column]:
+    """Points for employment (of 30), for facts of the organisation as shares of their points, and for the contract (of 10); null if unknown."""
     def points(table: dict[str, int]) -> Column:
         return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[employment]
 
-    scaled = [F.when(v.isNotNull(), half_up((v * m).cast("float"))) for v, m in facts]
-    return scored([points(EMPLOYMENT_POINTS), *scaled, points(CONTRACT_POINTS)], [30, *(m for _, m in facts), 10])
+    return [points(EMPLOYMENT_POINTS), *(half_up((v * m).cast("float")) for v, m in facts), points(CONTRACT_POINTS)]
+
+
+def stability(employment: Column, facts: list[tuple[Column, int]]) -> tuple[Column, Column]:
+    """Score and coverage; what is unknown lowers coverage."""
+    return scored(stability_points(employment, facts), [30, *(m for _, m in facts), 10])
 
 
 def tier(employment: Column, organisation: Column, evidenced: Column) -> Column:

@@ -18,11 +18,11 @@ def uri_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", tx.canonical_uri(F.col("url")).alias("uri"))
 
 
-@query(r"""WITH b AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), 'the|and', '', 'g') AS bare FROM documents), c AS (SELECT doc_id, CASE WHEN strpos(bare, '.') > 0 THEN substr(bare, 1, strpos(bare, '.') - 1) ELSE bare END AS cut FROM b),
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(lower(text), 'the|and', '', 'g') AS bare FROM documents), c AS (SELECT doc_id, CASE WHEN strpos(bare, '.') > 0 THEN substr(bare, 1, strpos(bare, '.') - 1) ELSE bare END AS cut FROM b),
   n AS (SELECT doc_id, regexp_replace(cut, '[\p{P}\p{Z}\s]', '', 'g') AS stem FROM c) SELECT doc_id, CASE WHEN length(stem) >= 8 THEN stem END AS stem FROM n""")
 def campaign_stem(spark: SparkSession, sf: str) -> DataFrame:
     """titles without noise, up to the first marker."""
-    return table(spark, sf, "documents").select("doc_id", tx.campaign_stem(F.substring("text", 1, 200), "the|and", r"\.").alias("stem"))
+    return table(spark, sf, "documents").select("doc_id", tx.campaign_stem(F.col("text"), "the|and", r"\.").alias("stem"))
 
 
 @query(r"""WITH p AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN '不超过' || (p_size + 10) || '周岁' WHEN 1 THEN '18至' || (p_size + 20) || '周岁' WHEN 2 THEN '未满' || (p_size + 17) || '岁' WHEN 3 THEN (p_size + 14) || '岁以下' WHEN 4 THEN '35岁，博士可放宽' ELSE p_size || '岁' END AS t, p_size % 6 AS k, p_size AS z FROM part)

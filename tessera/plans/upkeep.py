@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import compact
 from tessera.operators import joins
-from tessera.plans.ranking import EVALUATED, evaluated
+from tessera.plans.postings import EVALUATED, FIT, STABILITY, evaluated
 from tessera.plans.registry import query
 from tessera.session import table
 
 
-@query(f"WITH {EVALUATED} SELECT c_custkey, p_partkey, 'fit' AS dimension, fit AS points FROM d WHERE p_partkey % 10 = 0 UNION ALL SELECT c_custkey, p_partkey, 'stability', stability FROM d WHERE p_partkey % 10 = 0")
+@query(f"WITH {EVALUATED} " + " UNION ALL ".join(f"SELECT candidate, p_partkey, '{k}' AS dimension, {k} AS points, {m} AS most FROM d" for k, m in (FIT | STABILITY).items()))
 def decision_dimensions(spark: SparkSession, sf: str) -> DataFrame:
-    """A decision's dimensions as rows."""
-    e = evaluated(spark, sf).filter("p_partkey % 10 = 0")
-    each = F.explode(F.array(F.struct(F.lit("fit").alias("dimension"), F.col("fit").cast("long").alias("points")), F.struct(F.lit("stability").alias("dimension"), F.col("stability").cast("long").alias("points"))))
-    return e.select("c_custkey", "p_partkey", each.alias("x")).select("c_custkey", "p_partkey", "x.*")
+    """Each decision's dimensions as rows."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("dimension"), F.col(k).cast("long").alias("points"), F.lit(m).alias("most")) for k, m in (FIT | STABILITY).items())))
+    return evaluated(spark, sf).select("candidate", "p_partkey", each.alias("x")).select("candidate", "p_partkey", "x.*")
 
 
 @query("""WITH m AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) FILTER (o_orderpriority = '1-URGENT') AS interview, max(CAST(o_orderdate AS DATE)) FILTER (o_orderpriority = '2-HIGH') AS exam FROM orders GROUP BY o_custkey)
@@ -47,12 +46,12 @@ def checkpoint_map(spark: SparkSession, sf: str) -> DataFrame:
     return last.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "event_type", "last"))), ";").alias("verified"))
 
 
-@query(f"""WITH {EVALUATED} SELECT p_partkey, status FROM d WHERE c_custkey = 2 AND status <> 'INELIGIBLE' ORDER BY CASE status WHEN 'ELIGIBLE' THEN 0 WHEN 'CONDITIONAL' THEN 1 ELSE 2 END, (p_partkey % 2 = 0) DESC, fit DESC, nullif(p_type, 'ECONOMY') NULLS LAST, p_partkey LIMIT 60""")
+@query(f"""WITH {EVALUATED} SELECT p_partkey, status FROM d WHERE candidate = 2 AND status <> 'INELIGIBLE' ORDER BY sev, (p_partkey % 2 = 0) DESC, fit DESC, nullif(p_type, 'ECONOMY') NULLS LAST, p_partkey LIMIT 60""")
 def match_queue(spark: SparkSession, sf: str) -> DataFrame:
     """The queue by severity, identity, fit, owner with nulls last."""
     from tessera.operators.aggregates import severity
 
-    e = evaluated(spark, sf).filter("c_custkey = 2 and status <> 'INELIGIBLE'")
+    e = evaluated(spark, sf).filter("candidate = 2 and status <> 'INELIGIBLE'")
     return e.orderBy(severity(F.col("status")), (F.col("p_partkey") % 2 == 0).desc(), F.desc("fit"), F.nullif(F.col("p_type"), F.lit("ECONOMY")).asc_nulls_last(), "p_partkey").limit(60).select("p_partkey", "status")
 
 

@@ -29,12 +29,12 @@ def test_canonical_uri(spark, raw, want):
     assert one(spark, text.canonical_uri(F.lit(raw))) == want
 
 
-@pytest.mark.parametrize("raw, want", [("35周岁以下", 35), ("18至40周岁", 40), ("未满36周岁", 35), ("不超过45岁", 45), ("40岁", 40), ("博士可放宽至40岁", None), ("15岁以下", None), (None, None), ("30岁以下或35岁以下", None)])
+@pytest.mark.parametrize("raw, want", [("35周岁以下", 35), ("18至40周岁", 40), ("未满36周岁", 35), ("不超过45岁", 45), ("40岁", 40), ("博士可放宽至40岁", None), ("15岁以下", None), (None, None), ("30岁以下或35岁以下", None), ("35岁（不含）以下", 34), ("1990年1月1日后出生，35岁以下", 35), ("2026-06-30前满30岁以下", 30)])
 def test_age_limit(spark, raw, want):
     assert one(spark, text.age_limit(F.lit(raw).cast("string"))) == want
 
 
-@pytest.mark.parametrize("raw, want", [("3年以上工作经验", 3), ("不限", 0), ("工作经验不限", 0), ("3年及以上", 3), ("不超过3年工作", None), ("本科3年工作经验", None), ("三年", None), (None, None)])
+@pytest.mark.parametrize("raw, want", [("3年以上工作经验", 3), ("不限", 0), ("工作经验不限", 0), ("3年及以上", 3), ("不超过3年工作", None), ("本科3年工作经验", None), ("三年", None), (None, None), ("无工作经验要求", 0), ("无经历要求", 0), ("不限，须有管理经验", None), ("2020年至今有5年工作经历", 5), ("60年工作经验", None)])
 def test_experience(spark, raw, want):
     assert one(spark, text.experience_years(F.lit(raw).cast("string"))) == want
 
@@ -110,7 +110,7 @@ def test_seven_decisions(spark):
 @pytest.mark.parametrize(
     "column, want",
     [
-        (rules.gender, [("", "ELIGIBLE"), ("男性优先", "ELIGIBLE"), ("男女不限", "ELIGIBLE"), ("限男性", "ELIGIBLE"), ("限女性", "INELIGIBLE"), ("男1女1", "NEEDS_CONFIRMATION")]),
+        (rules.gender, [("", "ELIGIBLE"), ("男性优先", "ELIGIBLE"), ("男女不限", "ELIGIBLE"), ("限男性", "ELIGIBLE"), ("限女性", "INELIGIBLE"), ("男1女1", "NEEDS_CONFIRMATION"), ("不 限（男、女）", "ELIGIBLE"), ("性别：不、限；女", "ELIGIBLE")]),
     ],
 )
 def test_gender(spark, column, want):
@@ -131,3 +131,7 @@ def test_single_rules(spark):
     assert one(spark, rules.legacy_status([F.lit("PASS"), F.lit(None).cast("string"), F.lit("UNKNOWN")])) == "UNKNOWN"
     for raw, hard in (("限中共党员", True), ("中共党员优先", False), ("政治面貌：中共党员", True), ("中共党员或共青团员", False)):
         assert one(spark, rules.party_required(F.lit(raw))) is hard
+    for raw, kind in ((None, "NONE"), ("党员优先", "PREFERENCE"), ("党员优先；党员或团员", "AMBIGUOUS"), ("党员或团员；限党员；党员优先", "REQUIRED")):
+        assert one(spark, rules.party_rule(F.lit(raw).cast("string"))) == kind
+    for raw, kind in ((None, "NOT_REQUIRED"), ("无需认证", "NOT_REQUIRED"), ("须在报名前完成认证", "REQUIRED_BY_APPLICATION"), ("应提供认证；录用前须完成认证", "REQUIRED_LATER"), ("须完成认证", "AMBIGUOUS"), ("须在报名前或录用前完成认证", "AMBIGUOUS")):
+        assert one(spark, rules.certificate_rule(F.lit(raw).cast("string"))) == kind
