@@ -24,7 +24,7 @@ def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
   SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'ADDED' WHEN a.p_partkey IS NULL THEN 'REMOVED' WHEN a.x = b.x THEN 'UNCHANGED' ELSE 'CHANGED' END AS status
   FROM b FULL JOIN a ON a.p_partkey = b.p_partkey""")
 def snapshot_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """What changed between snapshots."""
+    """What changed between snapshots."""
     before, after = snapshots(spark, sf)
     return merges.snapshot_delta(before, after, "p_partkey", "p_retailprice")
 
@@ -36,7 +36,7 @@ def snapshot_delta(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN b.p_partkey IS NULL THEN false ELSE true END AS active,
   CASE WHEN b.p_partkey IS NULL OR (s.print = b.print AND s.active) THEN s.quality ELSE 'RAW' END AS quality FROM s FULL JOIN b ON s.p_partkey = b.p_partkey""")
 def upsert_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """Upsert by key and print; absence deactivates, change resets quality."""
+    """Upsert by key and print; absence deactivates, change resets quality."""
     before, after = snapshots(spark, sf)
     stored = before.select("p_partkey", F.col("p_retailprice").alias("print"), F.col("p_size").alias("first_seen"), F.col("p_size").alias("seen"), (F.col("p_partkey") % 13 != 0).alias("active"), F.when(F.col("p_partkey") % 4 == 0, "VERIFIED").otherwise("PARSED").alias("quality"))
     batch = after.select("p_partkey", F.col("p_retailprice").alias("print"), F.lit(100).alias("seen"))
@@ -64,7 +64,7 @@ def alias_adoption(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH u AS (SELECT p_brand AS k, p_partkey AS v, p_size AS seen, 0 AS r FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_brand, -p_partkey, p_size + 1, 1 FROM part WHERE p_partkey % 2 = 1),
   t AS (SELECT k, seen, r, max(v) AS v FROM u GROUP BY k, seen, r), w AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seen DESC, r DESC) AS p FROM t) SELECT k, v, seen FROM w WHERE p = 1""")
 def latest_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest row of each key, the batch on a tie."""
+    """The latest row of each key, the batch on a tie."""
     p = table(spark, sf, "part")
     old = p.filter("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("k"), F.col("p_size").alias("seen")).agg(F.max("p_partkey").alias("v"))
     new = p.filter("p_partkey % 2 = 1").groupBy(F.col("p_brand").alias("k"), (F.col("p_size") + 1).alias("seen")).agg(F.max(-F.col("p_partkey")).alias("v"))
@@ -83,14 +83,14 @@ def replaced_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1""")
 def content_addressed(spark: SparkSession, sf: str) -> DataFrame:
-    """One artifact per content, whatever the number of copies."""
+    """One artifact per content, whatever the number of copies."""
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS k, o_orderkey % 3 AS ver FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey + 10000000, 0 FROM orders WHERE o_orderkey % 11 = 0)
   SELECT c.k, CASE WHEN s.o_orderkey IS NULL THEN 'MISSING' WHEN s.o_orderkey % 4 = c.ver THEN 'APPLIED' ELSE 'STALE' END AS outcome FROM c LEFT JOIN orders s ON s.o_orderkey = c.k""")
 def guarded_updates(spark: SparkSession, sf: str) -> DataFrame:
-    """An update applies if the version that it saw is the stored one."""
+    """An update applies if the version that it saw is the stored one."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     stored = o.withColumn("ver", F.col("k") % 4)
     commands = o.filter("k % 5 = 0").withColumn("ver", F.col("k") % 3).unionByName(o.filter("k % 11 = 0").select((F.col("k") + 10000000).alias("k"), F.lit(0).cast("long").alias("ver")))
@@ -111,14 +111,14 @@ def memoised_decisions(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH b AS (SELECT p_partkey, p_retailprice AS x FROM part WHERE p_partkey % 10 <> 0), a AS (SELECT p_partkey, {PRICE} AS x, p_size > 5 AS act FROM part WHERE p_partkey % 10 <> 1)
   SELECT a.p_partkey, CASE WHEN NOT act THEN 'CLOSED' WHEN b.p_partkey IS NULL THEN 'BASELINE_MISSING' WHEN a.x <> b.x THEN 'CHANGED' ELSE 'SAME' END AS watch FROM a LEFT JOIN b USING (p_partkey)""")
 def watch_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """What became of watched records."""
+    """What became of watched records."""
     before, after = snapshots(spark, sf)
     return merges.watched(after.select("p_partkey", "p_retailprice", "p_size"), before, "p_partkey", "p_retailprice", F.col("p_size") > 5).select("p_partkey", "watch")
 
 
 @query("""SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role""")
 def inserted_once(spark: SparkSession, sf: str) -> DataFrame:
-    """Inserts that are there already do nothing."""
+    """Inserts that are there already do nothing."""
     c = table(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"))
     return merges.inserted(c.filter("conv_id % 2 = 0"), c, ["conv_id", "role"])
 

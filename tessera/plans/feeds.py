@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,44 +13,60 @@ from tessera.streaming import feeds
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder for a stream's output in the shared checkpoint folder; a local one only where none is set."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder for a stream's output in the shared checkpoint folder; one of this machine only where none is set and Spark runs on this machine alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of files; their schema is that of the table."""
     batch = spark.read.parquet(f"{sf}/events.parquet")
     # a file source takes a folder or a pattern
-    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parque[t]")
+    return spark.readStream.schema(batch.schema).parquet(f"{sf}/events.parque[t]")
+
+
+#: Rows that arrive after all others, though they are older.
+LATE = "event_id % 50 = 0 and ts < timestamp_ntz'2024-01-10'"
 
 
-@query("""WITH x AS (SELECT user_id, event_type, date_trunc('day', ts) AS d, value FROM events) SELECT CAST(d AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM x GROUP BY ALL""")
+@query("""WITH x AS (SELECT date_trunc('day', ts) AS d, event_type, value FROM events WHERE NOT (event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-10'))
+  SELECT CAST(d AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(round(sum(value), 4) AS DOUBLE) AS total FROM x WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
 def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily windows under a watermark, in complete mode."""
-    e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = feeds.drained(feeds.tumbling(e, "ts", "1 day", "2 hours", ["event_type"]), _folder(spark), "complete")
+    """Daily windows under a watermark, in append mode, over two runs: rows that are later than the watermark allows are left out, and windows that it has not passed stay open."""
+    batch = spark.read.parquet(f"{sf}/events.parquet")
+    folder = _folder(spark)
+    batch.filter(f"not ({LATE})").write.parquet(f"{folder}/in")
+    for turn in (0, 1):
+        if turn:
+            batch.filter(LATE).write.mode("append").parquet(f"{folder}/in")
+        e = spark.readStream.schema(batch.schema).parquet(f"{folder}/in").withColumn("ts", F.col("ts").cast("timestamp"))
+        out = feeds.drained(feeds.tumbling(e, "ts", "1 day", "2 hours", ["event_type"]), folder)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT user_id AS document, event_id, ts, CASE event_type WHEN 'error' THEN 'GONE' WHEN 'view' THEN 'NOT_MODIFIED' ELSE 'OK' END AS kind, props FROM events WHERE event_type <> 'signup'),
+  a AS (SELECT *, count(*) FILTER (kind = 'OK') OVER w AS oks, count(*) FILTER (kind <> 'GONE') OVER w AS island FROM o WINDOW w AS (PARTITION BY document ORDER BY ts, event_id)),
+  b AS (SELECT *, last_value(CASE WHEN kind = 'OK' THEN props END IGNORE NULLS) OVER (PARTITION BY document ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known, row_number() OVER (PARTITION BY document ORDER BY ts, event_id) AS place,
+    coalesce(kind = 'GONE' AND ts - lag(ts) OVER (PARTITION BY document, island, kind = 'GONE' ORDER BY ts, event_id) >= INTERVAL {feeds.APART} SECOND, false) AS far FROM a WHERE oks > 0),
+  c AS (SELECT *, count(*) FILTER (far) OVER (PARTITION BY document, island ORDER BY ts, event_id) AS fars FROM b), off AS (SELECT document, island + 1 AS island FROM c GROUP BY document, island HAVING bool_or(far)),
+  t AS (SELECT c.document, event_id, CASE WHEN place = 1 THEN 'ADDED' WHEN kind = 'GONE' THEN CASE WHEN far AND fars = 1 THEN 'DEACTIVATED' END WHEN (kind = 'OK' AND props <> known) OR off.document IS NOT NULL THEN 'UPDATED' END AS transition FROM c LEFT JOIN off ON off.document = c.document AND off.island = c.island)
+  SELECT document, event_id, transition, transition <> 'DEACTIVATED' AS process FROM t WHERE transition IS NOT NULL""")
 def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """The document state machine over a stream; checked against its row by row form."""
+    """The document state machine over a stream."""
     return feeds.change_feed(feeds.drained(feeds.document_transitions(feeds.observed(_events(spark, sf))), _folder(spark)))
 
 
-@query("SELECT user_id, event_type, props, min(event_id) AS event_id FROM events GROUP BY user_id, event_type, props")
+@query("SELECT DISTINCT user_id, event_type, props FROM events")
 def stream_once_only(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeats go; over a delay as long as the table the first of each key stays."""
+    """The stream's own output; over a delay as long as the table each key comes once."""
     e = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    out = feeds.drained(feeds.once_only(e, "ts", ["user_id", "event_type", "props"], "60 days").select("user_id", "event_type", "props", "event_id"), _folder(spark))
-    return out.groupBy("user_id", "event_type", "props").agg(F.min("event_id").alias("event_id"))
+    return feeds.drained(feeds.once_only(e, "ts", ["user_id", "event_type", "props"], "60 days").select("user_id", "event_type", "props"), _folder(spark))
 
 
 @query("""SELECT date_part('month', ts) AS month, event_type, count(*) AS n, count(*) FILTER (value > 40) AS high FROM events GROUP BY ALL""")
 def coverage_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    """Coverage of a period by kind."""
+    """Coverage of a period by kind."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.groupBy(F.month("ts").cast("long").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 40).alias("high"))

@@ -19,7 +19,7 @@ def distinct_on_latest_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events""")
 def fill_down(spark: SparkSession, sf: str) -> DataFrame:
-    """The last known value goes down."""
+    """The last known value goes down."""
     e = table(spark, sf, "events").withColumn("filled", F.when(F.col("event_type") == "signup", F.col("value")))
     return windows.filled_down(e, ["user_id"], [F.col("ts"), F.col("event_id")], "filled").select("event_id", "filled")
 
@@ -54,7 +54,7 @@ def employment_islands(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH o AS (SELECT user_id, event_id, ts, event_type = 'error' AS gone FROM events WHERE event_type <> 'signup'), l AS (SELECT *, lag(gone) OVER w AS g, lag(ts) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
   SELECT event_id, coalesce(gone AND g AND epoch_us(ts) - epoch_us(b) >= 21600000000, false) AS deactivated FROM l""")
 def gone_counter_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Gone twice in a row, six hours apart; failures (signups here) do not count."""
+    """Gone twice in a row, six hours apart; failures (signups here) do not count."""
     e = table(spark, sf, "events").filter("event_type <> 'signup'")
     return windows.deactivated(e, ["user_id"], "ts", [F.col("event_id")], F.col("event_type") == "error").select("event_id", "deactivated")
 
@@ -62,7 +62,7 @@ def gone_counter_batch(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events)
   SELECT event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM r""")
 def failure_streak(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive failures."""
+    """Consecutive failures."""
     return windows.streak(table(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error").select("event_id", "streak")
 
 
@@ -70,14 +70,14 @@ def failure_streak(spark: SparkSession, sf: str) -> DataFrame:
   g AS (SELECT page, count(*) AS n_rows, count(*) FILTER (fresh) AS n_new, array_to_string(list_sort(list(content)), ',') AS pr FROM f GROUP BY page)
   SELECT page, n_rows, n_new, row_number() OVER (PARTITION BY pr ORDER BY page) > 1 AS repeated, n_new = 0 AS no_progress FROM g""")
 def listing_page_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeated pages and pages without anything new."""
+    """Repeated pages and pages without anything new."""
     e = table(spark, sf, "events").withColumn("page", F.floor(F.col("event_id") / 20).cast("long"))
     return windows.page_checks(e, "page", "event_id", F.concat((F.col("user_id") % 40).cast("string"), "event_type"))
 
 
 @query("""SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND event_id > 0) ORDER BY ts, event_id LIMIT 51""")
 def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
-    """The page after a cursor, and a row more."""
+    """The page after a cursor, and a row more."""
     e = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return scan.keyset_page(e, "at", "event_id", (F.lit("2024-01-10").cast("timestamp"), 0), 50).select("event_id", "user_id")
 
@@ -96,13 +96,13 @@ def budget_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_brand, p_partkey, p AS place FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS p FROM part) WHERE p <= 3")
 def topk_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    """The first k of each group."""
+    """The first k of each group."""
     return scan.top_per_group(table(spark, sf, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).select("p_brand", "p_partkey", "place")
 
 
 @query("""SELECT s_suppkey, s_name FROM supplier ORDER BY CASE WHEN s_acctbal > 8000 THEN 0 WHEN s_acctbal > 4000 THEN 1 ELSE 2 END, nullif(s_nationkey, 3) DESC NULLS LAST, s_suppkey LIMIT 40""")
 def priority_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranks by CASE, nulls last, unique last key."""
+    """Ranks by CASE, nulls last, unique last key."""
     rank = F.when(F.col("s_acctbal") > 8000, 0).when(F.col("s_acctbal") > 4000, 1).otherwise(2)
     return table(spark, sf, "supplier").orderBy(rank, F.nullif(F.col("s_nationkey"), F.lit(3)).desc_nulls_last(), "s_suppkey").limit(40).select("s_suppkey", "s_name")
 

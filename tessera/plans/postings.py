@@ -30,6 +30,8 @@ CHOICES: dict[str, tuple[int, list[tuple[object, object]]]] = {
     "fresh": (23, [(None, "00"), ("NOT_REQUIRED", "11"), ("CONFIRMED", "10"), ("CONFIRMED", "01"), ("CONFIRMED", "11"), ("REVIEW_REQUIRED", "10"), ("REVIEW_REQUIRED", "00")]),
     "conflict": (29, [("", ""), ("", ""), ("", ""), ("AGE", "AGE"), ("EDUCATION", "EDUCATION"), ("EXACT_MAJOR", "EXACT_MAJOR")]),
     "cutoff": (31, [("2026-06-30", "2026-06-30")] * 7 + [(None, None)]),
+    "scope": (12, [(None, "NONE"), ("党员优先", "PREFERENCE"), ("限中共党员；其他优先", "REQUIRED"), ("党员或民主党派成员", "AMBIGUOUS"), ("党员优先；党员或团员", "AMBIGUOUS")]),
+    "certificate": (10, [(None, "NOT_REQUIRED"), ("境外学历须在报名前完成认证", "REQUIRED_BY_APPLICATION"), ("应提供认证；录用前须完成认证", "REQUIRED_LATER"), ("须完成学历认证", "AMBIGUOUS"), ("在读期间无需认证", "NOT_REQUIRED")]),
     "place": (8, [("杭州市西湖区", None), ("宁波市", None), ("上海市", None)]),
     "family": (9, [("SOFTWARE", None), ("DATA", None), ("RESEARCH", None), ("ADMINISTRATION", None)]),
 }
@@ -85,7 +87,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
         tx.years_in(F.col("graduates")).alias("accepted"), F.col("graduates").alias("graduates_text"),
         F.when(F.col("wanted_title").endswith("工程师"), F.array("wanted_title")).otherwise(F.array().cast("array<string>")).alias("wanted"), F.col("wanted_title").alias("wanted_text"),
         rules.party_required(F.col("party")).alias("party_required"), F.col("gender").alias("gender_text"), F.array("conflict").alias("conflicts"), F.col("cutoff").cast("date").alias("cutoff"),
-        (F.col("p_partkey") % 7 != 0).alias("evidenced"),
+        (F.col("p_partkey") % 7 != 0).alias("evidenced"), rules.party_rule(F.col("scope")).alias("party_rule"), rules.certificate_rule(F.col("certificate")).alias("certificate_rule"), (2024 + F.col("p_partkey") % 3).cast("int").alias("year"),
         *(F.when(F.floor(F.col("p_partkey") / (i + 1)) % 4 != 0, F.floor(F.col("p_partkey") / i) % 5 / 4).alias(name) for i, (name, _) in FACTS),
     )
 
@@ -197,10 +199,12 @@ def _total(dimensions: dict[str, int]) -> tuple[str, str]:
     return " + ".join(f"coalesce({k}, 0)" for k in dimensions), f"CAST(floor(({known}) * 100 / {sum(dimensions.values())}.0 + 0.5) AS BIGINT)"
 
 
-#: Common table expressions that give d, the same as evaluated(): sev_ and the rule for severities, dimensions, status, fit, stability, coverage, tier, advised.
-EVALUATED = f"""{_profiles_sql()},
+#: Common table expressions c (candidates) and o (postings with what their texts say).
+POSTINGS = f"""{_profiles_sql()},
   o AS (SELECT p_partkey, p_type, {', '.join(f'{picked_sql(k)} AS {k}' for k in ('employment', 'title', 'organisation', 'education', 'place', 'family', 'conflict'))}, {picked_sql('fresh')} AS state, {picked_sql('fresh', True)} AS asked, {picked_sql('age', True)} AS max_age, {picked_sql('experience', True)} AS min_years,
-    {picked_sql('majors', True)} AS exact, {picked_sql('majors')} AS majors_text, {picked_sql('graduates', True)} AS accepted, {picked_sql('graduates')} AS graduates_text, {picked_sql('wanted_title', True)} AS wanted, {picked_sql('wanted_title')} AS wanted_text, {picked_sql('party', True)} AS party_required, {picked_sql('gender', True)} AS sex, CAST({picked_sql('cutoff')} AS DATE) AS cutoff FROM part),
+    {picked_sql('majors', True)} AS exact, {picked_sql('majors')} AS majors_text, {picked_sql('graduates', True)} AS accepted, {picked_sql('graduates')} AS graduates_text, {picked_sql('wanted_title', True)} AS wanted, {picked_sql('wanted_title')} AS wanted_text, {picked_sql('party', True)} AS party_required, {picked_sql('gender', True)} AS sex, CAST({picked_sql('cutoff')} AS DATE) AS cutoff, {picked_sql('scope', True)} AS party_rule, {picked_sql('certificate', True)} AS certificate_rule, {picked_sql('gender')} AS gender_text, 2024 + p_partkey % 3 AS year FROM part)"""
+#: Common table expressions that give d, the same as evaluated(): sev_ and the rule for severities, dimensions, status, fit, stability, coverage, tier, advised.
+EVALUATED = f"""{POSTINGS},
   r AS (SELECT candidate, p_partkey, p_type, title, employment, organisation, {', '.join(f'{s} AS sev_{k}' for k, s in _SEVERITY.items())}, {', '.join(f'{s} AS {k}' for k, s in _DIMENSIONS.items())} FROM o CROSS JOIN c),
   t AS (SELECT *, greatest({', '.join(f'sev_{k}' for k in RULES)}) AS sev, {_total(FIT)[0]} AS fit, {_total(STABILITY)[0]} AS stability, CAST(floor(({_total(FIT)[1]} + {_total(STABILITY)[1]}) / 2.0 + 0.5) AS BIGINT) AS coverage,
     CASE WHEN p_partkey % 7 <> 0 AND employment = 'ESTABLISHMENT' THEN 'T1' WHEN p_partkey % 7 <> 0 AND list_contains({literal(rules.SECOND_TIER)}, employment) AND list_contains({literal(rules.SEMI_PUBLIC)}, organisation) THEN 'T2' ELSE 'T3' END AS plain_tier FROM r),

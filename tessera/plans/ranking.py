@@ -128,7 +128,7 @@ def age_window_grid(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN date_diff('day', DATE '1999-12-20', CAST(o_orderdate AS DATE)) >= 0 THEN date_diff('day', DATE '1999-12-20', CAST(o_orderdate AS DATE)) END AS days FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1999-12-01' AND TIMESTAMP '2000-01-15')
   SELECT o_orderkey, CASE WHEN kind <> 'UNCHANGED' THEN kind WHEN days <= 7 THEN 'DEADLINE_APPROACHING' END AS reason, days FROM c WHERE kind <> 'UNCHANGED' OR days <= 7""")
 def digest(spark: SparkSession, sf: str) -> DataFrame:
-    """What a day's digest says, and why."""
+    """What a day's digest says, and why."""
     o = table(spark, sf, "orders").filter("o_orderdate between timestamp_ntz'1999-12-01' and timestamp_ntz'2000-01-15'")
     kind = F.when(F.col("o_orderdate") >= F.lit("1999-12-25").cast("timestamp_ntz"), "NEW").when(F.col("o_orderstatus") == "P", "UPDATED").when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 400000), "DEACTIVATED").otherwise("UNCHANGED")
     days = days_left(F.col("o_orderdate").cast("date"), F.lit("1999-12-20").cast("date"))
@@ -138,7 +138,7 @@ def digest(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT 'deadline' AS kind, o_orderkey AS key, 0 AS priority FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1999-12-20' AND DATE '1999-12-20' + 14
   UNION ALL SELECT 'evidence', doc_id, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars > 10000 UNION ALL SELECT 'change', event_id, 2 FROM events WHERE event_type = 'error' AND value > 49""")
 def personal_actions(spark: SparkSession, sf: str) -> DataFrame:
-    """Actions of several kinds as one list."""
+    """Actions of several kinds as one list."""
     due = F.col("o_orderdate").cast("date")
     a = table(spark, sf, "orders").filter(due.between(F.lit("1999-12-20").cast("date"), F.date_add(F.lit("1999-12-20").cast("date"), 14))).select(F.lit("deadline").alias("kind"), F.col("o_orderkey").alias("key"), F.lit(0).alias("priority"))
     b = table(spark, sf, "documents").filter("n_chars > 10000").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select(F.lit("evidence").alias("kind"), F.col("doc_id").alias("key"), F.lit(1).alias("priority"))
@@ -149,7 +149,7 @@ def personal_actions(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'UNKNOWN' WHEN p_size % 6 = 1 THEN 'INTERPRETED' ELSE 'EXPLICIT' END AS s, p_size / 50.0 AS c FROM part)
   SELECT p_partkey, concat_ws(';', CASE WHEN s = 'UNKNOWN' THEN 'title:MISSING' WHEN s = 'INTERPRETED' THEN 'title:INTERPRETED' WHEN c < 0.9 THEN 'title:LOW_CONFIDENCE' END, CASE WHEN p_partkey % 2 = 0 THEN 'code:MISSING' END) AS reasons FROM r""")
 def review_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Why a record needs a review."""
+    """Why a record needs a review."""
     s = F.when(F.col("p_size") % 6 == 0, "UNKNOWN").when(F.col("p_size") % 6 == 1, "INTERPRETED").otherwise("EXPLICIT")
     code = F.when(F.col("p_partkey") % 2 == 0, "UNKNOWN").otherwise("EXPLICIT")
     reasons = rules.review_reasons({"title": (s, F.col("p_size") / 50.0), "code": (code, F.lit(1.0))})
@@ -158,7 +158,7 @@ def review_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(['T' || CAST(p_size % 3 + 1 AS VARCHAR), p_type])), '/') AS facts, concat('size=', p_size, '; type=', p_type, '; price=', CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR)) AS answer FROM part""")
 def answer_block(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts as one deterministic text."""
+    """Facts as one deterministic text."""
     p = table(spark, sf, "part")
     facts = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("T"), (F.col("p_size") % 3 + 1).cast("string")), "p_type")))
     return p.select("p_partkey", F.array_join(facts, "/").alias("facts"), F.format_string("size=%d; type=%s; price=%d", "p_size", "p_type", F.floor("p_retailprice").cast("long")).alias("answer"))
@@ -166,6 +166,6 @@ def answer_block(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, unnest(CASE WHEN p_size % 9 = 0 THEN ['size'] ELSE [] END || CASE WHEN p_type = 'PROMO' THEN ['type'] ELSE [] END) AS pending FROM part""")
 def pending_confirmations(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct facts that still need confirmation."""
+    """Distinct facts that still need confirmation."""
     rules_ = F.create_map(F.lit("size"), F.when(F.col("p_size") % 9 == 0, rules.UNSURE).otherwise(rules.YES), F.lit("type"), F.when(F.col("p_type") == "PROMO", rules.UNSURE).otherwise(rules.YES))
     return table(spark, sf, "part").select("p_partkey", F.explode(rules_).alias("pending", "status")).filter(F.col("status") == rules.UNSURE).select("p_partkey", "pending").distinct()

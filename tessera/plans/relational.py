@@ -64,7 +64,7 @@ def semi_exists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
 def anti_absent(spark: SparkSession, sf: str) -> DataFrame:
-    """What a listing no longer has."""
+    """What a listing no longer has."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return joins.lacking(table(spark, sf, "orders"), lines, ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
@@ -95,7 +95,7 @@ def match_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'NOT_COLLECTED' WHEN l.quality = 1 THEN 'CONFIRMED' ELSE 'CONFLICTING' END AS quality_state,
   CASE WHEN l.toxic = 1 THEN 'quality,toxic' WHEN l.doc_id IS NOT NULL THEN 'quality' ELSE '' END AS fields FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def field_evidence_left_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts with their evidence; missing is a state of its own."""
+    """Facts with their evidence; missing is a state of its own."""
     l = table(spark, sf, "labels").withColumn("seen", F.lit(True))
     d = table(spark, sf, "documents").select("doc_id").join(l, "doc_id", "left")
     state = F.when(F.col("seen").isNull(), "NOT_COLLECTED").when(F.col("quality") == 1, "CONFIRMED").otherwise("CONFLICTING")
@@ -107,7 +107,7 @@ def field_evidence_left_chain(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_returnflag = 'R') AND (SELECT count(*) FROM lineitem l WHERE l.l_suppkey = s.s_suppkey) >= 600 THEN 'CONNECTED'
   WHEN EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_discount > 0.09) THEN 'PARTIAL' ELSE 'NOT_CONNECTED' END AS status FROM supplier s""")
 def status_case_exists(spark: SparkSession, sf: str) -> DataFrame:
-    """Correlated counts and EXISTS as one grouped pass."""
+    """Correlated counts and EXISTS as one grouped pass."""
     l = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("l_returnflag") == "R").alias("returned"), F.bool_or(F.col("l_discount") > 0.09).alias("cut"))
     s = table(spark, sf, "supplier").join(l, F.col("l_suppkey") == F.col("s_suppkey"), "left").withColumn("n_lines", F.coalesce("n", F.lit(0)))
     status = F.when(F.coalesce("returned", F.lit(False)) & (F.col("n_lines") >= 600), "CONNECTED").when(F.coalesce("cut", F.lit(False)), "PARTIAL").otherwise("NOT_CONNECTED")
@@ -137,7 +137,7 @@ def null_safe_identity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT e.event_id, o.o_orderkey, s.s_suppkey FROM events e JOIN orders o ON o.o_orderkey = e.event_id LEFT JOIN supplier s ON s.s_suppkey = e.user_id AND s.s_acctbal > 0""")
 def change_mixed_joins(spark: SparkSession, sf: str) -> DataFrame:
-    """Inner where a record must exist, left where it may be missing."""
+    """Inner where a record must exist, left where it may be missing."""
     e, o, s = table(spark, sf, "events"), table(spark, sf, "orders"), table(spark, sf, "supplier").filter("s_acctbal > 0")
     return e.join(o, F.col("o_orderkey") == F.col("event_id")).join(s, F.col("s_suppkey") == F.col("user_id"), "left").select("event_id", "o_orderkey", "s_suppkey")
 
@@ -154,7 +154,7 @@ def queue_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS due, CASE WHEN o_orderpriority = '1-URGENT' THEN 'P0' WHEN o_orderpriority = '2-HIGH' THEN 'P1' ELSE 'P2' END AS priority
   FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-01' AND DATE '1998-01-01' + 45 ORDER BY 3, 2, 1""")
 def deadline_window(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates in a window ahead, by rank of priority."""
+    """Dates in a window ahead, by rank of priority."""
     today = F.lit("1998-01-01").cast("date")
     due = F.col("o_orderdate").cast("date")
     priority = F.when(F.col("o_orderpriority") == "1-URGENT", "P0").when(F.col("o_orderpriority") == "2-HIGH", "P1").otherwise("P2")
@@ -176,7 +176,7 @@ def violated_checks(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH r AS (SELECT s_suppkey, s_suppkey * 7 % 50 AS low, s_suppkey * 7 % 50 + 2 AS high FROM supplier)
   SELECT p.p_partkey, r.s_suppkey FROM part p JOIN r ON p.p_size BETWEEN r.low AND r.high AND p.p_partkey % 25 = r.s_suppkey % 25""")
 def range_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells inside ranges as an equality on stretches."""
+    """Cells inside ranges as an equality on stretches."""
     low = F.col("s_suppkey") * 7 % 50
     r = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 25).alias("g"), low.alias("low"), (low + 2).alias("high"))
     cells = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 25).alias("g"))
@@ -186,7 +186,7 @@ def range_cells(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT r.r_name, count(DISTINCT s.s_suppkey) AS suppliers, sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned
   FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey JOIN supplier s ON s.s_nationkey = n.n_nationkey JOIN lineitem l ON l.l_suppkey = s.s_suppkey GROUP BY r.r_name""")
 def dimension_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts aggregated by key before the dimensions join them."""
+    """Facts aggregated by key before the dimensions join them."""
     l = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"))
     s = table(spark, sf, "supplier").join(l, F.col("l_suppkey") == F.col("s_suppkey"))
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
@@ -196,7 +196,7 @@ def dimension_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT n.n_nationkey, y.year, count(o.o_orderkey) AS n_orders FROM nation n CROSS JOIN (SELECT unnest(range(1995, 2002)) AS year) y
   LEFT JOIN (SELECT c_nationkey, o_orderkey, year(o_orderdate) AS yr FROM orders JOIN customer ON c_custkey = o_custkey) o ON o.c_nationkey = n.n_nationkey AND o.yr = y.year GROUP BY n.n_nationkey, y.year""")
 def registry_years(spark: SparkSession, sf: str) -> DataFrame:
-    """A registry expanded by years, with what was observed."""
+    """A registry expanded by years, with what was observed."""
     grid = table(spark, sf, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(1995).cast("long"), F.lit(2001).cast("long"))).alias("year"))
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     seen = o.groupBy(F.col("c_nationkey").alias("n_nationkey"), F.year("o_orderdate").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))

@@ -230,3 +230,27 @@ def legacy_status(criteria: list[Column]) -> Column:
             hit = hit | F.coalesce(c == s, F.lit(False))
         out = F.when(hit, s).otherwise(out)
     return out
+
+
+def graduate_track(expected: Column, confirmed: Column, target: int) -> Column:
+    """The track of the target year, by the year that a master's degree is expected in."""
+    return F.when(~confirmed | expected.isNull(), "UNKNOWN").when(expected == target, "TARGET_YEAR_GRADUATE").when(expected.between(target - 2, target - 1), "RECENT_GRADUATE_WINDOW").otherwise("NOT_IN_GRADUATE_SCOPE")
+
+
+def graduate_projection(graduated: str, historical: Column, target: int) -> tuple[Column, Column]:
+    """Track and outcome of a graduate under a rule, in the year of the notice or, its cohorts shifted, in the target year.
+
+    Columns: state, year, years (none: unrestricted), abroad, no_employer, no_insurance of the rule; foreign_degree, worked, sure
+    (records confirmed), pending (degree or its certificate still to come) of the graduate.
+    """
+    own, free = F.col(graduated), F.size("years") == 0
+    accepted = F.when(historical, F.col("years")).otherwise(F.transform("years", lambda y: y + target - F.col("year")))
+    at = F.when(historical, F.col("year")).otherwise(F.lit(target))
+    unknown = (F.col("state") != "CONFIRMED") | own.isNull()
+    outside = ~free & ~F.array_contains(accepted, own)
+    abroad = F.col("foreign_degree") & ~F.col("abroad")
+    bound = (F.col("worked") & F.col("no_employer")) | F.col("no_insurance")
+    plain = F.when(free, "UNRESTRICTED").when(own == at, "TARGET_YEAR_GRADUATE").otherwise("RECENT_GRADUATE_WINDOW")
+    track = F.when(unknown, "UNKNOWN").when(outside, "NOT_IN_GRADUATE_SCOPE").when(abroad, plain).when(bound | ~F.col("sure"), "CONDITIONAL").otherwise(plain)
+    outcome = F.when(unknown, "UNCERTAIN").when(outside | abroad, "INELIGIBLE").when(bound, "CONDITIONALLY_ELIGIBLE").when(~F.col("sure"), "UNCERTAIN").when(F.col("pending"), "CONDITIONALLY_ELIGIBLE").otherwise("ELIGIBLE")
+    return track, outcome

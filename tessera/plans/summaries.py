@@ -14,14 +14,14 @@ from tessera.session import table
 @query("""SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'O') AS n_o,
   count(*) FILTER (o_orderstatus = 'P') AS n_p, count(*) FILTER (o_orderstatus = 'X') AS n_x FROM orders GROUP BY o_orderpriority""")
 def quality_summary_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts by value, zero-filled, in one pass."""
+    """Counts by value, zero-filled, in one pass."""
     return agg.counts_of(table(spark, sf, "orders"), "o_orderstatus", ["F", "O", "P", "X"], ["o_orderpriority"])
 
 
 @query("""SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_partkey) FILTER (l_returnflag = 'R') AS returned,
   count(DISTINCT l_orderkey) FILTER (l_discount > 0.05) AS cut_orders FROM lineitem GROUP BY l_suppkey""")
 def filtered_distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct counts under conditions."""
+    """Distinct counts under conditions."""
     parts = F.countDistinct("l_partkey").alias("parts")
     returned = F.countDistinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("returned")
     return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(parts, returned, F.countDistinct(F.when(F.col("l_discount") > 0.05, F.col("l_orderkey"))).alias("cut_orders"))
@@ -32,7 +32,7 @@ STATUS = """CASE WHEN l_quantity > 49 THEN 4 WHEN l_discount IS NULL THEN 3 WHEN
 
 @query(f"""SELECT l_orderkey, ['ELIGIBLE','CONDITIONAL','NEEDS_CONFIRMATION','CONFLICTING_EVIDENCE','INELIGIBLE'][max({STATUS}) + 1] AS status FROM lineitem GROUP BY l_orderkey""")
 def severity_max_status(spark: SparkSession, sf: str) -> DataFrame:
-    """The most severe status of a group."""
+    """The most severe status of a group."""
     status = F.when(F.col("l_quantity") > 49, "INELIGIBLE").when(F.col("l_discount").isNull(), "CONFLICTING_EVIDENCE").when(F.col("l_tax") > 0.07, "NEEDS_CONFIRMATION").when(F.col("l_returnflag") == "N", "CONDITIONAL").otherwise("ELIGIBLE")
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(agg.worst_of_group(status).alias("status"))
 
@@ -87,7 +87,7 @@ def stage_state_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT y.year, count(o.o_orderkey) AS n, coalesce(bool_and(o.o_orderstatus <> 'P'), false) AS complete FROM (SELECT unnest(range(1993, 2004)) AS year) y
   LEFT JOIN orders o ON year(o.o_orderdate) = y.year GROUP BY y.year""")
 def annual_with_empty_years(spark: SparkSession, sf: str) -> DataFrame:
-    """A year without records is there, and is not complete."""
+    """A year without records is there, and is not complete."""
     out = agg.every_year(table(spark, sf, "orders").withColumn("y", F.year("o_orderdate")), 1993, 2003, "y", [F.count(F.lit(1)).alias("n"), F.bool_and(F.col("o_orderstatus") != "P").alias("complete")])
     return out.select("year", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("complete", F.lit(False)).alias("complete"))
 
@@ -100,7 +100,7 @@ ROUTES = "CASE WHEN p_size > 25 THEN ['large'] ELSE [] END || CASE WHEN p_retail
   SELECT route, postings, brands, formal, coverage, array_to_string(b[1:8], ',') AS first_brands,
   CASE WHEN coverage >= 60 AND postings >= 20 THEN 'STRONG' WHEN coverage >= 60 AND postings >= 5 THEN 'MODERATE' WHEN postings >= 3 THEN 'LIMITED' ELSE 'WEAK' END AS strength FROM g""")
 def route_breakdown(spark: SparkSession, sf: str) -> DataFrame:
-    """A record in several routes, aggregates per route."""
+    """A record in several routes, aggregates per route."""
     routes = F.array_compact(F.array(F.when(F.col("p_size") > 25, "large"), F.when(F.col("p_retailprice") > 1500, "costly"), F.when(F.col("p_type") == "STANDARD", "standard")))
     r = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", F.explode(routes).alias("route"))
     formal = F.count_if(F.col("p_size") > 40)
@@ -111,7 +111,7 @@ def route_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH k AS (SELECT o_orderkey, unnest(list_distinct(CASE WHEN o_totalprice > 300000 THEN ['price', 'budget'] ELSE [] END || CASE WHEN o_orderstatus = 'P' THEN ['status'] ELSE [] END || CASE WHEN o_orderpriority = '1-URGENT' THEN ['priority', 'budget'] ELSE [] END)) AS key FROM orders)
   SELECT key, count(DISTINCT o_orderkey) AS affected FROM k GROUP BY key""")
 def qualification_impact(spark: SparkSession, sf: str) -> DataFrame:
-    """For each fact, how many records it affects."""
+    """For each fact, how many records it affects."""
     o = table(spark, sf, "orders")
     keys = F.concat(F.when(F.col("o_totalprice") > 300000, F.array(F.lit("price"), F.lit("budget"))).otherwise(F.array()), F.when(F.col("o_orderstatus") == "P", F.array(F.lit("status"))).otherwise(F.array()), F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("priority"), F.lit("budget"))).otherwise(F.array()))
     return agg.affected_by_key(o, "o_orderkey", keys)
@@ -120,7 +120,7 @@ def qualification_impact(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT l_orderkey, bool_or(l_returnflag = 'R') AS any_failed, bool_or(l_returnflag = 'A') AS any_partial, bool_and(l_returnflag = 'N') AS all_ignored, CAST(sum(l_quantity) AS BIGINT) AS quantity,
   arg_min(CASE WHEN l_discount > 0.05 THEN l_partkey END, l_linenumber * 1000000 + l_partkey) FILTER (l_discount > 0.05) AS first_cut FROM lineitem GROUP BY l_orderkey""")
 def archive_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Children of a record merged: any, all, sums, first known value in order."""
+    """Children of a record merged: any, all, sums, first known value in order."""
     first = F.min_by(F.when(F.col("l_discount") > 0.05, F.col("l_partkey")), F.when(F.col("l_discount") > 0.05, F.col("l_linenumber") * 1000000 + F.col("l_partkey")))
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("any_failed"), F.bool_or(F.col("l_returnflag") == "A").alias("any_partial"), F.bool_and(F.col("l_returnflag") == "N").alias("all_ignored"), F.sum("l_quantity").cast("long").alias("quantity"), first.alias("first_cut"))
 
@@ -128,7 +128,7 @@ def archive_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH f AS (SELECT doc_id % 50 AS entity, CASE WHEN doc_id % 3 = 0 THEN lang ELSE source END AS field, CASE WHEN l.quality = 1 THEN 'CONFIRMED' WHEN l.quality = 0 THEN 'CONFLICT' ELSE 'MISSING' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))
   SELECT entity, coalesce(array_to_string(list_sort(list(DISTINCT field) FILTER (status = 'CONFIRMED')), ','), '') AS confirmed_fields, coalesce(array_to_string(list_sort(list(DISTINCT field) FILTER (status = 'CONFLICT')), ','), '') AS conflict_fields FROM f GROUP BY entity""")
 def evidence_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields of each status per record."""
+    """Fields of each status per record."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     status = F.when(F.col("quality") == 1, "CONFIRMED").when(F.col("quality") == 0, "CONFLICT").otherwise("MISSING")
     facts = d.select((F.col("doc_id") % 50).alias("entity"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.col("source")).alias("field"), status.alias("status"))
@@ -144,7 +144,7 @@ def having_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT source, count(*) AS parsed, count(*) FILTER (l.quality = 1) AS candidates, count(*) FILTER (l.toxic = 1) AS related, count(*) FILTER (l.quality = 1) - count(*) FILTER (l.quality = 1 AND l.toxic = 1) AS needs_review FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source""")
 def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of a batch per source; what is left is the difference."""
+    """Counts of a batch per source; what is left is the difference."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     good, both = F.count_if(F.col("quality") == 1), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1))
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("parsed"), good.alias("candidates"), F.count_if(F.col("toxic") == 1).alias("related"), (good - both).alias("needs_review"))
@@ -152,7 +152,7 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CAST(floor(100 * p_retailprice / sum(p_retailprice) OVER (PARTITION BY p_brand)) AS BIGINT) AS share FROM part""")
 def index_share(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole-percent shares inside a group."""
+    """Whole-percent shares inside a group."""
     from tessera.operators.aggregates import share_of_group
 
     return share_of_group(table(spark, sf, "part"), ["p_brand"], "p_retailprice").select("p_partkey", "share")

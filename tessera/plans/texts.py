@@ -37,14 +37,14 @@ def age_text_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'LEGAL' WHEN regexp_matches(text, '[#*|]') THEN 'TABLE' WHEN lang = 'en' THEN 'PROSE' ELSE 'OTHER' END AS family FROM documents""")
 def keyword_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """Ordered keyword rules."""
+    """ordered keyword rules."""
     family = tx.classify(F.lower("text"), [("LEGAL", "license"), ("TABLE", "[#*|]")])
     return table(spark, sf, "documents").select("doc_id", F.coalesce(family, F.when(F.col("lang") == "en", "PROSE").otherwise("OTHER")).alias("family"))
 
 
 @query("""SELECT p_partkey, sha256(length(p_name) || ':' || p_name || CASE WHEN p_size > 25 THEN length(CAST(p_size AS VARCHAR)) || ':' || CAST(p_size AS VARCHAR) ELSE '-' END || length(p_brand) || ':' || p_brand) AS print FROM part""")
 def content_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """prints in which null differs from empty."""
+    """prints in which null differs from empty."""
     return table(spark, sf, "part").select("p_partkey", tx.fingerprint(F.col("p_name"), F.when(F.col("p_size") > 25, F.col("p_size")), F.col("p_brand")).alias("print"))
 
 
@@ -63,20 +63,20 @@ def name_uuids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 AS even FROM events""")
 def json_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields of JSON text under a fixed schema."""
+    """fields of JSON text under a fixed schema."""
     k = F.from_json("props", "k bigint")["k"]
     return table(spark, sf, "events").select("event_id", k.alias("k"), (k % 2 == 0).alias("even"))
 
 
 @query("""SELECT page_id, nullif(lower(regexp_extract(url, '[?&]page=([^&#]*)', 1)), '') AS page FROM pages""")
 def url_parameter(spark: SparkSession, sf: str) -> DataFrame:
-    """a parameter of an address."""
+    """a parameter of an address."""
     return table(spark, sf, "pages").select("page_id", tx.query_parameter(F.col("url"), "page").alias("page"))
 
 
 @query("""SELECT p_partkey, CAST(floor(CAST(25 * len(list_intersect(string_split(p_name, ' '), ['small', 'red', 'ring', 'bolt'])) / 4.0 AS FLOAT) + 0.5) AS BIGINT) AS points FROM part""")
 def overlap_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Points for matching values."""
+    """points for matching values."""
     from tessera.plans.rules import overlap_points
 
     return table(spark, sf, "part").select("p_partkey", overlap_points(F.split("p_name", " "), F.array(*map(F.lit, ("small", "red", "ring", "bolt"))), 25).alias("points"))

@@ -64,7 +64,7 @@ def joined_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'T1' WHEN contains(lower(text), 'ion') THEN 'T2' END AS tier, CASE WHEN contains(lower(text), 'and') THEN 'and' END AS place FROM conversations WHERE role = 'user'""")
 def question_filters(spark: SparkSession, sf: str) -> DataFrame:
-    """Filters that a question names."""
+    """Words that a text names, as filters; a small example of F27."""
     q = F.lower("text")
     return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.when(q.contains("the"), "T1").when(q.contains("ion"), "T2").alias("tier"), F.when(q.contains("and"), "and").alias("place"))
 
@@ -80,7 +80,7 @@ def greatest_time(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT c_custkey, unnest(CASE WHEN c_custkey % 3 = 0 THEN ['current', 'target'] WHEN c_custkey % 3 = 1 THEN ['current'] ELSE ['target'] END) AS scenario, 2010 + c_custkey % 18 AS grad FROM customer)
   SELECT c_custkey, scenario, CASE WHEN scenario = 'current' AND grad BETWEEN 2022 AND 2024 THEN 'ELIGIBLE' WHEN scenario = 'target' AND grad BETWEEN 2024 AND 2026 THEN 'ELIGIBLE' WHEN grad >= 2020 THEN 'NEEDS_CONFIRMATION' ELSE 'INELIGIBLE' END AS status FROM s""")
 def graduate_scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    """Scenarios of a candidate, and the graduate rule of the year shifted to the target year."""
+    """Accepted years shifted to a target year; a small example, see planning for R20-R22."""
     k = F.col("c_custkey")
     set_ = F.when(k % 3 == 0, F.array(F.lit("current"), F.lit("target"))).when(k % 3 == 1, F.array(F.lit("current"))).otherwise(F.array(F.lit("target")))
     s = table(spark, sf, "customer").select(k, F.explode(set_).alias("scenario"), (2010 + k % 18).alias("grad"))
@@ -91,7 +91,7 @@ def graduate_scenarios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN 'T1' WHEN p_size > 20 THEN 'T2' ELSE 'T3' END AS tier, CASE WHEN p_type = 'PROMO' THEN 'DROP' WHEN p_size > 40 THEN 'APPLY' WHEN p_partkey % 4 = 0 THEN 'REVIEW' ELSE 'WATCH' END AS action FROM part""")
 def legacy_watch(spark: SparkSession, sf: str) -> DataFrame:
-    """Tier and what to do."""
+    """A tier by size and an action; a small example, see notices for R34."""
     size = F.col("p_size")
     action = F.when(F.col("p_type") == "PROMO", "DROP").when(size > 40, "APPLY").when(F.col("p_partkey") % 4 == 0, "REVIEW").otherwise("WATCH")
     return table(spark, sf, "part").select("p_partkey", F.when(size > 40, "T1").when(size > 20, "T2").otherwise("T3").alias("tier"), action.alias("action"))
@@ -107,7 +107,7 @@ def first_attachment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT page_id, length(html) - length(replace(html, '<p>', 'p>')) AS cards, CASE WHEN contains(html, '<script') THEN 1 ELSE 0 END AS scripts, (length(html) - length(replace(html, '<p>', 'p>'))) > 0 AS complete FROM pages""")
 def page_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    """Cards of a page counted apart from what says that there are none."""
+    """Cards of a page counted; a small example of X16."""
     h = F.col("html")
     cards = F.length(h) - F.length(F.replace(h, F.lit("<p>"), F.lit("p>")))
     return table(spark, sf, "pages").select("page_id", cards.cast("long").alias("cards"), h.contains("<script").cast("int").alias("scripts"), (cards > 0).alias("complete"))
@@ -115,7 +115,7 @@ def page_completeness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH v(code, priority) AS (VALUES ('NATION_1', 'P0'), ('NATION_2', 'P1'), ('NOWHERE', 'P2')) SELECT v.code, v.priority, n.n_nationkey, CASE WHEN n.n_nationkey IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS state FROM v LEFT JOIN nation n ON n.n_name = v.code""")
 def seeded_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    """A fixed catalogue with what is there of it."""
+    """A small example of X18: a fixed catalogue with what is there of it."""
     v = spark.createDataFrame([("NATION_1", "P0"), ("NATION_2", "P1"), ("NOWHERE", "P2")], "code string, priority string")
     n = table(spark, sf, "nation")
     return v.join(n, F.col("n_name") == F.col("code"), "left").select("code", "priority", "n_nationkey", F.when(F.col("n_nationkey").isNull(), "MISSING").otherwise("PRESENT").alias("state"))
@@ -124,7 +124,7 @@ def seeded_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT 'documents' AS part, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, count(*) FILTER (lang = 'en') AS first FROM documents UNION ALL SELECT 'orders', count(*), min(o_orderkey), max(o_orderkey), count(*) FILTER (o_orderstatus = 'F') FROM orders
   UNION ALL SELECT 'events', count(*), min(event_id), max(event_id), count(*) FILTER (event_type = 'click') FROM events UNION ALL SELECT 'parts', count(*), min(p_partkey), max(p_partkey), count(*) FILTER (p_type = 'PROMO') FROM part""")
 def daily_workflow(spark: SparkSession, sf: str) -> DataFrame:
-    """Four reports and their extents as one."""
+    """A small example of X11: four reports and their extents as one."""
     def part(name: str, t: str, key: str, first) -> DataFrame:
         k = F.col(key).cast("long")
         return table(spark, sf, t).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.min(k).alias("low"), F.max(k).alias("high"), F.count_if(first).alias("first"))
