@@ -127,7 +127,7 @@ def verdict(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         bad |= m[f"dup_{size}gram_chars"] > most * m["word_chars"]
     for size, most in TOP.items():
         bad |= m[f"top_{size}gram_chars"] > most * m["word_chars"]
-    bad |= (m["n_dup_lines"] > 1) & (m["n_dup_lines"] > LINES * m["n_lines"])  # one line said twice is no pattern
+    bad |= m["n_dup_lines"] > LINES * m["n_lines"]
     bad |= m["dup_line_chars"] > LINE_CHARS * m["line_chars"]
     bad |= m["n_symbols"] > SYMBOLS * m["n_words"]
     return {"base_failed": failed, "kept": ~bad}
