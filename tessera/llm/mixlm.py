@@ -288,19 +288,26 @@ def _stretched(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """tables: zeros and ones by predictor and slot; weights: by gate and input; refined: zeros and ones by gate and step of a result."""
+    """tables: zeros and ones by predictor and slot; weights: by gate and input; refined: zeros and ones by gate and step of a result.
 
-    def __init__(self, tables: np.ndarray, weights: np.ndarray, refined: np.ndarray | None = None):
-        self.tables, self.weights, self.refined = tables, weights, refined
+    Stretched chances are worked out once for each slot: as it is, and as it is to a bit that is in the tables itself and is not to see itself, a zero or a one.
+    """
 
-    def inputs(self, slots: list[np.ndarray], ones: np.ndarray, own: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictors' stretched chances of a one, and how much the last one has seen. Where own is 1, the bit itself is in the tables and not looked at."""
-        x = []
+    def __init__(self, tables: np.ndarray, weights: np.ndarray, refined: np.ndarray | None = None):
+        self.weights, self.refined, self.slots = weights.astype(np.float32), refined, tables.shape[2]
+        zero, one = tables[:, 0], tables[:, 1]
+        less = [(zero, one), (np.maximum(zero - 1, 0), one), (zero, np.maximum(one - 1, 0))]
+        self.stretched = np.stack([_stretched(z, o) for z, o in less], 1).astype(np.float32).reshape(len(tables), -1)
+        self.trust = np.concatenate([np.minimum(np.log2(z[-1] + o[-1] + 1), 7) for z, o in less]).astype(np.int64)
+
+    def inputs(self, slots: list[np.ndarray], ones: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The predictors' stretched chances of a one, a row for each bit, and how much the last predictor has seen. Where own is 1, the bit is in the tables."""
+        shift = (own * (1 + ones)).astype(np.int64) * self.slots
+        x = np.empty((len(ones), len(slots)), np.float32)
         for i, s in enumerate(slots):
-            zero, one = self.tables[i, 0, s], self.tables[i, 1, s]
-            zero, one = np.maximum(zero - own * (1 - ones), 0), np.maximum(one - own * ones, 0)
-            x.append(_stretched(zero, one))
-        return x, np.minimum(np.log2(zero + one + 1), 7).astype(np.int64)
+            at = s + shift
+            x[:, i] = self.stretched[i][at]
+        return x, self.trust[at]
 
     def chance(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one, after refinement."""
@@ -349,19 +356,24 @@ class Letters:
             yield (self.coded >> np.uint8(7 - k)) & np.uint8(1), [(((c + step) * np.uint64(0x94D049BB133111EB)) >> np.uint64(46)).astype(np.int64) for c in self.contexts]
 
 
-def _letters(row: dict) -> Iterator[tuple[Letters, np.ndarray]]:
-    """The new tokens of a chunk in blocks, and the text of each."""
-    sizes, text = row["sizes"].astype(np.int64), row["new"].astype(np.int64)
+def _letters(row: dict, train: bool = False) -> Iterator[tuple[Letters, np.ndarray]]:
+    """The new tokens of a chunk (train: of its training texts) in blocks, and the text of each."""
+    sizes, text, data = row["sizes"].astype(np.int64), row["new"].astype(np.int64), row["bytes"]
+    if train:
+        own = np.flatnonzero(row["train"][text])
+        data = _gather(data, (np.cumsum(sizes) - sizes)[own], sizes[own])
+        sizes, text = sizes[own], text[own]
     edges = np.concatenate([[0], np.cumsum(sizes)])
     for at in range(0, len(sizes), WORDS):
         to = min(at + WORDS, len(sizes))
-        yield Letters(sizes[at:to], row["bytes"][edges[at] : edges[to]], row["train"][text[at:to]]), text[at:to]
+        yield Letters(sizes[at:to], data[edges[at] : edges[to]], row["train"][text[at:to]]), text[at:to]
 
 
 class Questions:
     """The bits of the three questions of a chunk, in steps of STRIDE tokens of each text; texts are numbered from the longest on."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, train: bool = False):
+        """train: of training texts alone."""
         lengths = row["lengths"].astype(np.int64)
         order = np.argsort(-lengths, kind="stable")
         self.number = np.empty(len(lengths), np.int64)
@@ -377,7 +389,8 @@ class Questions:
         run = np.clip(np.where(place >= 1, run, 0), 0, 15).astype(np.uint64)
         near, far = (np.where(place >= b, np.concatenate([np.zeros(b, np.uint16), row["word"]])[:n], 0).astype(np.uint64) for b in (1, 2))
         two, one = (row["seen"] >> np.uint8(4)).astype(np.uint64), (row["seen"] & np.uint8(15)).astype(np.uint64)
-        asked = [np.flatnonzero(code & 8), np.flatnonzero(code & 16), np.flatnonzero(how >= PLAIN)]
+        wanted = row["train"][text] > 0 if train else np.ones(n, bool)
+        asked = [np.flatnonzero((code & 8 > 0) & wanted), np.flatnonzero((code & 16 > 0) & wanted), np.flatnonzero((how >= PLAIN) & wanted)]
         at = np.concatenate(asked)
         which = np.repeat(np.arange(3), [len(a) for a in asked])
         ones = np.concatenate([how[a] == k for a, k in zip(asked, (AFTER_TWO, AFTER_ONE, PLAIN), strict=True)])
@@ -397,26 +410,24 @@ class Questions:
         adapt: each text's weights follow its bits, from those of the mixer on; weigh: those of the mixer follow the bits of training texts.
         """
         n_texts, n_inputs = len(self.number), ASPECTS + 2
-        own = np.repeat(mixer.weights[None].astype(np.float32), n_texts, 0) if adapt else None
+        own = np.repeat(mixer.weights[None], n_texts, 0) if adapt else None
         told = np.zeros((2, n_texts, 3), np.float32)  # zeros and ones of a text's own bits so far
-        every, chances = np.empty(len(self.ones), np.float32), np.empty(len(self.ones))
+        every = np.empty(len(self.ones), np.float32)
+        inputs = np.full((len(self.ones), n_inputs), 0.3, np.float32)
+        inputs[:, :ASPECTS] = mixer.inputs(self.slots, self.ones, self.own)[0]
         for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True):
             if a == b:
                 continue
             part = slice(a, b)
-            text, gate, ones, which = self.text[part], self.gate[part], self.ones[part], self.which[part]
-            columns, _ = mixer.inputs([s[part] for s in self.slots], ones, self.own[part])
-            columns += [_stretched(told[0, text, which], told[1, text, which]), np.full(b - a, 0.3, np.float32)]
-            x = np.stack(columns, 1).astype(np.float32)
+            text, gate, ones, which, x = self.text[part], self.gate[part], self.ones[part], self.which[part], inputs[part]
+            x[:, ASPECTS] = _stretched(told[0, text, which], told[1, text, which])
             mixed = _mixed(x, own[text, gate] if adapt else mixer.weights[gate])
             every[part] = mixed
-            p = mixer.chance(mixed, gate)
-            chances[part] = np.where(ones == 1, p, 1 - p)
             miss = ones - 1 / (1 + np.exp(-mixed))
             m = int(text.max()) + 1
             told[:, :m] *= STAYS
-            for y in (0, 1):
-                told[y, :m] += np.bincount(text * 3 + which, ones == y, m * 3).reshape(m, 3)
+            now = np.bincount((text * 3 + which) * 2 + (ones > 0), minlength=m * 6).reshape(m, 3, 2)
+            told[:, :m] += now.transpose(2, 0, 1)
             if adapt:
                 cell = text * QUESTION_GATES + gate
                 times = np.maximum(np.bincount(cell, minlength=m * QUESTION_GATES), 1)
@@ -425,8 +436,9 @@ class Questions:
             if weigh:
                 miss = miss * self.own[part]
                 times = np.maximum(np.bincount(gate, self.own[part], QUESTION_GATES), 1)
-                mixer.weights = mixer.weights + RATE * np.stack([np.bincount(gate, miss * x[:, i], QUESTION_GATES) / times for i in range(n_inputs)], 1)
-        return every, chances
+                mixer.weights = mixer.weights + (RATE * np.stack([np.bincount(gate, miss * x[:, i], QUESTION_GATES) / times for i in range(n_inputs)], 1)).astype(np.float32)
+        p = mixer.chance(every, self.gate)
+        return every, np.where(self.ones == 1, p, 1 - p)
 
 
 # --- learning
@@ -461,84 +473,82 @@ def _summed(parts: DataFrame, *shapes: tuple[int, ...]) -> list[np.ndarray]:
     return [x.reshape(s) for x, s in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes, strict=True)]
 
 
-def _spelled(mixer: Mixer, row: dict, learn: bool = False, refined: np.ndarray | None = None) -> np.ndarray:
-    """The log chance of each text's new tokens; learn: the weights follow the bits of training texts; refined: gets what followed each result."""
+def _spelled(mixer: Mixer, row: dict) -> np.ndarray:
+    """The log chance of each text's new tokens."""
     out = np.zeros(len(row["lengths"]))
     for letters, text in _letters(row):
         log = np.zeros(len(letters.coded))
         for ones, slots in letters.each():
             x, trust = mixer.inputs(slots, ones, letters.own)
-            x, gate = np.stack(x, 1).astype(np.float32), letters.gate + trust
-            if learn:
-                for at in range(0, len(ones), BATCH):
-                    p = slice(at, at + BATCH)
-                    miss = (ones[p] - 1 / (1 + np.exp(-_mixed(x[p], mixer.weights[gate[p]])))) * letters.own[p]
-                    times = np.maximum(np.bincount(gate[p], letters.own[p], LETTER_GATES), 1)
-                    mixer.weights = mixer.weights + RATE * np.stack([np.bincount(gate[p], miss * x[p, i], LETTER_GATES) / times for i in range(len(ORDERS))], 1)
-                continue
-            mixed = _mixed(x, mixer.weights[gate])
-            if refined is not None:
-                for y in (0, 1):
-                    refined[y] += np.bincount(gate * STEPS + _step(mixed), letters.own * (ones == y), LETTER_GATES * STEPS).reshape(LETTER_GATES, STEPS)
-                continue
-            p = mixer.chance(mixed, gate)
+            gate = letters.gate + trust
+            p = mixer.chance(_mixed(x, mixer.weights[gate]), gate)
             log += np.log(np.where(ones == 1, p, 1 - p))
         out += np.bincount(text, sums_by(letters.first, log), len(out))
     return out
 
 
+def _spelling(mixer: Mixer, row: dict, refined: np.ndarray) -> None:
+    """Lets the weights follow the new tokens of training texts; refined gets what followed each result."""
+    for letters, _ in _letters(row, train=True):
+        for ones, slots in letters.each():
+            x, trust = mixer.inputs(slots, ones, letters.own)
+            gate = letters.gate + trust
+            for at in range(0, len(ones), BATCH):
+                p = slice(at, at + BATCH)
+                mixed = _mixed(x[p], mixer.weights[gate[p]])
+                _follow(refined, gate[p], mixed, ones[p])
+                miss = ones[p] - 1 / (1 + np.exp(-mixed))
+                times = np.maximum(np.bincount(gate[p], minlength=LETTER_GATES), 1)
+                mixer.weights = mixer.weights + (RATE * np.stack([np.bincount(gate[p], miss * x[p, i], LETTER_GATES) / times for i in range(len(ORDERS))], 1)).astype(np.float32)
+
+
+def _follow(refined: np.ndarray, gate: np.ndarray, mixed: np.ndarray, ones: np.ndarray) -> None:
+    """Counts what followed each result."""
+    size = refined[0].size
+    refined += np.bincount((gate * STEPS + _step(mixed)) + size * (ones > 0), minlength=2 * size).reshape(refined.shape)
+
+
 def _learned(coded: DataFrame) -> tuple:
-    """Tables (as a broadcast), weights and refinements for letters and for questions, from all bits of training texts."""
+    """Tables (as a broadcast), weights and refinements for letters and for questions, from all bits of training texts, in two passes."""
     context = coded.sparkSession.sparkContext
     tables = (len(ORDERS), 2, SLOTS), (ASPECTS, 2, CELLS)
     sets = (LETTER_GATES, len(ORDERS)), (QUESTION_GATES, ASPECTS + 2)
+    finer = (2, LETTER_GATES, STEPS), (2, QUESTION_GATES, STEPS)
     first = [np.full(s, 1.5 / s[1]) for s in sets]
 
     def count(batches):
         letters, questions = (np.zeros(s, np.float32) for s in tables)
         for row in _rows(batches):
-            for block, _ in _letters(row):
+            for block, _ in _letters(row, train=True):
                 for ones, slots in block.each():
+                    shift = ones.astype(np.int64) * SLOTS
                     for i, s in enumerate(slots):
-                        for y in (0, 1):
-                            np.add.at(letters[i, y], s[(ones == y) & (block.own > 0)], 1)
-            q = Questions(row)
+                        np.add.at(letters[i].ravel(), s + shift, np.float32(1))
+            q = Questions(row, train=True)
+            shift = (q.ones > 0) * CELLS
             for i, s in enumerate(q.slots):
-                for y in (0, 1):
-                    questions[i, y] += np.bincount(s, q.own * (q.ones == y), CELLS)
+                questions[i] += np.bincount(s + shift, minlength=2 * CELLS).reshape(2, -1)
         yield from _parts(letters, questions)
 
     told = context.broadcast(_summed(coded.mapInArrow(count, "part int, data binary"), *tables))
 
     def weigh(batches):
         letters, questions, seen = Mixer(told.value[0], first[0]), Mixer(told.value[1], first[1]), 1e-9
-        total = [np.zeros(s) for s in sets]
+        total, after = [np.zeros(s) for s in sets], [np.zeros(s) for s in finer]
         for row in _rows(batches):
-            q = Questions(row)
-            _spelled(letters, row, learn=True)
-            q.coded(questions, adapt=False, weigh=True)
+            _spelling(letters, row, after[0])
+            q = Questions(row, train=True)
+            mixed, _ = q.coded(questions, adapt=False, weigh=True)
+            _follow(after[1], q.gate, mixed, q.ones)
             bits = float(row["lengths"][row["train"] > 0].sum())
             seen += bits
             for t, m in zip(total, (letters, questions), strict=True):
                 t += m.weights * bits
-        yield from _parts(*total, np.array([seen]))
+        yield from _parts(*total, np.array([seen]), *after)
 
-    *weights, seen = _summed(coded.mapInArrow(weigh, "part int, data binary"), *sets, (1,))
+    *weights, seen, letters_after, questions_after = _summed(coded.mapInArrow(weigh, "part int, data binary"), *sets, (1,), *finer)
     weights = [w / seen[0] for w in weights] if seen[0] >= 1 else first
-
-    def refine(batches):
-        letters, questions = Mixer(told.value[0], weights[0]), Mixer(told.value[1], weights[1])
-        total = np.zeros((2, LETTER_GATES, STEPS)), np.zeros((2, QUESTION_GATES, STEPS))
-        for row in _rows(batches):
-            _spelled(letters, row, refined=total[0])
-            q = Questions(row)
-            mixed, _ = q.coded(questions, adapt=True)
-            for y in (0, 1):
-                total[1][y] += np.bincount(q.gate * STEPS + _step(mixed), q.own * (q.ones == y), QUESTION_GATES * STEPS).reshape(QUESTION_GATES, STEPS)
-        yield from _parts(*total)
-
-    refined = _summed(coded.mapInArrow(refine, "part int, data binary"), (2, LETTER_GATES, STEPS), (2, QUESTION_GATES, STEPS))
-    return told, weights, refined
+    return told, weights, (letters_after, questions_after)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, out: int = 1) -> DataFrame:
