@@ -102,9 +102,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _mixed(docs, id_col, text_col, source_col, weights, most, block, shard_tokens, seed)
     each = rows.filter("taken > 0").groupBy("id", "draw").agg((F.sum("taken") / F.sum("size")).alias("times"))
     chance = F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.lit(1 << 20)) / (1 << 20)
-    each = each.select(F.col("id").alias("_id"), F.col("draw").alias("_draw"), F.floor(F.col("times") + chance).cast("int").alias("_times")).filter("_times > 0")
-    drawn = docs.withColumn("_draw", _draw(id_col, text_col, seed)).join(each, "_draw").filter(F.col(id_col).eqNullSafe(F.col("_id")))
-    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    each = each.select(F.col("id"), "draw", F.floor(F.col("times") + chance).cast("int").alias("times")).filter("times > 0")
+    # the documents are one column, so that none of theirs can clash with those here
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{id_col}`").alias("own"), _draw(id_col, text_col, seed).alias("draw"))
+    drawn = packed.join(each, "draw").filter(F.col("own").eqNullSafe(F.col("id")))
+    return drawn.select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
 
 
 def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int, block: int, shard_tokens: int, seed: int) -> DataFrame:
