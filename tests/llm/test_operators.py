@@ -485,6 +485,49 @@ def test_repetition(request, table):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def judged(text):
+    """The verdict, by counting."""
+    w, chars = words(text), [len(x) for x in words(text)]
+    total = sum(chars)
+    runs = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    again = {j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    if len(w) < 50 or 100 * len(again) > 50 * len(w):
+        return False
+    for n, most in ((5, 0.15), (6, 0.14), (7, 0.13), (8, 0.12), (9, 0.11), (10, 0.10)):
+        seen, dup = set(), set()
+        for i in range(len(w) - n + 1):
+            g = tuple(w[i : i + n])
+            dup |= set(range(i, i + n)) if g in seen else set()
+            seen.add(g)
+        if sum(chars[i] for i in dup) > most * total:
+            return False
+    for n, most in ((2, 0.20), (3, 0.18), (4, 0.16)):
+        grams = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        if max((c * sum(map(len, g)) for g, c in grams.items() if c > 1), default=0) > most * total:
+            return False
+    lines = [x for x in text.split("\n") if words(x)]
+    seen, n_dup, dup_chars = set(), 0, 0
+    for x in lines:
+        n_dup, dup_chars = n_dup + (x in seen), dup_chars + len(x) * (x in seen)
+        seen.add(x)
+    symbols = sum(c in "#*$%&|<>" for c in text)
+    return not (n_dup > 0.3 * len(lines) or dup_chars > 0.2 * sum(map(len, lines)) or symbols > 0.1 * len(w))
+
+
+@pytest.mark.parametrize("table", TABLES)
+def test_repetition_verdict(request, spark, table):
+    from tessera.llm.repetition import repetition_rules
+
+    df, rows = rows_of(request, table)
+    if table == "edges":
+        prose = " ".join(f"d{i}" for i in range(160))
+        rows = rows + [(90 + k, f"{prose} " + "\n".join([" ".join(f"p{i}" for i in range(25))] * k)) for k in range(1, 7)]
+        rows += [(200, "\n".join(["one line of words here"] * 2 + [prose[:400]])), (201, "\n".join([prose[:300]] * 2))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((d, judged(t or "")) for d, t in rows)
+    assert want == Counter((r.doc_id, r.kept) for r in repetition_rules(df).collect())
+
+
 def test_repetition_limits_hold_for_one_stretch(spark):
     from tessera.llm.repetition import repetition_rules
 

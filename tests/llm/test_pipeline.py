@@ -61,3 +61,25 @@ def test_run_and_absence(spark):
     assert cp.run(spark, FOLDER).count() > 0
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['tessera.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and len(q) > 60, len(q)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True).returncode == 0
+
+
+def test_stages_on_odd_rows(spark, edges, none):
+    """Nulls, empty and long texts, repeated rows and columns with clashing names go through every stage; an empty table stays empty."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as cp
+    from tessera.llm.storage import kept
+
+    clashing = edges.withColumns({c: F.lit(7) for c in ("_id", "_draw", "_times", "_copy", "doc", "own", "draw", "times", "id", "words", "bucket")})
+    for docs, rows in ((clashing, edges.count()), (none, 0)):
+        columns = docs.columns
+        for (name, stage), least in zip(cp.STAGES[:-1], (rows, rows - 2, rows - 2, 1 if rows else 0), strict=True):
+            docs = kept(stage(spark, docs, FOLDER), "odd")
+            assert docs.columns == columns, name
+            n = docs.count()
+            assert (n >= least or name == "quality classifier") and (n > 0) == (rows > 0), (name, n)
+            assert "_id" not in columns or {tuple(r) for r in docs.select("_id", "_draw", "_times", "_copy", "draw", "times").collect()} == {(7,) * 6}
+            if name == "quality classifier":  # the rest goes on with all rows
+                docs = kept(clashing if rows else none, "odd")
+        out = cp.STAGES[-1][1](spark, docs, FOLDER).collect()
+        assert len(out) == docs.count() and all(r.n_tokens == len(r.ids) for r in out)
