@@ -111,13 +111,17 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     an id, and are responses if no equal row has. The archives are written at once.
     """
     text = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), text.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     first = rows.groupBy("digest").agg(F.max("id").alias("target"))
-    rows = rows.join(first, "digest").select("id", "url", "payload", "digest", "target")
+    # payloads travel for responses alone, dealt by digest and id; of a payload that very many rows share, those rows travel without it
+    hit = (rows["digest"] == first["digest"]) & rows["id"].eqNullSafe(first["target"])
+    responses = rows.join(first, hit, "left_semi").select("id", "url", "digest", "size", "payload", F.col("id").alias("target"))
+    slim = rows.select("id", "url", "digest", "size").join(first, "digest").filter(~F.col("id").eqNullSafe(F.col("target")))
+    rows = responses.unionByName(slim.select("id", "url", "digest", "size", F.lit("").alias("payload"), "target"))
 
-    def record(id_: int | None, url: str | None, payload: bytes, digest: str, target: int | None) -> bytes:
+    def record(id_: int | None, url: str | None, digest: str, size: int, payload: bytes, target: int | None) -> bytes:
         name = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
-        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
         same = id_ == target
         block = http + payload if same else http
         headers = [("WARC-Type", "response" if same else "revisit"), ("WARC-Record-ID", f"<{_RECORD}{'' if id_ is None else id_}>"), ("WARC-Date", DATE)]
@@ -133,9 +137,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         mine, n = f"{final}.{task.taskAttemptId()}", 0
         with store.open_output_stream(mine, compression=None) as out:
             for batch in batches:
-                for row in zip(*(batch.column(i) for i in range(5)), strict=True):
-                    id_, url, payload, digest, target = (x.as_py() for x in row)
-                    out.write(record(id_, url, payload.encode(), digest, target))
+                for row in zip(*(batch.column(i) for i in range(6)), strict=True):
+                    id_, url, digest, size, payload, target = (x.as_py() for x in row)
+                    out.write(record(id_, url, digest, size, payload.encode(), target))
                     n += 1
         store.move(mine, final)
         yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/part-{task.partitionId():06d}.warc.gz"], "n_records": pa.array([n], pa.int64())})
