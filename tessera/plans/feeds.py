@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
+from tessera.session import checkpoint_folder
 from tessera.streaming import feeds
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder for a stream's output in the shared checkpoint folder; one of this machine only where none is set and Spark runs on this machine alone."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='tessera-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder for a stream's output in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:

@@ -50,13 +50,13 @@ def weighted_scores_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", score.alias("score"), coverage.alias("coverage"), half_up((coverage + 40) / 2).alias("overall"))
 
 
-@query("""WITH k AS (SELECT sha256(concat_ws('|', c_mktsegment, o_orderpriority, CAST(c_nationkey AS VARCHAR))) AS lineage, year(o_orderdate) AS y, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 380000),
+@query("""WITH k AS (SELECT sha256(concat_ws('|', c_mktsegment, o_orderpriority, CAST(c_nationkey AS VARCHAR))) AS lineage, year(o_orderdate) AS y, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey),
   g AS (SELECT lineage, list_sort(list(DISTINCT y)) AS ys, count(*) AS n_rows, min_by(o_orderkey, (-y, o_orderkey)) AS representative FROM k GROUP BY lineage), w AS (SELECT min(y) AS a, max(y) AS b FROM k)
   SELECT lineage, array_to_string(ys, ',') AS years, n_rows, representative, (len(ys) = ys[-1] - ys[1] + 1) AS contiguous,
   CASE WHEN b - a + 1 < 2 THEN 'INSUFFICIENT_HISTORY' WHEN len(ys) = 1 THEN 'SINGLE_OCCURRENCE' WHEN len(ys) = ys[-1] - ys[1] + 1 THEN 'RECURRING_ANNUAL' ELSE 'INTERMITTENT' END AS signal, b - ys[-1] AS years_since FROM g, w""")
 def lineage_recurrence(spark: SparkSession, sf: str) -> DataFrame:
     """What recurs across years, and what that says."""
-    o = table(spark, sf, "orders").filter("o_totalprice > 380000").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     o = o.select(stable_key(F.col("c_mktsegment"), F.col("o_orderpriority"), F.col("c_nationkey").cast("string")).alias("lineage"), F.year("o_orderdate").alias("y"), "o_orderkey")
     found = agg.lineages(o, ["lineage"], "y", "o_orderkey")
     signal = agg.recurrence(F.col("years"), F.col("contiguous"), F.col("window_start"), F.col("window_end"))

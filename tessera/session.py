@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -22,3 +24,15 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder; timestamps without a zone stay as they are."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the driver and all executors share; one of this machine only where none is set and Spark runs on this machine alone."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import checkpoint_folder
+
 #: Limits of an archive: entries, bytes of an entry, bytes of all.
 ENTRIES, ENTRY_BYTES, ALL_BYTES = 32, 10 << 20, 25 << 20
 _BLOCKS = {"p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "title", "div"}
@@ -269,17 +271,22 @@ def pages_to_rows(pages: DataFrame, body: str, item_schema: str, total: str | No
     return out.drop("_page")
 
 
-def followed(pages: DataFrame, url: str, next_url: str, start: str, most: int = 100) -> DataFrame:
+def followed(pages: DataFrame, url: str, next_url: str, start: str) -> DataFrame:
     """Pages reached from a first one by their next link, each once, with their step; a loop ends it.
 
-    A step is a join; the chain is as long as a listing has pages, at most `most`.
+    The jump that each page makes is doubled in every turn, and so are the pages that are reached: a chain of n pages takes
+    about log2(n) turns, each a join that is checkpointed. Of pages with one address, the least link counts.
     """
-    front = pages.filter(F.col(url) == start).select(url, next_url, F.lit(0).alias("step"))
-    seen = front
-    for i in range(1, most):
-        ahead = front.select(F.col(next_url).alias(url)).filter(F.col(url).isNotNull()).join(pages.select(url, next_url), url).join(seen.select(url), url, "left_anti")
-        front = ahead.select(url, next_url, F.lit(i).alias("step")).dropDuplicates([url])
-        if front.isEmpty():
+    checkpoint_folder(pages.sparkSession)
+    links = pages.groupBy(url).agg(F.min(next_url).alias(next_url)).filter(F.col(url).isNotNull())
+    seen = links.filter(F.col(url) == start).select(url, F.lit(0).cast("long").alias("step")).checkpoint()
+    jumps, size = links.select(F.col(url).alias("_from"), F.col(next_url).alias("_to")).join(links.select(F.col(url).alias("_to")), "_to", "left_semi").checkpoint(), 1
+    while True:
+        ahead = seen.join(jumps, F.col(url) == F.col("_from")).select(F.col("_to").alias(url), (F.col("step") + size).alias("step"))
+        wider = seen.unionByName(ahead).groupBy(url).agg(F.min("step").alias("step")).checkpoint()
+        if wider.count() == seen.count():
             break
-        seen = seen.unionByName(front)
-    return seen
+        seen = wider
+        twice = jumps.select(F.col("_from").alias("_start"), F.col("_to").alias("_from")).join(jumps, "_from")
+        jumps, size = twice.select(F.col("_start").alias("_from"), "_to").checkpoint(), 2 * size
+    return links.join(seen, url).select(url, next_url, F.col("step").cast("int").alias("step"))

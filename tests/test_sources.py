@@ -52,6 +52,8 @@ def test_charset_and_json(spark):
     assert [(r.item.title, r.declared) for r in src.pages_to_rows(pages, "body", "title: string", "total").collect()] == [("a", 3), ("b", 3)]
     links = spark.createDataFrame([("p1", "p2"), ("p2", "p3"), ("p3", "p1"), ("p9", None)], "url string, next string")
     assert [(r.url, r.step) for r in src.followed(links, "url", "next", "p1").orderBy("step").collect()] == [("p1", 0), ("p2", 1), ("p3", 2)]
+    chain = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(300)], "url string, next string")
+    assert sorted((r.step, r.url) for r in src.followed(chain, "url", "next", "p0").collect()) == [(i, f"p{i}") for i in range(300)]
 
 
 @pytest.mark.parametrize(
