@@ -1,12 +1,13 @@
 """License scans by a positional index of rare words.
 
-A few short licence rules make the index: every word of a rule has postings (rule, position) and an inverse
-document frequency over the rules. In a file, only places of its highest-IDF licence words are looked up;
-each posting there names a rule and the place where that rule would begin, and places that agree on rule
-and beginning are intersected. A beginning that enough rare words agree on is compared word by word, and
-counts if the coverage is high and every mandatory key phrase stands where the rule has it.
-
-Rows are independent: no shuffle. The index has a few hundred words and goes with the function.
+A pack of licence texts and short notices makes the index: every word has postings (rule, position) and an inverse
+document frequency over the pack. Of the licence words that a file has, those with the highest frequency of this kind are looked
+up: the rarest word of a mandatory phrase of each rule. Each posting there says where its rule would begin. Around that place the postings
+of the rule's rare words are intersected by relative position, a few words of slack allowed for what was inserted or left out; where
+enough agree, the rule's words are aligned with the file's, and it counts if the coverage is high and every
+mandatory phrase stands there whole.
+
+Rows are independent: no shuffle. The index has under two thousand words and goes with the function.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class Rule:
 #: Base phrases: each place where the words stand consecutively counts.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Short notices of well-known licences (fixed values).
+#: Texts and short notices of well-known licences (fixed values).
 RULES = (
     Rule("mit", "released under the mit license", ("mit license",)),
     Rule("mit", "licensed under the mit license", ("mit license",)),
@@ -56,6 +57,14 @@ RULES = (
     Rule("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
     Rule("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Rule("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ("eclipse public license",)),
+    Rule("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("permission is hereby granted free of charge", "without warranty of any kind")),
+    Rule("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice")),
+    Rule("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ("permission to use copy modify and or distribute", "the author disclaims all warranties")),
+    Rule("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("permission is granted to anyone to use this software for any purpose",)),
+    Rule("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ("apache license", "on an as is basis without warranties or conditions of any kind")),
+    Rule("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("general public license", "in the hope that it will be useful")),
+    Rule("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ("free and unencumbered software", "in source code form or as a compiled binary")),
+    Rule("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ("any person or organization obtaining a copy",)),
     Rule("proprietary", "all rights reserved unauthorized copying of this file via any medium is strictly prohibited", ("unauthorized copying of this file",)),
 )
 
@@ -65,48 +74,66 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """The rules by word hash; share: part of a rule's rare words that must agree, cover: part of all its words."""
+    """The rules by word hash; rarest, share: how many rare words of a rule are intersected, and the part that must agree; cover: part of all its words that must be there, in order."""
 
-    def __init__(self, rules: tuple[Rule, ...] = RULES, phrases: tuple[tuple[str, str], ...] = PHRASES, rarest: int = 6, share: float = 0.5, cover: float = 0.8):
+    def __init__(self, rules: tuple[Rule, ...] = RULES, phrases: tuple[tuple[str, str], ...] = PHRASES, rarest: int = 12, share: float = 0.5, cover: float = 0.8):
         self.rules, self.cover = rules, cover
-        self.words = [_hashes(r.text.split()) for r in rules]
-        found = Counter(int(h) for w in self.words for h in set(w.tolist()))
+        self.words = [[int(h) for h in _hashes(r.text.split())] for r in rules]
+        found = Counter(h for w in self.words for h in set(w))
         idf = {h: math.log(1 + len(rules) / n) for h, n in found.items()}
-        #: Of each rare word: the rules and positions that have it.
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.needed: list[int] = []
-        for r, hashes in enumerate(self.words):
-            places = sorted(range(len(hashes)), key=lambda i: (-idf[int(hashes[i])], i))[:rarest]
-            self.needed.append(max(1, math.ceil(share * len(places))))
-            for i in places:
-                self.postings[int(hashes[i])].append((r, i))
-        self.rare = np.array(sorted(self.postings), np.uint64)
-        self.keys = [[self._places(r.text.split(), k.split()) for k in r.keys] for r in rules]
+        self.keys = [[[int(h) for h in _hashes(k.split())] for k in r.keys] or [w] for r, w in zip(rules, self.words, strict=True)]
+        #: Words that may be inserted or missing before the place where a rule's word is looked for.
+        self.slack = [max(2, len(w) // 5) for w in self.words]
+        #: Of each rule: the positions of its rare words, how many must agree, and the bits of each word's positions.
+        self.rare = [sorted(range(len(w)), key=lambda i, w=w: (-idf[w[i]], i))[:rarest] for w in self.words]
+        self.needed = [max(1, math.ceil(share * len(r))) for r in self.rare]
+        self.bits = [{h: sum(1 << i for i, x in enumerate(w) if x == h) for h in set(w)} for w in self.words]
+        #: Of each anchor word: rule, place of the mandatory phrase in it, phrase, and place of the word in the phrase.
+        self.postings: dict[int, list[tuple[int, int, list[int], int]]] = defaultdict(list)
+        for r, (w, keys) in enumerate(zip(self.words, self.keys, strict=True)):
+            key, j = min(((k, j) for k in keys for j in range(len(k))), key=lambda kj: -idf[kj[0][kj[1]]])
+            at = next(i for i in range(len(w)) if w[i : i + len(key)] == key)
+            self.postings[key[j]].append((r, at, key, j))
+        self.anchors = np.array(sorted(self.postings), np.uint64)
         self.phrases = [(_hashes(p.split()), label) for p, label in phrases]
 
-    @staticmethod
-    def _places(text: list[str], phrase: list[str]) -> list[int]:
-        at = next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
-        return list(range(at, at + len(phrase)))
-
     def matches(self, hashes: np.ndarray, places: np.ndarray) -> list[tuple[str, float]]:
-        """Labels and coverage of the rules in one file: its words' hashes, and the places of rare words."""
-        votes: Counter[tuple[int, int]] = Counter()
+        """Labels and coverage of the rules in one file: its words' hashes, and the places of anchors."""
+        found, at_of = [], {}
         for p in places.tolist():
-            for r, i in self.postings[int(hashes[p])]:
-                votes[r, p - i] += 1
-        found = []
-        for (r, begin), n in votes.items():
-            want = self.words[r]
-            if n < self.needed[r]:
-                continue
-            low, high = max(0, -begin), min(len(want), len(hashes) - begin)
-            same = np.zeros(len(want), bool)
-            same[low:high] = hashes[begin + low : begin + high] == want[low:high]
-            if same.mean() >= self.cover and all(same[k].all() for k in self.keys[r]):
-                found.append((self.rules[r].label, float(same.mean())))
+            for r, at, key, j in self.postings[int(hashes[p])]:
+                start = p - j
+                if start < 0 or hashes[start : start + len(key)].tolist() != key:
+                    continue
+                begin, want, slack = start - at, self.words[r], self.slack[r]
+                agree = 0
+                for i in self.rare[r]:
+                    if want[i] not in at_of:
+                        at_of[want[i]] = np.flatnonzero(hashes == np.uint64(want[i]))
+                    where = at_of[want[i]]
+                    next_ = int(np.searchsorted(where, begin + i - slack))
+                    agree += next_ < len(where) and int(where[next_]) <= begin + i + slack
+                if agree < self.needed[r]:
+                    continue
+                around = hashes[max(0, begin - slack) : max(0, begin + len(want) + slack)].tolist()
+                cover = self.aligned(r, around) / len(want)
+                if cover >= self.cover and all(_stands(k, around) for k in self.keys[r]):
+                    found.append((self.rules[r].label, cover))
         return found
 
+    def aligned(self, r: int, around: list[int]) -> int:
+        """The most words of a rule that stand among others in its order (a longest common subsequence, a bit for each word of the rule)."""
+        full = (1 << len(self.words[r])) - 1
+        left, bits = full, self.bits[r]
+        for h in around:
+            hit = left & bits.get(h, 0)
+            left = ((left + hit) | (left - hit)) & full
+        return len(self.words[r]) - left.bit_count()
+
+
+def _stands(phrase: list[int], words: list[int]) -> bool:
+    return any(words[i : i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
+
 
 def _join(labels: set[str]) -> str:
     return ",".join(sorted(labels))
@@ -118,7 +145,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns per row of docs: id_col, n_words, n_base (places where a base phrase stands), first_word and
     last_word (smallest and largest start of one, words from 0; null if none), base_labels and labels
     (distinct, sorted, comma-joined, empty if none; labels has those of verified rules, too), score (the
-    best coverage: 1.0 for a base phrase, a rule's share of words in place, 0.0 if nothing is found). A null
+    best coverage: 1.0 for a base phrase, a rule's share of words in order, 0.0 if nothing is found). A null
     text counts as empty. Repeated rows and ids give a row each; a null id stays null; other columns,
     whatever their names, are not looked at.
     """
@@ -144,8 +171,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 base[t].add(label)
         score = np.where(n_base > 0, 1.0, 0.0)
         labels = [set(x) for x in base]
-        nearest = np.minimum(np.searchsorted(index.rare, hashes), len(index.rare) - 1)
-        rare = np.flatnonzero(index.rare[nearest] == hashes)
+        nearest = np.minimum(np.searchsorted(index.anchors, hashes), len(index.anchors) - 1)
+        rare = np.flatnonzero(index.anchors[nearest] == hashes)
         texts = text_of[rare]
         for t in np.unique(texts).tolist():
             lo, hi = np.searchsorted(texts, [t, t + 1])

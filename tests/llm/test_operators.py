@@ -268,6 +268,61 @@ def test_license_notices(spark):
     assert all(r.label in got[i] for i, r in enumerate(RULES)) and got[99] == [""]
 
 
+def licensed(text, rules, rarest=12, share=0.5, cover=0.8):
+    """Labels of the rules in a text and the best coverage, by plain loops over every place."""
+    w = words(text, True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    found = Counter(x for r in rules for x in set(r.text.split()))
+    idf = {x: math.log(1 + len(rules) / n) for x, n in found.items()}
+    labels, best = set(), 0.0
+    for rule in rules:
+        t = rule.text.split()
+        keys = [k.split() for k in rule.keys] or [t]
+        slack = max(2, len(t) // 5)
+        key, _ = min(((k, j) for k in keys for j in range(len(k))), key=lambda kj: -idf[kj[0][kj[1]]])
+        at = next(i for i in range(len(t)) if t[i : i + len(key)] == key)
+        rare = sorted(range(len(t)), key=lambda i: (-idf[t[i]], i))[:rarest]
+        for start in range(len(w) - len(key) + 1):
+            if w[start : start + len(key)] != key:
+                continue
+            begin = start - at
+            agree = sum(t[i] in w[max(0, begin + i - slack) : max(0, begin + i + slack + 1)] for i in rare)
+            around = w[max(0, begin - slack) : max(0, begin + len(t) + slack)]
+            row = [0] * (len(around) + 1)
+            for x in t:
+                row, old = [0], row
+                for j, y in enumerate(around):
+                    row.append(old[j] + 1 if x == y else max(row[-1], old[j + 1]))
+            whole = all(any(around[i : i + len(k)] == k for i in range(len(around))) for k in keys)
+            if agree >= math.ceil(share * len(rare)) and row[-1] >= cover * len(t) and whole:
+                labels.add(rule.label)
+                best = max(best, row[-1] / len(t))
+    return labels, best
+
+
+def test_license_labels(spark, docs):
+    """Notices whole, with words inserted, left out and changed, and the texts of a table, against plain loops."""
+    from tessera.llm.licenses import PHRASES, RULES, license_scan
+
+    r, rows = random.Random(9), [(x.doc_id, x.text) for x in docs.collect()]
+    for i, rule in enumerate(RULES):
+        for k in range(6):
+            w = rule.text.split()
+            for _ in range(k if k < 4 else len(w) // 4):
+                at = r.randrange(len(w))
+                w[at : at + r.choice([0, 1])] = r.choice([[], ["foo"], ["the", "license"]])
+            rows.append((10**6 + 10 * i + k, "x " * r.randrange(4) + " ".join(w).upper() + " and so on"))
+    out = {x.doc_id: x for x in license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    hits = 0
+    for d, text in rows:
+        labels, best = licensed(text, RULES)
+        plain = " ".join(words(text, True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+        base = {label for p, label in PHRASES if f" {p} " in f" {plain} "}
+        assert set(filter(None, out[d].labels.split(","))) == labels | base, d
+        assert abs(out[d].score - max(best, 1.0 if base else 0.0)) < 1e-9
+        hits += bool(labels - base)
+    assert hits > len(RULES)
+
+
 def linked(rows):
     sets = []
     for _, text in rows:
