@@ -16,7 +16,12 @@ def html_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return src.html_fragments(table(spark, sf, "pages"), "page_id", "html")
 
 
-@query()
+_LINK = """'<a href="([^"]*)"[^>]*>([^<]*)</a>'"""
+_PLAIN = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, {_LINK}, 1)) AS href, unnest(regexp_extract_all(html, {_LINK}, 2)) AS title, unnest(range(0, len(regexp_extract_all(html, {_LINK}, 1)))) AS place FROM pages),
+  u AS (SELECT page_id, CAST(place AS INTEGER) AS place, {_PLAIN.format('href')} AS href, trim({_PLAIN.format('title')}) AS title FROM l) SELECT * FROM u WHERE regexp_matches(href, '^(https?://[a-z.]+)?/') AND regexp_matches(title, '^[A-Za-z]') AND title <> 'The'""")
 def html_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links of pages that start with a word."""
     links = src.html_links(table(spark, sf, "pages"), "page_id", "html")
