@@ -497,6 +497,52 @@ def test_mixing(request, table):
     assert max(Counter((r.doc_id, r.text) for r in mixed.collect()).values(), default=0) <= 6
 
 
+def quotients(votes, seats):
+    own = [0] * len(votes)
+    for _ in range(seats if sum(votes) else 0):
+        own[max(range(len(votes)), key=lambda i: (votes[i] / (2 * own[i] + 1), -i))] += 1
+    return own
+
+
+@pytest.mark.parametrize("table", ["docs", "edges"])
+def test_mixing_takes_by_hand(request, spark, table):
+    """What is taken of each document, block by block in plain Python; Spark only gives the hashes."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.mixing import mix_sources
+
+    df, block, size_of_shard, seed = request.getfixturevalue(table), 32, 3000, 17
+    drawn = df.select("doc_id", "text", "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")).withColumn("deal", F.xxhash64("draw"))
+    rows = [(r.doc_id, r.source, len(words(r.text)), r.draw, r.deal) for r in drawn.collect()]
+    sizes = Counter()
+    for _, s, n, _, _ in rows:
+        sizes[s] += n
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    want = targets(sizes)
+    quota = quotients([want[s] for s in names], math.floor(sum(want.values()) / block + 0.5))
+    shards = []
+    for src, s in enumerate(names, 1):
+        n = max(1, -(-sizes[s] // size_of_shard))
+        own = sorted({r[4] % n for r in rows if r[1] == s})
+        held = [sorted((r[3], r[2], r[0]) for r in rows if r[1] == s and r[4] % n == k) for k in own]
+        takes = quotients([sum(x[1] for x in h) for h in held], quota[src - 1])
+        shards += [(src, s, k, h, t) for k, h, t in zip(own, held, takes, strict=True)]
+    pieces = [(src, k, p) for src, _, k, h, _ in shards for p in range(-(-sum(x[1] for x in h) // block))]
+    order = spark.createDataFrame(pieces, "src int, shard long, piece long").withColumn("h", F.xxhash64(F.lit(seed), "src", "shard", "piece")).collect()
+    hash_of = {(r.src, r.shard, r.piece): r.h for r in order}
+    found = Counter()
+    for src, s, k, held, take in shards:
+        n = -(-sum(x[1] for x in held) // block)
+        take = min(take, 3 * n)
+        place = {p: i for i, p in enumerate(sorted(range(n), key=lambda p: (hash_of[src, k, p], p)))}
+        times = [take // n + (place[p] < take % n) for p in range(n)] if n else []
+        begin = 0
+        for _, size, d in held:
+            found[d, s, size, sum(times[i // block] for i in range(begin, begin + size))] += 1
+            begin += size
+    assert found == Counter((r.doc_id, r.source, r.size, r.taken) for r in mix_sources(df, shard_tokens=size_of_shard).collect())
+
+
 def test_apportion_matches_quotients(spark):
     """Highest quotients one by one give the same seats."""
     from pyspark.sql import functions as F
