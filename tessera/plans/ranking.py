@@ -98,7 +98,7 @@ def explanations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"WITH {EVALUATED}, p AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, p_partkey FROM d WHERE candidate = 2 AND sev_{k} = 2" for k in RULES) + ") SELECT rule, count(DISTINCT p_partkey) AS affected, min(p_partkey) AS first_posting FROM p GROUP BY rule")
-def open_confirmations(spark: SparkSession, sf: str) -> DataFrame:
+def awaited_confirmations(spark: SparkSession, sf: str) -> DataFrame:
     """Per fact that a candidate still has to confirm, the postings that wait for it."""
     each = F.explode(F.array_compact(F.array(*(F.when(F.col(f"rule_{k}") == rules.UNSURE, F.lit(k)) for k in RULES))))
     return evaluated(spark, sf).filter("candidate = 2").select("p_partkey", each.alias("rule")).groupBy("rule").agg(F.countDistinct("p_partkey").alias("affected"), F.min("p_partkey").alias("first_posting"))
