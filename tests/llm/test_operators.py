@@ -198,7 +198,9 @@ def test_warc(spark, tmp_path):
         list(read_records(io.BytesIO(whole[:-5]).read))
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize(("shard", "block", "cells"), [(500, 8, 4096), (50, 2, 4096), (50, 2, 3), (8192, 2048, 4096)])
+def test_neighbours(spark, shard, block, cells):
+    """One cell, many, and cells split to shards."""
     from tessera.llm.neighbours import nearest_neighbours
 
     rng = np.random.default_rng(1)
@@ -206,7 +208,7 @@ def test_neighbours(spark):
     x[17] = x[18]
     rows = [(i, v.tolist(), "r") for i, v in enumerate(x)] + [(3000, None, ""), (3100, [0.0] * 16, ""), (3200, [float("nan")] * 16, ""), (3300, [1.0, None] * 8, ""), (3400, [1.0, 2.0], ""), (None, [1.0] * 16, "")]
     base = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string").repartition(4)
-    out = nearest_neighbours(base, base.filter("vec_id % 100 = 0"), shard=500, block=8).collect()
+    out = nearest_neighbours(base, base.filter("vec_id % 100 = 0"), shard=shard, block=block, cells=cells).collect()
     by: dict[int, list] = {}
     for r in out:
         by.setdefault(r.query_id, []).append(r)
