@@ -175,7 +175,7 @@ def usable(vector: Column) -> Column:
 def _matrix(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     vector = table.column("vector")
     flat = (vector.combine_chunks() if isinstance(vector, pa.ChunkedArray) else vector).flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
 
 
 def _by_length(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
@@ -287,7 +287,9 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int = 10, id_col:
     k + 1 smallest ids, as no other can be among a query's k best. Cells hold about `shard` rows; fuller ones, as there are
     at most `cells`, are split by hash. About `block` queries meet a shard at once.
     """
-    value = F.col(vector_col).cast("array<double>")
+    # floats travel as such; distances are worked out in double precision
+    floats = all(df.schema[vector_col].dataType.simpleString() == "array<float>" for df in (base, queries))
+    value = F.col(vector_col).cast("array<float>" if floats else "array<double>")
     mix = F.pmod(F.xxhash64(F.lit(seed), "id", "vector"), F.lit(1 << 40)).alias("mix")
 
     def clean(df: DataFrame) -> DataFrame:
