@@ -14,6 +14,9 @@ this joins are one component, and no pair inside a component needs another look.
 several components get other leaders. What then remains is looked at whole: on long lists, each set that is
 apart from the main component against all of it, in blocks; else the pairs of different components that share
 enough list entries to be similar at all. All checks compare the whole sets.
+
+That settles the components. All links lie inside them, so their number is counted there, every set with every other of
+its component, block by block as a product of 0-1 matrices; what leaves a block is a number for each set.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ SKETCH, PART, STEPS, MOST_LIGHT = 1 << 22, 1 << 16, 6, 12
 MEMBERS, OTHERS = 256, 1024
 #: Leaders that a list gets at most, and the most entries of a list whose remaining pairs are enumerated as they are.
 ROUNDS, SPARSE = 3, 32
+#: Elements of the sets of a block whose links are counted, and columns of a matrix of them.
+ELEMENTS, STRIP = 1 << 20, 4096
 
 
 def need(s: int, t: int) -> int:
@@ -153,13 +158,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text
 
     Texts are lower-cased (A-Z); words are `[^\\x20\\x09-\\x0D]+`. A text of fewer words than n is one shingle;
     a null, empty or blank text has none and is linked with nothing. Returns per row of docs: id_col (a
-    long), n_shingles, n_links (that were found to other sets; equal sets count as one, and links that its
-    component did not need were not looked for) and component_id (the smallest id that it reaches, itself
-    included; null ids reach but do not count). A repeated id names rows of their own. Other columns,
+    long), n_shingles, n_links (to how many other sets; equal sets count as one) and component_id (the
+    smallest id that it reaches, itself included; null ids reach but do not count). A repeated id names rows of their own. Other columns,
     whatever their names, are not looked at. Shingles are compared by 64-bit hashes.
     """
     texts = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", ["id"])
-    rows = _grouped(texts, n, "id")
+    rows = _grouped(texts, n, "id", counted=True)
     ids = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
     return rows.join(ids, "comp").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "n_links", "component_id")
 
@@ -181,8 +185,8 @@ def one_of_each(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: s
     return texts.over(["row", "words", "doc"], _note(stay, "stay", "row", F.lit(b"")), keep, docs.schema)
 
 
-def _grouped(texts: Chunks, n: int, id_col: str) -> DataFrame:
-    """chunk, row, id, n (shingles), n_links and comp (a row of its component) for each row."""
+def _grouped(texts: Chunks, n: int, id_col: str, counted: bool = False) -> DataFrame:
+    """chunk, row, id, n (shingles) and comp (a row of its component) for each row; counted: n_links, too."""
 
     def describe(rows: pa.Table, notes: dict) -> pa.Table:
         sets = Sets(rows.column("words").combine_chunks(), n)
@@ -198,10 +202,49 @@ def _grouped(texts: Chunks, n: int, id_col: str) -> DataFrame:
     links = _light_links(texts, chosen, n, limit).unionByName(_heavy_links(texts, chosen, n, limit))
     links = kept(links.distinct(), "jaccard-links")
     comps = components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rows = nodes.join(first, ["n", "one", "two"], "left").select("chunk", "row", "id", "n", F.coalesce("node", "row").alias("node"))
-    rows = rows.join(comps, "node", "left").join(degree, "node", "left")
-    return rows.select("chunk", "row", "id", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("comp", "node").alias("comp"))
+    rows = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if counted:
+        rows = rows.join(_link_counts(texts, chosen, comps, n), "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    return rows.drop("node")
+
+
+def _link_counts(texts: Chunks, chosen: DataFrame, comps: DataFrame, n: int) -> DataFrame:
+    """node, n_links of the sets that have links: each block of a component's sets meets itself and each other block once."""
+    members = chosen.join(comps, "node").select("comp", "node", "chunk", "n")
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / OTHERS, F.sum("n") / ELEMENTS)).cast("int").alias("blocks"))
+    members = kept(members.join(sizes, "comp"), "jaccard-members")
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = members.filter("m > 2").select("comp", "node", "chunk", own, other)
+    role = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    group = F.concat_ws("/", "comp", F.least("own", "other"), F.greatest("own", "other"))
+    sent = _sent(texts, dealt.select("chunk", F.col("node").alias("row"), group.alias("group"), role.alias("role")), n)
+
+    def count(table: pa.Table) -> pa.Table:
+        role, row = table.column("role").to_numpy(), table.column("row").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        size = np.array([len(x) for x in sets], np.int64)
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        # an element of one set alone is common to none
+        often = np.bincount(column, minlength=len(values)) > 1
+        owner, column = np.repeat(np.arange(len(sets)), size)[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        whole = (role == 2).all()
+        a, b = (np.arange(len(sets)),) * 2 if whole else (np.flatnonzero(role == 0), np.flatnonzero(role == 1))
+        common = np.zeros((len(a), len(b)))
+        for c in range(0, int(often.sum()), STRIP):
+            begin, end = np.searchsorted(column, [c, c + STRIP])
+            has = np.zeros((len(sets), STRIP), np.float32)
+            has[owner[begin:end], column[begin:end] - c] = 1
+            common += has[a] @ has[b].T
+        near = (100 * common >= 75 * (size[a][:, None] + size[b][None, :] - common)) & (row[a][:, None] != row[b][None, :])
+        counts = near.sum(1) if whole else np.concatenate([near.sum(1), near.sum(0)])
+        return pa.table({"node": row[a] if whole else np.concatenate([row[a], row[b]]), "n_links": pa.array(counts, pa.int64())})
+
+    counted = sent.groupBy("group").applyInArrow(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    # the two sets of a component of two are linked with each other
+    return counted.unionByName(members.filter("m = 2").select("node", F.lit(1).cast("long").alias("n_links")))
 
 
 def _note(df: DataFrame, kind: str, key: str, data) -> DataFrame:

@@ -346,7 +346,13 @@ def linked(rows):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
-    return Counter((d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows))
+    kinds = {frozenset(x) for x in sets}
+
+    def links(a):
+        return sum(1 for b in kinds if a != b and a & b and 100 * len(a & b) >= 75 * len(a | b))
+
+    n_links = {a: links(a) for a in kinds}
+    return Counter((d, len(sets[i]), n_links[frozenset(sets[i])], least.get(root(i))) for i, (d, _) in enumerate(rows))
 
 
 @pytest.mark.parametrize("table", TABLES)
@@ -355,17 +361,21 @@ def test_jaccard(request, table):
 
     df, rows = rows_of(request, table)
     want = linked(rows)
-    assert want == Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect())
+    assert want == Counter((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in jaccard_components(df).collect())
     if table == "edges":
         one = one_of_each(df)
         assert one.columns == df.columns
         assert sorted(str(r.doc_id) for r in one.collect()) == sorted(map(str, [1, 2, 3, 4, 5, None, 6, 7, 9, 10]))
 
 
-def test_jaccard_large_groups(spark):
-    """Small sets, a group of near copies that do not all resemble each other, and a passage that many texts share."""
+@pytest.mark.parametrize(("others", "strip"), [(1024, 4096), (16, 50)])
+def test_jaccard_large_groups(spark, monkeypatch, others, strip):
+    """Small sets, a group of near copies that do not all resemble each other, and a passage that many texts share; with small blocks, too."""
+    from tessera.llm import jaccard
     from tessera.llm.jaccard import jaccard_components
 
+    monkeypatch.setattr(jaccard, "OTHERS", others)
+    monkeypatch.setattr(jaccard, "STRIP", strip)
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -382,7 +392,7 @@ def test_jaccard_large_groups(spark):
     for i in range(400, 480):
         rows.append((i, " ".join([f"p{j}" for j in range(40)] + [f"q{i}x{j}" for j in range(r.choice([8, 30]))])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert linked(rows) == Counter((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(df).collect())
+    assert linked(rows) == Counter((x.doc_id, x.n_shingles, x.n_links, x.component_id) for x in jaccard_components(df).collect())
 
 
 def test_quality(spark, labels, edges, none):
