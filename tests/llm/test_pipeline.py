@@ -26,7 +26,7 @@ def test_stages(spark):
 
     one = kept(near(spark, good, FOLDER), "t")
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    assert {r.doc_id for r in one.collect()} == {c for _, _, c in linked(rows)} and one.exceptAll(good).isEmpty()
+    assert {r.doc_id for r in one.collect()} == {c for *_, c in linked(rows)} and one.exceptAll(good).isEmpty()
 
     clean = kept(cut(spark, one, FOLDER), "t")
     texts = {r.doc_id: r.text for r in one.collect()}
