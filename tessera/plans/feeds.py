@@ -43,16 +43,33 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query(f"""WITH o AS (SELECT user_id AS document, event_id, ts, CASE event_type WHEN 'error' THEN 'GONE' WHEN 'view' THEN 'NOT_MODIFIED' ELSE 'OK' END AS kind, props FROM events WHERE event_type <> 'signup'),
+#: Observations of known documents; far: gone, and long after it was gone before; fars: how many such since it was last there.
+_GONE = f"""WITH o AS (SELECT user_id AS document, event_id, ts, CASE event_type WHEN 'error' THEN 'GONE' WHEN 'view' THEN 'NOT_MODIFIED' ELSE 'OK' END AS kind, props FROM events WHERE event_type <> 'signup'),
   a AS (SELECT *, count(*) FILTER (kind = 'OK') OVER w AS oks, count(*) FILTER (kind <> 'GONE') OVER w AS island FROM o WINDOW w AS (PARTITION BY document ORDER BY ts, event_id)),
   b AS (SELECT *, last_value(CASE WHEN kind = 'OK' THEN props END IGNORE NULLS) OVER (PARTITION BY document ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known, row_number() OVER (PARTITION BY document ORDER BY ts, event_id) AS place,
     coalesce(kind = 'GONE' AND ts - lag(ts) OVER (PARTITION BY document, island, kind = 'GONE' ORDER BY ts, event_id) >= INTERVAL {feeds.APART} SECOND, false) AS far FROM a WHERE oks > 0),
-  c AS (SELECT *, count(*) FILTER (far) OVER (PARTITION BY document, island ORDER BY ts, event_id) AS fars FROM b), off AS (SELECT document, island + 1 AS island FROM c GROUP BY document, island HAVING bool_or(far)),
+  c AS (SELECT *, count(*) FILTER (far) OVER (PARTITION BY document, island ORDER BY ts, event_id) AS fars FROM b)"""
+
+
+@query(f"""{_GONE}, off AS (SELECT document, island + 1 AS island FROM c GROUP BY document, island HAVING bool_or(far)),
   t AS (SELECT c.document, event_id, CASE WHEN place = 1 THEN 'ADDED' WHEN kind = 'GONE' THEN CASE WHEN far AND fars = 1 THEN 'DEACTIVATED' END WHEN (kind = 'OK' AND props <> known) OR off.document IS NOT NULL THEN 'UPDATED' END AS transition FROM c LEFT JOIN off ON off.document = c.document AND off.island = c.island)
   SELECT document, event_id, transition, transition <> 'DEACTIVATED' AS process FROM t WHERE transition IS NOT NULL""")
 def stream_change_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The document state machine over a stream."""
-    return feeds.change_feed(feeds.drained(feeds.document_transitions(feeds.observed(_events(spark, sf))), _folder(spark)))
+    found = feeds.drained(feeds.document_transitions(feeds.observed(_events(spark, sf))), _folder(spark))
+    return feeds.change_feed(found).select("document", "event_id", "transition", "process")
+
+
+@query(f"""{_GONE}, n AS (SELECT *, lead(ts) OVER (PARTITION BY document ORDER BY ts, event_id) AS after FROM c)
+  SELECT document, ts + INTERVAL {feeds.APART} SECOND AS due FROM n WHERE kind = 'GONE' AND fars = 0 AND coalesce(after, (SELECT max(ts) FROM events)) >= ts + INTERVAL {feeds.APART} SECOND""")
+def stream_rechecks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that were gone and are due for another look, told by timers in event time; over two runs, so that timers outlive a run."""
+    batch, folder = spark.read.parquet(f"{sf}/events.parquet"), _folder(spark)
+    for part in ("ts < timestamp_ntz'2024-01-16'", "ts >= timestamp_ntz'2024-01-16'"):
+        batch.filter(part).coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(f"{folder}/in")
+        e = spark.readStream.schema(batch.schema).parquet(f"{folder}/in")
+        out = feeds.drained(feeds.document_transitions(feeds.observed(e)), folder)
+    return out.filter("transition = 'CONFIRM_DUE'").select("document", F.col("at").cast("timestamp_ntz").alias("due"))
 
 
 @query("SELECT DISTINCT user_id, event_type, props FROM events")

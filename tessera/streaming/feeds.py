@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 #: Hours that must lie between two failures to find a document before it counts as gone.
 APART = 6 * 3600
-TRANSITIONS = T.StructType([T.StructField("document", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("transition", T.StringType()), T.StructField("process", T.BooleanType())])
-STATE = T.StructType([T.StructField("print", T.StringType()), T.StructField("active", T.BooleanType()), T.StructField("gone", T.IntegerType()), T.StructField("gone_at", T.DoubleType()), T.StructField("done", T.StringType())])
+TRANSITIONS = T.StructType([T.StructField("document", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("transition", T.StringType()), T.StructField("process", T.BooleanType()), T.StructField("at", T.TimestampType())])
+STATE = T.StructType([T.StructField("print", T.StringType()), T.StructField("active", T.BooleanType()), T.StructField("gone", T.IntegerType()), T.StructField("gone_at", T.DoubleType()), T.StructField("done", T.StringType()), T.StructField("due", T.LongType()), T.StructField("last", T.LongType())])
+#: Keeps the state of streams out of the executors' heaps.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def step(state: tuple | None, kind: str, print_: str | None, at: float) -> tuple[str, bool, tuple | None]:
@@ -41,21 +44,57 @@ def step(state: tuple | None, kind: str, print_: str | None, at: float) -> tuple
     return ("UPDATED" if changed else "UNCHANGED"), changed or now != done, (now, True, 0, None, now)
 
 
-def _transitions(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current = tuple(state.get) if state.exists else None
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        name, process, current = step(current, r.kind, r.print, r.ts.timestamp())
-        out.append((key[0], r.event_id, name, process))
-    if current is not None:
-        state.update(current)
-    yield pd.DataFrame(out, columns=TRANSITIONS.names)
+class DocumentStates(StatefulProcessor):
+    """The state machine of a document over a stream: rows are taken in the parts in which they come, and only the state is kept.
 
+    A document that is gone once is due for another look APART seconds later, which a timer in event time tells, if no
+    observation that says something has come before (T02). Observations older than one already taken are LATE and change nothing.
+    """
 
-def document_transitions(observations: DataFrame) -> DataFrame:
-    """Transitions of documents from a stream of observations (document, event_id, ts, kind, print); state per document."""
-    return observations.groupBy("document").applyInPandasWithState(_transitions, TRANSITIONS, STATE, "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("document", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        *current, due, last = self.kept.get() if self.kept.exists() else (None,) * 7
+        current, timer = None if last is None or current[1] is None else tuple(current), due
+        for part in rows:
+            out = []
+            for r in part.sort_values(["ts", "event_id"], kind="stable").itertuples(index=False):
+                at = r.ts.value // 1000
+                if last is not None and at < last:
+                    out.append((key[0], r.event_id, "LATE", False, r.ts))
+                    continue
+                last = at
+                if due is not None and at >= due:
+                    out.append((key[0], None, "CONFIRM_DUE", False, pd.Timestamp(due, unit="us")))
+                    due = None
+                name, process, current = step(current, r.kind, r.print, at / 1e6)
+                out.append((key[0], r.event_id, name, process, r.ts))
+                if r.kind != "FAILURE":
+                    due = at + APART * 1_000_000 if r.kind == "GONE" and current is not None and current[1] else None
+            yield pd.DataFrame(out, columns=TRANSITIONS.names)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer // 1000)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due // 1000)
+        self.kept.update((*(current or (None,) * 5), due, last))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        *current, due, last = self.kept.get()
+        if due is not None and due // 1000 == expiredTimerInfo.getExpiryTimeInMs():
+            self.kept.update((*current, None, last))
+            yield pd.DataFrame([(key[0], None, "CONFIRM_DUE", False, pd.Timestamp(due, unit="us"))], columns=TRANSITIONS.names)
+
+    def close(self) -> None:
+        pass
+
+
+def document_transitions(observations: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Transitions of documents from a stream of observations (document, event_id, ts, kind, print), a state for each document in the state store.
+
+    Observations must come in their order: those of a batch from one split of a file, or of files that are taken one at a time. Needs a session whose streams keep state in RocksDB, as drained() sees to.
+    """
+    return observations.withWatermark("ts", delay).groupBy("document").transformWithStateInPandas(DocumentStates(), TRANSITIONS, "append", "EventTime")
 
 
 def observed(events: DataFrame) -> DataFrame:
@@ -87,9 +126,14 @@ def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
     out = f"{folder}/out"
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").outputMode("append").start(out)
-    else:
-        query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    before = spark.conf.get(*ROCKSDB[:1], None)
+    spark.conf.set(*ROCKSDB)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").outputMode("append").start(out)
+        else:
+            query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(ROCKSDB[0], before) if before else spark.conf.unset(ROCKSDB[0])
     return spark.read.schema(stream.schema).parquet(out)

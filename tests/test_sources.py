@@ -92,3 +92,53 @@ def test_page_filter_reaches_the_scan(spark):
 
     plan = QUERIES["semi_exists"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(l_returnflag,R)" in plan and "l_extendedprice" not in plan
+
+
+class Handle:
+    """What a processor sees of its state."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.discard(at)
+
+
+def test_a_document_with_many_observations():
+    """A million rows of one key pass in parts: memory stays that of a part; what comes in several batches is the same."""
+    import tracemalloc
+
+    import pandas as pd
+
+    kinds = ["OK", "NOT_MODIFIED", "GONE", "FAILURE", "GONE"]
+
+    def parts(n, start=0):
+        for at in range(start, start + n, 10_000):
+            ids = range(at, at + 10_000)
+            yield pd.DataFrame({"event_id": ids, "ts": pd.to_datetime([i * 4 * 3600 for i in ids], unit="s"), "kind": [kinds[(i * 2654435761 >> 7) % 5] for i in ids], "print": [f"p{i // 50}" for i in ids]})
+
+    handle, machine = Handle(), feeds.DocumentStates()
+    machine.init(handle)
+    tracemalloc.start()
+    rows = sum(len(out) for out in machine.handleInputRows((1,), parts(1_000_000), None))
+    assert rows >= 1_000_000 and tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    one, many = [], []
+    for found, steps in ((one, [(40_000, 0)]), (many, [(10_000, i) for i in range(0, 40_000, 10_000)])):
+        handle, machine = Handle(), feeds.DocumentStates()
+        machine.init(handle)
+        for n, start in steps:
+            found += [r[1:4] for out in machine.handleInputRows((1,), parts(n, start), None) for r in out.itertuples(index=False)]
+            assert len(handle.timers) <= 1
+    assert one == many and {x for _, x, _ in one} >= {"ADDED", "UPDATED", "DEACTIVATED", "CONFIRM_DUE"}
+    late = pd.concat(list(machine.handleInputRows((1,), iter([next(parts(10_000))]), None)))
+    assert set(late.transition) == {"LATE"}
