@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
 from tessera.session import checkpoint_folder
+from tessera.sources.changelog import registered
 from tessera.streaming import feeds
 
 
@@ -84,3 +85,30 @@ def coverage_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Coverage of a period by kind."""
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.groupBy(F.month("ts").cast("long").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 40).alias("high"))
+
+
+def _log(spark: SparkSession, path: str) -> dict[str, str]:
+    registered(spark)
+    return {"path": path, "at": "ts", "key": "event_id"}
+
+
+#: A cursor: half past three on January 9, and the id of the last change that was read at that time.
+CURSOR = {"afterAt": "1704814200000000", "afterKey": "2800"}
+
+
+@query("""SELECT event_id, ts, event_type FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-09 15:30:00', 2800) AND ts < TIMESTAMP '2024-01-20' AND value > 5""")
+def changes_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log after a cursor, through a data source that leaves out row groups by their statistics; the filter on time goes to it, too."""
+    log = spark.read.format("changes").options(**_log(spark, f"{sf}/events.parquet"), **CURSOR).load()
+    return log.filter("ts < timestamp_ntz'2024-01-20' and value > 5").select("event_id", "ts", "event_type")
+
+
+@query("SELECT event_id, ts, user_id FROM events")
+def stream_resumed_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream over the change log whose offset is the cursor: three runs, each over what has been appended, give every change once."""
+    batch, folder = spark.read.parquet(f"{sf}/events.parquet"), _folder(spark)
+    for low, high in ((1, 10), (10, 20), (20, 32)):
+        batch.filter(F.dayofmonth("ts").between(low, high - 1)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.format("changes").options(**_log(spark, f"{folder}/in")).load()
+        out = feeds.drained(stream.select("event_id", "ts", "user_id"), folder)
+    return out

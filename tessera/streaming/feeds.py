@@ -44,6 +44,10 @@ def step(state: tuple | None, kind: str, print_: str | None, at: float) -> tuple
     return ("UPDATED" if changed else "UNCHANGED"), changed or now != done, (now, True, 0, None, now)
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=TRANSITIONS.names).astype({"event_id": "Int64"})
+
+
 class DocumentStates(StatefulProcessor):
     """The state machine of a document over a stream: rows are taken in the parts in which they come, and only the state is kept.
 
@@ -72,7 +76,7 @@ class DocumentStates(StatefulProcessor):
                 out.append((key[0], r.event_id, name, process, r.ts))
                 if r.kind != "FAILURE":
                     due = at + APART * 1_000_000 if r.kind == "GONE" and current is not None and current[1] else None
-            yield pd.DataFrame(out, columns=TRANSITIONS.names)
+            yield _frame(out)
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer // 1000)
         if due is not None and timer != due:
@@ -83,7 +87,7 @@ class DocumentStates(StatefulProcessor):
         *current, due, last = self.kept.get()
         if due is not None and due // 1000 == expiredTimerInfo.getExpiryTimeInMs():
             self.kept.update((*current, None, last))
-            yield pd.DataFrame([(key[0], None, "CONFIRM_DUE", False, pd.Timestamp(due, unit="us"))], columns=TRANSITIONS.names)
+            yield _frame([(key[0], None, "CONFIRM_DUE", False, pd.Timestamp(due, unit="us"))])
 
     def close(self) -> None:
         pass

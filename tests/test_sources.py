@@ -137,8 +137,45 @@ def test_a_document_with_many_observations():
         handle, machine = Handle(), feeds.DocumentStates()
         machine.init(handle)
         for n, start in steps:
-            found += [r[1:4] for out in machine.handleInputRows((1,), parts(n, start), None) for r in out.itertuples(index=False)]
+            found += [(None if pd.isna(r[1]) else r[1], *r[2:4]) for out in machine.handleInputRows((1,), parts(n, start), None) for r in out.itertuples(index=False)]
             assert len(handle.timers) <= 1
     assert one == many and {x for _, x, _ in one} >= {"ADDED", "UPDATED", "DEACTIVATED", "CONFIRM_DUE"}
     late = pd.concat(list(machine.handleInputRows((1,), iter([next(parts(10_000))]), None)))
     assert set(late.transition) == {"LATE"}
+
+
+def test_change_log(spark, tmp_path):
+    """Row groups and filters that cannot match are left out; equal times at the cursor are told apart by id; a resumed read gives each change once."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessera.sources import changelog as log
+
+    log.registered(spark)
+    rows = [(i, i // 7) for i in range(1000)]  # seven changes at a time
+    stamp = lambda t: pa.array([x * 1_000_000 for x in t], pa.timestamp("us"))
+
+    def write(name, part):
+        pq.write_table(pa.table({"id": pa.array([i for i, _ in part], pa.int64()), "at": stamp([t for _, t in part]), "what": [f"c{i}" for i, _ in part]}), tmp_path / "log" / name, row_group_size=100)
+
+    (tmp_path / "log").mkdir()
+    write("a.parquet", rows[:500])
+    options = {"path": str(tmp_path / "log")}
+    full = spark.read.format("changes").options(**options).load()
+    assert full.count() == 500 and full.rdd.getNumPartitions() == 5
+    late = full.filter("at >= timestamp_ntz'1970-01-01 00:01:00' and what <> 'c450'")
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert "1970" not in plan and "c450" in plan and late.rdd.getNumPartitions() == 1
+    assert {r.id for r in late.collect()} == {i for i, t in rows[:500] if t >= 60 and i != 450}
+    after = {"afterAt": str(30 * 1_000_000), "afterKey": "212"}
+    for extra, ids in ((after, {i for i, t in rows[:500] if (t, i) > (30, 212)}), ({"afterAt": "999000000", "afterKey": "0"}, set())):
+        assert {r.id for r in spark.read.format("changes").options(**options, **extra).load().collect()} == ids
+
+    seen = []
+    for part in (rows[:0], rows[500:704], rows[704:1000]):  # 704 is in the midst of equal times
+        if part:
+            write(f"{part[0][0]}.parquet", part)
+        stream = spark.readStream.format("changes").options(**options).load()
+        seen.append(feeds.drained(stream, str(tmp_path / "out")).count())
+    assert seen == [500, 704, 1000]
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()) == [i for i, _ in rows]
