@@ -42,11 +42,42 @@ def lacking(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on), on, "left_anti")
 
 
+def _grams(stems: DataFrame, block: list[str], width: int) -> DataFrame:
+    """block, stem, gram: the distinct runs of `width` characters of each stem."""
+    starts = F.sequence(F.lit(1), F.length("stem") - width + 1)
+    grams = F.array_distinct(F.transform(starts, lambda i: F.substring("stem", i, F.lit(width))))
+    return stems.filter(F.length("stem") >= width).select(*block, "stem", F.explode(grams).alias("gram"))
+
+
+def contained_candidates(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: int, ratio: float) -> DataFrame:
+    """block, a, b: stems of which one may hold the other: of like length, and the longer has the shorter's rarest run of characters.
+
+    What is in a stem has all its runs in it, so one run is enough to look for, and the rarest of the block meets the fewest.
+    """
+    sides = [df.select(*block, F.col(c).alias("stem")).distinct() for df, c in ((left, a), (right, b))]
+    grams = [_grams(s, block, least) for s in sides]
+    counts = grams[0].unionByName(grams[1]).groupBy(*block, "gram").count()
+    out = None
+    for short, long_, names in ((0, 1, (a, b)), (1, 0, (b, a))):
+        rarest = F.min(F.struct("count", "gram"))["gram"]
+        keys = grams[short].join(counts, [*block, "gram"]).groupBy(*block, "stem").agg(rarest.alias("gram"))
+        met = keys.withColumnRenamed("stem", "_short").join(grams[long_].withColumnRenamed("stem", "_long"), [*block, "gram"])
+        near = (F.length("_short") < F.length("_long")) & (F.length("_short") >= ratio * F.length("_long"))
+        part = met.filter(near).select(*block, F.col("_short").alias(names[0]), F.col("_long").alias(names[1]))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def similar_stems(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: int = 12, ratio: float = 0.75) -> DataFrame:
-    """Pairs of a block whose stems are equal, or where the shorter, of `least` characters or more, is in the longer and nearly as long."""
-    short, long_ = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    inside = F.when(F.length(a) <= F.length(b), F.contains(F.col(b), F.col(a))).otherwise(F.contains(F.col(a), F.col(b)))
-    return left.join(right, block).filter((F.col(a) == F.col(b)) | ((short >= least) & (short >= ratio * long_) & inside))
+    """Pairs of a block whose stems are equal, or where the shorter, of `least` characters or more, is in the longer and nearly as long.
+
+    Equal stems meet by an equality; others by contained_candidates, as distinct stems, before their rows are joined to them. A null stem meets none.
+    """
+    pairs = contained_candidates(left, right, block, a, b, least, ratio)
+    pairs = pairs.filter(F.when(F.length(a) < F.length(b), F.contains(F.col(b), F.col(a))).otherwise(F.contains(F.col(a), F.col(b))))
+    equal = left.join(right.withColumn(a, F.col(b)), [*block, a])
+    unlike = left.join(pairs, [*block, a]).join(right, [*block, b])
+    return equal.unionByName(unlike)
 
 
 def resolved(left: DataFrame, matches: DataFrame, key: str, target: str) -> DataFrame:

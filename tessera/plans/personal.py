@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.plans.postings import literal
+from tessera.functions.cron import with_next_run
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -180,6 +181,22 @@ def next_due(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", next_daily(F.col("ts"), 8, 30, "Asia/Shanghai").alias("due"))
 
 
+#: Schedules that sources are dealt, each with its zone.
+SCHEDULES = (("0 30 8 * * *", "Asia/Shanghai"), ("0 0 9-17 * * MON-FRI", "Asia/Shanghai"), ("0 0 6,19 * * *", "UTC"), ("0 0/15 * * * *", "UTC"), ("0 0 0 1 * *", "Asia/Kolkata"), ("0 0 0 L * *", "UTC"), ("0 5 4 ? * 2#1", "Asia/Shanghai"), ("0 0 12 29 2,3 *", "UTC"))
+
+
+@query("""WITH m AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-31 12:00:00', TIMESTAMP '2024-04-02', INTERVAL 5 MINUTE)) AS t), l AS (SELECT t, t + INTERVAL 8 HOUR AS c, t + INTERVAL 330 MINUTE AS i FROM m),
+  r AS (SELECT 0 AS k, t FROM l WHERE hour(c) = 8 AND minute(c) = 30 UNION ALL SELECT 1, t FROM l WHERE hour(c) BETWEEN 9 AND 17 AND minute(c) = 0 AND isodow(c) < 6 UNION ALL SELECT 2, t FROM l WHERE hour(t) IN (6, 19) AND minute(t) = 0
+    UNION ALL SELECT 3, t FROM l WHERE minute(t) % 15 = 0 UNION ALL SELECT 4, t FROM l WHERE day(i) = 1 AND hour(i) = 0 AND minute(i) = 0 UNION ALL SELECT 5, t FROM l WHERE CAST(t AS DATE) = last_day(t) AND hour(t) = 0 AND minute(t) = 0
+    UNION ALL SELECT 6, t FROM l WHERE isodow(c) = 2 AND day(c) <= 7 AND hour(c) = 4 AND minute(c) = 5 UNION ALL SELECT 7, t FROM l WHERE day(t) = 29 AND month(t) IN (2, 3) AND hour(t) = 12 AND minute(t) = 0)
+  SELECT event_id, r.t AS due FROM (SELECT event_id, ts, CAST(event_id % 8 AS INTEGER) AS k FROM events) e ASOF JOIN r ON e.k = r.k AND e.ts < r.t""")
+def next_scheduled(spark: SparkSession, sf: str) -> DataFrame:
+    """the next run of each source by its own schedule, in its own zone."""
+    which = (F.col("event_id") % len(SCHEDULES) + 1).cast("int")
+    e = table(spark, sf, "events").select("event_id", "ts", *(F.element_at(F.array(*map(F.lit, x)), which).alias(n) for n, x in zip(("schedule", "zone"), zip(*SCHEDULES, strict=True), strict=True)))
+    return with_next_run(e, "ts", "schedule", "zone", "due").select("event_id", "due")
+
+
 @query("""WITH x AS (SELECT conv_id, turn, text, turn % 3 = 0 AS heading FROM conversations) SELECT conv_id, turn, last_value(CASE WHEN heading THEN substr(text, 1, 20) END IGNORE NULLS) OVER w AS section, count(*) FILTER (NOT heading) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY NOT heading""")
 def guide_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Questions of a guide under the last heading before them, numbered."""
