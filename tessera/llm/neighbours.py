@@ -284,7 +284,7 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int = 10, id_col:
     on either side; only vectors of equal length meet. An id names a vector: rows of base with the query's
     id are no candidates, repeated queries (same id and vector) count once, and a null id takes no part.
     Other columns, whatever their names, are not looked at. Every row of base is indexed, but of equal vectors only the
-    k + 1 smallest ids, as no other can be among a query's k best. Cells hold about `shard` rows; fuller ones, as there are
+    k + 1 smallest ids, and k rows of each, as no other can be among a query's k best. Cells hold about `shard` rows; fuller ones, as there are
     at most `cells`, are split by hash. About `block` queries meet a shard at once.
     """
     # floats travel as such; distances are worked out in double precision
@@ -295,8 +295,11 @@ def nearest_neighbours(base: DataFrame, queries: DataFrame, k: int = 10, id_col:
     def clean(df: DataFrame) -> DataFrame:
         return df.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), value.alias("vector"), F.size(value).alias("dim")).select("*", mix)
 
-    copy = F.row_number().over(W.partitionBy(F.xxhash64("vector"), "vector").orderBy("id"))
-    base, queries = clean(base).withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy"), clean(queries).distinct()
+    # of equal vectors, so many ids and so many rows of each that none of a query's k best can be missing; one exchange for both
+    copy, again = F.dense_rank().over(W.partitionBy("print", "vector").orderBy("id")), F.row_number().over(W.partitionBy("print", "vector", "id").orderBy("mix"))
+    base = clean(base).withColumn("print", F.xxhash64("vector")).withColumn("copy", copy).filter(F.col("copy") <= k + 1)
+    base = base.withColumn("again", again).filter(F.col("again") <= k).drop("print", "copy", "again")
+    queries = clean(queries).distinct()
     # a row for each vector length: as few as there are kinds of vectors
     counts = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).join(queries.select("dim").distinct(), "dim").collect()}
     known = F.col("dim").isin(list(counts)) if counts else F.lit(False)

@@ -243,6 +243,23 @@ def test_neighbours_of_many_copies(spark):
         assert found == [(k + 1, int(i), 0.0) for k, i in enumerate(copies[copies != q][:10])]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Rows that repeat an id and a vector fill no one's place; they count as rows of their own."""
+    from tessera.llm.neighbours import nearest_neighbours
+
+    one, rng = [1.0, 2.0, 3.0], np.random.default_rng(8)
+    rows = [(100, one)] * 15 + [(200, one), (300, one)] + [(i, rng.normal(0, 1, 3).tolist()) for i in range(1, 20)] + [(7, one)] * 30
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in nearest_neighbours(base, base.filter("vec_id in (100, 200)"), k=5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(found[100]) == [(i, 7, 0.0) for i in range(1, 6)] and sorted(found[200]) == [(i, 7, 0.0) for i in range(1, 6)]
+    base = base.filter("vec_id <> 7")
+    asked = nearest_neighbours(base, base.filter("vec_id = 100"), k=5).orderBy("rank").collect()
+    near = sorted((math.dist(v, one), i) for i, v in rows if i not in (7, 100))[:5]
+    assert [(r.vec_id, r["rank"]) for r in asked] == [(i, k) for k, (_, i) in enumerate(near, 1)] and asked[0].vec_id == 200 and asked[1].vec_id == 300
+
+
 @pytest.mark.parametrize("table", TABLES)
 def test_licenses(request, table):
     from tessera.llm.licenses import license_scan
