@@ -30,7 +30,7 @@ LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 #: Bytes of text that are counted at once, and rows of counts that a task gathers before it hands them on.
 TEXTS, GATHERED = 2 << 20, 1 << 19
 #: Rows of a block of terms, and pairs of groups that are looked at together.
-BLOCK, PAIRS = 1 << 16, 1 << 18
+BLOCK, PAIRS = 1 << 13, 1 << 18
 TALLY = "lang string, source string, term string, docs long, n long"
 
 
