@@ -6,10 +6,11 @@ is sure of, and the other learns from them. On labelled documents that neither h
 seen, each view is calibrated, and the calibrated views are combined; that scores every document. There are two
 such pairs: one for low quality, one for toxic text.
 
-A round is a pass over all unlabelled documents: tasks count words and metadata values of those that a view is sure
-of, in tables of fixed size, and one task refits the views from the sums. The regressions are fitted on bounded
-samples (LABELLED, POOL rows, chosen by a hash of their ids) in that task; the driver holds the sums and the
-fitted tables, and scoring is one more pass.
+The measures of all unlabelled documents are taken once, and stored. A round goes over all of them: tasks count words
+and metadata values of those that a view is sure of, in tables of fixed size; then the regressions, which start from
+the labelled documents, take Newton steps whose sums (a few dozen numbers a side) come from all that a view is sure of,
+weighing together as much as the labelled ones. Only labelled documents are bounded (LABELLED, chosen by a hash of their
+ids); the driver holds the sums, the fitted tables and the labelled documents' columns, and scoring is one more pass.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,13 +30,15 @@ from pyspark.sql import types as T
 from tessera.llm.storage import kept
 from tessera.llm.words import Words, counted, slices, sums_by
 
-#: Bounds of the fitting samples: labelled documents, and unlabelled ones for the regressions.
-LABELLED, POOL = 8000, 4000
+#: Labelled documents that are fitted on, at most.
+LABELLED = 8000
 #: Buckets of hashed words and of hashed metadata values; documents that must hold a word before it counts.
 BUCKETS, VALUES, SUPPORT = 1 << 18, 1 << 12, 3
-ROUNDS, SURE = 4, 0.97
-#: Counts of a part that is summed on its own.
-PART = 1 << 13
+ROUNDS, STEPS, SURE = 4, 2, 0.97
+#: Sums of a task become whole numbers by this, so that their order does not matter.
+EXACT = 1 << 24
+#: Numbers of a part that is summed on its own; groups of tasks that are summed first; words that are looked at together.
+PART, LANES, WORDS = 1 << 13, 64, 1 << 19
 #: Highest share of good labelled documents that a threshold may reject.
 LOSS = 0.002
 
@@ -45,22 +49,29 @@ def _log_odds(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int) -> np.
 
 
 class Logistic:
-    """Logistic regression on standardised columns, by Newton steps with a ridge; classes weigh alike in `balanced`."""
+    """Logistic regression on standardised columns, by Newton steps with a ridge."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
-        z = self._with_one(x)
-        self.w = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge)
-        penalty[0] = 1e-6
+        self.penalty = np.full(x.shape[1] + 1, ridge)
+        self.penalty[0] = 1e-6
+        self.w = np.zeros(x.shape[1] + 1)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            h = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty)
-            step = np.linalg.solve(h, z.T @ (y - p) - penalty * self.w)
-            self.w += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
+            if self.stepped(self.sums(x, y)) < 1e-6:
                 break
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """X'WX and X'(y - p), side by side, at the present weights."""
+        z = self._with_one(x)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return np.concatenate([(z * (p * (1 - p) + 1e-9)[:, None]).T @ z, (z.T @ (y - p))[:, None]], 1)
+
+    def stepped(self, sums: np.ndarray) -> float:
+        """Takes a step; how far it went."""
+        step = np.clip(np.linalg.solve(sums[:, :-1] + np.diag(self.penalty), sums[:, -1] - self.penalty * self.w), -5, 5)
+        self.w += step
+        return float(np.abs(step).max())
+
     def _with_one(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.ones((len(x), 1)), np.clip((x - self.mean) / self.scale, -8, 8)], 1)
 
@@ -146,7 +157,7 @@ class Counts:
 
 
 class TextView:
-    """Log odds of hashed words from one half of the rows and from counts, then a regression on them and the surface from the other half."""
+    """Log odds of hashed words from one half of the labelled rows and from counts, then a regression on them and the surface of the other half."""
 
     def __init__(self, rows: Rows, y: np.ndarray, counts: Counts):
         half = np.arange(len(rows)) % 2 == 0
@@ -155,7 +166,8 @@ class TextView:
         bad, good = (np.bincount(own.words[label == v], minlength=BUCKETS) + counts.words[v] for v in (1, 0))
         self.odds = _log_odds(bad, good, int(y[half].sum() + counts.n[0, 1]), int((1 - y[half]).sum() + counts.n[0, 0]))
         rest = np.flatnonzero(~half)
-        self.model = Logistic(self.columns(rows.take(rest)), y[rest])
+        self.x, self.y = self.columns(rows.take(rest)), y[rest]
+        self.model = Logistic(self.x, self.y)
 
     def columns(self, rows: Rows) -> np.ndarray:
         w, n = self.odds[rows.words].astype(float), np.maximum(np.diff(rows.first), 1)
@@ -170,12 +182,13 @@ class TextView:
 
 
 class MetaView:
-    """Log odds of the metadata's values from rows and counts, and a regression on them and its numbers."""
+    """Log odds of the metadata's values from labelled rows and counts, and a regression on them and its numbers."""
 
     def __init__(self, rows: Rows, y: np.ndarray, counts: Counts):
         n_bad, n_good = int(y.sum() + counts.n[1, 1]), int((1 - y).sum() + counts.n[1, 0])
         self.odds = [_log_odds(*(np.bincount(rows.meta[y == v, i], minlength=VALUES) + counts.values[i, v] for v in (1, 0)), n_bad, n_good) for i in range(rows.meta.shape[1])]
-        self.model = Logistic(self.columns(rows), y)
+        self.x, self.y = self.columns(rows), y
+        self.model = Logistic(self.x, self.y)
 
     def columns(self, rows: Rows) -> np.ndarray:
         return np.concatenate([np.stack([o[rows.meta[:, i]] for i, o in enumerate(self.odds)], 1) if self.odds else np.zeros((len(rows), 0)), rows.numbers], 1)
@@ -191,26 +204,40 @@ def _both(y: np.ndarray, least: int = 2) -> bool:
 class CoTrained:
     """Two views, their calibration and combination, and the threshold from which a document is rejected.
 
-    They learn from labelled rows, from what the models of the round before are sure of in the pool, and from counts of the same
-    over all other unlabelled documents.
+    The views' tables come from labelled rows and from counts over the unlabelled documents that the models of the round
+    before were sure of; taught() lets their regressions learn from the same documents.
     """
 
-    def __init__(self, rows: Rows, y: np.ndarray, pool: Rows, before: CoTrained | None, counts: Counts):
+    def __init__(self, rows: Rows, y: np.ndarray, counts: Counts):
         turn = np.arange(len(rows)) % 10
         fit, rest = np.flatnonzero(turn < 7), np.flatnonzero(turn >= 7)
-        own: list[tuple[list[Rows], list[np.ndarray]]] = [([rows.take(fit)], [y[fit]]) for _ in range(2)]
-        if before and len(pool):
-            for me, label in enumerate(before.sure(pool)):
-                at = np.flatnonzero(label >= 0)
-                own[1 - me][0].append(pool.take(at))
-                own[1 - me][1].append(label[at])
-        self.views = [kind(_joined(r), np.concatenate(l), counts) for kind, (r, l) in zip((TextView, MetaView), own, strict=True)]
+        self.views = [kind(rows.take(fit), y[fit], counts) for kind in (TextView, MetaView)]
         held = rows.take(rest)
-        self.scales = [Logistic(v.logit(held)[:, None], y[rest]) for v in self.views]
-        self.final = Logistic(self._scaled(held), y[rest])
-        good = np.sort(self.chances(held)[2][y[rest] == 0])
+        self.held, self.held_y = [v.columns(held) for v in self.views], y[rest]
+        self._calibrated()
+
+    def _calibrated(self) -> None:
+        logits = [v.model.logit(x) for v, x in zip(self.views, self.held, strict=True)]
+        self.scales = [Logistic(x[:, None], self.held_y) for x in logits]
+        scaled = np.stack([s.logit(x[:, None]) for s, x in zip(self.scales, logits, strict=True)], 1)
+        self.final = Logistic(scaled, self.held_y)
+        good = np.sort((1 / (1 + np.exp(-self.final.logit(scaled))))[self.held_y == 0])
         self.threshold = max(0.5, float(good[int(np.ceil((1 - LOSS) * len(good))) - 1])) if len(good) else 0.5
 
+    def lesson(self, rows: Rows, before: CoTrained) -> list[tuple[np.ndarray, int]]:
+        """For each view, the Newton sums of the rows that the other view of the models before is sure of, and how many they are."""
+        out = []
+        for view, label in zip(self.views, reversed(before.sure(rows)), strict=True):
+            at = np.flatnonzero(label >= 0)
+            out.append((view.model.sums(view.columns(rows.take(at)), label[at]), len(at)))
+        return out
+
+    def taught(self, lessons: list[tuple[np.ndarray, int]]) -> None:
+        """A Newton step on the labelled rows and the sums of others, which weigh as much as the labelled ones at most."""
+        for view, (sums, n) in zip(self.views, lessons, strict=True):
+            view.model.stepped(view.model.sums(view.x, view.y) + sums * min(1.0, len(view.y) / max(n, 1)))
+        self._calibrated()
+
     def sure(self, rows: Rows) -> list[np.ndarray]:
         """For each view, the label that it is sure of, or -1; where the views are sure of different ones, only the surer says it."""
         logits = [v.logit(rows) for v in self.views]
@@ -229,11 +256,6 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-v)) for v in (x[:, 0], x[:, 1], self.final.logit(x)))
 
 
-def _joined(parts: list[Rows]) -> Rows:
-    firsts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))])
-    return Rows(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("surface", "words")), firsts, *(np.concatenate([getattr(p, k) for p in parts]) for k in ("meta", "numbers")))
-
-
 Models = tuple[CoTrained | None, CoTrained | None]
 
 
@@ -258,7 +280,7 @@ class Fitted:
         return out, stays
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...], numbers: tuple[str, ...], labelled: int, pool: int) -> Fitted:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta: tuple[str, ...], numbers: tuple[str, ...], labelled: int) -> Fitted:
     """Fits on at most `labelled` labelled documents and all others; see quality_scores."""
     meta, numbers = tuple(c for c in meta if c in docs.columns), tuple(c for c in numbers if c in docs.columns)
     named = [F.col(text_col).cast("string").alias("t"), *(F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(numbers))]
@@ -266,84 +288,147 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     draw = F.xxhash64(F.lit(23), "id")
     given = labels.select(F.col(id_col).alias("id"), "quality", "toxic").filter("id is not null").groupBy("id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("bad"))
     chosen = given.orderBy(draw, "id").limit(labelled)
-    others = documents.select("id").filter("id is not null").distinct().join(F.broadcast(chosen.select("id")), "id", "left_anti").orderBy(draw, "id").limit(pool)
-    chosen = kept(chosen.unionByName(others, allowMissingColumns=True), "quality-chosen")  # at most labelled + pool rows
-    sample = documents.join(F.broadcast(chosen), "id").groupBy("id", "low", "bad").agg(F.min("doc").alias("doc")).select(draw.alias("draw"), "low", "bad", "doc.*")
-    wide, narrow = (T.ArrayType(t) for t in (T.DoubleType(), T.IntegerType()))
-    schema = T.StructType([*(T.StructField(c, t) for c, t in (("draw", T.LongType()), ("low", T.DoubleType()), ("bad", T.DoubleType()))), T.StructField("surface", wide), T.StructField("words", narrow), T.StructField("meta", narrow), T.StructField("numbers", wide)])
+    # of a labelled id with several texts the first is the labelled one; the others are documents as all others
+    chosen = kept(documents.join(F.broadcast(chosen), "id").groupBy("id", "low", "bad").agg(F.min("doc").alias("doc")), "quality-chosen")  # at most `labelled` rows
+    lists = {"surface": T.DoubleType(), "words": T.IntegerType(), "meta": T.IntegerType(), "numbers": T.DoubleType()}
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "t"):
-                rows = rows_of(part.column("t"), [part.column(f"m{i}") for i in range(len(meta))], [part.column(f"x{i}") for i in range(len(numbers))])
-                lists = [pa.array(list(rows.surface), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(rows.first, pa.int32()), pa.array(rows.words, pa.int32())), pa.array(list(rows.meta.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(rows.numbers), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([part.column("draw"), *(part.column(c).cast(pa.float64()) for c in ("low", "bad")), *lists], names=schema.names)
+    def measured(rows: DataFrame, others: list[str], name: str) -> DataFrame:
+        """The measures of each row, stored."""
+        schema = T.StructType([*(rows.schema[c] for c in others), *(T.StructField(c, T.ArrayType(t)) for c, t in lists.items())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "t"):
+                    x = rows_of(part.column("t"), [part.column(f"m{i}") for i in range(len(meta))], [part.column(f"x{i}") for i in range(len(numbers))])
+                    columns = [pa.array(list(x.surface), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(x.first, pa.int32()), pa.array(x.words, pa.int32())), pa.array(list(x.meta.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(x.numbers), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], names=schema.names)
+
+        return kept(rows.mapInArrow(run, schema), name)
 
-    sample = kept(sample.mapInArrow(features, schema), "quality-sample")
-    rest = documents.join(F.broadcast(chosen.select("id")), "id", "left_anti").select("doc.*")
+    sample = measured(chosen.select(draw.alias("draw"), F.col("low").cast("double").alias("low"), F.col("bad").cast("double").alias("bad"), "doc.*"), ["draw", "low", "bad"], "quality-sample")
     context = docs.sparkSession.sparkContext
 
-    def fitted(before: Models, counts: list[Counts]) -> Models:
-        told = context.broadcast((before, [c.flat for c in counts]))
+    def fitted(counts: list[Counts]) -> Models:
+        told = context.broadcast([c.flat for c in counts])
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts := [b for b in batches if b.num_rows]:
                 table = pa.Table.from_batches(parts)
-                models = _models(table.take(pc.sort_indices(table["draw"])), told.value[0], [Counts(len(meta), flat) for flat in told.value[1]])
+                models = _models(table.take(pc.sort_indices(table["draw"])), [Counts(len(meta), flat) for flat in told.value])
                 yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(models)], pa.binary())})
 
-        found = sample.repartition(1).mapInArrow(fit, "models binary").first()  # at most labelled + pool rows in
+        found = sample.repartition(1).mapInArrow(fit, "models binary").first()  # at most `labelled` rows in
         told.unpersist()
         return pickle.loads(found["models"]) if found else (None, None)
 
-    def counts_of(models: Models) -> list[Counts]:
-        """Over all documents outside the sample."""
-        told = context.broadcast(models)
+    models = fitted([Counts(len(meta)) for _ in range(2)])
+    if not any(models):
+        return Fitted(models, text_col, meta, numbers)
+    own = F.broadcast(chosen.select("id", F.xxhash64("doc").alias("print")))
+    rest = documents.join(own, (documents["id"] == own["id"]) & (F.xxhash64(documents["doc"]) == own["print"]), "left_anti")
+    rest = measured(rest.select("doc.*"), [], "quality-measures")
+    for _ in range(ROUNDS):
+        before, counts = models, _counts_of(rest, models, len(meta))
+        models = fitted(counts)
+        for _ in range(STEPS):
+            for model, lessons in zip(models, _lessons(rest, models, before), strict=True):
+                if model:
+                    model.taught(lessons)
+    return Fitted(models, text_col, meta, numbers)
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = [Counts(len(meta)) for _ in told.value]
-            for batch in batches:
-                for part in slices(batch, "t"):
-                    rows = rows_of(part.column("t"), [part.column(f"m{i}") for i in range(len(meta))], [part.column(f"x{i}") for i in range(len(numbers))])
-                    for own, model in zip(counts, told.value, strict=True):
-                        if model:
-                            own.add(rows, *model.sure(rows))
-            flat = np.concatenate([c.flat for c in counts])
-            for i, at in enumerate(range(0, len(flat), PART)):
-                if flat[at : at + PART].any():
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "data": pa.array([flat[at : at + PART].tobytes()], pa.binary())})
-
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
-            return pa.table({"part": table.column("part")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-        counts = [Counts(len(meta)) for _ in models]
-        flat = np.concatenate([c.flat for c in counts])
-        # tables of fixed size, whatever the number of documents
-        for row in rest.mapInArrow(count, "part int, data binary").groupBy("part").applyInArrow(add, "part int, data binary").collect():
-            x = np.frombuffer(row["data"], np.int64)
-            flat[row["part"] * PART : row["part"] * PART + len(x)] = x
-        told.unpersist()
-        return [Counts(len(meta), x) for x in np.split(flat, len(models))]
 
-    models = fitted((None, None), [Counts(len(meta)) for _ in range(2)])
-    for _ in range(ROUNDS if any(models) else 0):
-        models = fitted(models, counts_of(models))
-    return Fitted(models, text_col, meta, numbers)
+def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Sums of the tasks' tables by part (part int, lane int, data: whole numbers), in two steps, so that no task gets a row of every other."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
+        return pa.table({"part": table.column("part")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+
+    first = rows.groupBy("part", "lane").applyInArrow(add, "part int, data binary")
+    return {r["part"]: np.frombuffer(r["data"], np.int64) for r in first.groupBy("part").applyInArrow(add, "part int, data binary").collect()}
+
+
+def _parts(flat: np.ndarray, lane: int) -> Iterator[pa.RecordBatch]:
+    for i, at in enumerate(range(0, len(flat), PART)):
+        if flat[at : at + PART].any():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "lane": pa.array([lane], pa.int32()), "data": pa.array([flat[at : at + PART].tobytes()], pa.binary())})
+
+
+def _lane() -> int:
+    return TaskContext.get().partitionId() % LANES
+
+
+def _counts_of(rest: DataFrame, models: Models, n_meta: int) -> list[Counts]:
+    """Over all unlabelled documents, for each model; tables of fixed size, whatever the number of documents."""
+    told = rest.sparkSession.sparkContext.broadcast(models)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counts(n_meta) for _ in told.value]
+        for rows in _stored(batches):
+            for own, model in zip(counts, told.value, strict=True):
+                if model:
+                    own.add(rows, *model.sure(rows))
+        yield from _parts(np.concatenate([c.flat for c in counts]), _lane())
 
-def _models(table: pa.Table, before: Models, counts: list[Counts]) -> Models:
+    flat = np.concatenate([Counts(n_meta).flat for _ in models])
+    for part, x in _summed(rest.mapInArrow(count, "part int, lane int, data binary")).items():
+        flat[part * PART : part * PART + len(x)] = x
+    told.unpersist()
+    return [Counts(n_meta, x) for x in np.split(flat, len(models))]
+
+
+def _lessons(rest: DataFrame, models: Models, before: Models) -> list[list[tuple[np.ndarray, int]]]:
+    """For each model and view, the Newton sums over all unlabelled documents that the other view was sure of before, and their number."""
+    told = rest.sparkSession.sparkContext.broadcast((models, before))
+    shapes = [[(len(v.model.w), len(v.model.w) + 1) for v in m.views] if m else [] for m in models]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [[[np.zeros(s), 0] for s in own] for own in shapes]
+        for rows in _stored(batches):
+            for total, model, old in zip(totals, *told.value, strict=True):
+                for mine, (sums, n) in zip(total, model.lesson(rows, old) if model else (), strict=True):
+                    mine[0] += sums
+                    mine[1] += n
+        flat = [np.append(np.rint(sums.ravel() * EXACT), n) for own in totals for sums, n in own]
+        yield from _parts(np.concatenate(flat).astype(np.int64), _lane())
+
+    flat = np.zeros(sum(a * b + 1 for own in shapes for a, b in own), np.int64)
+    for part, x in _summed(rest.mapInArrow(learn, "part int, lane int, data binary")).items():
+        flat[part * PART : part * PART + len(x)] = x
+    told.unpersist()
+    out, at = [], 0
+    for own in shapes:
+        out.append([])
+        for a, b in own:
+            out[-1].append((flat[at : at + a * b].reshape(a, b) / EXACT, int(flat[at + a * b])))
+            at += a * b + 1
+    return out
+
+
+def _models(table: pa.Table, counts: list[Counts]) -> Models:
     """The models for low quality and for toxic text; None where either kind of label is missing."""
     rows, models = _unpacked(table), []
-    for head, last, own in zip(("low", "bad"), before, counts, strict=True):
+    for head, own in zip(("low", "bad"), counts, strict=True):
         y = table.column(head).to_numpy()
-        known, free = np.flatnonzero(~np.isnan(y)), np.flatnonzero(np.isnan(y))
+        known = np.flatnonzero(~np.isnan(y))
         turn = np.arange(len(known)) % 10
         enough = len(known) and all(_both(y[known][m].astype(int)) for m in (turn < 7, turn >= 7))
-        models.append(CoTrained(rows.take(known), y[known].astype(int), rows.take(free), last, own) if enough else None)
+        models.append(CoTrained(rows.take(known), y[known].astype(int), own) if enough else None)
     return tuple(models)
 
 
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+    """Stored measures, a bounded number of words at a time."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(batch.column("words").value_lengths(), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + WORDS, "right")))
+            yield _unpacked(pa.Table.from_batches([batch.slice(at, to - at)]))
+            at = to
+
+
 def _unpacked(table: pa.Table) -> Rows:
     n = table.num_rows
     lists = {c: table.column(c).combine_chunks() for c in ("surface", "words", "meta", "numbers")}
@@ -352,7 +437,7 @@ def _unpacked(table: pa.Table) -> Rows:
     return Rows(flat["surface"].reshape(n, -1), flat["words"], first, flat["meta"].reshape(n, -1), flat["numbers"].reshape(n, -1))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"), numbers: tuple[str, ...] = ("n_chars",), labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"), numbers: tuple[str, ...] = ("n_chars",), labelled: int = LABELLED) -> DataFrame:
     """Chances that each document is of low quality or toxic, and whether it is kept.
 
     labels has id_col, quality and toxic (0 or 1; a null says nothing; of repeated labels the worse counts).
@@ -361,10 +446,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     thresholds). If the sample lacks either kind of label, that chance is 0 and rejects nothing. A null text counts
     as empty; null metadata is a value of its own; columns of meta and numbers that docs lacks are left out, and
     other columns, whatever their names, are not looked at. Repeated rows and ids give a row each. At most
-    `labelled` labelled documents count as such; words and metadata values are learned from all others, too,
-    the regressions on top from `pool` of them.
+    `labelled` labelled documents count as such; words, metadata values and regressions are learned from all others, too.
     """
-    fitted = fit_quality(docs, labels, id_col, text_col, meta, numbers, labelled, pool)
+    fitted = fit_quality(docs, labels, id_col, text_col, meta, numbers, labelled)
     names = ["text_low", "meta_low", "low_quality", "text_toxic", "meta_toxic", "toxic", "score"]
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(k, T.DoubleType()) for k in names), T.StructField("kept", T.BooleanType())])
 
@@ -378,9 +462,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return docs.select(*dict.fromkeys([id_col, text_col, *fitted.meta, *fitted.numbers])).mapInArrow(run, schema)
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"), numbers: tuple[str, ...] = ("n_chars",), labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta: tuple[str, ...] = ("source", "lang"), numbers: tuple[str, ...] = ("n_chars",), labelled: int = LABELLED) -> DataFrame:
     """The rows of docs, unchanged, that quality_scores keeps."""
-    fitted = fit_quality(docs, labels, id_col, text_col, meta, numbers, labelled, pool)
+    fitted = fit_quality(docs, labels, id_col, text_col, meta, numbers, labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -430,6 +430,57 @@ def test_quality(spark, labels, edges, none):
     assert len(quality_scores(edges, seen).collect()) == len(EDGES)
 
 
+def test_quality_in_one_process(spark):
+    """The same rounds over all rows at once, in memory; and an id with several texts, of which one is labelled and the others are not."""
+    import pyarrow as pa
+
+    from tessera.llm import quality as q
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    first = labels.limit(1).first().doc_id
+    docs = docs.unionByName(spark.createDataFrame([(first, f"zz {i} " * 40, "s", "en", 5) for i in range(3)], docs.schema)).repartition(5)
+    table = docs.toPandas()
+    seen = {r.doc_id: (1.0 - r.quality, float(r.toxic)) for r in labels.collect()}
+    draws = {r.doc_id: r.d for r in spark.createDataFrame([(i,) for i in seen], "doc_id long").selectExpr("doc_id", "xxhash64(23, doc_id) as d").collect()}
+
+    def rows_at(keep):
+        x = table.iloc[keep] if isinstance(keep, list) else table[keep]
+        return q.rows_of(pa.array(list(x.text)), [pa.array(list(x.source)), pa.array(list(x.lang))], [pa.array(list(x.n_chars.astype(float)))])
+
+    texts = table[table.doc_id.isin(seen)].sort_values(["doc_id", "text", "source", "lang"]).drop_duplicates("doc_id").text
+    known = table.index.isin(texts.index)
+    order = sorted(np.flatnonzero(known).tolist(), key=lambda i: draws[table.doc_id[i]])
+    labelled, rest = rows_at(order), rows_at(~known)
+    models = []
+    for head in (0, 1):
+        y = np.array([int(seen[table.doc_id[i]][head]) for i in order])
+        model = q.CoTrained(labelled, y, q.Counts(2))
+        for _ in range(q.ROUNDS):
+            before, counts = model, q.Counts(2)
+            counts.add(rest, *before.sure(rest))
+            model = q.CoTrained(labelled, y, counts)
+            for _ in range(q.STEPS):
+                model.taught(model.lesson(rest, before))
+        models.append(model)
+    want = [m.chances(rows_at([*range(len(table))]))[2] for m in models]
+    pairs = {(d, round(a, 5), round(b, 5)) for d, a, b in zip(table.doc_id, *want, strict=True)}
+    assert pairs == {(r.doc_id, round(r.low_quality, 5), round(r.toxic, 5)) for r in q.quality_scores(docs, labels).collect()}
+
+
+def test_regression():
+    """Where the steps end, the penalised gradient is nothing; sums of parts are those of the whole."""
+    from tessera.llm.quality import Logistic
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 2, (300, 4))
+    y = (x[:, 0] + rng.normal(0, 2, 300) > 0.5).astype(int)
+    model = Logistic(x, y)
+    whole = model.sums(x, y)
+    assert np.abs(whole[:, -1] - model.penalty * model.w).max() < 1e-6
+    assert np.allclose(whole, model.sums(x[:100], y[:100]) + model.sums(x[100:], y[100:]))
+
+
 def test_quality_learns_from_all_unlabelled(spark):
     """Kinds of toxic and junk words that no labelled document holds; only the metadata of unlabelled ones gives them away."""
     from tessera.llm.quality import quality_scores
@@ -463,7 +514,7 @@ def test_quality_learns_from_all_unlabelled(spark):
     planted = {put(text(kind, 1 + i % 8), r.choice("mno")) for kind in ("toxic", "junk") for i in range(40)}
     clean = {put(text(), r.choice("mno")) for _ in range(200)}
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
-    out = {x.doc_id: x.kept for x in quality_scores(df, spark.createDataFrame(seen, "doc_id long, quality int, toxic int"), pool=40).collect()}
+    out = {x.doc_id: x.kept for x in quality_scores(df, spark.createDataFrame(seen, "doc_id long, quality int, toxic int")).collect()}
     assert sum(out[d] for d in planted) <= 4
     assert sum(out[d] for d in clean) >= 190
 
