@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: What the open scratch blocks have made: folders, and names of tables.
-_OPEN: list[tuple[list[str], list[str]]] = []
+from tessera.session import checkpoint_folder
+
+#: What the innermost open scratch block of a thread has made: folders, and names of tables.
+_OPEN: ContextVar[tuple[list[str], list[str]] | None] = ContextVar("scratch", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, a folder of this machine if Spark runs on this machine alone, as in tests; else an error."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    where = where or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    """The checkpoint folder that the driver and all executors share."""
+    return checkpoint_folder(spark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    for folders, _ in _OPEN:
-        folders.append(path)
+    if made := _OPEN.get():
+        made[0].append(path)
     return path
 
 
 def noted_table(name: str) -> None:
-    """Tells the open scratch blocks of a table in the catalog."""
-    for _, tables in _OPEN:
-        tables.append(name)
+    """Tells the open scratch block of a table in the catalog."""
+    if made := _OPEN.get():
+        made[1].append(name)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Drops, at its end, the tables and folders that operators made in it. What they return must be written by then, to a folder made outside."""
+    """Drops, at its end, the tables and folders that operators made in it, in this thread. What they return must be written by then, to a folder made outside."""
     made: tuple[list[str], list[str]] = ([], [])
-    _OPEN.append(made)
+    before = _OPEN.set(made)
     try:
         yield
     finally:
-        _OPEN.remove(made)
+        _OPEN.reset(before)
         for table in made[1]:
             spark.sql(f"DROP TABLE IF EXISTS {table}")
         for folder in made[0]:
