@@ -28,11 +28,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the driver and all executors share; one of this machine only where none is set and Spark runs on this machine alone."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
     return where.rstrip("/")
