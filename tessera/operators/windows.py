@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint_folder
+
 
 def islands(df: DataFrame, by: list[str], start: str, end: str, until: Column | None = None, gap: int = 1) -> DataFrame:
     """Intervals of dates merged where they overlap or lie within `gap` days; clipped at `until`."""
@@ -59,3 +61,16 @@ def page_checks(rows: DataFrame, page: str, row: str, content: Column) -> DataFr
     pages = marked.groupBy(page).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("_new").alias("n_new"), F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("_content"))), 256).alias("print"))
     same = F.row_number().over(W.partitionBy("print").orderBy(page)) > 1
     return pages.withColumn("repeated", same).withColumn("no_progress", F.col("n_new") == 0).drop("print")
+
+
+def placed(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Every row's place in the order of all (from 1), without bringing them to one task: ranges are sorted side by side, and each goes on where the one before it ends.
+
+    order must tell all rows apart. Cuts lineage with a checkpoint of the sorted rows, whose partitions are then counted: a number for each.
+    """
+    checkpoint_folder(df.sparkSession)
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}).checkpoint()
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.col("_row") - F.shiftleft(F.col("_range").cast("long"), 33)
+    return ranges.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + own + 1).drop("_range", "_row", "_before")

@@ -7,6 +7,8 @@ takes the listed value, so a parser that is wrong shows.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,17 +96,23 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(PROFILES, CANDIDATE.replace(" date", " string"))
-    return rows.withColumns({c: F.col(c).cast("date") for c in ("born", "born_last")})
+    return rows.withColumns({c: F.col(c).cast("date") for c in ("born", "born_last")}).withColumnsRenamed({"education": "own_education", "gender": "own_gender"})
+
+
+#: Decisions of the given candidates, by session and folder: their plan is long, so it is built and analysed once.
+_EVALUATED: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    """Every posting for every candidate: the status of each rule, the points of each dimension, and what follows.
+    """Every posting for each of the given candidates (PROFILES, a fixed few that go to the postings); see decided(). Of many candidates, pair them by matching.open_pairs."""
+    known = _EVALUATED.setdefault(spark, {})
+    if sf not in known:
+        known[sf] = decided(postings(spark, sf).crossJoin(F.broadcast(candidates(spark))))
+    return known[sf]
 
-    Candidates are few and are sent to the postings; of very many, deal them to blocks and run a block at a time.
-    """
-    c = candidates(spark).withColumnRenamed("education", "own_education").withColumnRenamed("gender", "own_gender")
-    x = postings(spark, sf).crossJoin(F.broadcast(c))
 
+def decided(x: DataFrame) -> DataFrame:
+    """Pairs of a posting and a candidate, with the columns of both: the status of each rule, the points of each dimension, and what follows."""
     def sure(field: str) -> Column:
         return F.array_contains("confirmed", field)
 
@@ -142,7 +150,7 @@ def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumns({"tier": tier, "advised": advised})
 
 
-def _profiles_sql() -> str:
+def profiles_sql() -> str:
     names = [c.split()[0] for c in CANDIDATE.split(", ")]
     kinds = {n: k for n, k in (c.split() for c in CANDIDATE.split(", "))}
     casts = {"int": "BIGINT", "date": "DATE", "string": "VARCHAR", "array<string>": "VARCHAR[]"}
@@ -200,7 +208,7 @@ def _total(dimensions: dict[str, int]) -> tuple[str, str]:
 
 
 #: Common table expressions c (candidates) and o (postings with what their texts say).
-POSTINGS = f"""{_profiles_sql()},
+POSTINGS = f"""{profiles_sql()},
   o AS (SELECT p_partkey, p_type, {', '.join(f'{picked_sql(k)} AS {k}' for k in ('employment', 'title', 'organisation', 'education', 'place', 'family', 'conflict'))}, {picked_sql('fresh')} AS state, {picked_sql('fresh', True)} AS asked, {picked_sql('age', True)} AS max_age, {picked_sql('experience', True)} AS min_years,
     {picked_sql('majors', True)} AS exact, {picked_sql('majors')} AS majors_text, {picked_sql('graduates', True)} AS accepted, {picked_sql('graduates')} AS graduates_text, {picked_sql('wanted_title', True)} AS wanted, {picked_sql('wanted_title')} AS wanted_text, {picked_sql('party', True)} AS party_required, {picked_sql('gender', True)} AS sex, CAST({picked_sql('cutoff')} AS DATE) AS cutoff, {picked_sql('scope', True)} AS party_rule, {picked_sql('certificate', True)} AS certificate_rule, {picked_sql('gender')} AS gender_text, 2024 + p_partkey % 3 AS year FROM part)"""
 #: Common table expressions that give d, the same as evaluated(): sev_ and the rule for severities, dimensions, status, fit, stability, coverage, tier, advised.

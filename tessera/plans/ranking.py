@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import days_left, earliest, latest, whole_years
 from tessera.operators.aggregates import counts_of
+from tessera.operators.windows import placed
 from tessera.plans import rules
 from tessera.plans.postings import EVALUATED, FIT, RULES, STABILITY, STATUS, evaluated
 from tessera.plans.registry import query
@@ -37,11 +37,15 @@ def rank_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return found.orderBy(ordinal, F.desc("fit"), F.desc("stability"), F.desc("coverage"), "p_partkey").limit(20).select("p_partkey", "status", "tier", "fit")
 
 
-def _diff(spark: SparkSession, sf: str) -> DataFrame:
-    """The decisions on two states of a profile side by side."""
-    e = evaluated(spark, sf)
-    a, b = (e.filter(F.col("candidate") == k).select("p_partkey", "title", "organisation", F.col("status").alias(n), F.array(*(F.col(f"rule_{r}") for r in RULES)).alias(f"{n}_rules")) for k, n in ((1, "before"), (2, "after")))
-    return a.join(b.drop("title", "organisation"), "p_partkey")
+def _rules() -> Column:
+    return F.array(*(F.col(f"rule_{r}") for r in RULES))
+
+
+def _sides(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
+    """The decisions on two states of a profile side by side, in one pass: before_ and after_ for each column."""
+    e = evaluated(spark, sf).filter("candidate in (1, 2)")
+    sides = [F.max(F.when(F.col("candidate") == k, c)).alias(f"{n}_{name}") for k, n in ((1, "before"), (2, "after")) for name, c in columns.items()]
+    return e.groupBy("p_partkey").agg(*(F.first(c).alias(c) for c in ("p_type", "title", "organisation")), *sides)
 
 
 @query(f"WITH {EVALUATED} SELECT a.p_partkey, a.status AS before, b.status AS after, {CHANGE} AS change FROM d a JOIN d b ON a.p_partkey = b.p_partkey AND a.candidate = 1 AND b.candidate = 2 WHERE a.status <> b.status")
@@ -49,7 +53,8 @@ def decision_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Decisions before and after, where they differ."""
     open_ = lambda c: F.col(c).isin(rules.UNSURE, rules.CONFLICT)
     change = F.when(F.col("after") == rules.YES, "NEWLY_ELIGIBLE").when(F.col("after") == rules.NO, "NEWLY_INELIGIBLE").when(open_("before") & ~open_("after"), "RESOLVED").otherwise("OTHER")
-    return _diff(spark, sf).filter("before <> after").select("p_partkey", "before", "after", change.alias("change"))
+    sides = _sides(spark, sf, status=F.col("status")).withColumnsRenamed({"before_status": "before", "after_status": "after"})
+    return sides.filter("before <> after").select("p_partkey", "before", "after", change.alias("change"))
 
 
 _COMPARED = "a.p_partkey = b.p_partkey AND a.candidate = 1 AND b.candidate = 2"
@@ -61,22 +66,20 @@ _OPEN = "('NEEDS_CONFIRMATION', 'CONFLICTING_EVIDENCE')"
   CASE WHEN NOT bool_or(edited) THEN count(*) FILTER (before <> 'INELIGIBLE' AND after = 'INELIGIBLE') END AS newly_ineligible, CASE WHEN NOT bool_or(edited) THEN count(*) FILTER (moved) END AS affected FROM p GROUP BY p_type""")
 def decision_diff_summary(spark: SparkSession, sf: str) -> DataFrame:
     """What a change of the profile did to each kind of posting; not comparable (all null) if the content of any of them changed meanwhile."""
-    e = evaluated(spark, sf)
-    a, b = (e.filter(F.col("candidate") == k).select("p_partkey", "p_type", F.col("status").alias(n), F.array(*(F.col(f"rule_{r}") for r in RULES)).alias(f"{n}_rules"), F.sha2(F.concat("title", F.when(F.lit(k == 2) & (F.col("p_partkey") % 500 == 3), "edited").otherwise("")), 256).alias(f"{n}_print")) for k, n in ((1, "before"), (2, "after")))
-    pairs = a.join(b.drop("p_type"), "p_partkey")
+    print_ = F.sha2(F.concat("title", F.when((F.col("candidate") == 2) & (F.col("p_partkey") % 500 == 3), "edited").otherwise("")), 256)
+    pairs = _sides(spark, sf, status=F.col("status"), rules=_rules(), print=print_).withColumnsRenamed({"before_status": "before", "after_status": "after"})
     open_ = lambda c: F.col(c).isin(rules.UNSURE, rules.CONFLICT)
     same = F.every(F.col("before_print") == F.col("after_print"))
     found = pairs.groupBy("p_type").agg(same.alias("comparable"), F.count_if((F.col("before") != rules.YES) & (F.col("after") == rules.YES)).alias("newly_eligible"), F.count_if(open_("before") & ~open_("after")).alias("resolved"), F.count_if((F.col("before") != rules.NO) & (F.col("after") == rules.NO)).alias("newly_ineligible"), F.count_if(F.col("before_rules") != F.col("after_rules")).alias("affected"))
     return found.select("p_type", "comparable", *(F.when(F.col("comparable"), F.col(c)).alias(c) for c in ("newly_eligible", "resolved", "newly_ineligible", "affected")))
 
 
-@query(f"WITH {EVALUATED}, p AS (SELECT a.p_partkey, a.organisation, a.title, {' || '.join(f"CASE WHEN a.sev_{k} <> b.sev_{k} THEN '{k}:' || {STATUS}[a.sev_{k} + 1] || '>' || {STATUS}[b.sev_{k} + 1] || ';' ELSE '' END" for k in RULES)} AS reasons FROM d a JOIN d b ON {_COMPARED}) SELECT p_partkey, reasons, row_number() OVER (ORDER BY nullif(organisation, 'PRIVATE_COMPANY') NULLS LAST, title NULLS LAST, p_partkey) AS place FROM p WHERE reasons <> '' QUALIFY place <= 1000")
+@query(f"WITH {EVALUATED}, p AS (SELECT a.p_partkey, a.organisation, a.title, {' || '.join(f"CASE WHEN a.sev_{k} <> b.sev_{k} THEN '{k}:' || {STATUS}[a.sev_{k} + 1] || '>' || {STATUS}[b.sev_{k} + 1] || ';' ELSE '' END" for k in RULES)} AS reasons FROM d a JOIN d b ON {_COMPARED}) SELECT p_partkey, reasons, row_number() OVER (ORDER BY nullif(organisation, 'PRIVATE_COMPANY') NULLS LAST, title NULLS LAST, p_partkey) AS place FROM p WHERE reasons <> ''")
 def affected_postings(spark: SparkSession, sf: str) -> DataFrame:
-    """The first thousand postings whose rules changed, with the rules, by organisation (unknown last), title, id."""
+    """Postings whose rules changed, with the rules, in the order of organisation (unknown last), title, id."""
     reasons = F.concat(*(F.when(F.get("before_rules", F.lit(i)) != F.get("after_rules", F.lit(i)), F.concat(F.lit(f"{k}:"), F.get("before_rules", F.lit(i)), F.lit(">"), F.get("after_rules", F.lit(i)), F.lit(";"))).otherwise("") for i, k in enumerate(RULES)))
-    top = _diff(spark, sf).withColumn("reasons", reasons).filter("reasons <> ''").orderBy(F.nullif(F.col("organisation"), F.lit("PRIVATE_COMPANY")).asc_nulls_last(), F.col("title").asc_nulls_last(), "p_partkey").limit(1000)
-    place = F.row_number().over(W.orderBy(F.nullif(F.col("organisation"), F.lit("PRIVATE_COMPANY")).asc_nulls_last(), F.col("title").asc_nulls_last(), "p_partkey"))  # of a thousand rows
-    return top.select("p_partkey", "reasons", place.cast("long").alias("place"))
+    found = _sides(spark, sf, rules=_rules()).withColumn("reasons", reasons).filter("reasons <> ''")
+    return placed(found, [F.nullif(F.col("organisation"), F.lit("PRIVATE_COMPANY")).asc_nulls_last(), F.col("title").asc_nulls_last(), F.col("p_partkey").asc()], "place").select("p_partkey", "reasons", "place")
 
 
 @query(f"WITH {EVALUATED} SELECT candidate, count(*) AS total, count(*) FILTER (tier = 'T1') AS n_t1, count(*) FILTER (tier = 'T2') AS n_t2, count(*) FILTER (tier = 'T3') AS n_t3, count(*) FILTER (tier = 'EXCLUDED') AS n_excluded FROM d GROUP BY candidate")
