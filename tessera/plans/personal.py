@@ -195,12 +195,3 @@ def next_scheduled(spark: SparkSession, sf: str) -> DataFrame:
     which = (F.col("event_id") % len(SCHEDULES) + 1).cast("int")
     e = table(spark, sf, "events").select("event_id", "ts", *(F.element_at(F.array(*map(F.lit, x)), which).alias(n) for n, x in zip(("schedule", "zone"), zip(*SCHEDULES, strict=True), strict=True)))
     return with_next_run(e, "ts", "schedule", "zone", "due").select("event_id", "due")
-
-
-@query("""WITH x AS (SELECT conv_id, turn, text, turn % 3 = 0 AS heading FROM conversations) SELECT conv_id, turn, last_value(CASE WHEN heading THEN substr(text, 1, 20) END IGNORE NULLS) OVER w AS section, count(*) FILTER (NOT heading) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY NOT heading""")
-def guide_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions of a guide under the last heading before them, numbered."""
-    x = table(spark, sf, "conversations").withColumn("heading", F.col("turn") % 3 == 0)
-    order = W.partitionBy("conv_id").orderBy("turn")
-    x = x.withColumn("section", F.last(F.when(F.col("heading"), F.substring("text", 1, 20)), ignorenulls=True).over(order)).withColumn("question", F.count_if(~F.col("heading")).over(order))
-    return x.filter(~F.col("heading")).select("conv_id", "turn", "section", "question")
