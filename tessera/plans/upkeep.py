@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import compact
 from tessera.operators import joins
 from tessera.plans.postings import EVALUATED, FIT, STABILITY, evaluated
+from tessera.plans.changes import snapshots
 from tessera.plans.registry import query
-from tessera.session import table
+from tessera.session import checkpoint_folder, table
+from tessera.sources.state import VersionedState
 
 
 @query(f"WITH {EVALUATED} " + " UNION ALL ".join(f"SELECT candidate, p_partkey, '{k}' AS dimension, {k} AS points, {m} AS most FROM d" for k, m in (FIT | STABILITY).items()))
@@ -135,7 +139,16 @@ def daily_workflow(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def saved_version(df: DataFrame, folder: str, version: str) -> DataFrame:
-    """A state as a new version beside the old ones; a version that is there is replaced whole."""
-    df.write.mode("overwrite").parquet(f"{folder}/version={version}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/version={version}")
+@query("""WITH v1 AS (SELECT p_partkey, p_retailprice AS x FROM part WHERE p_partkey % 10 <> 0), v2 AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_retailprice + 10 ELSE p_retailprice END AS x FROM part WHERE p_partkey % 10 <> 1),
+  d AS (SELECT 1 AS version, p_partkey, 'ADDED' AS status FROM v1 UNION ALL SELECT 2, coalesce(b.p_partkey, a.p_partkey), CASE WHEN a.p_partkey IS NULL THEN 'ADDED' WHEN b.p_partkey IS NULL THEN 'REMOVED' WHEN a.x = b.x THEN 'UNCHANGED' ELSE 'CHANGED' END FROM v1 a FULL JOIN v2 b USING (p_partkey))
+  SELECT version, status, count(*) AS n, min(p_partkey) AS first_key FROM d GROUP BY ALL""")
+def state_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """What each version of a state changes; rows of a writer that ended before its manifest are not seen."""
+    state = VersionedState(spark, f"{checkpoint_folder(spark)}/state-{uuid.uuid4().hex}", "parts", "p_partkey", "p_retailprice")
+    out = None
+    for n, rows in enumerate(snapshots(spark, sf), 1):
+        delta = state.delta(rows).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key")).select(F.lit(n).alias("version"), "status", "n", "first_key").checkpoint()
+        out = delta if out is None else out.unionByName(delta)
+        state.commit(rows)
+        rows.limit(3).write.parquet(f"{state.folder}/data/torn-{n}")
+    return out
