@@ -196,7 +196,7 @@ def campaign_stem(title: Column, noise: str, cut: str, least: int = 8) -> Column
 
 def split_list(text: Column) -> Column:
     """Items of a list in text; of an item that names a restriction in brackets, the restriction; trailing brackets go."""
-    items = F.transform(F.split(F.coalesce(text, F.lit("")), r"[、,，;；/\n]"), F.trim)
+    items = F.transform(F.split(F.coalesce(text, F.lit("")), r"[、,，;；/\n]"), lambda s: F.trim(s))
     items = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^.*[（(]限", ""), r"[）)]$", ""), "方向$", "")))
     return F.array_distinct(F.filter(items, lambda x: x != ""))
 

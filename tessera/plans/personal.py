@@ -42,7 +42,7 @@ def question_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def planner_step(reply: Column) -> tuple[Column, Column, Column]:
     """Action, name and number of arguments of a planner's reply; null unless exactly one line acts, at most one says why and one names a basis, and nothing is left over."""
-    lines = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), "\\R"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), "\\R"), lambda x: F.trim(x)), lambda x: x != "")
     act, other = r"^(TOOL|ASK|FINISH)\s+\S", r"^(WHY|BASIS)[:：]\s*\S"
     acts = F.filter(lines, lambda x: x.rlike(act))
     count = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
