@@ -137,7 +137,7 @@ def encoded(file: int, rows: list[dict]) -> bytes:
     return (frame or "{}").format(text).encode(name)
 
 
-@query(f"""SELECT {_FILE} AS file, CASE WHEN {_FILE} % 6 = 2 THEN '<meta charset="gb2312">' ELSE '' END || array_to_string(list(p_name ORDER BY p_partkey), CASE WHEN {_FILE} % 6 = 5 THEN 'é' ELSE '，' END) AS text FROM part GROUP BY {_FILE}""")
+@query(f"""SELECT {_FILE} AS file, CASE WHEN {_FILE} % 6 = 2 THEN '<meta charset="gb2312">' ELSE '' END || CASE WHEN {_FILE} % 6 = 5 THEN string_agg(p_name, 'é' ORDER BY p_partkey) ELSE string_agg(p_name, '，' ORDER BY p_partkey) END AS text FROM part GROUP BY {_FILE}""")
 def charset_texts(spark: SparkSession, sf: str) -> DataFrame:
     """texts by their byte order mark, header or meta tag."""
     files = _written(spark, sf, encoded)

@@ -76,6 +76,8 @@ class _Page(HTMLParser):
             self.link = []
         elif tag == "img":
             self.links.append((given.get("src") or "", given.get("alt") or ""))
+        elif tag == "br":
+            self.handle_data(" ")
         elif tag == "table":
             self.table, self.row = self.table + 1, -1
         elif tag == "tr":
