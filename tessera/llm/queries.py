@@ -50,7 +50,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,8 +106,10 @@ JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS ws FROM (SELECT doc
   n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
   c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
   l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+  h AS (SELECT doc_id, md5(string_agg(g, ' ' ORDER BY g)) AS h FROM s GROUP BY doc_id),
+  o AS (SELECT a, count(DISTINCT y.h) AS n_links FROM l JOIN h x ON x.doc_id = a JOIN h y ON y.doc_id = b WHERE x.h <> y.h GROUP BY a),
   reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
-  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = w.doc_id"""
+  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(o.n_links, 0) AS n_links, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN o ON o.a = w.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON m.a = w.doc_id"""
 
 WARC = """WITH h AS (SELECT page_id, coalesce(html, '') AS body FROM pages), x AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS s, max(page_id) OVER (PARTITION BY body) AS top FROM h),
   b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', substr(s, i, 1))]), '') AS bits FROM x)
