@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.plans.personal import evidence_tasks
+from tessera.plans.matching import evidence_tasks
 from tessera.plans.postings import literal, picked, picked_sql
 from tessera.plans.registry import ORACLE, query
 from tessera.session import table

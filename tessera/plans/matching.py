@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions.dates import whole_years
 from tessera.functions.text import compact
 from tessera.plans import rules
-from tessera.plans.postings import CANDIDATE, EVALUATED, FIELDS, RULES, decided, literal, postings, profiles_sql
+from tessera.plans.personal import question
+from tessera.plans.postings import CANDIDATE, EVALUATED, FIELDS, RULES, decided, evaluated, literal, postings, profiles_sql
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -35,7 +38,7 @@ PEOPLE: dict[str, tuple[int, list]] = {
     "employments": (4, [["ESTABLISHMENT"], [], ["CONTRACT", "SOE_FORMAL"]]),
     "families": (5, [["SOFTWARE", "DATA"], [], ["RESEARCH"]]),
     "organisations": (6, [["UNIVERSITY"], ["HOSPITAL"], []]),
-    "confirmed": (11, [[*FIELDS], [f for f in FIELDS if f not in ("TITLES", "RESEARCH")], [f for f in FIELDS if f != "MAJORS"], [f for f in FIELDS if f not in ("BIRTH", "EDUCATION")]]),
+    "confirmed": (11, [[*FIELDS], [f for f in FIELDS if f not in ("TITLES", "RESEARCH")], [f for f in FIELDS if f != "MAJORS"], [f for f in FIELDS if f not in ("BIRTH", "EDUCATION")], [f for f in FIELDS if f not in ("EMPLOYMENT", "PARTY", "SKILLS")]]),
 }
 _KINDS = {name: kind for name, kind in (c.split() for c in CANDIDATE.split(", ")) if name != "candidate"}
 
@@ -115,3 +118,85 @@ def open_for_each(spark: SparkSession, sf: str) -> DataFrame:
     counts = found.groupBy("candidate").agg(F.count_if(open_).alias("n_open"), F.count_if(F.col("status") == rules.YES).alias("n_eligible"), F.count_if("advised").alias("n_advised"), *(F.count_if(open_ & (F.col(f"rule_{k}") == rules.UNSURE)).alias(f"unsure_{k}") for k in RULES))
     every = people(spark, sf).select("candidate").join(counts, "candidate", "left")
     return every.fillna(0)
+
+
+#: Evidence tasks: their kind's place, the rule that waits for them (none: they decide no rule), and when a candidate has them.
+TASKS = {
+    "VERIFY_EMPLOYMENT_HISTORY": (0, "EXPERIENCE", "not (sure('EMPLOYMENT') and coalesce(years = 0, false)) and (years is null or not sure('EMPLOYMENT'))"),
+    "CONFIRM_MASTER_GRADUATION_MONTH": (1, "EDUCATION", "own_education = 'MASTER' and completion = 'EXPECTED' and graduated is null"),
+    "VERIFY_MASTER_CREDENTIAL": (2, "EDUCATION", "own_education = 'MASTER' and verification <> 'VERIFIED' and candidate % 3 = 0"),
+    "ADD_SKILL_EVIDENCE": (3, None, "not sure('SKILLS')"),
+    "ADD_RESEARCH_EVIDENCE": (4, None, "not sure('RESEARCH')"),
+    "CONFIRM_POLITICAL_AFFILIATION": (5, "POLITICAL_AFFILIATION", "not sure('PARTY') or party = 'UNKNOWN'"),
+    "VERIFY_PROFESSIONAL_TITLE": (6, "PROFESSIONAL_TITLE", "not sure('TITLES')"),
+}
+
+
+def evidence_tasks_of(people: DataFrame, waiting: DataFrame) -> DataFrame:
+    """What each candidate should prove next, with the open postings that wait for it; most first, then by kind and code.
+
+    people: candidates (every third has a degree from abroad); waiting: candidate and unsure_<rule> for the rules, as in open_for_each.
+    """
+    def told(when: str) -> Column:
+        return F.expr(re.sub(r"sure\('(\w+)'\)", r"array_contains(confirmed, '\1')", when))
+
+    counts = [F.coalesce(F.col(f"unsure_{rule}"), F.lit(0)) if rule else F.lit(0).cast("long") for _, rule, _ in TASKS.values()]
+    each = F.array(*(F.when(told(when), F.struct(F.lit(code).alias("code"), F.lit(place).alias("kind"), n.alias("affected"))) for (code, (place, _, when)), n in zip(TASKS.items(), counts, strict=True)))
+    tasks = people.join(waiting, "candidate", "left").select("candidate", F.explode(F.array_compact(each)).alias("t")).select("candidate", "t.*")
+    place = F.row_number().over(W.partitionBy("candidate").orderBy(F.desc("affected"), "kind", "code"))
+    return tasks.withColumn("place", place.cast("long")).drop("kind")
+
+
+_TASK = " UNION ALL ".join(f"SELECT candidate, '{code}' AS code, {place} AS kind, {f'unsure_{rule}' if rule else '0'} AS affected FROM c JOIN w USING (candidate) WHERE " + re.sub(r"sure\('(\w+)'\)", r"list_contains(confirmed, '\1')", when) for code, (place, rule, when) in TASKS.items())
+
+
+@query(f"WITH {_ALL}, w AS (SELECT candidate, " + ", ".join(f"count(*) FILTER (status <> 'INELIGIBLE' AND sev_{k} = 2) AS unsure_{k}" for k in RULES) + f" FROM d GROUP BY candidate), due AS ({_TASK}) SELECT CAST(candidate AS BIGINT) AS person, code, affected, row_number() OVER (PARTITION BY candidate ORDER BY affected DESC, kind, code) AS place FROM due")
+def evidence_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """For every customer as a candidate what to prove next, from their facts and from the decisions that wait for them."""
+    return evidence_tasks_of(people(spark, sf), open_for_each(spark, sf)).withColumn("candidate", F.col("candidate").cast("long")).withColumnRenamed("candidate", "person")
+
+
+#: Questions of people, as they word them; kinds of work by the families that they mean.
+KINDS = {"SOFTWARE": "SOFTWARE", "DATA": "DATA", "AI": "RESEARCH"}
+ASKED = (("杭州有哪些编制内的软件岗位", "T1", "杭州", "SOFTWARE"), ("t2 数据岗", "T2", None, "DATA"), ("T3 Java 开发", "T3", None, "SOFTWARE"), ("人工智能方向的岗位", None, None, "RESEARCH"), ("杭州的岗位", None, "杭州", None), ("我能报什么", None, None, None))
+
+
+def answered(questions: DataFrame, ranked: DataFrame, most: int = 3) -> DataFrame:
+    """The first postings that each question's filters leave, as one block of facts; questions: asked, tier, place, family (null: any).
+
+    ranked: p_partkey, tier, place, family, title, status, rank. A posting meets a question by an equality on what it has of each filter, or on "any";
+    questions that ask for the same are answered once.
+    """
+    anything = lambda c: F.coalesce(c, F.lit("*"))
+    keys = ["_tier", "_place", "_family"]
+    wanted = questions.select("tier", "place", "family").distinct().select(*(anything(F.col(c)).alias(k) for c, k in zip(("tier", "place", "family"), keys, strict=True)))
+    offers = ranked
+    for name, key in zip(("tier", "place", "family"), keys, strict=True):
+        offers = offers.withColumn(key, F.explode(F.array_distinct(F.array(anything(F.col(name)), F.lit("*")))))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("rank"))
+    found = offers.join(wanted, keys).withColumn("n", place).filter(F.col("n") <= most)
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), "title", F.lit("｜"), "tier", F.lit("｜"), "status")
+    blocks = found.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias("block"))
+    asked = questions.withColumns({k: anything(F.col(c)) for c, k in zip(("tier", "place", "family"), keys, strict=True)})
+    return asked.join(blocks, keys, "left").withColumn("block", F.coalesce("block", F.lit("没有找到岗位"))).drop(*keys)
+
+
+_ASK = lambda i: f"({literal([a[i] for a in ASKED])})[1 + (conv_id + turn) % {len(ASKED)}]"
+
+
+@query(f"""WITH {EVALUATED}, k AS (SELECT d.*, CASE WHEN contains(o.place, '杭州') THEN '杭州' END AS city, o.family AS fam, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM d JOIN o USING (p_partkey) WHERE candidate = 1 AND tier <> 'EXCLUDED'),
+  q AS (SELECT conv_id, turn, {_ASK(1)} AS tier, {_ASK(2)} AS place, {_ASK(3)} AS family FROM conversations), w AS (SELECT DISTINCT tier, place, family FROM q),
+  f AS (SELECT w.*, k.title, k.tier AS t, k.status, row_number() OVER (PARTITION BY w.tier, w.place, w.family ORDER BY rank) AS n FROM w JOIN k ON (w.tier IS NULL OR w.tier = k.tier) AND (w.place IS NULL OR w.place = city) AND (w.family IS NULL OR w.family = fam) QUALIFY n <= 3),
+  b AS (SELECT tier, place, family, string_agg(n || '. ' || title || '｜' || t || '｜' || status, chr(10) ORDER BY n) AS block FROM f GROUP BY ALL)
+  SELECT conv_id, turn, coalesce(block, '没有找到岗位') AS block FROM q LEFT JOIN b ON q.tier IS NOT DISTINCT FROM b.tier AND q.place IS NOT DISTINCT FROM b.place AND q.family IS NOT DISTINCT FROM b.family""")
+def answered_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions parsed, put to the ranking of a candidate, and answered with the facts of what is found."""
+    text = F.element_at(F.array(*(F.lit(a[0]) for a in ASKED)), ((F.col("conv_id") + F.col("turn")) % len(ASKED) + 1).cast("int"))
+    tier, place, kind = question(text)
+    family = F.get(F.array(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[kind]), F.lit(0))
+    questions = table(spark, sf, "conversations").select("conv_id", "turn", tier.alias("tier"), place.alias("place"), family.alias("family"))
+    own = postings(spark, sf).select("p_partkey", F.when(F.col("place").contains("杭州"), "杭州").alias("place"), "family")
+    ordinal = F.array_position(F.array(*map(F.lit, ("T1", "T2", "T3"))), F.col("tier"))
+    best = evaluated(spark, sf).filter("candidate = 1 and tier <> 'EXCLUDED'").join(own, "p_partkey")
+    rank = F.struct(ordinal, -F.col("fit"), -F.col("stability"), -F.col("coverage"), "p_partkey")
+    return answered(questions, best.select("p_partkey", "tier", "place", "family", "title", "status", rank.alias("rank"))).select("conv_id", "turn", "block")

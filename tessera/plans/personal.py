@@ -80,28 +80,6 @@ def session_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("person", "asked", state.alias("state"), F.when(F.col("same"), F.col("posting")).alias("posting"))
 
 
-#: Evidence tasks by code: their kind, in order of priority, the fact that they settle, and when a person has them.
-TASKS = {
-    "VERIFY_EMPLOYMENT_HISTORY": ("EMPLOYMENT", "k % 2 = 1 or k % 8 = 2"),
-    "CONFIRM_POLITICAL_AFFILIATION": ("POLITICAL_AFFILIATION", "k % 3 = 0"),
-    "CONFIRM_MASTER_GRADUATION_MONTH": ("EDUCATION", "k % 5 = 0"),
-    "VERIFY_MASTER_CREDENTIAL": ("EDUCATION", "k % 5 < 2"),
-    "VERIFY_PROFESSIONAL_TITLE": ("PROFESSIONAL_TITLE", "k % 7 = 3"),
-    "ADD_SKILL_EVIDENCE": ("SKILL", "k % 4 = 0"),
-    "ADD_RESEARCH_EVIDENCE": ("RESEARCH", "k % 6 = 5"),
-}
-_IMPACT = {"EMPLOYMENT": 40, "POLITICAL_AFFILIATION": 15, "EDUCATION": 40, "PROFESSIONAL_TITLE": 12, "SKILL": 0, "RESEARCH": 0}
-
-
-@query("WITH c AS (SELECT c_custkey AS k FROM customer), t AS (" + " UNION ALL ".join(f"SELECT k, '{code}' AS code, {i} AS priority, {_IMPACT[fact]} + k % {len(fact)} AS affected FROM c WHERE {when}" for i, (code, (fact, when)) in enumerate(TASKS.items())) + ") SELECT k AS person, code, affected, row_number() OVER (PARTITION BY k ORDER BY affected DESC, priority, code) AS place FROM t")
-def evidence_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    """What a person should prove next: by the postings that it decides, then by kind."""
-    each = F.array_compact(F.array(*(F.when(F.expr(when), F.struct(F.lit(code).alias("code"), F.lit(i).alias("priority"), (F.lit(_IMPACT[fact]) + F.col("k") % len(fact)).alias("affected"))) for i, (code, (fact, when)) in enumerate(TASKS.items()))))
-    t = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).select("k", F.explode(each).alias("t")).select("k", "t.*")
-    place = F.row_number().over(W.partitionBy("k").orderBy(F.desc("affected"), "priority", "code"))
-    return t.select(F.col("k").alias("person"), "code", "affected", place.cast("long").alias("place"))
-
-
 @query("""WITH d AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'NEW' WHEN 'P' THEN 'UPDATED' ELSE 'DEADLINE_APPROACHING' END AS reason, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 30 AS INTEGER) END AS days FROM orders)
   SELECT o_custkey, o_orderkey, reason, days, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE reason WHEN 'NEW' THEN 0 WHEN 'UPDATED' THEN 1 ELSE 3 END, coalesce(days, 2147483647), o_orderkey) AS place, row_number() OVER (PARTITION BY o_custkey ORDER BY reason = 'UPDATED' DESC, days NULLS LAST, o_orderkey) AS watch_place FROM d""")
 def ordered_lists(spark: SparkSession, sf: str) -> DataFrame:
