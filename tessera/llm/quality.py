@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,6 +239,15 @@ class CoTrained:
             view.model.stepped(view.model.sums(view.x, view.y) + sums * min(1.0, len(view.y) / max(n, 1)))
         self._calibrated()
 
+    def light(self) -> CoTrained:
+        """The same without the labelled rows' columns, for the tasks."""
+        out = copy(self)
+        out.views = [copy(v) for v in self.views]
+        for v in out.views:
+            v.x = v.y = None
+        out.held = out.held_y = None
+        return out
+
     def sure(self, rows: Rows) -> list[np.ndarray]:
         """For each view, the label that it is sure of, or -1; where the views are sure of different ones, only the surer says it."""
         logits = [v.logit(rows) for v in self.views]
@@ -318,7 +328,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(models)], pa.binary())})
 
         found = sample.repartition(1).mapInArrow(fit, "models binary").first()  # at most `labelled` rows in
-        told.unpersist()
+        told.destroy()
         return pickle.loads(found["models"]) if found else (None, None)
 
     models = fitted([Counts(len(meta)) for _ in range(2)])
@@ -334,7 +344,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             for model, lessons in zip(models, _lessons(rest, models, before), strict=True):
                 if model:
                     model.taught(lessons)
-    return Fitted(models, text_col, meta, numbers)
+    return Fitted(tuple(m and m.light() for m in models), text_col, meta, numbers)
 
 
 def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
@@ -360,7 +370,7 @@ def _lane() -> int:
 
 def _counts_of(rest: DataFrame, models: Models, n_meta: int) -> list[Counts]:
     """Over all unlabelled documents, for each model; tables of fixed size, whatever the number of documents."""
-    told = rest.sparkSession.sparkContext.broadcast(models)
+    told = rest.sparkSession.sparkContext.broadcast([m and m.light() for m in models])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counts(n_meta) for _ in told.value]
@@ -373,13 +383,13 @@ def _counts_of(rest: DataFrame, models: Models, n_meta: int) -> list[Counts]:
     flat = np.concatenate([Counts(n_meta).flat for _ in models])
     for part, x in _summed(rest.mapInArrow(count, "part int, lane int, data binary")).items():
         flat[part * PART : part * PART + len(x)] = x
-    told.unpersist()
+    told.destroy()
     return [Counts(n_meta, x) for x in np.split(flat, len(models))]
 
 
 def _lessons(rest: DataFrame, models: Models, before: Models) -> list[list[tuple[np.ndarray, int]]]:
     """For each model and view, the Newton sums over all unlabelled documents that the other view was sure of before, and their number."""
-    told = rest.sparkSession.sparkContext.broadcast((models, before))
+    told = rest.sparkSession.sparkContext.broadcast(([m and m.light() for m in models], [m and m.light() for m in before]))
     shapes = [[(len(v.model.w), len(v.model.w) + 1) for v in m.views] if m else [] for m in models]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +405,7 @@ def _lessons(rest: DataFrame, models: Models, before: Models) -> list[list[tuple
     flat = np.zeros(sum(a * b + 1 for own in shapes for a, b in own), np.int64)
     for part, x in _summed(rest.mapInArrow(learn, "part int, lane int, data binary")).items():
         flat[part * PART : part * PART + len(x)] = x
-    told.unpersist()
+    told.destroy()
     out, at = [], 0
     for own in shapes:
         out.append([])
