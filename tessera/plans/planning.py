@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import shifted, whole_years
+from tessera.operators.windows import islands
 from tessera.plans import rules
 from tessera.plans.postings import POSTINGS, candidates, picked_sql, postings
 from tessera.plans.registry import query
@@ -28,6 +29,9 @@ ROUTES = {
 }
 COVERED = ("PUBLIC_TECH", "UNIVERSITY_HOSPITAL_IT", "GOVERNMENT_SOE_DIGITAL")
 TECHNICAL = ("信息", "计算机", "软件", "网络", "系统", "数据", "数字", "安全", "开发", "运维", "算法", "智能")
+#: Words of a role that bear on a family of postings; work of any kind bears on the others (fixed values). The day on which plans are made.
+RELEVANT = {"SOFTWARE": "开发|软件|java|程序|研发", "DATA": "数据|数据库|算法|分析|人工智能|ai", "RESEARCH": "研究|科研|实验|课题|研发", "ADMINISTRATION": ""}
+TODAY = "2026-08-20"
 CHECKS = ("EDUCATION", "MAJOR", "GRADUATION", "GENDER", "AGE", "EXPERIENCE", "TITLE", "PARTY", "FRESH", "EVIDENCE")
 
 
@@ -51,13 +55,16 @@ def checks(scenario: Column, analog: Column) -> dict[str, Column]:
     plain = F.filter("exact", lambda e: ~e.contains("类") & ~e.contains("专业目录"))
     known = sure("MAJORS") & ((scenario == SCENARIOS[0]) | sure("EDUCATION"))
     major = F.when(F.size("exact") == 0, 0).when(~known, 2).when(F.arrays_overlap(plain, "majors"), 0).when(F.size(plain) < F.size("exact"), 2).otherwise(3)
-    graduation = F.when(analog | (F.size("accepted") == 0), 0).when(~sure("GRADUATION") | F.col("graduated").isNull(), 2).when(F.array_contains("accepted", F.col("graduated")), 0).otherwise(3)
+    # before a master's degree the year of the present one counts, else the year of the master's
+    before = scenario == SCENARIOS[0]
+    year, told = F.when(before, F.col("graduated")).otherwise(F.col("master_year")), F.when(before, sure("GRADUATION")).otherwise(sure("EDUCATION"))
+    graduation = F.when(analog | (F.size("accepted") == 0), 0).when(~told | year.isNull(), 2).when(F.array_contains("accepted", year), 0).otherwise(3)
     text = F.coalesce("gender_text", F.lit(""))
     other = (text.contains("男") & (F.col("own_gender") != "MALE")) | (text.contains("女") & (F.col("own_gender") != "FEMALE"))
     gender = F.when((F.trim(text) == "") | text.contains("不限"), 0).when(~sure("GENDER"), 2).when(other, 3).otherwise(0)
     at = F.when(analog, shifted(F.col("cutoff"), F.lit(TARGET) - F.col("year"))).otherwise(F.col("cutoff"))
     age = F.when(F.col("max_age").isNull(), 0).when(~sure("BIRTH") | at.isNull() | (F.col("born") != F.col("born_last")), 2).when(whole_years(F.col("born"), at) > F.col("max_age"), 3).otherwise(0)
-    experience = F.when(F.col("min_years").isNull(), 0).when(~sure("EMPLOYMENT"), 2).when(F.coalesce("years", F.lit(0)) < F.col("min_years"), 3).otherwise(0)
+    experience = F.when(F.col("min_years").isNull(), 0).when(~sure("EMPLOYMENT"), 2).when(F.coalesce("relevant", F.lit(0)) < F.col("min_years"), 3).otherwise(0)
     owned = F.exists("wanted", lambda w: F.exists("titles", lambda t: (t == w) | F.startswith(t, F.concat(w, F.lit("：")))))
     title = F.when(F.size("wanted") == 0, 0).when(~sure("TITLES"), 2).when(owned, 0).otherwise(3)
     party = F.when(F.col("party_rule") == "REQUIRED", F.when(~sure("PARTY") | (F.col("party") == "UNKNOWN"), 2).when(F.col("party") == "NON_MEMBER", 3).otherwise(0)).when(F.col("party_rule") == "AMBIGUOUS", 2).otherwise(0)
@@ -70,27 +77,45 @@ _AT = f"CASE WHEN mode = '{MODES[1]}' THEN cutoff + to_years(CAST({TARGET} - yea
 _CHECKS = {
     "EDUCATION": f"CASE WHEN education NOT IN ('MASTER', 'DOCTORATE') THEN CASE WHEN {_SURE('EDUCATION')} THEN 0 ELSE 2 END WHEN scenario IN ('{SCENARIOS[0]}', '{SCENARIOS[1]}') THEN CASE WHEN {_SURE('EDUCATION')} THEN 1 ELSE 2 END WHEN scenario = '{SCENARIOS[2]}' THEN CASE certificate_rule WHEN 'REQUIRED_BY_APPLICATION' THEN 3 WHEN 'AMBIGUOUS' THEN 2 ELSE 1 END WHEN {_SURE('EDUCATION')} THEN 0 ELSE 2 END",
     "MAJOR": f"CASE WHEN len(exact) = 0 THEN 0 WHEN NOT {_SURE('MAJORS')} OR (scenario <> '{SCENARIOS[0]}' AND NOT {_SURE('EDUCATION')}) THEN 2 WHEN len(list_intersect(list_filter(exact, lambda e: NOT contains(e, '类')), majors)) > 0 THEN 0 WHEN len(list_filter(exact, lambda e: contains(e, '类'))) > 0 THEN 2 ELSE 3 END",
-    "GRADUATION": f"CASE WHEN mode = '{MODES[1]}' OR len(accepted) = 0 THEN 0 WHEN NOT {_SURE('GRADUATION')} OR graduated IS NULL THEN 2 WHEN list_contains(accepted, graduated) THEN 0 ELSE 3 END",
+    "GRADUATION": f"CASE WHEN mode = '{MODES[1]}' OR len(accepted) = 0 THEN 0 WHEN scenario = '{SCENARIOS[0]}' THEN CASE WHEN NOT {_SURE('GRADUATION')} OR graduated IS NULL THEN 2 WHEN list_contains(accepted, graduated) THEN 0 ELSE 3 END WHEN NOT {_SURE('EDUCATION')} OR master_year IS NULL THEN 2 WHEN list_contains(accepted, master_year) THEN 0 ELSE 3 END",
     "GENDER": f"CASE WHEN gender_text IS NULL OR contains(gender_text, '不限') THEN 0 WHEN NOT {_SURE('GENDER')} THEN 2 WHEN (contains(gender_text, '男') AND own_gender <> 'MALE') OR (contains(gender_text, '女') AND own_gender <> 'FEMALE') THEN 3 ELSE 0 END",
     "AGE": f"CASE WHEN max_age IS NULL THEN 0 WHEN NOT {_SURE('BIRTH')} OR day IS NULL OR born <> born_last THEN 2 WHEN year(day) - year(born) - CASE WHEN month(day) * 100 + day(day) < month(born) * 100 + day(born) THEN 1 ELSE 0 END > max_age THEN 3 ELSE 0 END",
-    "EXPERIENCE": f"CASE WHEN min_years IS NULL THEN 0 WHEN NOT {_SURE('EMPLOYMENT')} THEN 2 WHEN coalesce(years, 0) < min_years THEN 3 ELSE 0 END",
+    "EXPERIENCE": f"CASE WHEN min_years IS NULL THEN 0 WHEN NOT {_SURE('EMPLOYMENT')} THEN 2 WHEN coalesce(relevant, 0) < min_years THEN 3 ELSE 0 END",
     "TITLE": f"CASE WHEN len(wanted) = 0 THEN 0 WHEN NOT {_SURE('TITLES')} THEN 2 WHEN len(list_filter(titles, lambda t: t = wanted[1] OR starts_with(t, wanted[1] || '：'))) > 0 THEN 0 ELSE 3 END",
     "PARTY": f"CASE party_rule WHEN 'REQUIRED' THEN CASE WHEN NOT {_SURE('PARTY')} OR party = 'UNKNOWN' THEN 2 WHEN party = 'NON_MEMBER' THEN 3 ELSE 0 END WHEN 'AMBIGUOUS' THEN 2 ELSE 0 END",
     "FRESH": "CASE WHEN len(accepted) = 0 AND contains(coalesce(graduates_text, ''), '应届') THEN 2 ELSE 0 END",
     "EVIDENCE": "CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END",
 }
+#: Days of work that bear on a family, each once: jobs that overlap count but once.
+_WORKED = " UNION ALL ".join(f"SELECT candidate, '{f}' AS kind, mode, unnest(generate_series(s, least(coalesce(e, day), day), INTERVAL 1 DAY)) AS d FROM j WHERE regexp_matches(lower(role), '{words}') AND s <= day" for f, words in RELEVANT.items())
 _PROJECTED = f"""{POSTINGS},
-  n AS (SELECT *, {_CURRENT} AS current, {picked_sql('family')} AS kind, {_AT} AS day FROM o CROSS JOIN c CROSS JOIN (SELECT unnest({list(SCENARIOS)}) AS scenario) CROSS JOIN (SELECT unnest({list(MODES)}) AS mode)),
+  j AS (SELECT candidate, mode, CASE mode WHEN '{MODES[1]}' THEN DATE '{TARGET}-{TODAY[5:]}' ELSE DATE '{TODAY}' END AS day, split_part(job, '|', 1) AS role, CAST(split_part(job, '|', 2) AS DATE) AS s, CAST(nullif(split_part(job, '|', 3), '') AS DATE) AS e FROM (SELECT candidate, unnest(jobs) AS job FROM c) CROSS JOIN (SELECT unnest({list(MODES)}) AS mode)),
+  y AS (SELECT candidate, kind, mode, count(DISTINCT d) // 365 AS relevant FROM ({_WORKED}) GROUP BY ALL),
+  m AS (SELECT *, {_CURRENT} AS current, {picked_sql('family')} AS kind, {_AT} AS day FROM o CROSS JOIN c CROSS JOIN (SELECT unnest({list(SCENARIOS)}) AS scenario) CROSS JOIN (SELECT unnest({list(MODES)}) AS mode)),
+  n AS (SELECT m.*, y.relevant FROM m LEFT JOIN y USING (candidate, kind, mode)),
   k AS (SELECT *, {', '.join(f'{v} AS chk_{k}' for k, v in _CHECKS.items())} FROM n),
   s AS (SELECT *, {list(OUTCOMES)}[1 + greatest({', '.join(f'chk_{k}' for k in CHECKS)})] AS outcome FROM k)"""
 _ROUTE = " UNION ALL ".join(f"SELECT '{k}' AS route, * FROM s WHERE {v}" for k, v in ROUTES.items())
 
 
+def relevant_years(people: DataFrame, days: dict[str, str]) -> DataFrame:
+    """candidate, family, mode, relevant: whole years (of 365 days) of work that bears on a family, up to each mode's day; overlapping jobs count once (W05, R21). jobs: role|from|to, to may be missing."""
+    part = lambda i: F.split_part("job", F.lit("|"), F.lit(i))
+    jobs = people.select("candidate", F.explode("jobs").alias("job")).select("candidate", F.lower(part(1)).alias("role"), part(2).cast("date").alias("start"), F.nullif(part(3), F.lit("")).cast("date").alias("end"))
+    bears = F.array_compact(F.array(*(F.when(F.col("role").rlike(words), F.lit(f)) for f, words in RELEVANT.items())))
+    at = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(d).cast("date").alias("day")) for m, d in days.items()))
+    each = jobs.withColumn("family", F.explode(bears)).withColumn("at", F.explode(at)).select("candidate", "family", "at.*", "start", F.coalesce("end", "at.day").alias("end"))
+    merged = islands(each, ["candidate", "family", "mode"], "start", "end", F.col("day"))
+    return merged.groupBy("candidate", "family", "mode").agg(F.floor(F.sum(F.datediff("end", "start") + 1) / 365).cast("int").alias("relevant"))
+
+
 def projected(spark: SparkSession, sf: str) -> DataFrame:
     """Every posting for every candidate under every scenario, as it was and as if it came again in the target year."""
-    c = candidates(spark).withColumnRenamed("education", "own_education").withColumnRenamed("gender", "own_gender").withColumn("current", current_scenario())
+    c = candidates(spark).withColumn("current", current_scenario())
     each = c.withColumn("scenario", F.explode(F.array(*map(F.lit, SCENARIOS)))).withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
+    years = relevant_years(c, {MODES[0]: TODAY, MODES[1]: f"{TARGET}-{TODAY[5:]}"})
     x = postings(spark, sf).crossJoin(F.broadcast(each))  # candidates are few: see evaluated
+    x = x.join(years, ["candidate", "family", "mode"], "left")
     found = checks(F.col("scenario"), F.col("mode") == MODES[1])
     x = x.withColumns({f"chk_{k}": v for k, v in found.items()})
     return x.withColumn("outcome", F.get(F.array(*map(F.lit, OUTCOMES)), F.greatest(*(F.col(f"chk_{k}") for k in CHECKS))))

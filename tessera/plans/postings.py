@@ -41,12 +41,12 @@ CHOICES: dict[str, tuple[int, list[tuple[object, object]]]] = {
 FACTS = tuple(enumerate(rules.ORGANISATION_POINTS.items(), 2))
 
 #: Candidates: one whose facts are all confirmed, one with gaps, one of whom nothing is confirmed. A user passes profiles of their own.
-CANDIDATE = "candidate int, born date, born_last date, education string, completion string, verification string, majors array<string>, graduated int, years int, titles array<string>, party string, gender string, employer string, insurance string, skills array<string>, research array<string>, places array<string>, employments array<string>, families array<string>, organisations array<string>, confirmed array<string>"
+CANDIDATE = "candidate int, born date, born_last date, education string, completion string, verification string, majors array<string>, graduated int, years int, titles array<string>, party string, gender string, employer string, insurance string, skills array<string>, research array<string>, places array<string>, employments array<string>, families array<string>, organisations array<string>, confirmed array<string>, master_year int, jobs array<string>"
 FIELDS = ("BIRTH", "EDUCATION", "MAJORS", "GRADUATION", "EMPLOYMENT", "TITLES", "PARTY", "GENDER", "SKILLS", "RESEARCH", "PLACES", "EMPLOYMENTS", "FAMILIES", "ORGANISATIONS")
 PROFILES = [
-    (1, "1991-03-15", "1991-03-15", "MASTER", "COMPLETED", "VERIFIED", ["计算机科学与技术"], 2024, 4, ["中级工程师：信息系统"], "CPC_MEMBER", "MALE", "DECLARED_MET", "DECLARED_MET", ["数据库", "软件"], ["算法"], ["杭州"], ["ESTABLISHMENT"], ["SOFTWARE", "DATA"], ["UNIVERSITY"], [*FIELDS]),
-    (2, "1991-06-01", "1991-06-30", "MASTER", "EXPECTED", "PLANNED", ["软件工程", "数学"], 2026, None, [], "NON_MEMBER", "FEMALE", "DECLARED_MET", "DECLARED_NOT_MET", ["数据库", "运维", "测试"], [], ["上海", "宁波"], ["CONTRACT", "SOE_FORMAL"], [], ["HOSPITAL"], [f for f in FIELDS if f not in ("TITLES", "RESEARCH")]),
-    (3, "1980-01-01", "1980-01-01", "BACHELOR", "COMPLETED", "VERIFIED", ["法学"], 2002, 9, ["高级工程师"], "UNKNOWN", "MALE", "UNDECLARED", "UNDECLARED", ["软件"], [], ["杭州"], [], [], [], []),
+    (1, "1991-03-15", "1991-03-15", "MASTER", "COMPLETED", "VERIFIED", ["计算机科学与技术"], 2024, 4, ["中级工程师：信息系统"], "CPC_MEMBER", "MALE", "DECLARED_MET", "DECLARED_MET", ["数据库", "软件"], ["算法"], ["杭州"], ["ESTABLISHMENT"], ["SOFTWARE", "DATA"], ["UNIVERSITY"], [*FIELDS], 2024, ["软件开发工程师|2019-03-01|2021-02-28", "数据分析师|2020-06-01|2024-05-31", "行政|2024-06-01|"]),
+    (2, "1991-06-01", "1991-06-30", "MASTER", "EXPECTED", "PLANNED", ["软件工程", "数学"], 2026, None, [], "NON_MEMBER", "FEMALE", "DECLARED_MET", "DECLARED_NOT_MET", ["数据库", "运维", "测试"], [], ["上海", "宁波"], ["CONTRACT", "SOE_FORMAL"], [], ["HOSPITAL"], [f for f in FIELDS if f not in ("TITLES", "RESEARCH")], 2026, ["Java 程序员|2023-01-01|", "研究助理|2021-01-01|2022-12-31"]),
+    (3, "1980-01-01", "1980-01-01", "BACHELOR", "COMPLETED", "VERIFIED", ["法学"], 2002, 9, ["高级工程师"], "UNKNOWN", "MALE", "UNDECLARED", "UNDECLARED", ["软件"], [], ["杭州"], [], [], [], [], None, ["法务|2010-01-01|2020-01-01", "软件研发|2020-01-02|"]),
 ]
 #: The rules of a decision, in order, and the dimensions of fit and of stability with their most points.
 RULES = ("AGE", "EDUCATION", "EXACT_MAJOR", "GRADUATE_YEAR", "EXPERIENCE", "PROFESSIONAL_TITLE", "POLITICAL_AFFILIATION", "GENDER", "FRESH_GRADUATE_STATUS")
