@@ -292,3 +292,49 @@ def followed(pages: DataFrame, url: str, next_url: str, start: str) -> DataFrame
         twice = jumps.select(F.col("_from").alias("_start"), F.col("_to").alias("_from")).join(jumps, "_from")
         jumps, size = twice.select(F.col("_start").alias("_from"), "_to").checkpoint(), 2 * size
     return links.join(seen, url).select(url, next_url, F.col("step").cast("int").alias("step"))
+
+
+def _array_after(text: str, marker: str) -> str | None:
+    """The bracketed list that follows a marker and a colon or an equals sign in a script, without its comments; what stands in strings and comments is no bracket."""
+    masked, bare, i, n = list(text), list(text), 0, len(text)
+    while i < n:
+        quoted = text[i] in "'\"`"
+        if quoted:
+            end = i + 1
+            while end < n and text[end] != text[i]:
+                end += 2 if text[end] == "\\" else 1
+            end = min(end + 1, n)
+        elif text.startswith("//", i):
+            end = next((j for j in range(i, n) if text[j] in "\r\n"), n)
+        elif text.startswith("/*", i):
+            found = text.find("*/", i + 2)
+            end = n if found < 0 else found + 2
+        else:
+            i += 1
+            continue
+        masked[i:end] = " " * (end - i)
+        if not quoted:
+            bare[i:end] = " " * (end - i)
+        i = end
+    plain = "".join(masked)
+    starts = [m.end() - 1 for m in re.finditer(rf"(?<![A-Za-z0-9_$]){re.escape(marker)}\s*[:=]\s*\[", plain)]
+    if len(starts) != 1:
+        return None
+    depth = 0
+    for at in range(starts[0], n):
+        depth += (plain[at] == "[") - (plain[at] == "]")
+        if depth == 0:
+            return "".join(bare[starts[0] : at + 1])
+    return None
+
+
+def embedded_items(pages: DataFrame, key: str, html: str, marker: str, item_schema: str) -> DataFrame:
+    """Objects of the one list that follows a marker in a page's scripts, as JavaScript writes them: names and quotes of any kind, comments, a comma at the end.
+
+    key, place and item; pages without such a list, or with several, give none.
+    """
+    schema = T.StructType([T.StructField("list", T.StringType())])
+    lists = _exploded(pages, key, html, schema, lambda x: [(found,)] if x and (found := _array_after(x, marker)) else [])
+    plain = F.regexp_replace("list", r",\s*([\]}])", "$1")
+    options = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
+    return lists.select(key, F.posexplode(F.from_json(plain, f"array<struct<{item_schema}>>", options)).alias("place", "item"))
