@@ -126,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2,
     squared lengths, at least size * size, or not limited beyond what `size` allows. Returns per piece: id_col, piece (from 0), start, length,
     ids_crc32 (of its ids as little-endian unsigned 32-bit numbers), sequence_id (any numbers), offset (in the sequence, without gaps from 0), and
     with with_ids its ids. Repeated rows are packed each; null ids stay null; an empty table gives no rows; other columns, whatever their
-    names, are not looked at. A shard's last bins may be left less full: one in some thousands.
+    names, are not looked at. piece is an int, the others are longs. A shard's last bins may be left less full: one in some thousands.
     """
     most, attention = most or size, attention or size * size
     if attention < size * size:
@@ -156,7 +156,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, end: int = 2,
     pieces = kept(rows.mapInArrow(cut, schema), "packing-pieces")
     whole, short = pieces.filter(F.col("length") == size), pieces.filter(F.col("length") < size)
     n_shards = max(1, round(short.count() / shard))
-    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    columns = [F.col("id").alias(id_col), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     whole = whole.select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     def pack(table: pa.Table) -> pa.Table:

@@ -112,6 +112,7 @@ def test_packing(request, table):
     for limits in ({}, {"most": 3, "attention": 1 << 20, "rule": "dot"}, {"shard": 20, "weights": (1.0, 0.5, 0.5)}):
         most = limits.get("most", 1024)
         pieces = pack_documents(df, P.path("byte_bpe_50k.json"), P.PATTERN, with_ids=True, **limits)
+        assert dict(pieces.drop("ids").dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
         out = pieces.collect()
         want, whole = Counter(), Counter()
         for doc, ids in rows:
