@@ -35,8 +35,8 @@ from tessera.llm.graph import components
 from tessera.llm.storage import checkpointed, kept
 from tessera.llm.words import Runs, Words, mix, slices
 
-#: Counters of the sketch that orders elements by frequency, and of a part of it; steps that a power of two is told in; largest size that may be enumerated.
-SKETCH, PART, STEPS, MOST_LIGHT = 1 << 22, 1 << 16, 6, 12
+#: Counters of the sketch that orders elements by frequency, and of a part of it; steps that a power of two is told in.
+SKETCH, PART, STEPS = 1 << 22, 1 << 16, 6
 #: Sets that are checked against one copy of another, and against one copy of many others.
 MEMBERS, OTHERS = 256, 1024
 #: Leaders that a list gets at most, and the most entries of a list whose remaining pairs are enumerated as they are.
@@ -128,13 +128,32 @@ def _frequency_classes(texts: Chunks, n: int) -> np.ndarray:
     return classes
 
 
+def enumerated(s: int) -> int:
+    """How many subsets a set of s elements is enumerated into."""
+    return sum(math.comb(s, need(s, t)) for t in range(least(s), 4 * s // 3 + 1) if need(s, t) <= s)
+
+
+def listed(s: int) -> int:
+    """How many hashes a set of s elements costs on its lists and in the check of one partner."""
+    return s - least(s) + 1 + s
+
+
+def never_light(n_sets: int) -> int:
+    """A size that is too large to be enumerated, whatever the sizes of so many sets are: one set costs more than all smaller ones can save."""
+    s, saved = 1, 0
+    while True:
+        saved = max(saved, listed(s) - enumerated(s))
+        if enumerated(s) - listed(s) > saved * n_sets:
+            return s
+        s += 1
+
+
 def boundary(histogram: dict[int, int]) -> int:
     """The largest size up to which enumerating subsets costs no more hashes than the lists and the check of one partner."""
-    best, light, heavy = 0, 0, 0
-    for s in range(1, MOST_LIGHT + 1):
-        light += histogram.get(s, 0) * sum(math.comb(s, need(s, t)) for t in range(least(s), 4 * s // 3 + 1) if need(s, t) <= s)
-        heavy += histogram.get(s, 0) * (s - least(s) + 1 + s)
-        if light <= heavy:
+    best, over = 0, 0
+    for s in sorted(histogram):
+        over += histogram[s] * (enumerated(s) - listed(s))
+        if over <= 0:
             best = s
     return best
 
@@ -197,7 +216,7 @@ def _grouped(texts: Chunks, n: int, id_col: str, counted: bool = False) -> DataF
     nodes = kept(texts.over(["row", "words", "doc"], texts.none(), describe, "chunk long, row long, id long, n long, one long, two long"), "jaccard-nodes")
     first = nodes.filter("n > 0").groupBy("n", "one", "two").agg(F.min("row").alias("node"))
     chosen = kept(nodes.join(first.select("node"), F.col("row") == F.col("node")).select("chunk", "node", "n"), "jaccard-classes")
-    small = chosen.filter(F.col("n") <= MOST_LIGHT).groupBy("n").count().collect()  # a row per size
+    small = chosen.filter(F.col("n") < never_light(chosen.count())).groupBy("n").count().collect()  # a row per size, some dozens
     limit = boundary({r["n"]: r["count"] for r in small})
     links = _light_links(texts, chosen, n, limit).unionByName(_heavy_links(texts, chosen, n, limit))
     links = kept(links.distinct(), "jaccard-links")
