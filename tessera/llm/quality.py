@@ -35,7 +35,7 @@ from tessera.llm.words import Words, counted, slices, sums_by
 LABELLED = 8000
 #: Buckets of hashed words and of hashed metadata values; documents that must hold a word before it counts.
 BUCKETS, VALUES, SUPPORT = 1 << 18, 1 << 12, 3
-ROUNDS, STEPS, SURE = 4, 2, 0.97
+ROUNDS, STEPS, SURE = 4, 1, 0.97
 #: Sums of a task become whole numbers by this, so that their order does not matter.
 EXACT = 1 << 24
 #: Numbers of a part that is summed on its own; groups of tasks that are summed first; words that are looked at together.
@@ -347,15 +347,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return Fitted(tuple(m and m.light() for m in models), text_col, meta, numbers)
 
 
-def _summed(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of the tasks' tables by part (part int, lane int, data: whole numbers), in two steps, so that no task gets a row of every other."""
+def _summed(rows: DataFrame, tasks: int) -> dict[int, np.ndarray]:
+    """Sums of the tasks' tables by part (part int, lane int, data: whole numbers); of very many tasks in two steps, so that no task gets a row of every other."""
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
         return pa.table({"part": table.column("part")[:1], "data": pa.array([total.tobytes()], pa.binary())})
 
-    first = rows.groupBy("part", "lane").applyInArrow(add, "part int, data binary")
-    return {r["part"]: np.frombuffer(r["data"], np.int64) for r in first.groupBy("part").applyInArrow(add, "part int, data binary").collect()}
+    if tasks > LANES**2:
+        rows = rows.groupBy("part", "lane").applyInArrow(add, "part int, data binary")
+    return {r["part"]: np.frombuffer(r["data"], np.int64) for r in rows.groupBy("part").applyInArrow(add, "part int, data binary").collect()}
 
 
 def _parts(flat: np.ndarray, lane: int) -> Iterator[pa.RecordBatch]:
@@ -364,10 +365,6 @@ def _parts(flat: np.ndarray, lane: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "lane": pa.array([lane], pa.int32()), "data": pa.array([flat[at : at + PART].tobytes()], pa.binary())})
 
 
-def _lane() -> int:
-    return TaskContext.get().partitionId() % LANES
-
-
 def _counts_of(rest: DataFrame, models: Models, n_meta: int) -> list[Counts]:
     """Over all unlabelled documents, for each model; tables of fixed size, whatever the number of documents."""
     told = rest.sparkSession.sparkContext.broadcast([m and m.light() for m in models])
@@ -378,10 +375,10 @@ def _counts_of(rest: DataFrame, models: Models, n_meta: int) -> list[Counts]:
             for own, model in zip(counts, told.value, strict=True):
                 if model:
                     own.add(rows, *model.sure(rows))
-        yield from _parts(np.concatenate([c.flat for c in counts]), _lane())
+        yield from _parts(np.concatenate([c.flat for c in counts]), TaskContext.get().partitionId() % LANES)
 
     flat = np.concatenate([Counts(n_meta).flat for _ in models])
-    for part, x in _summed(rest.mapInArrow(count, "part int, lane int, data binary")).items():
+    for part, x in _summed(rest.mapInArrow(count, "part int, lane int, data binary"), rest.rdd.getNumPartitions()).items():
         flat[part * PART : part * PART + len(x)] = x
     told.destroy()
     return [Counts(n_meta, x) for x in np.split(flat, len(models))]
@@ -399,12 +396,12 @@ def _lessons(rest: DataFrame, models: Models, before: Models) -> list[list[tuple
                 for mine, (sums, n) in zip(total, model.lesson(rows, old) if model else (), strict=True):
                     mine[0] += sums
                     mine[1] += n
-        flat = [np.append(np.rint(sums.ravel() * EXACT), n) for own in totals for sums, n in own]
-        yield from _parts(np.concatenate(flat).astype(np.int64), _lane())
+        flat = np.concatenate([np.append(np.rint(sums.ravel() * EXACT), n) for own in totals for sums, n in own]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["cell", "n"])
 
     flat = np.zeros(sum(a * b + 1 for own in shapes for a, b in own), np.int64)
-    for part, x in _summed(rest.mapInArrow(learn, "part int, lane int, data binary")).items():
-        flat[part * PART : part * PART + len(x)] = x
+    for row in rest.mapInArrow(learn, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        flat[row["cell"]] = row["n"]
     told.destroy()
     out, at = [], 0
     for own in shapes:
