@@ -16,6 +16,8 @@ from tessera.plans.postings import CANDIDATE, EVALUATED, FIELDS, RULES, decided,
 from tessera.plans.registry import query
 from tessera.session import table
 
+#: Pairs of a task.
+PAIRS = 1 << 20
 #: What customers are dealt as candidates: how many in a row share a choice, and the choices.
 _BIRTHS = ["1991-03-15", "1985-07-01", "1999-12-31", "1978-02-28", "2001-05-05"]
 PEOPLE: dict[str, tuple[int, list]] = {
@@ -62,7 +64,10 @@ def open_pairs(posts: DataFrame, people: DataFrame, block: int = 256) -> DataFra
     none, or cannot be decided without a person, meets everybody by a key of its own. Candidates are dealt to blocks
     of about `block`, and postings go to each block, so that no key's pairs are the work of one task; no side is sent to all tasks.
     """
-    one_block = max(1, -(-people.count() // block))
+    n_people, n_posts = people.count(), posts.count()
+    one_block = max(1, -(-n_people // block))
+    # few rows make many pairs: so many tasks that each has about PAIRS of them at most, however small the sides are
+    tasks = max(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_people * n_posts // PAIRS))
     wide = F.exists("exact", lambda e: e.contains("门类") | e.endswith("类") | e.contains("相关专业"))
 
     def restricted(e: Column) -> Column:
@@ -82,7 +87,8 @@ def open_pairs(posts: DataFrame, people: DataFrame, block: int = 256) -> DataFra
     left = posts.withColumns({"_asks": asks, "_level": level}).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(one_block - 1)))).withColumn("_key", F.explode(F.array_distinct("_asks")))
     right = people.withColumns({"_has": has, "_block": F.pmod(F.xxhash64("candidate"), F.lit(one_block)).cast("int")})
     right = right.withColumn("_level", F.explode(F.sequence(F.lit(1), reach))).withColumn("_key", F.explode(F.array_distinct("_has")))
-    met = left.join(right, ["_block", "_level", "_key"])
+    keys = ["_block", "_level", "_key"]
+    met = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys)
     # a pair with several keys in common counts once
     once = F.array_min(F.array_intersect("_asks", "_has")) == F.col("_key")
     too_old = F.coalesce(~F.array_contains("conflicts", "AGE") & sure("BIRTH") & (whole_years(F.col("born_last"), F.col("cutoff")) > F.col("max_age")), F.lit(False))
