@@ -127,3 +127,15 @@ def listing_links(spark: SparkSession, sf: str) -> DataFrame:
     """Links of all entries of a source, each once."""
     entries, _, accepted = _read(spark, sf)
     return listings.merged_links(accepted, entries).select("source", "uri", "year")
+
+
+@query(f"""WITH {_FOLD}, t AS (SELECT z.n, p_brand AS source, z.n % 4 <> 1 AS required, y.year, z.n % 10 = 0 AND y.year = 2022 AS gap, reason IN {listings.COMPLETE} AS done, read, CASE WHEN kind IN (4, 5) THEN raw ELSE len(seen) END AS raw_count, (SELECT count(*) FILTER (l.year = y.year) FROM l WHERE l.n = z.n) AS own, (SELECT count(*) FROM l WHERE l.n = z.n) AS whole
+    FROM z JOIN e ON e.n = z.n CROSS JOIN (SELECT unnest({list(YEARS)}) AS year) y WHERE z.n % 7 <> 0 OR y.year < 2023),
+  ev AS (SELECT source, CAST(year AS INTEGER) AS year, coalesce(sum(read) FILTER (done), 0) AS pages, coalesce(sum(raw_count) FILTER (done), 0) AS raw, coalesce(sum(own) FILTER (done), 0) AS accepted, coalesce(sum(greatest(raw_count - whole, 0)) FILTER (done), 0) AS filtered, count(*) FILTER (NOT done) AS failed, count(*) FILTER (required) AS r, count(*) FILTER (required AND gap) AS gaps, count(*) FILTER (required AND done) AS ok FROM t GROUP BY source, year)
+  SELECT source, year, CAST(pages AS BIGINT) AS pages, CAST(raw AS BIGINT) AS raw, CAST(accepted AS BIGINT) AS accepted, CAST(filtered AS BIGINT) AS filtered, failed, r > 0 AND gaps = 0 AND r = ok AS complete, CASE WHEN r = 0 THEN 'NO_APPLICABLE_REQUIRED_ENTRY' WHEN gaps > 0 THEN 'KNOWN_OFFICIAL_ARCHIVE_GAP' WHEN r = ok THEN 'ALL_REQUIRED_ENTRIES_COMPLETE' ELSE 'REQUIRED_ENTRY_INCOMPLETE' END AS reason FROM ev""")
+def listing_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What all entries of a source prove for each year."""
+    entries, ends, accepted = _read(spark, sf)
+    n = F.col("entry")
+    entries = entries.withColumns({"required": n % 4 != 1, "years": F.when(n % 7 == 0, F.array(F.lit(2021), F.lit(2022))).otherwise(F.array().cast("array<int>")), "gaps": F.when(n % 10 == 0, F.array(F.lit(2022))).otherwise(F.array().cast("array<int>"))})
+    return listings.evidence_by_year(entries, ends, accepted, list(YEARS))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Ends that prove that all of a listing was read.
 COMPLETE = ("EMPTY_PAGE", "REPORTED_LAST_PAGE_REACHED", "REPORTED_TOTAL_REACHED", "NO_NEXT_LINK", "DATASET_PARSED")
-MODES = ("NUMBERED", "DECLARED_TOTAL", "JSON", "SUFFIX", "LINKED", "DATASET")
+MODES = ("NUMBERED", "DECLARED_TOTAL", "JSON", "SUFFIX", "LINKED", "DATASET", "CAMPAIGN")
 
 
 def _ends(mode: Column) -> Column:
@@ -37,7 +37,7 @@ def _ends(mode: Column) -> Column:
     json = stated.when(repeated & (col("found") - col("added") < col("known_total")), "REPEATED_PAGE").when(empty & short, "EMPTY_MIDDLE_PAGE").when(stale, "NOTHING_NEW").when(covered, by_total)
     suffix = F.when(repeated, "REPEATED_PAGE").when(empty, "EMPTY_PAGE")
     linked = F.when(col("visited"), "CYCLE").when(repeated, "REPEATED_PAGE").when(col("next").isNull(), "NO_NEXT_LINK")
-    return F.when(is_("NUMBERED"), numbered).when(is_("DECLARED_TOTAL"), declared).when(is_("JSON"), json).when(is_("SUFFIX"), suffix).when(is_("LINKED"), linked).when(is_("DATASET"), "DATASET_PARSED").otherwise("UNSUPPORTED_MODE")
+    return F.when(is_("NUMBERED"), numbered).when(is_("DECLARED_TOTAL"), declared).when(is_("JSON"), json).when(is_("SUFFIX"), suffix).when(is_("LINKED"), linked).when(is_("DATASET"), "DATASET_PARSED").when(is_("CAMPAIGN"), "CAMPAIGN_STATE_ONLY").otherwise("UNSUPPORTED_MODE")
 
 
 def _distinct(links: DataFrame, name: str) -> DataFrame:
@@ -87,7 +87,9 @@ def listing_ends(entries: DataFrame, pages: DataFrame, links: DataFrame, items:
     ended = walked.groupBy("entry").agg(at.alias("end"), F.max(F.struct("page", F.lit(None).cast("string").alias("event"), "raw_sum", "raw_found")).alias("last"))
     rows = entries.select("entry", "mode", "page_limit", "historical").join(ended, "entry", "left").withColumn("x", F.coalesce("end", "last"))
     reason = F.coalesce(F.col("x.event"), F.when(F.col("x.page") >= F.col("page_limit"), "PAGE_LIMIT").otherwise("NOT_CAPTURED"))
-    status = F.when(reason.isin(*COMPLETE), "COMPLETE").when((reason == "PAGE_LIMIT") & ~F.col("historical"), "PARTIAL").otherwise("ERROR")
+    # the state of a campaign is all that its page shows: no history is proved by it
+    partial = ((reason == "PAGE_LIMIT") & ~F.col("historical")) | (reason == "CAMPAIGN_STATE_ONLY")
+    status = F.when(reason.isin(*COMPLETE), "COMPLETE").when(partial, "PARTIAL").otherwise("ERROR")
     raw = F.when(F.col("mode").isin("SUFFIX", "LINKED"), F.col("x.raw_sum")).otherwise(F.col("x.raw_found"))
     return rows.select("entry", "mode", reason.alias("reason"), status.alias("status"), F.coalesce("x.page", F.lit(0)).alias("pages"), F.coalesce(raw, F.lit(0)).alias("raw_count"))
 
@@ -104,3 +106,25 @@ def merged_links(accepted: DataFrame, entries: DataFrame) -> DataFrame:
     own = accepted.join(entries.select("entry", "source", "role", F.col("place").alias("entry_place")), "entry")
     first = F.row_number().over(W.partitionBy("source", "uri").orderBy(F.when(F.col("role") == "LIFECYCLE", 0).otherwise(1), "entry_place", "page", "place"))
     return own.withColumn("turn", first).filter("turn = 1").drop("turn", "entry_place")
+
+
+def evidence_by_year(entries: DataFrame, ends: DataFrame, accepted: DataFrame, years: list[int]) -> DataFrame:
+    """What the entries of each source prove for each year (S09, A21): source, year, pages, raw, accepted, filtered, failed, complete, reason.
+
+    entries: entry, source, required, years (none: all), gaps (years whose archive is known to have a gap); accepted: entry, year. An entry that is an
+    ERROR counts as failed; a year is complete if required entries apply to it, none has a gap, and all were read to their end.
+    """
+    n = accepted.groupBy("entry", "year").agg(F.count(F.lit(1)).alias("own"))
+    whole = accepted.groupBy("entry").agg(F.count(F.lit(1)).alias("all"))
+    grid = entries.select("entry", "source", "required", "years", "gaps").withColumn("year", F.explode(F.array(*map(F.lit, years)))).filter((F.size("years") == 0) | F.array_contains("years", F.col("year")))
+    x = grid.join(ends.select("entry", "status", "pages", "raw_count"), "entry").join(n, ["entry", "year"], "left").join(whole, "entry", "left").fillna(0, ["own", "all"])
+    read, required = F.col("status") != "ERROR", F.col("required")
+    filtered = F.greatest(F.col("raw_count") - F.when(F.col("status") == "COMPLETE", F.col("all")).otherwise(F.col("own")), F.lit(0))
+    total = lambda c: F.sum(F.when(read, c).otherwise(0)).cast("long")
+    found = x.groupBy("source", "year").agg(
+        total(F.col("pages")).alias("pages"), total(F.col("raw_count")).alias("raw"), total(F.col("own")).alias("accepted"), total(filtered).alias("filtered"), F.count_if(~read).alias("failed"),
+        F.count_if(required).alias("_required"), F.count_if(required & F.array_contains("gaps", F.col("year"))).alias("_gaps"), F.count_if(required & (F.col("status") == "COMPLETE")).alias("_complete"),
+    )
+    none, gap, done = F.col("_required") == 0, F.col("_gaps") > 0, F.col("_required") == F.col("_complete")
+    reason = F.when(none, "NO_APPLICABLE_REQUIRED_ENTRY").when(gap, "KNOWN_OFFICIAL_ARCHIVE_GAP").when(done, "ALL_REQUIRED_ENTRIES_COMPLETE").otherwise("REQUIRED_ENTRY_INCOMPLETE")
+    return found.withColumns({"complete": ~none & ~gap & done, "reason": reason}).drop("_required", "_gaps", "_complete")

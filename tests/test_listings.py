@@ -16,7 +16,7 @@ def read(e, pages):
         if reason in listings.COMPLETE:
             status = "COMPLETE"
         else:
-            status = "PARTIAL" if reason == "PAGE_LIMIT" and not e["historical"] else "ERROR"
+            status = "PARTIAL" if reason == "CAMPAIGN_STATE_ONLY" or (reason == "PAGE_LIMIT" and not e["historical"]) else "ERROR"
         return reason, status, page, found
 
     count = lambda: raw if mode in ("SUFFIX", "LINKED") else len(seen)
@@ -76,7 +76,7 @@ def read(e, pages):
         elif mode == "LINKED":
             stop = "CYCLE" if visited else "REPEATED_PAGE" if again else "NO_NEXT_LINK" if following is None else None
         else:
-            stop = "DATASET_PARSED"
+            stop = "DATASET_PARSED" if mode == "DATASET" else "CAMPAIGN_STATE_ONLY"
         if stop:
             return end(stop, page, count())
     return end("PAGE_LIMIT", limit, count())
@@ -85,8 +85,8 @@ def read(e, pages):
 def test_listing_ends(spark):
     rng = random.Random(6)
     entries, pages, links, items, want, taken = [], [], [], [], {}, {}
-    for n in range(600):
-        mode = listings.MODES[n % 6]
+    for n in range(900):
+        mode = listings.MODES[n % 7]
         e = {"entry": n, "mode": mode, "page_size": 3, "page_limit": rng.choice([2, 4, 9]), "confirmations": rng.choice([0, 0, 1]), "by_items": rng.random() < 0.2, "historical": rng.random() < 0.7}
         n_pages, own, given, at = rng.randint(0, 6), {}, rng.random() < 0.6, 0
         total = rng.choice([3 * n_pages, 3 * n_pages - 1, 3 * n_pages + 1]) if given else None
@@ -94,7 +94,7 @@ def test_listing_ends(spark):
             k = rng.choice([3] * 12 + [0, 2]) if page <= n_pages else 0
             found = [f"/{i if rng.random() < 0.96 else 0}" for i in range(at, at + k)]
             at += k
-            body = (f"b{page}" if rng.random() < 0.95 else "b1", f"u{page}" if rng.random() < 0.95 else "u1", None if page >= n_pages else "next", total if total is None or rng.random() < 0.97 else total + 1, n_pages if n % 5 == 0 else None, page if rng.random() < 0.97 else 1)
+            body = (f"b{page}" if rng.random() < 0.95 else "b1", f"u{page}" if rng.random() < 0.95 else "u1", None if page >= n_pages else "next", total if total is None or rng.random() < 0.97 else total + 1, n_pages if n % 3 == 0 else None, page if rng.random() < 0.97 else 1)
             if rng.random() < 0.97:
                 own[page] = (*body, found, found[: len(found) - (rng.random() < 0.1)])
         entries.append(e)
