@@ -74,3 +74,15 @@ def placed(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.col("_row") - F.shiftleft(F.col("_range").cast("long"), 33)
     return ranges.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + own + 1).drop("_range", "_row", "_before")
+
+
+def dispatched(due: DataFrame, by: list[str], order: list[Column], tick: str, capacity: int) -> DataFrame:
+    """Adds served: the tick at which each row's turn comes, in order, with at most `capacity` rows a tick; what does not fit waits for the next.
+
+    tick: the number of the first tick at which a row may be served, not falling in the given order. A row takes the slot behind the one before it, or the first of
+    its own tick: with slots numbered through, that is its place plus the largest lead that any row so far had over its place.
+    """
+    walk = W.partitionBy(*by).orderBy(*order)
+    place = F.row_number().over(walk) - 1
+    lead = F.max(F.col(tick) * capacity - F.col("_place")).over(walk.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return due.withColumn("_place", place.cast("long")).withColumn("served", F.floor((lead + F.col("_place")) / capacity).cast("long")).drop("_place")

@@ -112,3 +112,18 @@ def session_state(spark: SparkSession, sf: str) -> DataFrame:
     """The latest state of a session."""
     c = table(spark, sf, "conversations")
     return c.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.count_if(F.col("role") == "user").alias("asked"), F.countDistinct("text").alias("distinct_texts"))
+
+
+#: Sources that a tick of an hour may take from each pool.
+A_TICK = 2
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) + 1 AS tick, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+  q AS (SELECT event_id, event_type, i, tick, tick AS served, 1 AS used FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.event_type, e.i, e.tick, CASE WHEN e.tick > q.served THEN e.tick WHEN q.used < {A_TICK} THEN q.served ELSE q.served + 1 END, CASE WHEN e.tick <= q.served AND q.used < {A_TICK} THEN q.used + 1 ELSE 1 END FROM q JOIN e ON e.event_type = q.event_type AND e.i = q.i + 1)
+  SELECT event_id, event_type, served, served - tick AS waited FROM q""")
+def dispatch_ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that fall due are served at the next tick, a few a tick, in the order in which they fell due; the others wait."""
+    tick = (F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts")) / 3600) + 1).cast("long")
+    due = table(spark, sf, "events").select("event_id", "event_type", "ts", tick.alias("tick"))
+    found = windows.dispatched(due, ["event_type"], [F.col("ts").asc(), F.col("event_id").asc()], "tick", A_TICK)
+    return found.select("event_id", "event_type", "served", (F.col("served") - F.col("tick")).alias("waited"))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 #: Hours that must lie between two failures to find a document before it counts as gone.
 APART = 6 * 3600
-TRANSITIONS = T.StructType([T.StructField("document", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("transition", T.StringType()), T.StructField("process", T.BooleanType()), T.StructField("at", T.TimestampType())])
+TRANSITIONS = T.StructType([T.StructField("document", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("transition", T.StringType()), T.StructField("process", T.BooleanType()), T.StructField("at", T.LongType())])
 STATE = T.StructType([T.StructField("print", T.StringType()), T.StructField("active", T.BooleanType()), T.StructField("gone", T.IntegerType()), T.StructField("gone_at", T.DoubleType()), T.StructField("done", T.StringType()), T.StructField("due", T.LongType()), T.StructField("last", T.LongType())])
 #: Keeps the state of streams out of the executors' heaps.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -63,17 +63,17 @@ class DocumentStates(StatefulProcessor):
         current, timer = None if last is None or current[1] is None else tuple(current), due
         for part in rows:
             out = []
-            for r in part.sort_values(["ts", "event_id"], kind="stable").itertuples(index=False):
-                at = r.ts.value // 1000
+            for r in part.sort_values(["us", "event_id"], kind="stable").itertuples(index=False):
+                at = int(r.us)
                 if last is not None and at < last:
-                    out.append((key[0], r.event_id, "LATE", False, r.ts))
+                    out.append((key[0], r.event_id, "LATE", False, at))
                     continue
                 last = at
                 if due is not None and at >= due:
-                    out.append((key[0], None, "CONFIRM_DUE", False, pd.Timestamp(due, unit="us")))
+                    out.append((key[0], None, "CONFIRM_DUE", False, due))
                     due = None
                 name, process, current = step(current, r.kind, r.print, at / 1e6)
-                out.append((key[0], r.event_id, name, process, r.ts))
+                out.append((key[0], r.event_id, name, process, at))
                 if r.kind != "FAILURE":
                     due = at + APART * 1_000_000 if r.kind == "GONE" and current is not None and current[1] else None
             yield _frame(out)
@@ -87,7 +87,7 @@ class DocumentStates(StatefulProcessor):
         *current, due, last = self.kept.get()
         if due is not None and due // 1000 == expiredTimerInfo.getExpiryTimeInMs():
             self.kept.update((*current, None, last))
-            yield _frame([(key[0], None, "CONFIRM_DUE", False, pd.Timestamp(due, unit="us"))])
+            yield _frame([(key[0], None, "CONFIRM_DUE", False, due)])
 
     def close(self) -> None:
         pass
@@ -98,7 +98,10 @@ def document_transitions(observations: DataFrame, delay: str = "0 seconds") -> D
 
     Observations must come in their order: those of a batch from one split of a file, or of files that are taken one at a time. Needs a session whose streams keep state in RocksDB, as drained() sees to.
     """
-    return observations.withWatermark("ts", delay).groupBy("document").transformWithStateInPandas(DocumentStates(), TRANSITIONS, "append", "EventTime")
+    # times go as microseconds since 1970, so that no session's zone comes between them and the timers
+    timed = observations.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
+    found = timed.groupBy("document").transformWithStateInPandas(DocumentStates(), TRANSITIONS, "append", "EventTime")
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 def observed(events: DataFrame) -> DataFrame:
