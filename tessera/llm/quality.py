@@ -16,6 +16,7 @@ ids); the driver holds the sums, the fitted tables and the labelled documents' c
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass
@@ -101,8 +102,6 @@ class Rows:
 
 
 def _crc(values: list, salt: str) -> np.ndarray:
-    import zlib
-
     return np.array([zlib.crc32(f"{salt}{v}".encode()) % VALUES for v in values], np.int64)
 
 
@@ -319,12 +318,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     context = docs.sparkSession.sparkContext
 
     def fitted(counts: list[Counts]) -> Models:
-        told = context.broadcast([c.flat for c in counts])
+        told = context.broadcast([_dense(c.flat) for c in counts])
 
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if parts := [b for b in batches if b.num_rows]:
                 table = pa.Table.from_batches(parts)
-                models = _models(table.take(pc.sort_indices(table["draw"])), [Counts(len(meta), flat) for flat in told.value])
+                models = _models(table.take(pc.sort_indices(table["draw"])), [Counts(len(meta), _flat(data)) for data in told.value])
                 yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(models)], pa.binary())})
 
         found = sample.repartition(1).mapInArrow(fit, "models binary").first()  # at most `labelled` rows in
@@ -348,21 +347,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
 
 def _summed(rows: DataFrame, tasks: int) -> dict[int, np.ndarray]:
-    """Sums of the tasks' tables by part (part int, lane int, data: whole numbers); of very many tasks in two steps, so that no task gets a row of every other."""
+    """Sums of the tasks' tables by part (part int, lane int, data: whole numbers, compressed); of very many tasks in two steps, so that no task gets a row of every other."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("data"))
-        return pa.table({"part": table.column("part")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+        total = sum(_flat(x.as_py()) for x in table.column("data"))
+        return pa.table({"part": table.column("part")[:1], "data": pa.array([_dense(total)], pa.binary())})
 
     if tasks > LANES**2:
         rows = rows.groupBy("part", "lane").applyInArrow(add, "part int, data binary")
-    return {r["part"]: np.frombuffer(r["data"], np.int64) for r in rows.groupBy("part").applyInArrow(add, "part int, data binary").collect()}
+    return {r["part"]: _flat(r["data"]) for r in rows.groupBy("part").applyInArrow(add, "part int, data binary").collect()}
 
 
 def _parts(flat: np.ndarray, lane: int) -> Iterator[pa.RecordBatch]:
     for i, at in enumerate(range(0, len(flat), PART)):
         if flat[at : at + PART].any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "lane": pa.array([lane], pa.int32()), "data": pa.array([flat[at : at + PART].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "lane": pa.array([lane], pa.int32()), "data": pa.array([_dense(flat[at : at + PART])], pa.binary())})
+
+
+def _dense(counts: np.ndarray) -> bytes:
+    """Counts are small and many are 0: a tenth of their size."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _flat(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.int64)
 
 
 def _counts_of(rest: DataFrame, models: Models, n_meta: int) -> list[Counts]:
