@@ -57,7 +57,8 @@ def listing_pages(entries: DataFrame, pages: DataFrame, links: DataFrame, items:
     rows = pages.filter(F.col("print").isNotNull()).dropDuplicates(["entry", "page"]).join(entries, "entry").filter(F.col("page").between(1, F.col("page_limit")))
     rows = rows.join(_distinct(links, "raw"), ["entry", "page"], "left")
     rows = rows.join(_distinct(items, "item"), ["entry", "page"], "left") if items is not None else rows.withColumns({"item": F.lit(0), "item_new": F.lit(0)})
-    rows = rows.fillna(0, ["raw", "raw_new", "item", "item_new"])
+    # an entry has at most page_limit pages; dealt by entry once, its windows need no other exchange
+    rows = rows.fillna(0, ["raw", "raw_new", "item", "item_new"]).repartition("entry")
     walk = W.partitionBy("entry").orderBy("page")
     so_far = walk.rowsBetween(W.unboundedPreceding, W.currentRow)
     # only pages that are not empty have prints in numbered listings
