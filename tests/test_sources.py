@@ -179,3 +179,20 @@ def test_change_log(spark, tmp_path):
         seen.append(feeds.drained(stream, str(tmp_path / "out")).count())
     assert seen == [500, 704, 1000]
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()) == [i for i, _ in rows]
+
+
+def test_fragments_hold_all_text(spark):
+    """The blocks of every page together are its text, in order, less what no one sees; and each is one line with its print."""
+    import hashlib
+    import html
+    import re
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(120)
+    found = {}
+    for r in src.html_fragments(pages, "page_id", "html").orderBy("page_id", "place").collect():
+        found.setdefault(r.page_id, []).append(r.text)
+        assert r.text == " ".join(r.text.split()) != "" and r.sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    for r in pages.collect():
+        seen = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|noscript|template)\b.*?</\1\s*>", "", r.html)
+        want = html.unescape(re.sub(r"(?s)<[^>]*>", "", seen))
+        assert "".join("".join(found.get(r.page_id, [])).split()) == "".join(want.split()), r.page_id
