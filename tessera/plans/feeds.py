@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.plans.registry import query
 from tessera.session import checkpoint_folder
 from tessera.sources.changelog import registered
+from tessera.sources.state import Ledger
 from tessera.streaming import feeds
 
 
@@ -112,3 +113,25 @@ def stream_resumed_log(spark: SparkSession, sf: str) -> DataFrame:
         stream = spark.readStream.format("changes").options(**_log(spark, f"{folder}/in")).load()
         out = feeds.drained(stream.select("event_id", "ts", "user_id"), folder)
     return out
+
+
+@query("""SELECT user_id, max_by(event_id, (ts, event_id)) AS last_event, max_by(props, (ts, event_id)) AS print, count(*) AS changes, CAST(count(DISTINCT CASE WHEN day(ts) < 10 THEN 0 WHEN day(ts) < 20 THEN 1 ELSE 2 END) AS BIGINT) AS batches FROM events GROUP BY user_id""")
+def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and their changes in one commit for each batch of a stream; every batch is handed over twice, as after a failure, and counts once."""
+    batch, folder = spark.read.parquet(f"{sf}/events.parquet"), _folder(spark)
+    ledger = Ledger(spark, f"{folder}/ledger", "events")
+    latest = F.max(F.struct("ts", "event_id", "print"))
+
+    def take(rows: DataFrame, number: int) -> None:
+        rows = rows.select("user_id", "ts", "event_id", F.col("props").alias("print"))
+        known = ledger.table("documents")
+        all_ = rows if known is None else rows.unionByName(known)
+        documents = all_.groupBy("user_id").agg(latest.alias("x")).select("user_id", "x.*")
+        ledger.put({"changes": rows.select("user_id", "event_id", F.lit(number).alias("batch"))}, {"documents": documents}, number)
+
+    for low, high in ((1, 10), (10, 20), (20, 32)):
+        batch.filter(F.dayofmonth("ts").between(low, high - 1)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/in")
+        feeds.handed_over(stream, folder, lambda rows, number: [take(rows, number) for _ in range(2)])
+    counts = ledger.table("changes").groupBy("user_id").agg(F.count(F.lit(1)).alias("changes"), F.countDistinct("batch").alias("batches"))
+    return ledger.table("documents").join(counts, "user_id").select("user_id", F.col("event_id").alias("last_event"), "print", "changes", "batches")

@@ -111,3 +111,36 @@ class VersionedState:
             for f in system.listStatus(self._path("data")):
                 if f.getPath().getName() not in named:
                     system.delete(f.getPath(), True)
+
+
+class Ledger(VersionedState):
+    """Several tables that change together: a commit puts rows of all of them in place by one manifest, or of none.
+
+    Appended tables keep what they had, replaced ones do not. A commit may carry the number of a stream's batch: a batch that comes again, after a failure
+    between its commit and the stream's own record of it, changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, source: str):
+        super().__init__(spark, folder, source, "", "")
+
+    def put(self, appended: dict[str, DataFrame], replaced: dict[str, DataFrame], batch: int | None = None) -> int:
+        """Commits a new version and returns its number; the number of the present one, if the batch is in it already."""
+        before = self.manifest() or {"version": 0, "batch": -1, "tables": {}}
+        if batch is not None and batch <= before["batch"]:
+            return before["version"]
+        tables = dict(before["tables"])
+        for name, rows in (appended | replaced).items():
+            data = f"data/{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.folder}/{data}")
+            files = [f"{data}/{f.getPath().getName()}" for f in self._system().listStatus(self._path(data)) if f.getPath().getName().startswith("part-")]
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+            old = tables[name]["files"] if name in appended and name in tables else []
+            tables[name] = {"files": [*old, *sorted(files)], "schema": schema}
+        number = before["version"] + 1
+        self._put({"format": FORMAT, "source": self.source, "version": number, "batch": before["batch"] if batch is None else batch, "tables": tables})
+        return number
+
+    def table(self, name: str) -> DataFrame | None:
+        """The rows of a table in the last version; None before it is first written."""
+        found = (self.manifest() or {"tables": {}})["tables"].get(name)
+        return found and self.spark.read.schema(found["schema"]).parquet(*(f"{self.folder}/{f}" for f in found["files"]))

@@ -6,7 +6,7 @@ and emits the same transitions, so each can be checked against the other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,6 +125,11 @@ def tumbling(events: DataFrame, at: str, width: str, delay: str, by: list[str])
     return events.withWatermark(at, delay).groupBy(F.window(at, width), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *by, "n", "total")
 
 
+def handed_over(stream: DataFrame, folder: str, take: Callable[[DataFrame, int], object]) -> None:
+    """Runs a stream over what is there and hands each batch, with its number, to a function; the checkpoint stands in folder."""
+    stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda rows, number: take(rows, number) and None).start().awaitTermination()
+
+
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and gives its output as a table: to parquet in append mode, else through foreachBatch.
 

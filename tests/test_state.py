@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tessera.sources.state import Duplicates, StateConflict, VersionedState
+from tessera.sources.state import Duplicates, Ledger, StateConflict, VersionedState
 
 
 def rows(spark, *pairs):
@@ -51,3 +51,18 @@ def test_empty_state(spark, tmp_path):
     none = rows(spark, (1, "a")).limit(0)
     state.commit(none)
     assert state.read().count() == 0 and state.delta(none).count() == 0
+
+
+def test_ledger(spark, tmp_path):
+    """Tables of one commit are seen together or not at all; a batch that comes again changes nothing."""
+    ledger = Ledger(spark, f"file://{tmp_path}/l", "src")
+    assert ledger.table("log") is None
+    assert ledger.put({"log": rows(spark, (1, "a"))}, {"now": rows(spark, (1, "a"))}, 0) == 1
+    assert ledger.put({"log": rows(spark, (2, "b"))}, {"now": rows(spark, (2, "b"))}, 1) == 2
+    assert ledger.put({"log": rows(spark, (2, "b"))}, {"now": rows(spark, (9, "z"))}, 1) == 2
+    assert sorted(map(tuple, ledger.table("log").collect())) == [(1, "a"), (2, "b")] and list(map(tuple, ledger.table("now").collect())) == [(2, "b")]
+    bad = rows(spark, (3, "c")).selectExpr("id", "raise_error('lost') as print")
+    with pytest.raises(Exception, match="lost"):
+        ledger.put({"log": rows(spark, (3, "c"))}, {"now": bad}, 2)
+    assert ledger.table("log").count() == 2 and ledger.versions() == [1, 2]
+    assert ledger.put({"log": rows(spark, (3, "c"))}, {"now": rows(spark, (3, "c"))}, 2) == 3 and ledger.table("log").count() == 3
