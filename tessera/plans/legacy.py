@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.dates import whole_years
-from tessera.plans.postings import literal
-from tessera.plans.registry import query
+from tessera.plans.changes import PRICE, snapshots
+from tessera.plans.notices import PUBLIC, watch_action, watch_tier
+from tessera.plans.postings import literal, picked_sql, postings
+from tessera.plans.registry import ORACLE, query
 from tessera.plans.rules import legacy_status
-from tessera.session import table
+from tessera.session import checkpoint_folder, table
+from tessera.sources.state import VersionedState
 
 CRITERIA = ("education", "degree", "major", "age", "experience", "political_status", "professional_title", "applicant_type", "other_conditions")
 #: Levels by the first words found; conditions that are part of an examination, and words of a hard condition (fixed values).
@@ -120,3 +125,30 @@ def legacy_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     status = legacy_status([F.col(k) for k in CRITERIA])
     overall = F.when(status == "FAIL", "INELIGIBLE").when(status == "UNKNOWN", "NEEDS_CONFIRMATION").when(status == "CONDITIONAL", "CONDITIONAL").otherwise("ELIGIBLE")
     return found.withColumn("overall", overall)
+
+
+_PUBLIC = f"organisation IN {PUBLIC}"
+
+
+@query(f"""WITH b AS (SELECT p_partkey, p_retailprice AS x FROM part WHERE p_partkey % 10 <> 0), n AS (SELECT p_partkey, {PRICE} AS x FROM part WHERE p_partkey % 10 <> 1),
+  d AS (SELECT coalesce(n.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'ADDED' WHEN n.p_partkey IS NULL THEN 'REMOVED' WHEN n.x = b.x THEN 'UNCHANGED' ELSE 'CHANGED' END AS delta FROM b FULL JOIN n ON n.p_partkey = b.p_partkey),
+  le AS (SELECT p_partkey, CASE overall WHEN 'ELIGIBLE' THEN 'PASS' WHEN 'CONDITIONAL' THEN 'CONDITIONAL' WHEN 'INELIGIBLE' THEN 'FAIL' ELSE 'UNKNOWN' END AS status FROM ({ORACLE["legacy_eligibility"]}) WHERE candidate = 1),
+  w AS (SELECT p_partkey, {picked_sql('employment')} AS employment, {picked_sql('organisation')} AS organisation, {picked_sql('family')} <> 'ADMINISTRATION' AS related FROM part),
+  t AS (SELECT *, CASE WHEN employment = 'LABOR_DISPATCH' THEN 'EXCLUDED' WHEN employment = 'ESTABLISHMENT' THEN CASE WHEN {_PUBLIC} THEN 'T1_ESTABLISHMENT_TARGET' ELSE 'T2_IDENTITY_REVIEW' END WHEN organisation = 'STATE_OWNED_ENTERPRISE' THEN 'T3_STABLE_SOE_BACKUP' WHEN employment = 'QUOTA_OR_FILING' THEN 'T2_IDENTITY_REVIEW' WHEN employment = 'CONTRACT' THEN CASE WHEN {_PUBLIC} THEN 'T2_IDENTITY_REVIEW' ELSE 'EXCLUDED' END WHEN {_PUBLIC} THEN 'T2_IDENTITY_REVIEW' ELSE 'UNKNOWN' END AS tier FROM w),
+  a AS (SELECT d.p_partkey, delta, CASE WHEN delta = 'REMOVED' THEN 'REMOVED' WHEN NOT related OR tier = 'EXCLUDED' OR status = 'FAIL' THEN 'REJECT' WHEN tier = 'T1_ESTABLISHMENT_TARGET' THEN CASE WHEN status = 'PASS' THEN 'APPLY' ELSE 'VERIFY_FIRST' END WHEN tier = 'T3_STABLE_SOE_BACKUP' THEN CASE WHEN status = 'PASS' THEN 'BACKUP' ELSE 'VERIFY_FIRST' END WHEN tier = 'T2_IDENTITY_REVIEW' THEN 'VERIFY_FIRST' ELSE 'REVIEW' END AS action FROM d JOIN le USING (p_partkey) JOIN t USING (p_partkey) WHERE delta <> 'UNCHANGED')
+  SELECT delta, action, count(*) AS n, min(p_partkey) AS first_posting FROM a GROUP BY ALL""")
+def daily_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A day's run end to end: the new snapshot against the stored state, what is new or changed judged for a candidate, what to do about each, the state moved on."""
+    before, after = snapshots(spark, sf)
+    state = VersionedState(spark, f"{checkpoint_folder(spark)}/daily-{uuid.uuid4().hex}", "parts", "p_partkey", "p_retailprice")
+    state.commit(before)
+    moved = state.delta(after).withColumnRenamed("status", "delta").filter("delta <> 'UNCHANGED'")
+    names = F.create_map(*(F.lit(x) for x in ("ELIGIBLE", "PASS", "CONDITIONAL", "CONDITIONAL", "INELIGIBLE", "FAIL", "NEEDS_CONFIRMATION", "UNKNOWN")))
+    judged = legacy_eligibility(spark, sf).filter("candidate = 1").select("p_partkey", names[F.col("overall")].alias("status"))
+    pools = postings(spark, sf).select("p_partkey", watch_tier(F.col("employment"), F.col("organisation")).alias("tier"), (F.col("family") != "ADMINISTRATION").alias("related"))
+    action = F.when(F.col("delta") == "REMOVED", "REMOVED").otherwise(watch_action(F.col("related"), F.col("tier"), F.col("status")))
+    found = moved.join(judged, "p_partkey").join(pools, "p_partkey").groupBy("delta", action.alias("action")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_posting"))
+    # the result rests on the version before, so it is settled before the state moves on
+    found = found.checkpoint()
+    state.commit(after)
+    return found
