@@ -20,7 +20,7 @@ TARGET = 2027
 #: Employments that count as formal, and weights of a route's components in percent (fixed values).
 FORMAL = ("ESTABLISHMENT", "PUBLIC_INSTITUTION_FORMAL")
 WEIGHTS = {"ELIGIBILITY_READINESS": 30, "EXPERIENCE_ADVANTAGE": 25, "EMPLOYMENT_STABILITY": 20, "HISTORICAL_SUPPLY": 15, "PREPARATION_REUSE": 10}
-#: Routes by what they take; a posting may be on several. Those that target sources are known of.
+#: Routes by what they take (fixed values); a posting may be on several. Those that target sources are known of.
 ROUTES = {
     "PUBLIC_TECH": "organisation = 'PUBLIC_INSTITUTION'",
     "UNIVERSITY_HOSPITAL_IT": "organisation in ('UNIVERSITY', 'HOSPITAL')",
@@ -28,6 +28,7 @@ ROUTES = {
     "GOVERNMENT_SOE_DIGITAL": "organisation in ('STATE_OWNED_ENTERPRISE', 'GOVERNMENT')",
 }
 COVERED = ("PUBLIC_TECH", "UNIVERSITY_HOSPITAL_IT", "GOVERNMENT_SOE_DIGITAL")
+#: Words of a technical title (fixed values).
 TECHNICAL = ("信息", "计算机", "软件", "网络", "系统", "数据", "数字", "安全", "开发", "运维", "算法", "智能")
 #: Words of a role that bear on a family of postings; work of any kind bears on the others (fixed values). The day on which plans are made.
 RELEVANT = {"SOFTWARE": "开发|软件|java|程序|研发", "DATA": "数据|数据库|算法|分析|人工智能|ai", "RESEARCH": "研究|科研|实验|课题|研发", "ADMINISTRATION": ""}
