@@ -57,8 +57,11 @@ def education(own: Column, confirmed: Column, least: Column, completion: Column
 
 def major(own: Column, confirmed: Column, exact: Column, text: Column) -> Column:
     """Equal in compact form, or the end of a restriction; wide categories need a person."""
-    mine = F.transform(own, compact)
-    hit = F.exists(exact, lambda e: F.exists(mine, lambda m: (compact(e) == m) | F.endswith(compact(e), F.concat(F.lit("限"), m))))
+    mine, asked = F.transform(own, compact), F.transform(exact, compact)
+    # only what restricts is looked at major by major
+    limits = F.filter(asked, lambda e: e.contains("限"))
+    within = F.exists(limits, lambda e: F.exists(mine, lambda m: F.endswith(e, F.concat(F.lit("限"), m))))
+    hit = F.coalesce(F.arrays_overlap(asked, mine), F.lit(False)) | within
     wide = F.exists(exact, lambda e: e.contains("门类") | e.endswith("类") | e.contains("相关专业"))
     return F.when(F.size(exact) == 0, unparsed(text)).when(~confirmed | (F.size(own) == 0), UNSURE).when(hit, YES).when(wide, UNSURE).otherwise(NO)
 
