@@ -42,6 +42,24 @@ def lacking(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on), on, "left_anti")
 
 
+def spread(left: DataFrame, right: DataFrame, keys: list[str], pairs: int = 1 << 22) -> DataFrame:
+    """The inner join on keys of the same name, its pairs dealt evenly: about `pairs` to a task, however few rows make them.
+
+    A key with more pairs is cut into blocks: the right side's rows are dealt to them, and the left side's go to each. Sizes of keys are counted first.
+    """
+    size = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    sizes = size(left, "_left").join(size(right, "_right"), keys).withColumn("_pairs", F.col("_left").cast("double") * F.col("_right"))
+    total = sizes.agg(F.sum("_pairs")).first()[0] or 0
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // pairs) + 1)
+    # no key has more blocks than rows to deal
+    large = sizes.filter(F.col("_pairs") > pairs).select(*keys, F.least(F.ceil(F.col("_pairs") / pairs), F.col("_right")).cast("int").alias("_blocks"))
+    blocks = F.coalesce("_blocks", F.lit(1))
+    ours = left.join(large, keys, "left").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("_blocks")
+    theirs = right.join(large, keys, "left").withColumn("_block", F.pmod(F.xxhash64(*right.columns), blocks).cast("int")).drop("_blocks")
+    dealt = [*keys, "_block"]
+    return ours.repartition(tasks, *dealt).join(theirs.repartition(tasks, *dealt), dealt).drop("_block")
+
+
 def _grams(stems: DataFrame, block: list[str], width: int) -> DataFrame:
     """block, stem, gram: the distinct runs of `width` characters of each stem."""
     starts = F.sequence(F.lit(1), F.length("stem") - width + 1)
@@ -71,12 +89,12 @@ def contained_candidates(left: DataFrame, right: DataFrame, block: list[str], a:
 def similar_stems(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: int = 12, ratio: float = 0.75) -> DataFrame:
     """Pairs of a block whose stems are equal, or where the shorter, of `least` characters or more, is in the longer and nearly as long.
 
-    Equal stems meet by an equality; others by contained_candidates, as distinct stems, before their rows are joined to them. A null stem meets none.
+    Equal stems meet by an equality; others by contained_candidates, as distinct stems, before their rows are joined to them; rows that share a stem are many pairs, so these are dealt evenly. A null stem meets none.
     """
     pairs = contained_candidates(left, right, block, a, b, least, ratio)
     pairs = pairs.filter(F.when(F.length(a) < F.length(b), F.contains(F.col(b), F.col(a))).otherwise(F.contains(F.col(a), F.col(b))))
-    equal = left.join(right.withColumn(a, F.col(b)), [*block, a])
-    unlike = left.join(pairs, [*block, a]).join(right, [*block, b])
+    equal = spread(left, right.withColumn(a, F.col(b)), [*block, a])
+    unlike = spread(left.join(pairs, [*block, a]), right, [*block, b])
     return equal.unionByName(unlike)
 
 
@@ -95,6 +113,6 @@ def overlaid(own: DataFrame, other: DataFrame, on: str, columns: list[str]) -> D
 
 
 def in_ranges(cells: DataFrame, ranges: DataFrame, at: str, low: str, high: str, on: list[str], step: int = 64) -> DataFrame:
-    """Cells with the ranges that hold them: ranges go to every stretch of `step` they reach, so the join is an equality."""
-    spread = ranges.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))))
-    return cells.withColumn("_stretch", F.floor(F.col(at) / step)).join(spread, [*on, "_stretch"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("_stretch")
+    """Cells with the ranges that hold them: ranges go to every stretch of `step` they reach, so the join is an equality, its pairs dealt evenly."""
+    reached = ranges.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))))
+    return spread(reached, cells.withColumn("_stretch", F.floor(F.col(at) / step)), [*on, "_stretch"]).filter(F.col(at).between(F.col(low), F.col(high))).drop("_stretch")
