@@ -86,10 +86,10 @@ def fuzzy_stem_join(spark: SparkSession, sf: str) -> DataFrame:
   FROM part p LEFT JOIN m USING (p_partkey) GROUP BY p.p_partkey""")
 def match_cardinality(spark: SparkSession, sf: str) -> DataFrame:
     """Resolved only if the match is unique."""
-    p = table(spark, sf, "part").select("p_partkey")
+    # parts of a nation have the same matches, so these are counted once a nation
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 40).cast("int").alias("s_nationkey"))
     s = table(spark, sf, "supplier").filter("s_acctbal > 6000").select("s_suppkey", "s_nationkey")
-    matches = p.join(s, F.col("p_partkey") % 40 == F.col("s_nationkey")).select("p_partkey", "s_suppkey")
-    return joins.resolved(p, matches, "p_partkey", "s_suppkey").select("p_partkey", "status", "targets", "s_suppkey")
+    return joins.resolved(p, s, "s_nationkey", "s_suppkey").select("p_partkey", "status", "targets", "s_suppkey")
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'NOT_COLLECTED' WHEN l.quality = 1 THEN 'CONFIRMED' ELSE 'CONFLICTING' END AS quality_state,
@@ -128,11 +128,12 @@ def overlay_preference(spark: SparkSession, sf: str) -> DataFrame:
   AND ((CASE WHEN a.p_partkey % 3 = 0 THEN NULL ELSE a.p_brand END) IS NOT NULL OR a.p_name = b.p_name)""")
 def null_safe_identity(spark: SparkSession, sf: str) -> DataFrame:
     """Equal codes, or no code on either side and equal names."""
-    p = table(spark, sf, "part").withColumn("code", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")))
-    a, b = p.alias("a"), p.alias("b")
-    same = (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_size") == F.col("b.p_size")) & F.col("a.code").eqNullSafe(F.col("b.code"))
-    pairs = a.join(b, same).filter("a.p_partkey < b.p_partkey").filter(F.col("a.code").isNotNull() | (F.col("a.p_name") == F.col("b.p_name")))
-    return pairs.select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"))
+    code = F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand"))
+    # rows without a code meet by name from the start, not by having none
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_size", code.isNull().alias("bare"), F.coalesce(code, "p_name").alias("known"))
+    keys = ["p_type", "p_size", "bare", "known"]
+    pairs = joins.spread(p.withColumnRenamed("p_partkey", "a_key"), p.withColumnRenamed("p_partkey", "b_key"), keys)
+    return pairs.filter("a_key < b_key").select("a_key", "b_key")
 
 
 @query("""SELECT e.event_id, o.o_orderkey, s.s_suppkey FROM events e JOIN orders o ON o.o_orderkey = e.event_id LEFT JOIN supplier s ON s.s_suppkey = e.user_id AND s.s_acctbal > 0""")
