@@ -86,8 +86,18 @@ def _suits(d: Column) -> Column:
     return F.array_contains("_month", F.month(d)) & by_day & (F.array_contains("_weekday", weekday) | F.exists("_weekdays", weekday_special))
 
 
-def _from(local: Column) -> Column:
-    """The first local time from a given one on that suits; null if there is none."""
+def _later(date: Column) -> Column:
+    """The first day behind a given one that suits; null if there is none."""
+    parts, at = [], 1
+    for days in _REACH:
+        # each stretch is looked through only if those before it have no day
+        parts.append(F.get(F.filter(F.sequence(F.date_add(date, at), F.date_add(date, at + days - 1)), _suits), F.lit(0)))
+        at += days
+    return F.coalesce(*parts)
+
+
+def _from(local: Column, suits: Column | None = None, later: Column | None = None) -> Column:
+    """The first local time from a given one on that suits; null if there is none. suits, later: of the time's day, where they are known."""
     h, m, s = F.hour(local), F.minute(local), F.second(local)
     least = lambda name, low: F.array_min(F.filter(f"_{name}", lambda x: x >= low))
     low = {name: F.array_min(f"_{name}") for name in ("second", "minute", "hour")}
@@ -96,15 +106,10 @@ def _from(local: Column) -> Column:
     here = F.when(has_h & has_m, clock(h, m, least("second", s)))
     today = F.coalesce(here, F.when(has_h, clock(h, least("minute", m + 1), low["second"])), clock(least("hour", h + 1), low["minute"], low["second"]))
     date = F.to_date(local)
-    parts, at = [], 1
-    for days in _REACH:
-        # each stretch is looked through only if those before it have no day
-        parts.append(F.get(F.filter(F.sequence(F.date_add(date, at), F.date_add(date, at + days - 1)), _suits), F.lit(0)))
-        at += days
-    later = F.coalesce(*parts)
     moved = lambda day, seconds: day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
     first = clock(low["hour"], low["minute"], low["second"])
-    return F.when(_suits(date) & today.isNotNull(), moved(date, today)).otherwise(moved(later, first))
+    suits, later = _suits(date) if suits is None else suits, _later(date) if later is None else later
+    return F.when(suits & today.isNotNull(), moved(date, today)).otherwise(moved(later, first))
 
 
 def with_next_run(df: DataFrame, at: str, cron: str, zone: str, out: str) -> DataFrame:
@@ -117,13 +122,19 @@ def with_next_run(df: DataFrame, at: str, cron: str, zone: str, out: str) -> Dat
     offset = lambda c: seconds(here(c), c)
 
     kept = df.columns
-    x = _parsed(df, cron).withColumn("_at", F.date_trunc("second", ntz(F.col(at)))).withColumn("_at", ntz(F.col("_at")))
+    x = df.withColumn("_at", F.date_trunc("second", ntz(F.col(at)))).withColumn("_at", ntz(F.col("_at")))
     minute = lambda name, n: plus(ntz(F.date_trunc("minute", F.col(name))), n * 60)
     x = x.withColumns({"_here": here(F.col("_at")), "_offset": offset(F.col("_at"))})
     # a clock that will be put back within three hours: when, and what it shows then
     back = F.get(F.filter(F.sequence(F.lit(1), F.lit(180)), lambda n: offset(minute("_at", n)) < F.col("_offset")), F.lit(0))
     x = x.withColumn("_back", F.when(offset(plus(F.col("_at"), F.lit(10_800))) < F.col("_offset"), minute("_at", back)))
-    x = x.withColumn("_first", F.when(F.col("_fine"), _from(plus(F.col("_here"), F.lit(1)))))
+    start = plus(F.col("_here"), F.lit(1))
+    x = x.withColumn("_date", F.to_date(start))
+    # a schedule is read, and its next day looked for, once for each day on which it is asked for
+    days = _parsed(x.select(cron, "_date").distinct(), cron)
+    days = days.withColumns({"_suit": F.when(F.col("_fine"), _suits(F.col("_date"))), "_later": F.when(F.col("_fine"), _later(F.col("_date")))})
+    x = x.join(days, [cron, "_date"], "left").withColumn("_fine", F.coalesce("_fine", F.lit(False)))
+    x = x.withColumn("_first", F.when(F.col("_fine"), _from(start, F.col("_suit"), F.col("_later"))))
     # in a gap: on from its end, the first minute that a clock shows
     shown = lambda c: here(utc(c)) == c
     gap_end = F.get(F.filter(F.sequence(F.lit(1), F.lit(1_500)), lambda n: shown(minute("_first", n))), F.lit(0))
