@@ -68,7 +68,8 @@ def stream_rechecks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that were gone and are due for another look, told by timers in event time; over two runs, so that timers outlive a run."""
     batch, folder = spark.read.parquet(f"{sf}/events.parquet"), _folder(spark)
     for part in ("ts < timestamp_ntz'2024-01-16'", "ts >= timestamp_ntz'2024-01-16'"):
-        batch.filter(part).coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(f"{folder}/in")
+        # a document's observations lie in one file, in their order; files are read side by side
+        batch.filter(part).repartition("user_id").sortWithinPartitions("user_id", "event_id").write.mode("append").parquet(f"{folder}/in")
         e = spark.readStream.schema(batch.schema).parquet(f"{folder}/in")
         out = feeds.drained(feeds.document_transitions(feeds.observed(e)), folder)
     return out.filter("transition = 'CONFIRM_DUE'").select("document", F.col("at").cast("timestamp_ntz").alias("due"))
