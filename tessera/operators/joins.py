@@ -37,6 +37,13 @@ def having(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right.select(*on), on, "left_semi")
 
 
+def where_known(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """The left join on key = other; rows without a key, which have no match, do not meet in one task but stay where they are."""
+    known = left.filter(F.col(key).isNotNull()).join(right, F.col(key) == F.col(other), "left")
+    unknown = left.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
+    return known.unionByName(unknown)
+
+
 def lacking(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of left that right has no match for."""
     return left.join(right.select(*on), on, "left_anti")

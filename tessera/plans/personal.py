@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import joins
 from tessera.plans.postings import literal
 from tessera.functions.cron import with_next_run
 from tessera.plans.registry import query
@@ -98,7 +99,8 @@ def evidence_chain(spark: SparkSession, sf: str) -> DataFrame:
     fact = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_orderkey")).alias("key"))
     fragment = table(spark, sf, "orders").select(F.col("o_orderkey").alias("fragment"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_custkey")).alias("source"))
     proof = table(spark, sf, "customer").select(F.col("c_custkey").alias("evidence"))
-    x = fact.join(fragment, F.col("key") == F.col("fragment"), "left").join(proof, F.col("source") == F.col("evidence"), "left")
+    # fragments meet their evidence first: they are fewer than facts
+    x = joins.where_known(fact, joins.where_known(fragment, proof, "source", "evidence"), "key", "fragment")
     state = F.when(F.col("evidence").isNotNull(), "EVIDENCED").when(F.col("fragment").isNotNull(), "FRAGMENT_ONLY").otherwise("MISSING")
     return x.select("l_orderkey", "l_linenumber", "fragment", "evidence", state.alias("state"))
 
