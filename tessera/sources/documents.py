@@ -117,19 +117,35 @@ class _Page(HTMLParser):
         return page
 
 
+#: Rows of parts that a task holds before it hands them on.
+PARTS_AT_ONCE = 4_096
+
+
 def _exploded(df: DataFrame, key: str, body: str, schema: T.StructType, parts: Callable[[object], list[tuple]]) -> DataFrame:
     """key and, for each part of the body, a row."""
     full = T.StructType([df.schema[key], *schema.fields])
+    at_once = PARTS_AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, rows = batch.column(0).to_pylist(), []
-            for k, value in zip(keys, batch.column(1), strict=True):
-                rows += [(k, *part) for part in parts(value.as_py())]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(full)
-            from pyspark.sql.pandas.types import to_arrow_type
+        from pyspark.sql.pandas.types import to_arrow_type
 
-            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, full, strict=True)], names=full.names)
+        kinds = [to_arrow_type(f.dataType) for f in full]
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=full.names)
+
+        # what goes out follows the parts of few bodies, however many bodies come in together
+        for batch in batches:
+            rows = []
+            for k, value in zip(batch.column(0), batch.column(1), strict=True):
+                found, k = parts(value.as_py()), k.as_py()
+                for i in range(0, len(found), at_once):
+                    rows += [(k, *part) for part in found[i : i + at_once]]
+                    if len(rows) >= at_once:
+                        yield packed(rows)
+                        rows = []
+            if rows:
+                yield packed(rows)
 
     return df.select(key, body).mapInArrow(run, full)
 
