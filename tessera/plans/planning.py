@@ -116,7 +116,8 @@ def projected(spark: SparkSession, sf: str) -> DataFrame:
     each = c.withColumn("scenario", F.explode(F.array(*map(F.lit, SCENARIOS)))).withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
     years = relevant_years(c, {MODES[0]: TODAY, MODES[1]: f"{TARGET}-{TODAY[5:]}"})
     x = postings(spark, sf).crossJoin(F.broadcast(each))  # candidates are few: see evaluated
-    x = x.join(years, ["candidate", "family", "mode"], "left")
+    # so are their years of work; by these few keys postings would crowd in a few tasks
+    x = x.join(F.broadcast(years), ["candidate", "family", "mode"], "left")
     found = checks(F.col("scenario"), F.col("mode") == MODES[1])
     x = x.withColumns({f"chk_{k}": v for k, v in found.items()})
     return x.withColumn("outcome", F.get(F.array(*map(F.lit, OUTCOMES)), F.greatest(*(F.col(f"chk_{k}") for k in CHECKS))))
