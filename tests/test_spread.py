@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import joins
 from tessera.plans import relational
+from tessera.queries import QUERIES
+from tests.conftest import SF
 
 
 def _sides(spark):
@@ -43,3 +45,9 @@ def test_copies(spark, tmp_path, name):
         want = {(a, b) for a in range(1, 601) for b in range(a + 1, 601) if same(a, b)}
         got = [(r[0], r[1]) for r in out.collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_postings_are_dealt(spark):
+    """The texts of postings are read, and decided on, in as many tasks as an exchange has, though their keys are one split of a file."""
+    sizes = [r["count"] for r in QUERIES["explanations"](spark, SF).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 0.4 * sum(sizes)
