@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import exchanged
 from tessera.plans.registry import query
 from tessera.session import table
 from tessera.sources import listings
@@ -52,7 +53,7 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
 def captured(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as they were fetched: entry, kind, page, body. Each kind words its totals and links in its own way."""
     p, c = table(spark, sf, "part"), F.col
-    items = p.join(_numbered(spark, sf), ["p_brand", "p_type"]).withColumn("i", F.row_number().over(W.partitionBy("n").orderBy("p_partkey")) - 1)
+    items = p.join(F.broadcast(_numbered(spark, sf)), ["p_brand", "p_type"]).withColumn("i", F.row_number().over(W.partitionBy("n").orderBy("p_partkey")) - 1)
     title = F.concat("p_name", F.when(c("p_size") % 3 != 0, "招聘公告").otherwise("通知"), F.lit(" "), (2020 + c("p_size") % 5).cast("string"), F.lit("年"))
     uri = F.concat(F.lit("/item/"), "p_partkey")
     link = F.concat(F.lit('<li><a href="'), uri, F.lit('">'), title, F.lit("</a></li>"))
@@ -64,7 +65,7 @@ def captured(spark: SparkSession, sf: str) -> DataFrame:
     # a listing of one page that lost it has none
     pages = sites.withColumn("page", F.explode(F.filter(F.sequence(F.lit(0), c("n_pages") + extra), lambda x: x > 0)))
     pages = pages.withColumn("shows", F.when((c("fault") == 1) & (c("page") == 2), 1).otherwise(c("page")))
-    pages = pages.join(shown, ["n", "shows"], "left").withColumn("x", F.when(~((c("fault") == 2) & (c("page") == 2)), c("x")))
+    pages = exchanged(pages, shown, ["n", "shows"], "left").withColumn("x", F.when(~((c("fault") == 2) & (c("page") == 2)), c("x")))
     total = c("all") + F.when((c("fault") == 4) | ((c("fault") == 3) & (c("page") > 1)), 1).otherwise(0)
     links = F.coalesce(F.array_join("x.link", ""), F.lit(""))
     says = F.concat_ws(
@@ -93,8 +94,8 @@ def parsed(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     following = links.filter("title = '下一页'").select("entry", "page", c("href").alias("next"))
     facts = rows.select(
         "entry", c("page").cast("long").alias("page"), F.sha2("body", 256).alias("print"), F.concat(F.lit("?page="), "page").alias("url"), F.coalesce("data.total", said("共 (\\d+) 条")).alias("total"), said("共 (\\d+) 页").alias("total_pages"), said("第 (\\d+) 页").alias("current"),
-    ).join(following, ["entry", "page"], "left")
-    return facts, links.filter("title <> '下一页'").withColumnRenamed("href", "uri")
+    )
+    return exchanged(facts, following, ["entry", "page"], "left"), links.filter("title <> '下一页'").withColumnRenamed("href", "uri")
 
 
 def entries_of(spark: SparkSession, sf: str) -> DataFrame:

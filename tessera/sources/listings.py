@@ -3,6 +3,7 @@
 How a listing ends depends on the entry's mode. What the pages so far say (distinct links, declared totals, empty
 pages, repeated prints) are running windows over an entry's pages; the first page that settles the matter is the
 end, and what lies behind it was never read. So the walk needs one exchange by entry, and no page is held beside another.
+Entries are a catalogue and go to all tasks; pages and links are many and never do.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import exchanged
+
 #: Ends that prove that all of a listing was read.
 COMPLETE = ("EMPTY_PAGE", "REPORTED_LAST_PAGE_REACHED", "REPORTED_TOTAL_REACHED", "NO_NEXT_LINK", "DATASET_PARSED")
 MODES = ("NUMBERED", "DECLARED_TOTAL", "JSON", "SUFFIX", "LINKED", "DATASET", "CAMPAIGN")
@@ -54,9 +57,9 @@ def listing_pages(entries: DataFrame, pages: DataFrame, links: DataFrame, items:
     current (null where the page says nothing; no row or a null print: not fetched). links: entry, page, uri; items: the same for the listed items that the declared
     total counts, where by_items says so. Pages beyond an entry's limit are not looked at; of a page that was captured twice, any one.
     """
-    rows = pages.filter(F.col("print").isNotNull()).dropDuplicates(["entry", "page"]).join(entries, "entry").filter(F.col("page").between(1, F.col("page_limit")))
-    rows = rows.join(_distinct(links, "raw"), ["entry", "page"], "left")
-    rows = rows.join(_distinct(items, "item"), ["entry", "page"], "left") if items is not None else rows.withColumns({"item": F.lit(0), "item_new": F.lit(0)})
+    rows = pages.filter(F.col("print").isNotNull()).dropDuplicates(["entry", "page"]).join(F.broadcast(entries), "entry").filter(F.col("page").between(1, F.col("page_limit")))
+    rows = exchanged(rows, _distinct(links, "raw"), ["entry", "page"], "left")
+    rows = exchanged(rows, _distinct(items, "item"), ["entry", "page"], "left") if items is not None else rows.withColumns({"item": F.lit(0), "item_new": F.lit(0)})
     # an entry has at most page_limit pages; dealt by entry once, its windows need no other exchange
     rows = rows.fillna(0, ["raw", "raw_new", "item", "item_new"]).repartition("entry")
     walk = W.partitionBy("entry").orderBy("page")
@@ -97,14 +100,14 @@ def listing_ends(entries: DataFrame, pages: DataFrame, links: DataFrame, items:
 
 def accepted_links(ends: DataFrame, links: DataFrame, wanted: Column) -> DataFrame:
     """Links of the pages that were read, each address once (the first page and place), where wanted holds; none of a listing that is an ERROR."""
-    read = links.join(ends.filter("status <> 'ERROR'").select("entry", "pages"), "entry").filter((F.col("page") <= F.col("pages")) & wanted)
+    read = links.join(F.broadcast(ends.filter("status <> 'ERROR'").select("entry", "pages")), "entry").filter((F.col("page") <= F.col("pages")) & wanted)
     first = F.row_number().over(W.partitionBy("entry", "uri").orderBy("page", "place"))
     return read.withColumn("turn", first).filter("turn = 1").drop("turn", "pages")
 
 
 def merged_links(accepted: DataFrame, entries: DataFrame) -> DataFrame:
     """Links of all entries of a source, each address once: entries on life cycles go first, then by their order (S03). entries: entry, source, role, place."""
-    own = accepted.join(entries.select("entry", "source", "role", F.col("place").alias("entry_place")), "entry")
+    own = accepted.join(F.broadcast(entries.select("entry", "source", "role", F.col("place").alias("entry_place"))), "entry")
     first = F.row_number().over(W.partitionBy("source", "uri").orderBy(F.when(F.col("role") == "LIFECYCLE", 0).otherwise(1), "entry_place", "page", "place"))
     return own.withColumn("turn", first).filter("turn = 1").drop("turn", "entry_place")
 

@@ -1,8 +1,13 @@
 """Listings against a reader that goes page by page, for random pages in every mode."""
 
 import random
+import re
 
+import pytest
+
+from tessera.queries import QUERIES
 from tessera.sources import listings
+from tests.conftest import SF
 
 COLUMNS = "entry int, page long, print string, url string, next string, total long, total_pages long, current long"
 
@@ -121,3 +126,13 @@ def test_merged_links(spark):
     accepted = spark.createDataFrame([(1, 1, 0, "/a"), (2, 1, 0, "/a"), (2, 1, 1, "/b"), (3, 1, 0, "/a")], "entry int, page int, place int, uri string")
     entries = spark.createDataFrame([(1, "s", "LISTING", 0), (2, "s", "LIFECYCLE", 1), (3, "t", "LISTING", 2)], "entry int, source string, role string, place int")
     assert sorted((r.source, r.uri, r.entry) for r in listings.merged_links(accepted, entries).collect()) == [("s", "/a", 2), ("s", "/b", 2), ("t", "/a", 3)]
+
+
+@pytest.mark.parametrize("name", ["listing_reads", "listing_links", "listing_evidence"])
+def test_pages_stay_off_the_driver(spark, name):
+    """However small Spark takes them for, parts, pages and links go to no other task by way of the driver: only the rows of entries do."""
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    joins = re.findall(r"BroadcastHashJoin \[([^\]]*)\].*?, (Build\w+)", df._jdf.queryExecution().executedPlan().toString())
+    assert joins and {re.sub(r"#\w+", "", keys) for keys, _ in joins} <= {"entry", "p_brand, p_type", "entry, year"}
+    assert {side for keys, side in joins if "p_brand" in keys} == {"BuildRight"}
