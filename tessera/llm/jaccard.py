@@ -6,7 +6,8 @@ sets of sizes s and t must have.
 * Light: a small set is enumerated: for each size t that a partner may have, all its subsets of need(s, t)
   elements, as keys with both sizes. Two sets are linked exactly if they share a key.
 * Heavy: of a large set, the first n - ceil(0.75 n) + 1 elements in a global order (rare ones first) are the
-  inverted lists that it is on; similar sets share a list. Lists of one set end at once (packed exchange).
+  inverted lists that it is on; similar sets share a list. How many sets have an element is counted for all elements
+  (packed exchange), so those of one set come first, and a set of which others have too little is on no list of theirs.
 * The boundary between them is where enumerating costs as many hashes as the lists and the check would.
 
 Lists are not expanded into pairs. Every member is checked against one leader of the list; the classes that
@@ -22,6 +23,7 @@ its component, block by block as a product of 0-1 matrices; what leaves a block
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -30,13 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import Chunks, chunked
-from tessera.llm.exchange import ASKS, answer, asked, occurs_again
+from tessera.llm.exchange import COUNTS, answer_ranks, asked_ranks, ranks_of
 from tessera.llm.graph import components
-from tessera.llm.storage import checkpointed, kept
-from tessera.llm.words import Runs, Words, mix, slices
+from tessera.llm.storage import checkpointed, kept, shuffles_dropped
+from tessera.llm.words import Runs, Words, mix
 
-#: Counters of the sketch that orders elements by frequency, and of a part of it; steps that a power of two is told in.
-SKETCH, PART, STEPS = 1 << 22, 1 << 16, 6
 #: Sets that are checked against one copy of another, and against one copy of many others.
 MEMBERS, OTHERS = 256, 1024
 #: Leaders that a list gets at most, and the most entries of a list whose remaining pairs are enumerated as they are.
@@ -56,9 +56,9 @@ def least(n):
 
 
 class Sets:
-    """The sets of some texts: values ordered by text, then frequency class, then hash; first: where each text's begin."""
+    """The sets of some texts: values ordered by text, then rank (of at most 31; ranks gives those of sorted values), then hash; first: where each text's begin."""
 
-    def __init__(self, texts: pa.Array, n: int, classes: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, n: int, ranks: Callable[[np.ndarray], np.ndarray] | None = None):
         words = Words(texts, lower=True)
         runs, counts = Runs(words.hashes()), words.counts
         at = np.flatnonzero(words.room() >= n)
@@ -68,14 +68,15 @@ class Sets:
             whole = np.concatenate([runs.at(words.first[short[counts[short] == k]], k) for k in range(1, n)])
             text = np.concatenate([text, np.concatenate([short[counts[short] == k] for k in range(1, n)])])
             values = np.concatenate([values, whole])
-        rank = np.zeros(len(values), np.uint8) if classes is None else classes[sketched(values)]
         order = np.argsort(values)
-        group = (text.astype(np.int64) << 5 | rank)[order]
-        order = order[np.argsort(group.astype(np.uint16) if len(texts) < 2048 else group, kind="stable")]
-        text, values = text[order], values[order]
+        group = text[order].astype(np.int64) << 5
+        self.ranks = np.zeros(len(values), np.uint8) if ranks is None else ranks(values[order])
+        group |= self.ranks
+        turn = np.argsort(group.astype(np.uint16) if len(texts) < 2048 else group, kind="stable")
+        text, values, self.ranks = text[order[turn]], values[order[turn]], self.ranks[turn]
         fresh = np.ones(len(values), bool)
         fresh[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-        self.text, self.values = text[fresh], values[fresh]
+        self.text, self.values, self.ranks = text[fresh], values[fresh], self.ranks[fresh]
         self.first = np.searchsorted(self.text, np.arange(len(texts) + 1))
 
     @property
@@ -98,36 +99,6 @@ class Sets:
         return np.flatnonzero(chosen[self.text] & (place < (n - least(n) + 1)[self.text]))
 
 
-def sketched(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-
-
-def _frequency_classes(texts: Chunks, n: int) -> np.ndarray:
-    """Of each counter of a sketch of fixed size, how far (in half powers of two) it is above the mean. It orders elements; results do not depend on it."""
-
-    def count(batches):
-        total = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
-            for part in slices(batch, "words"):
-                np.add.at(total, sketched(Sets(part.column(0), n).values), 1)
-        parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, PART)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(parts)), pa.int32()), "counts": [p.tobytes() for p in parts]})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint8).astype(np.float32) for x in table.column("counts"))
-        logs = (STEPS * np.log2(np.maximum(total, 1.0))).astype(np.uint8)
-        return pa.table({"part": table.column("part")[:1], "sum": pa.array([float(total.sum())]), "logs": pa.array([logs.tobytes()], pa.binary())})
-
-    counts = texts.table.select("words").mapInArrow(count, "part int, counts binary")
-    rows = counts.groupBy("part").applyInArrow(add, "part int, sum double, logs binary").collect()  # a byte for each of SKETCH counters
-    mean = math.log2(max(sum(r["sum"] for r in rows) / SKETCH, 1.0))
-    class_of = np.clip(2 * (np.arange(256) / STEPS - mean), 0, 31).astype(np.uint8)
-    classes = np.zeros(SKETCH, np.uint8)
-    for r in rows:
-        classes[r["part"] * PART : (r["part"] + 1) * PART] = class_of[np.frombuffer(r["logs"], np.uint8)]
-    return classes
-
-
 def enumerated(s: int) -> int:
     """How many subsets a set of s elements is enumerated into."""
     return sum(math.comb(s, need(s, t)) for t in range(least(s), 4 * s // 3 + 1) if need(s, t) <= s)
@@ -181,8 +152,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text
     smallest id that it reaches, itself included; null ids reach but do not count). A repeated id names rows of their own. Other columns,
     whatever their names, are not looked at. Shingles are compared by 64-bit hashes.
     """
-    texts = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", ["id"])
-    rows = _grouped(texts, n, "id", counted=True)
+    with shuffles_dropped(docs.sparkSession):
+        texts = chunked(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", ["id"])
+        rows = _grouped(texts, n, "id", counted=True)
     ids = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
     return rows.join(ids, "comp").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "n_links", "component_id")
 
@@ -190,8 +162,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text
 def one_of_each(docs: DataFrame, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, unchanged, less all but one of each component: the smallest id stays, of repeated ones one row."""
     columns = docs.columns
-    texts = chunked(docs, id_col, text_col, [c for c in columns if c != text_col])
-    rows = _grouped(texts, n, id_col)
+    with shuffles_dropped(docs.sparkSession):
+        texts = chunked(docs, id_col, text_col, [c for c in columns if c != text_col])
+        rows = _grouped(texts, n, id_col)
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
     stay = rows.groupBy("comp").agg(F.min(F.struct(order.alias("o"), "chunk", "row")).alias("x")).select("x.chunk", "x.row")
 
@@ -291,30 +264,29 @@ def _light_links(texts: Chunks, chosen: DataFrame, n: int, limit: int) -> DataFr
 
 def _heavy_links(texts: Chunks, chosen: DataFrame, n: int, limit: int) -> DataFrame:
     """Links of pairs with at least one set of more than `limit` elements."""
-    n_buckets, classes = texts.n_buckets, _frequency_classes(texts, n)
+    n_buckets = texts.n_buckets
     notes = checkpointed(_note(chosen.filter(F.col("n") >= least(limit + 1)), "want", "node", F.lit(b"")))
 
-    def fronts(rows: pa.Table, notes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sets]:
-        """Nodes and hashes of list entries, and the places in values; of the wanted rows."""
+    def wanted(rows: pa.Table, notes: dict) -> pa.Table:
         want = notes.get("want", {})
-        rows = rows.filter(pa.array([r in want for r in rows.column("row").to_pylist()], pa.bool_()))
-        sets = Sets(rows.column("words").combine_chunks(), n, classes)
-        at = sets.fronts(np.ones(rows.num_rows, bool))
-        return rows.column("row").to_numpy()[sets.text[at]] if len(at) else np.empty(0, np.int64), sets.values[at], at, sets
+        return rows.filter(pa.array([r in want for r in rows.column("row").to_pylist()], pa.bool_()))
 
     def ask(rows: pa.Table, notes: dict) -> pa.Table:
-        return pa.Table.from_batches([asked(rows.column("chunk")[0].as_py(), fronts(rows, notes)[1], n_buckets)])
+        sets = Sets(wanted(rows, notes).column("words").combine_chunks(), n)
+        return pa.Table.from_batches([asked_ranks(rows.column("chunk")[0].as_py(), sets.values, n_buckets)])
 
-    again = kept(answer(texts.over(["row", "words"], notes, ask, ASKS)), "jaccard-again")
-    notes = notes.unionByName(_note(again, "again", "bucket", F.col("again")).withColumn("key", F.col("key").cast("long")))
+    ranks = kept(answer_ranks(texts.over(["row", "words"], notes, ask, COUNTS)), "jaccard-ranks")
+    notes = notes.unionByName(_note(ranks, "ranks", "bucket", F.col("ranks")).withColumn("key", F.col("key").cast("long")))
 
     def shared(rows: pa.Table, notes: dict) -> pa.Table:
         """A row per list entry that other sets have, too, with the set's size."""
-        node, values, at, sets = fronts(rows, notes)
-        hit = occurs_again(values, notes.get("again", {}), n_buckets)
-        size = sets.sizes[sets.text[at]][hit]
-        chunk = np.full(int(hit.sum()), rows.column("chunk")[0].as_py())
-        return pa.table([pa.array(values[hit].view(np.int64)), pa.array(node[hit], pa.int64()), pa.array(size, pa.int64()), pa.array(chunk, pa.int64())], ["list", "node", "n", "chunk"])
+        chunk, rows = rows.column("chunk")[0].as_py(), wanted(rows, notes)
+        sets = Sets(rows.column("words").combine_chunks(), n, lambda values: ranks_of(values, notes.get("ranks", {}), n_buckets))
+        at = sets.fronts(np.ones(rows.num_rows, bool))
+        at = at[sets.ranks[at] > 0]
+        text = sets.text[at]
+        node = rows.column("row").to_numpy()[text] if len(at) else np.empty(0, np.int64)
+        return pa.table([pa.array(sets.values[at].view(np.int64)), pa.array(node, pa.int64()), pa.array(sets.sizes[text], pa.int64()), pa.array(np.full(len(at), chunk, np.int64))], ["list", "node", "n", "chunk"])
 
     entries = kept(texts.over(["row", "words"], notes, shared, "list long, node long, n long, chunk long"), "jaccard-entries")
     links, comps = None, None

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -427,6 +428,44 @@ def test_jaccard_large_groups(spark, monkeypatch, others, strip):
     assert linked(rows) == Counter((x.doc_id, x.n_shingles, x.n_links, x.component_id) for x in jaccard_components(df).collect())
 
 
+def test_ranks_are_exact(spark):
+    """Hashes that agree in their upper bits are told apart; how often each occurs is counted over all chunks."""
+    import pyarrow as pa
+
+    from tessera.llm.exchange import COUNTS, answer_ranks, asked_ranks, ranks_of
+
+    r = random.Random(3)
+    near = [(5 << 42) + i for i in range(40)]
+    chunks = [np.array([r.choice(near) for _ in range(30)] + [r.getrandbits(64) for _ in range(20)], np.uint64) for _ in range(6)]
+    asks = pa.Table.from_batches([asked_ranks(i, x, 7) for i, x in enumerate(chunks)]).to_pylist()
+    asks = spark.createDataFrame([tuple(x[c] for c in ("bucket", "chunk", "hashes", "counts")) for x in asks], COUNTS)
+    answers = {}
+    for x in answer_ranks(asks).collect():
+        answers.setdefault(x.chunk, {})[x.bucket] = bytes(x.ranks)
+    total = Counter(int(h) for x in chunks for h in x)
+    for i, x in enumerate(chunks):
+        want = [min(31, int(np.ceil(2 * np.log2(total[int(h)])))) for h in np.sort(x)]
+        assert ranks_of(np.sort(x), answers.get(i, {}), 7).tolist() == want
+
+
+def test_jaccard_leaves_no_shuffles(spark, docs):
+    """Shuffle files go as the work goes on: none wait for the driver to collect its garbage."""
+    from tessera.llm.jaccard import jaccard_components, one_of_each
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString("\n")))
+
+    before = files()
+    results = [jaccard_components(docs), one_of_each(docs)]
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert [x.count() for x in results] == [x.count() for x in results]
+
+
 def test_quality(spark, labels, edges, none):
     from tessera.llm.quality import quality_filter, quality_scores
 
