@@ -31,6 +31,8 @@ LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 TEXTS, GATHERED = 2 << 20, 1 << 19
 #: Rows of a block of terms, and pairs of groups that are looked at together.
 BLOCK, PAIRS = 1 << 13, 1 << 18
+#: Groups whose rows may go to all tasks, at most.
+GROUPS = 20_000
 TALLY = "lang string, source string, term string, docs long, n long"
 
 
@@ -98,12 +100,13 @@ def _share(count: Column, total: Column, terms: Column, prior: int, unit: int) -
     return F.when(terms > 0, 1 + floor)
 
 
-def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, bits: int = 30, width: int = 10, few: int = 64) -> DataFrame:
+def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, bits: int = 30, width: int = 10, few: int = 64, hint: str = "merge") -> DataFrame:
     """Rows of each group with its k largest values, ties by the UTF-8 bytes of item, ascending; adds rank (int, from 1).
 
     value: whole numbers from 0 to 2 ** bits - 1; item: distinct in a group. No group is sorted: a pass counts, for
     each group, the rows of each digit of the value among those with the kth value's higher digits. Ties at the kth value
-    are narrowed in the same way, two bytes a pass, until at most `few` of a group's are left open.
+    are narrowed in the same way, two bytes a pass, until at most `few` of a group's are left open. hint: how what is
+    known of each group joins the rows; "broadcast" is for few groups.
     """
     at, mask = F.col(value), (1 << width) - 1
     bytes_ = F.col(item).cast("binary")
@@ -120,7 +123,7 @@ def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, bit
         if state is None:
             counts = rows.groupBy(*by, digit).count().withColumns({"_wanted": F.lit(k), "_head": F.lit(0).cast("long")})
         else:
-            open_rows = rows.join(state, by).filter(F.shiftright(at, shift + width) == F.col("_head"))
+            open_rows = rows.join(state.hint(hint), by).filter(F.shiftright(at, shift + width) == F.col("_head"))
             counts = open_rows.groupBy(*by, "_wanted", "_head", digit).count()
         found = crossing(counts, F.col("_digit").desc())
         state = checkpointed(found.select(*by, (F.shiftleft("_head", width) + F.col("_digit")).alias("_head"), "_wanted", "count"))
@@ -129,13 +132,13 @@ def radix_top(rows: DataFrame, by: list[str], value: str, item: str, k: int, bit
     ties = last.select(*by, "_head", "_wanted", F.col("count").alias("_open"), F.lit(b"").alias("_prefix"))
     place = 1
     while not ties.filter(F.col("_open") > few).isEmpty():
-        wide = rows.join(ties.filter(F.col("_open") > few).drop("_open"), by).filter((at == F.col("_head")) & (F.substring(bytes_, 1, place - 1) == F.col("_prefix")))
+        wide = rows.join(ties.filter(F.col("_open") > few).drop("_open").hint(hint), by).filter((at == F.col("_head")) & (F.substring(bytes_, 1, place - 1) == F.col("_prefix")))
         counts = wide.groupBy(*by, "_head", "_wanted", "_prefix", F.substring(bytes_, place, 2).alias("_bytes")).count()
         found = crossing(counts, F.col("_bytes").asc()).select(*by, "_head", "_wanted", F.col("count").alias("_open"), F.concat("_prefix", "_bytes").alias("_prefix"))
         ties = checkpointed(ties.filter(F.col("_open") <= few).unionByName(found))
         place += 2
     near = F.expr(f"substring(cast(`{item}` as binary), 1, length(_prefix))") <= F.col("_prefix")
-    chosen = rows.join(ties, by, "left").filter(F.col("_head").isNull() | (at > F.col("_head")) | ((at == F.col("_head")) & near))
+    chosen = rows.join(ties.hint(hint), by, "left").filter(F.col("_head").isNull() | (at > F.col("_head")) | ((at == F.col("_head")) & near))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(at.desc(), F.col(item).asc()))
     return chosen.withColumn("rank", rank).filter(F.col("rank") <= k).select(*rows.columns, "rank")
 
@@ -192,10 +195,12 @@ def divergence_audit(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     groups = groups.select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "lang_total", "v")))
     groups = checkpointed(groups.withColumn("p0", _share(F.lit(0), F.col("total"), F.col("v"), prior, unit)))
 
-    known = terms.join(groups, ["lang", "source"])
+    # the terms' files are packed so well that Spark takes them for a small table, which they are not when read: it is told which side is small
+    hint = "broadcast" if groups.count() <= GROUPS else "merge"
+    known = terms.join(groups.hint(hint), ["lang", "source"])
     p, q = (_share(F.col(c), F.col(t), F.col("v"), prior, unit) for c, t in (("n", "total"), ("lang_n", "lang_total")))
     above = known.select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).filter("value > 0")
-    best = radix_top(above, ["lang", "source"], "value", "item", top, few=few)
+    best = radix_top(above, ["lang", "source"], "value", "item", top, few=few, hint=hint)
 
     shares = known.select("lang", "source", "term", p.alias("p"), "p0")
     pairs = pair_sums(groups, shares, terms.count())

@@ -63,6 +63,22 @@ def test_divergence_in_small_blocks(docs, monkeypatch):
     assert sorted(map(tuple, d.divergence_audit(docs, least=5).collect())) == audited(rows, 5, 50)
 
 
+def test_divergence_broadcasts_no_terms(docs, monkeypatch):
+    """What is known of the groups goes to the terms, never the terms to all tasks, however small their files are; many groups meet them by exchange."""
+    from tessera.llm import divergence as d
+
+    def joins(out):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        return set(re.findall(r"(\w+Join)(?:\(.*?\))? \[lang#\d+, source#\d+\], \[lang#\d+, source#\d+\], Inner(?:, (Build\w+))?", plan))
+
+    few = d.divergence_audit(docs, least=5)
+    assert joins(few) == {("BroadcastHashJoin", "BuildRight")}
+    monkeypatch.setattr(d, "GROUPS", 0)
+    many = d.divergence_audit(docs, least=5)
+    assert joins(many) == {("SortMergeJoin", "")}
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) == audited([(r.lang, r.source, r.text) for r in docs.collect()], 5, 50)
+
+
 def test_terms_with_equal_hashes():
     import pyarrow as pa
 
