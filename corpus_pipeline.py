@@ -9,7 +9,7 @@ from tessera.llm.bpe import bpe_encode
 from tessera.llm.jaccard import one_of_each
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.quality import quality_filter
-from tessera.llm.storage import kept, new_folder, scratch
+from tessera.llm.storage import kept, new_folder, scratch, shuffles_dropped
 from tessera.llm.substrings import substring_dedup
 
 
@@ -67,6 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         label = "pipeline-" + name.replace(" ", "-")
         path = new_folder(spark, label)
-        with scratch(spark):
+        with scratch(spark), shuffles_dropped(spark):
             docs = kept(stage(spark, docs, sf_dir), label, path)
     return STAGES[-1][1](spark, docs, sf_dir)
